@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from verilake.llm import media, mixing
+from verilake.llm import bpe, media, mixing
 
 QUERIES = {
     "op5_media": media.op5_media,
+    "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
 }
 
