@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from verilake.llm import bpe, language, media, mixing
+from verilake.llm import bpe, language, media, mixing, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_language": language.op4_language,
     "op5_media": media.op5_media,
     "op8_bpe": bpe.op8_bpe,
