@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from verilake.llm import bpe, language, media, mixing, toxicity
+from verilake.llm import bpe, html_text, language, media, mixing, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_html": html_text.op2_html,
     "op4_language": language.op4_language,
     "op5_media": media.op5_media,
     "op8_bpe": bpe.op8_bpe,
