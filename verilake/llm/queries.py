@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verilake.llm import bpe, html_text, language, media, mixing, toxicity
+from verilake.llm import bpe, html_text, language, media, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_media": media.op5_media,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
+    "op10_simhash": simhash.op10_simhash,
 }
 
 SQL = {
