@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from verilake.llm import bpe, html_text, language, media, mixing, simhash, toxicity
+from verilake.llm import bpe, chunks, html_text, language, media, mixing, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_html": html_text.op2_html,
+    "op3_suffixes": suffixes.op3_suffixes,
     "op4_language": language.op4_language,
     "op5_media": media.op5_media,
+    "op7_chunks": chunks.op7_chunks,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
