@@ -23,6 +23,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -98,7 +99,7 @@ class Transducer:
         byte_of = {c: b for b, c in enumerate(letters)}
         self.bytes = {i: b"\x20" if t == "" else bytes(byte_of[c] for c in t.removesuffix(END)) + (b" " if t.endswith(END) else b"") for t, i in self.vocab.items()}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
-        self._words: dict[str, tuple[str, int, str]] = {}
+        self._words: dict[str, tuple[str, int, str, tuple[int, ...]]] = {}
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges of one buffer, by rank and from the left; ids is used up."""
@@ -157,7 +158,7 @@ class Transducer:
                 yield self.special[part]
             else:
                 for piece in self._pieces(part):
-                    yield from self.encode_word(piece.encode("utf-8", "replace"))
+                    yield from (self._words.get(piece) or self._rendered(piece))[3]
 
     def _parts(self, text: str) -> Iterator[tuple[bool, str]]:
         """Special tokens (true) and stretches of ordinary text between them, cut at white space."""
@@ -173,9 +174,9 @@ class Transducer:
             return _ASCII_PIECES.findall(stretch.lower())
         return _PIECES.findall(unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower())
 
-    def _rendered(self, piece: str) -> tuple[str, int, str]:
-        ids = [*self.encode_word(piece.encode("utf-8", "replace"))]
-        made = (" ".join(map(str, ids)), len(ids), "".join(TokenDecoder(self).feed(ids)))
+    def _rendered(self, piece: str) -> tuple[str, int, str, tuple[int, ...]]:
+        ids = (*self.encode_word(piece.encode("utf-8", "replace")),)
+        made = (" ".join(map(str, ids)), len(ids), "".join(TokenDecoder(self).feed(ids)), ids)
         if len(piece) <= 64:
             if len(self._words) >= CACHE:
                 self._words.clear()
@@ -268,7 +269,7 @@ def encode_texts(docs: DataFrame, text_col="text", vocabulary=VOCABULARY) -> Dat
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = coder(vocabulary)
         for text in texts:
-            yield pd.Series([[*own.encode(t or "")] for t in text], dtype=object)
+            yield pd.Series([np.fromiter(own.encode(t or ""), np.int32) for t in text], dtype=object)
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn("ids", F.pandas_udf(ids, "array<int>")(text_col))

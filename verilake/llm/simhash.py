@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verilake.llm.common import bounded_batches, cut, table
@@ -107,6 +107,14 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     return prints.join(owner, "_print").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """The rows of docs whose id is the smallest of its component; of rows with equal ids the one of the smallest text hash."""
+    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+
+
 def op10_simhash(spark, sf_dir):
     """Fingerprint and component of every document."""
     return near_duplicates(table(spark, sf_dir, "documents"))

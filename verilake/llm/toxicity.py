@@ -288,6 +288,12 @@ def score_column(docs: DataFrame, model: Model, text_col="text") -> F.Column:
     return F.pandas_udf(score, "double")(text_col)
 
 
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold=0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, learned from docs and labels."""
+    model = learn(docs, labels, id_col, text_col)
+    return docs.withColumn("_score", score_column(docs, model, text_col)).filter(F.col("_score") < threshold).select(*docs.columns)
+
+
 def op1_toxicity(spark, sf_dir):
     """Every document scored; labels only from documents that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
