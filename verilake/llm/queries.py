@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verilake.llm import bpe, chunks, html_text, language, media, mixing, simhash, suffixes, toxicity
+from verilake.llm import bpe, chunks, html_text, language, media, mixing, search, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffixes": suffixes.op3_suffixes,
     "op4_language": language.op4_language,
     "op5_media": media.op5_media,
+    "op6_search": search.op6_search,
     "op7_chunks": chunks.op7_chunks,
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
