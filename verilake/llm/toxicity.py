@@ -7,20 +7,23 @@ log-likelihoods per word; a logistic curve, fitted on labelled documents that th
 haven't seen, turns it into a score.
 
 Sizes. n-grams are counted in 2^SLOT_BITS slots an order, so the model that is sent to the
-workers has a fixed size (about 30 MB). The shared counts cover every training
+workers has a fixed size (at most 16 MB). The shared counts cover every training
 document and grow with the input. Labelled documents are a sample of LABELS rows at
 most, chosen by a hash of the id, so that their ids can be broadcast.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,6 +138,22 @@ class Model:
     classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)
     informed: bool = False
+    sent: Broadcast | None = None
+
+    def packed(self) -> bytes:
+        """The model in half precision, compressed; what is sent to the workers."""
+        halves = {n: [(p.astype(np.float16), b.astype(np.float16)) for p, b in (self.shared[n], *self.classes[n])] for n in self.shared}
+        return zlib.compress(pickle.dumps((self.first, halves, self.informed)), 1)
+
+    @staticmethod
+    def unpacked(data: bytes) -> Model:
+        first, halves, informed = pickle.loads(zlib.decompress(data))
+        model = Model(first, informed=informed)
+        for n, parts in halves.items():
+            # Half precision has no value between 0 and 6e-8; a back-off weight stays above it.
+            full = [(p.astype(np.float32), np.maximum(b.astype(np.float32), np.float32(1e-6))) for p, b in parts]
+            model.shared[n], model.classes[n] = full[0], full[1:]
+        return model
 
     def evidence(self, vocabulary: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary) for each word."""
@@ -189,7 +208,11 @@ class Model:
         return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.raw(texts) @ np.array(self.curve[:2]) + self.curve[2], -30, 30)))
+        return on_curve(self.raw(texts), self.curve)
+
+
+def on_curve(raw: np.ndarray, curve: tuple[float, ...]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(raw @ np.array(curve[:2]) + curve[2], -30, 30)))
 
 
 def _discounted(slot, context, counts, discount) -> tuple[np.ndarray, np.ndarray]:
@@ -264,11 +287,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     counted = corpus.filter(fold.between(1, 3)).join(taught, "_id", "left").select("text", "toxic").mapInPandas(_count, _COUNTS)
     merged = counted.groupBy("n", "slot").agg(*[F.min(c).alias(c) for c in ("context", "suffix", "first")], *[F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")])
     model = build(merged.toPandas())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.sent = docs.sparkSession.sparkContext.broadcast(model.packed())
 
     def raw(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Model.unpacked(shared.value)
         for text in texts:
-            yield pd.DataFrame(shared.value.raw([*text]), columns=["plain", "sure"])
+            yield pd.DataFrame(own.raw([*text]), columns=["plain", "sure"])
 
     checked = corpus.filter(fold == 4).join(F.broadcast(_sample(marked.filter(fold == 4), CURVE)), "_id")
     seen = checked.select(F.pandas_udf(raw, "plain double, sure double")("text").alias("raw"), "toxic").select("raw.*", "toxic").toPandas()
@@ -278,11 +302,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
 
 def score_column(docs: DataFrame, model: Model, text_col="text") -> F.Column:
     """The score of each whole text, 0 to 1; null and empty texts have no evidence and get the curve's value at 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, curve = model.sent or docs.sparkSession.sparkContext.broadcast(model.packed()), model.curve
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model.unpacked(shared.value)
         for text in texts:
-            yield pd.Series(shared.value.scores([*text]))
+            yield pd.Series(on_curve(own.raw([*text]), curve))
 
     bounded_batches(docs.sparkSession)
     return F.pandas_udf(score, "double")(text_col)
