@@ -13,70 +13,91 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2048
+from verilake.functions.exprs import dot
 
+#: Vectors of a block, and decimals of a similarity, rounded once so that ties are stable.
+BLOCK, PLACES = 2048, 6
 
-def _blocks(vectors: DataFrame, prefix: str, extra: list[str]) -> DataFrame:
-    """One row per block: keys and the vectors' bytes, by a hash of the key."""
-    n = vectors.count()
-    parts = max(1, -(-n // BLOCK))
-    packed = vectors.withColumn("_block", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    return packed.groupBy("_block").agg(F.collect_list(F.struct("key", "vector", *extra)).alias(prefix)).drop("_block")
 
+def _pack(rows: pd.DataFrame) -> pd.DataFrame:
+    """One block: keys, vectors and, for ranks, the own gallery row's key (-1 for none) and score."""
+    keys = rows["key"].to_numpy(np.int64)
+    matrix = np.array([*rows["vector"]], np.float64).reshape(len(rows), -1)
+    own, score = np.full(len(rows), -1, np.int64), np.zeros(len(rows))
+    if "own" in rows:
+        known = rows["own"].notna().to_numpy()
+        own[known] = rows["own"][known].to_numpy(np.int64)
+        if known.any():
+            score[known] = np.round((matrix[known] * np.array([*rows["target"][known]], np.float64)).sum(1), PLACES)
+    return pd.DataFrame([{"keys": keys.tobytes(), "vectors": matrix.tobytes(), "own": own.tobytes(), "score": score.tobytes()}])
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
 
+def _blocks(vectors: DataFrame, prefix: str) -> DataFrame:
+    """One row per BLOCK vectors (key, vector[, own, target]), by a hash of the key, as packed arrays."""
+    parts = max(1, -(-vectors.count() // BLOCK))
+    packed = vectors.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("_block")).applyInPandas(_pack, "keys binary, vectors binary, own binary, score binary")
+    return packed.select(*[F.col(c).alias(f"{prefix}_{c}") for c in packed.columns])
 
-def top_k_search(probes: DataFrame, gallery: DataFrame, k=2, sim_threshold: float | None = None, places=6) -> DataFrame:
+
+def _grid(probes: DataFrame, gallery: DataFrame) -> DataFrame:
+    return _blocks(probes, "p").crossJoin(_blocks(gallery, "g").drop("g_own", "g_score"))
+
+
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """Row of the grid, keys of both sides in order of the gallery's, and the scores between them."""
+    for batch in batches:
+        for row in batch.to_dict("records"):
+            keys, others = np.frombuffer(row["p_keys"], np.int64), np.frombuffer(row["g_keys"], np.int64)
+            order = np.argsort(others, kind="stable")
+            mine, theirs = (np.frombuffer(row[f"{s}_vectors"], np.float64).reshape(len(k), -1) for s, k in (("p", keys), ("g", others)))
+            yield row, keys, others[order], np.round(mine @ theirs[order].T, PLACES)
+
+
+def top_k_search(probes: DataFrame, gallery: DataFrame, k=2, sim_threshold: float | None = None) -> DataFrame:
     """probe_idx, rank, sample_idx, similarity: the k nearest gallery rows of every probe by cosine of unit vectors.
 
     One row per embedding, not per user. Ties go to the smaller sample_idx. An empty
     gallery gives nothing; with sim_threshold nearer ones only are returned.
     """
-    p = _blocks(probes.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector")), "p", [])
-    g = _blocks(gallery.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector")), "g", [])
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for rows, others in zip(batch["p"], batch["g"]):
-                scores = np.round(_matrix(rows) @ _matrix(others).T, places)
-                keys = np.array([r["key"] for r in others])
-                order = np.argsort(keys, kind="stable")
-                scores, keys = scores[:, order], keys[order]
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"probe_idx": np.repeat([r["key"] for r in rows], top.shape[1]), "sample_idx": keys[top].ravel(), "similarity": np.take_along_axis(scores, top, 1).ravel()})
-
-    grid = p.crossJoin(g)
-    found = grid.mapInPandas(best, "probe_idx long, sample_idx long, similarity double")
+        for _, keys, others, scores in _products(batches):
+            n = min(k, len(others))
+            if n < len(others):  # the k best and all that tie with the last of them
+                least = np.partition(scores, len(others) - n, axis=1)[:, len(others) - n]
+                at, hit = np.nonzero(scores >= least[:, None])
+            else:
+                at, hit = np.nonzero(np.ones(scores.shape, bool))
+            value = scores[at, hit]
+            order = np.lexsort((others[hit], -value, at))
+            at, hit, value = at[order], hit[order], value[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
+            place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+            keep = place < k
+            yield pd.DataFrame({"probe_idx": keys[at[keep]], "sample_idx": others[hit[keep]], "similarity": value[keep]})
+
+    vectors = lambda df: df.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector"))
+    found = _grid(vectors(probes), vectors(gallery)).mapInPandas(best, "probe_idx long, sample_idx long, similarity double")
     if sim_threshold is not None:
         found = found.filter(F.col("similarity") >= sim_threshold)
     nth = F.row_number().over(Window.partitionBy("probe_idx").orderBy(F.desc("similarity"), "sample_idx"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k)
 
 
-def probe_ranks(probes: DataFrame, gallery: DataFrame, places=6) -> DataFrame:
+def probe_ranks(probes: DataFrame, gallery: DataFrame) -> DataFrame:
     """probe_idx, rank: 1 + gallery rows that come before the probe's own identity (better, or as good with a smaller index); null if it has none."""
-    own = gallery.groupBy("identity").agg(F.min("sample_idx").alias("own"))
-    mine = probes.join(own, "identity", "left").join(gallery.select(F.col("sample_idx").alias("own"), F.col("embedding").alias("target")), "own", "left")
-    p = _blocks(mine.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector"), "own", "target"), "p", ["own", "target"])
-    g = _blocks(gallery.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector")), "g", [])
+    first = gallery.groupBy("identity").agg(F.min("sample_idx").alias("own"))
+    mine = probes.join(first, "identity", "left").join(gallery.select(F.col("sample_idx").alias("own"), F.col("embedding").alias("target")), "own", "left")
 
     def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for rows, others in zip(batch["p"], batch["g"]):
-                rows = [r for r in rows if r["own"] is not None]
-                if not rows:
-                    continue
-                mat = _matrix(rows)
-                target = np.array([r["target"] for r in rows], np.float64)
-                at = np.round((mat * target).sum(1), places)[:, None]
-                scores, keys = np.round(mat @ _matrix(others).T, places), np.array([r["key"] for r in others])[None, :]
-                own_key = np.array([r["own"] for r in rows])[:, None]
-                count = ((scores > at) | ((scores == at) & (keys < own_key))).sum(1)
-                yield pd.DataFrame({"probe_idx": [r["key"] for r in rows], "n": count})
-
-    counts = p.crossJoin(g).mapInPandas(ahead, "probe_idx long, n long").groupBy("probe_idx").agg((F.sum("n") + 1).alias("rank"))
+        for row, keys, others, scores in _products(batches):
+            own, at = np.frombuffer(row["p_own"], np.int64), np.frombuffer(row["p_score"], np.float64)
+            known = own >= 0
+            before = (scores > at[:, None]) | ((scores == at[:, None]) & (others[None, :] < own[:, None]))
+            yield pd.DataFrame({"probe_idx": keys[known], "n": before[known].sum(1)})
+
+    grid = _grid(mine.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector"), "own", "target"), gallery.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector")))
+    counts = grid.mapInPandas(ahead, "probe_idx long, n long").groupBy("probe_idx").agg((F.sum("n") + 1).alias("rank"))
     return probes.select(F.col("sample_idx").alias("probe_idx")).join(counts, "probe_idx", "left")
 
 
@@ -94,7 +115,7 @@ def search_consistency(probes: DataFrame, a: DataFrame, b: DataFrame) -> DataFra
     return joined.agg(F.count("*").alias("n_probes"), F.count_if(~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).alias("n_mismatch"))
 
 
-def user_centroids(samples: DataFrame, places=6) -> DataFrame:
+def user_centroids(samples: DataFrame, places=PLACES) -> DataFrame:
     """identity, centroid: the mean of an identity's vectors, normalised; null for a zero mean."""
     means = samples.select("identity", F.posexplode("embedding").alias("pos", "x")).groupBy("identity", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
     gathered = means.groupBy("identity").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("n"))
@@ -107,8 +128,6 @@ def resolve_is_genuine(attempts: DataFrame, samples: DataFrame, top1: DataFrame,
     Without an expected identity the fallback holds; an unknown one is false. Simple: the
     top-1 row belongs to it. Else: the cosine to its centroid reaches high.
     """
-    from verilake.functions.exprs import dot
-
     known = samples.groupBy(F.col("identity").alias("expected_identity")).agg(F.lit(True).alias("_known"))
     rows = attempts.join(known, "expected_identity", "left")
     if simple:
