@@ -8,7 +8,6 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,9 +210,12 @@ def test_pruned_shard_equals_full_scores():
         terms = found[q][0]
         weights = np.linspace(0.5, 3, len(terms))
         ids, scores = shard.best(terms, weights, 10)
-        runs, n = search._spread(shard.term_runs[np.searchsorted(shard.terms, terms)], shard.term_runs[np.searchsorted(shard.terms, terms) + 1])
-        every = np.round(shard._score(runs, np.repeat(weights, n)), search.PLACES)
+        at = np.searchsorted(shard.terms, terms)
+        lists, n = search._spread(shard.starts[at], shard.starts[at + 1])
+        every = np.round(np.bincount(shard.docs[lists], shard.impacts[lists] * np.repeat(weights, n), 2000), search.PLACES)
         want = sorted(range(2000), key=lambda i: (-every[i], shard.ids[i]))[:10]
         assert ids.tolist() == shard.ids[want].tolist() and scores.tolist() == every[want].tolist()
+        above, _ = shard.best(terms, weights, 10, floor=float(scores[4]))
+        assert above.tolist() == ids[: len(above)].tolist() and len(above) >= 5
 
 

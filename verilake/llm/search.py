@@ -1,10 +1,15 @@
 """Exact BM25 top-k: inverted index per shard, block-max WAND pruning, exact merge.
 
 A shard is an inverted index of SHARD documents at most, one row with packed arrays. Its
-documents are ordered so that alike ones are neighbours, and cut into blocks of BLOCK; for
-each term and block the largest impact is known. For a query the sums of these maxima
-bound what a block's documents can reach. The most promising blocks are scored first;
-then only blocks whose bound reaches the k-th best score so far are scored at all.
+documents are ordered so that alike ones are neighbours, and cut into blocks of BLOCK. The
+short lists of a query's rare terms are read in full; for its frequent terms, whose
+lists make up most of the index, the largest impact in each block is known, and the sum
+of these maxima bounds what a block's documents can gain from them. The most promising
+blocks are scored first; then only documents whose bound reaches the k-th best score
+known so far, here or in the shards searched before, are scored at all.
+
+The shards are searched in two rounds: about the square root of their number first, whose
+k-th best score is the floor for all others, so few rows leave the second round.
 
 Document frequencies, the number of documents and their mean length are those of the whole
 collection, so the scores of all shards compare, and the best k of all are exact. The
@@ -13,6 +18,7 @@ queries meet the shards in blocks of QUERIES, one grid cell at a time.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,10 +31,11 @@ from pyspark.sql import functions as F
 from verilake.llm.common import bounded_batches, cut, table
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD, BLOCK, QUERIES, TERMS = 8192, 64, 512, 50_000
-#: Blocks that are scored before the first pruning.
-FIRST = 4
-PLACES = 6
+SHARD, BLOCK, QUERIES, TERMS = 8192, 16, 512, 50_000
+#: Blocks that are scored before the first pruning; a frequent term's share of a shard, and how many there are at most.
+FIRST, FREQUENT, MOST = 8, 1 / 32, 256
+#: Decimals of a score, and terms whose hashes a worker keeps while it runs a task.
+PLACES, CACHE = 6, 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -37,7 +44,7 @@ class _Hashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        if len(self) >= 400_000:
+        if len(self) >= CACHE:
             self.clear()
         self[word] = value
         return value
@@ -91,6 +98,7 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ids, found = [], []
     if ids:
         yield pd.DataFrame([_pack(ids, found)])
+    _hash_of.clear()
 
 
 def build_shards(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -111,51 +119,47 @@ class Shard:
         counts = np.frombuffer(row["counts"], np.uint16).astype(np.float64)
         weight = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         self.impacts = counts * (K1 + 1) / (counts + weight[self.docs])
-        n = len(self.docs)
         self.blocks = -(-len(self.ids) // BLOCK)
-        block = self.docs // BLOCK
-        new = np.ones(n, bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.starts[:-1]] = True
-        self.runs = np.append(np.flatnonzero(new), n)  # postings of one term in one block
-        self.run_block = block[self.runs[:-1]].astype(np.int64)
-        self.run_max = np.maximum.reduceat(self.impacts, self.runs[:-1]) if n else np.empty(0)
-        self.term_runs = np.searchsorted(self.runs[:-1], self.starts)
-
-    def _score(self, runs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        at, n = _spread(self.runs[runs], self.runs[runs + 1])
-        return np.bincount(self.docs[at], self.impacts[at] * np.repeat(weights, n), len(self.ids))
-
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best documents, ties by the smaller id."""
+        sizes = np.diff(self.starts)
+        frequent = np.flatnonzero(sizes >= max(len(self.ids) * FREQUENT, BLOCK))
+        frequent = frequent[np.argsort(-sizes[frequent], kind="stable")[:MOST]]
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        self.matrix = np.zeros((self.blocks * BLOCK, len(frequent)))
+        at, n = _spread(self.starts[frequent], self.starts[frequent + 1])
+        self.matrix[self.docs[at], np.repeat(np.arange(len(frequent)), n)] = self.impacts[at]
+        self.block_max = self.matrix.reshape(self.blocks, BLOCK, len(frequent)).max(1)
+
+    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best documents that reach the floor, ties by the smaller id."""
         at = np.searchsorted(self.terms, terms)
         here = at < len(self.terms)
         here[here] = self.terms[at[here]] == terms[here]
         at, weights = at[here], weights[here]
-        if not len(at):
-            return np.empty(0, np.int64), np.empty(0)
-        runs, n = _spread(self.term_runs[at], self.term_runs[at + 1])
-        own = np.repeat(weights, n)
-        block = self.run_block[runs]
-        bound = np.bincount(block, self.run_max[runs] * own, self.blocks)
-        first = np.argpartition(-bound, FIRST - 1)[:FIRST] if self.blocks > FIRST else np.arange(self.blocks)
-        chosen = np.zeros(self.blocks, bool)
-        chosen[first] = True
-        pick = chosen[block]
-        scores = np.round(self._score(runs[pick], own[pick]), PLACES)
+        column = self.column[at]
+        frequent = column >= 0
+        own = np.zeros(self.matrix.shape[1])
+        own[column[frequent]] = weights[frequent]
+        rare = at[~frequent]
+        lists, n = _spread(self.starts[rare], self.starts[rare + 1])
+        exact = np.bincount(self.docs[lists], self.impacts[lists] * np.repeat(weights[~frequent], n), self.blocks * BLOCK)
+        bound = exact.reshape(self.blocks, BLOCK) + (self.block_max @ own)[:, None]
+        top = bound.max(1)
+        least = floor
         if self.blocks > FIRST:
-            seen = scores[scores > 0]
-            least = np.partition(seen, len(seen) - k)[len(seen) - k] if len(seen) >= k else 0.0
-            rest = (bound + 1e-5 >= least) & (bound > 0) & ~chosen
-            if rest.any():
-                pick = rest[block]
-                scores = scores + np.round(self._score(runs[pick], own[pick]), PLACES)
-        found = np.flatnonzero(scores > 0)
-        if len(found) > k:
-            cut_at = np.partition(scores[found], len(found) - k)[len(found) - k]
-            found = found[scores[found] >= cut_at]
-        order = np.lexsort((self.ids[found], -scores[found]))[:k]
-        return self.ids[found[order]], scores[found[order]]
+            first = np.argpartition(-top, FIRST - 1)[:FIRST]
+            docs = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            seen = np.round(exact[docs] + self.matrix[docs] @ own, PLACES)
+            if len(seen) >= k:
+                least = max(least, float(np.partition(seen, len(seen) - k)[len(seen) - k]))
+        blocks = np.flatnonzero((top + 1e-5 >= least) & (top > 0))
+        docs = blocks[:, None] * BLOCK + np.arange(BLOCK)
+        docs = docs[bound[blocks] + 1e-5 >= least]
+        docs = docs[docs < len(self.ids)]
+        scores = np.round(exact[docs] + self.matrix[docs] @ own, PLACES)
+        found = np.flatnonzero((scores > 0) & (scores >= least))
+        order = found[np.lexsort((self.ids[docs[found]], -scores[found]))[:k]]
+        return self.ids[docs[order]], scores[order]
 
 
 def _spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,7 +188,7 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _bundle(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["query_id", "term"])
-    return pd.DataFrame([{"queries": rows["query_id"].to_numpy(np.int64).tobytes(), "wanted": rows["term"].to_numpy(np.int64).tobytes(), "weights": rows["weight"].to_numpy(np.float64).tobytes()}])
+    return pd.DataFrame([{"queries": rows["query_id"].to_numpy(np.int64).tobytes(), "wanted": rows["term"].to_numpy(np.int64).tobytes(), "weights": rows["weight"].to_numpy(np.float64).tobytes(), "floors": rows["floor"].to_numpy(np.float64).tobytes()}])
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col="text") -> DataFrame:
@@ -205,11 +209,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
     asked = cut(own.mapInPandas(_query_terms, "query_id long, term long"))
     distinct = asked.select("term").distinct()
     sizes = asked.agg(F.count_distinct("query_id").alias("q"), F.approx_count_distinct("term").alias("t")).first()
-    term_blocks = distinct.groupBy(F.pmod("term", F.lit(max(1, -(-sizes.t // TERMS)))).alias("_b")).agg(F.collect_list("term").alias("wanted")).drop("_b")
+    term_parts, bundle_parts = max(1, -(-sizes.t // TERMS)), max(1, -(-sizes.q // QUERIES))
+    term_blocks = distinct.groupBy(F.pmod("term", F.lit(term_parts)).alias("_b")).agg(F.collect_list("term").alias("wanted")).drop("_b").coalesce(term_parts)
     df = shards.select("terms", "starts").crossJoin(term_blocks).mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df, "term").select("query_id", "term", weight.alias("weight"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-sizes.q // QUERIES)))).alias("_b"))
-    bundles = cut(weighted.groupBy("_b").applyInPandas(_bundle, "queries binary, wanted binary, weights binary"))
+    weighted = cut(asked.join(df, "term").select("query_id", "term", weight.alias("weight"), F.pmod(F.xxhash64("query_id"), F.lit(bundle_parts)).alias("_b")))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[bytes, Shard] | None = None
@@ -217,19 +221,30 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
             for row in batch.to_dict("records"):
                 if held is None or held[0] != row["ids"]:
                     held = (row["ids"], Shard(row, mean))
-                ids, terms, weights = np.frombuffer(row["queries"], np.int64), np.frombuffer(row["wanted"], np.int64), np.frombuffer(row["weights"], np.float64)
+                ids, terms, weights, floors = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("wanted", np.int64), ("weights", np.float64), ("floors", np.float64)))
                 first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
                 out: list[tuple[np.ndarray, ...]] = []
                 for a, b in zip(first, np.append(first[1:], len(ids))):
-                    hits, scores = held[1].best(terms[a:b], weights[a:b], k)
+                    hits, scores = held[1].best(terms[a:b], weights[a:b], k, floors[a])
                     out.append((np.full(len(hits), ids[a]), hits, scores))
                 yield pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "doc_id", "score"))})
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
-    found = cut(shards.crossJoin(bundles).mapInPandas(search, "query_id long, doc_id long, score double"))
-    bounded_batches(spark)
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return found.withColumn("rank", nth).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", F.round("score", PLACES).alias("score"))
+    def round_of(part: DataFrame, floors: DataFrame | None) -> DataFrame:
+        """The best documents of some shards, above the floors of the queries; a row holds a whole shard, so few at a time."""
+        rows = weighted.withColumn("floor", F.lit(0.0)) if floors is None else weighted.join(floors, "query_id", "left").fillna(0.0, ["floor"])
+        bundles = rows.groupBy("_b").applyInPandas(_bundle, "queries binary, wanted binary, weights binary, floors binary").coalesce(bundle_parts)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        found = cut(part.crossJoin(cut(bundles)).mapInPandas(search, "query_id long, doc_id long, score double"))
+        bounded_batches(spark)
+        return found
+
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    n_shards = shards.count()
+    early = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.isqrt(n_shards)))) == 0
+    found = round_of(shards.filter(early), None)
+    kth = found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    found = found.unionByName(round_of(shards.filter(~early), kth))
+    return found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
