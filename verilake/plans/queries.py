@@ -597,7 +597,7 @@ def auto_calibrate(v):
 
 
 @query("""WITH s AS (SELECT eye_dark_ratio AS value, min_face_side >= 100 AS clean FROM quality_signals WHERE eye_dark_ratio IS NOT NULL), c AS (SELECT value, count_if(clean) AS c, count_if(NOT clean) AS o FROM s GROUP BY 1),
-r AS (SELECT value, (sum(c) OVER (ORDER BY value) - c) / sum(c) OVER () AS frr, 1 - (sum(o) OVER (ORDER BY value) - o) / sum(o) OVER () AS far FROM c)
+r AS (SELECT value, CASE WHEN sum(c) OVER () > 0 THEN (sum(c) OVER (ORDER BY value) - c) / sum(c) OVER () ELSE 0 END AS frr, CASE WHEN sum(o) OVER () > 0 THEN 1 - (sum(o) OVER (ORDER BY value) - o) / sum(o) OVER () ELSE 0 END AS far FROM c)
 SELECT value AS threshold, far, frr, (SELECT min(value) FROM s WHERE clean) - (SELECT max(value) FROM s WHERE NOT clean) AS gap FROM r ORDER BY far, frr, value LIMIT 1""")
 def best_separating_threshold(v):
     return calibration.best_separating_threshold(v("quality_signals").select(F.col("eye_dark_ratio").alias("value"), (F.col("min_face_side") >= 100).alias("clean")))
