@@ -42,7 +42,7 @@ def test_simhash(make):
     want = {rows[i][0]: min(x for x in groups[find(i)] if x is not None) for i in range(len(rows)) if rows[i][0] is not None}
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert want[301] == want[302] == 300 and want[304] == 303
-    kept = simhash.keep_one(make(rows))
+    kept = simhash.keep_one(make(rows), similarity=None)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values())) and kept.columns == make(rows).columns
     assert simhash.near_duplicates(make(rows).limit(0)).count() == 0
 
@@ -57,6 +57,25 @@ def test_chain_of_fingerprints(spark):
     assert {r.root for r in roots} == {0} and len(roots) == 30
 
 
+def test_similar_texts(make):
+    rng = random.Random(6)
+    base = [prose(rng, 200) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for k in range(60):
+        words = base[k % 3].split()
+        for _ in range(k % 4 + 1):
+            words[rng.randrange(len(words))] = prose(rng, 1)
+        rows.append((100 + k, " ".join(words)))
+    rows += [(300, None), (301, ""), (302, "two words"), (303, "Two words"), (None, base[1])]
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows if i is not None and t and len(t.split()) > 4}
+    links = {(r.src, r.dst) for r in simhash.similar_links(make(rows)).collect()}
+    for a, b in links - {(303, 302)}:
+        assert len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8
+    close = [i for i in sets if i >= 100 and len(sets[i] & sets[(i - 100) % 3]) / len(sets[i] | sets[(i - 100) % 3]) >= 0.8]
+    left = {r.doc_id for r in simhash.keep_one(make(rows)).collect()}
+    assert len([i for i in close if i in left]) <= 0.1 * len(close) and set(range(6)) <= left and 303 not in left
+
+
 def repeats():
     rng = random.Random(8)
     passage, other = prose(rng, 70), prose(rng, 55)

@@ -18,13 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, table
+from verilake.llm.common import bounded_batches, cut, releasing, table
+from verilake.llm.suffixes import rolling
 
 SHINGLE, SEED, BITS = 3, 42, 64
+#: For similar texts: words of a shingle, least similarity, shingle hashes of a sketch, and short fingerprints.
+WIDE, SIMILARITY, SKETCH, TABLES = 5, 0.8, 256, 4
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Hashes whose bits are counted at once.
-BLOCK = 1 << 14
+#: Hashes whose bits are counted at once, and words whose bits a worker keeps while it runs a task.
+BLOCK, CACHE = 1 << 14, 200_000
 
 
 def _signed_bits(hashes: list[int]) -> np.ndarray:
@@ -47,6 +50,7 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(shingles)).tobytes(), "big", signed=True)
 
 
+@releasing
 def _prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for text in texts:
         yield pd.Series([fingerprint(t) for t in text], dtype="int64")
@@ -60,6 +64,8 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
 
 def ball_links(prints: DataFrame) -> DataFrame:
     """src, dst: each distinct fingerprint with the smallest one around each of its variants, where that differs."""
+    # Spread first: each row becomes 65, and AQE has put the few bytes of the fingerprints into few tasks.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_print")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(BITS)])
     variants = prints.select("_print", F.explode(flips).alias("_flip")).select("_print", F.col("_print").bitwiseXOR(F.col("_flip")).alias("_variant"))
     balls = variants.groupBy("_variant").agg(F.collect_list("_print").alias("_near")).filter(F.size("_near") > 1)
@@ -107,10 +113,94 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     return prints.join(owner, "_print").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component; of rows with equal ids the one of the smallest text hash."""
+class _WordBits(dict):
+    """The TABLES x 32 hash bits of a word, as bytes; of bounded size."""
+
+    def __missing__(self, word: str) -> bytes:
+        value = xxhash.xxh3_128_digest(word.encode("utf-8", "replace"))
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = value
+        return value
+
+
+_bits_of = _WordBits()
+
+
+def word_prints(words: list[str]) -> list[int]:
+    """TABLES signed 32-bit fingerprints of a text's distinct words."""
+    own = set(words)
+    raw = np.frombuffer(b"".join(map(_bits_of.__getitem__, own)), np.uint8).reshape(-1, 4 * TABLES)
+    counts = np.zeros(32 * TABLES, np.int64)
+    for at in range(0, len(raw), BLOCK):
+        counts += np.unpackbits(raw[at : at + BLOCK], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(own)).view(">i4").tolist()
+
+
+def shingle_sketch(words: list[str]) -> np.ndarray:
+    """The SKETCH smallest hashes of the distinct WIDE-word shingles; all of them, if there are no more."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
+    own = np.unique(rolling(hashes, min(WIDE, len(words))) >> np.uint64(32)).astype(np.uint32)
+    return own[:SKETCH]
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets from their sketches; exact for sets that fit in them."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        both = both[:SKETCH]
+    return float(np.isin(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True).sum() / len(both)) if len(both) else 1.0
+
+
+@releasing
+def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for i, text in zip(batch["_id"], batch["text"]):
+            words = text.translate(_LOWER).split()
+            if words:
+                out.append((i, word_prints(words), shingle_sketch(words).tobytes()))
+        yield pd.DataFrame(out, columns=["_id", "_prints", "_sketch"])
+    _bits_of.clear()
+
+
+def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([*map(sketch_similarity, a, b)], dtype="float64")
+
+
+def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
+    """src, dst: ids of rows whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    Candidates come from ball hashing of TABLES short fingerprints of the distinct words, which
+    near copies of any length hardly change: a cell is a table and a variant, and each
+    document is compared with the smallest id of each of its 33 x TABLES cells. Rows
+    with a null id, and texts without words, have no links. Of repeated ids one counts.
+    """
+    bounded_batches(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL AND text IS NOT NULL")
+    profiles = cut(own.mapInPandas(_profiles, "_id long, _prints array<int>, _sketch binary").dropDuplicates(["_id"]))
+    flips = F.array(F.lit(0), *[F.lit(1 << b if b < 31 else -(1 << 31)) for b in range(32)])
+    tables = profiles.select("_id", F.posexplode("_prints").alias("_table", "_print")).select("_id", "_table", "_print", F.explode(flips).alias("_flip"))
+    cells = tables.select("_id", (F.shiftleft(F.col("_table").cast("long"), 32) + F.col("_print").bitwiseXOR(F.col("_flip"))).alias("_cell"))
+    first = cut(cells.groupBy("_cell").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("_cell", "_first"))
+    pairs = cells.join(first, "_cell").filter("_id <> _first").select(F.col("_id").alias("src"), F.col("_first").alias("dst")).distinct()
+    side = lambda i, name: profiles.select(F.col("_id").alias(i), F.col("_sketch").alias(name))
+    scored = pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst")
+    return scored.withColumn("_s", F.pandas_udf(_similar, "double")("_a", "_b")).filter(F.col("_s") >= similarity).select("src", "dst")
+
+
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float | None = SIMILARITY) -> DataFrame:
+    """The rows of docs whose id is the smallest of its group; of rows with equal ids the one of the smallest text hash.
+
+    Groups are the components of near_duplicates and, unless similarity is None, those that
+    similar_links makes among their smallest documents.
+    """
     kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
     rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    if similarity is not None:
+        again = components(similar_links(rows, id_col, text_col, similarity))
+        rows = rows.join(again.filter("node <> root").select("node"), F.col(id_col) == F.col("node"), "left_anti")
     nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
     return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
 
