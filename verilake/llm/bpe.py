@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, table
+from verilake.llm.common import bounded_batches, releasing, table
 
 VOCABULARY = "word_bpe_49k.json"
 #: Unicode white space, as the vocabulary's own normalizer takes it.
@@ -40,7 +40,7 @@ _PIECES = regex.compile(r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^" + SPACES
 _ASCII_PIECES = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+")
 END = "</w>"
 #: Entries of each cache of a worker, and characters of a text that are split at once.
-CACHE, SEGMENT = 300_000, 1 << 16
+CACHE, SEGMENT = 150_000, 1 << 16
 NEVER = 1 << 60
 
 
@@ -151,6 +151,10 @@ class Transducer:
         if n > start:
             yield from self.merge([*(inner[b] for b in word[start : n - 1]), self.final[word[n - 1]]])
 
+    def forget(self) -> None:
+        """Empty the cache of words, so that an idle worker holds no memory."""
+        self._words.clear()
+
     def encode(self, text: str) -> Iterator[int]:
         """Tokens of a whole text, in stretches of bounded length."""
         for kind, part in self._parts(text):
@@ -253,10 +257,12 @@ def encode_digests(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary
     Null and empty texts have no tokens; repeated rows stay; other columns are ignored.
     """
 
+    @releasing
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = coder(vocabulary)
         for text in texts:
             yield pd.DataFrame([own.digest(t or "") for t in text], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
 
     bounded_batches(docs.sparkSession)
     made = F.pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -266,26 +272,44 @@ def encode_digests(docs: DataFrame, id_col="doc_id", text_col="text", vocabulary
 def encode_texts(docs: DataFrame, text_col="text", vocabulary=VOCABULARY) -> DataFrame:
     """The rows of docs with the column ids, array<int>; a column of that name is replaced. Null texts give an empty array."""
 
+    @releasing
     def ids(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = coder(vocabulary)
         for text in texts:
             yield pd.Series([np.fromiter(own.encode(t or ""), np.int32) for t in text], dtype=object)
+        own.forget()
 
     bounded_batches(docs.sparkSession)
     return docs.withColumn("ids", F.pandas_udf(ids, "array<int>")(text_col))
 
 
+def _read(machine: TextDecoder, ids: Iterable[int]) -> str:
+    return "".join(machine.feed(ids)) + machine.close()
+
+
+def encode_and_decode(docs: DataFrame, text_col="text", vocabulary=VOCABULARY) -> DataFrame:
+    """The rows of docs with ids and decoded, as encode_texts and decode_ids give them, in one pass through Python."""
+
+    @releasing
+    def both(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = coder(vocabulary)
+        for text in texts:
+            ids = [np.fromiter(own.encode(t or ""), np.int32) for t in text]
+            yield pd.DataFrame({"ids": ids, "decoded": [_read(TextDecoder(own), x.tolist()) for x in ids]})
+        own.forget()
+
+    bounded_batches(docs.sparkSession)
+    made = docs.withColumn("_made", F.pandas_udf(both, "ids array<int>, decoded string")(text_col))
+    return made.select(*[c for c in docs.columns if c not in ("ids", "decoded")], "_made.ids", "_made.decoded")
+
+
 def decode_ids(tokens: DataFrame, ids_col="ids", vocabulary=VOCABULARY) -> DataFrame:
     """The rows of tokens with the column decoded, readable text. Null ids give an empty text."""
 
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = coder(vocabulary)
         for batch in batches:
-            out = []
-            for ids in batch:
-                machine = TextDecoder(own)
-                out.append("".join(machine.feed(() if ids is None else ids)) + machine.close())
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([_read(TextDecoder(own), () if ids is None else ids) for ids in batch], dtype=object)
 
     bounded_batches(tokens.sparkSession)
     return tokens.withColumn("decoded", F.pandas_udf(text, "string")(ids_col))

@@ -136,7 +136,7 @@ def identify(docs: DataFrame, profiles: DataFrame, id_col="doc_id", text_col="te
     profile. Else score is one minus the mean out-of-place distance. Repeated rows stay.
     The profiles, at most top rows a language, are held by the driver and sent along.
     """
-    learned = profiles.toPandas()
+    learned = profiles.toArrow().to_pandas()
     langs = sorted(learned["lang"].unique())
     grams = np.unique(learned["gram"].to_numpy(np.int64))
     ranks = np.full((len(grams) + 1, len(langs)), top + 1, np.int64)

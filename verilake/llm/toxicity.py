@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, held_out, table
+from verilake.llm.common import bounded_batches, held_out, releasing, table
 
 #: Highest order of the models.
 ORDER = 6
@@ -39,7 +39,7 @@ CHANCE = 3.0
 #: Bounds on the labelled documents for the class counts, and for the curve.
 LABELS, CURVE = 400_000, 50_000
 #: Distinct words that are counted or scored at once.
-WORDS = 200_000
+WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 _SLOTS = 1 << SLOT_BITS
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -72,43 +72,49 @@ def _slots(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield n, (state * _MIX >> shift).astype(np.int32)
 
 
-def _gather(seen: dict[str, list[int]]) -> list[pd.DataFrame]:
-    """n-gram counts of a vocabulary with its counts: in all, in toxic, in ordinary documents."""
-    vocabulary = [*seen]
-    codes, places = _layout(vocabulary)
-    weights = np.array([*seen.values()], np.float64)
-    owner = np.cumsum(codes == ord("^")) - 1
-    owner[np.flatnonzero(codes == ord("^"))[1:]] -= 1
-    owner = np.maximum(owner, 0)
-    out, below = [], None
-    for n, slot in _slots(codes):
-        if n > 1:
-            at = np.flatnonzero(places >= n - 1)
-            at = at[at > 0]
-            own = slot[at]
-            counts = [np.bincount(own, weights[owner[at], k], _SLOTS) for k in range(3)]
-            context, suffix, first = np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32), np.zeros(_SLOTS, np.int32)
-            context[own], suffix[own], first[own] = below[at - 1], below[at], places[at] == n - 1
-            used = np.flatnonzero(counts[0])
-            out.append(pd.DataFrame({"n": np.int32(n), "slot": used.astype(np.int32), "context": context[used], "suffix": suffix[used], "first": first[used], **{k: c[used].astype(np.int64) for k, c in zip(("every", "toxic", "ordinary"), counts)}}))
-        below = slot
-    return out
+_COUNTS = "n int, slot int, weight int, context int, suffix int, first int, every long, toxic long, ordinary long"
 
 
-_COUNTS = "n int, slot int, context int, suffix int, first int, every long, toxic long, ordinary long"
-_KEY = ["n", "slot"]
+class _Tables:
+    """n-gram counts of one task, in arrays of fixed size: in all, in toxic, in ordinary documents."""
 
+    def __init__(self):
+        self.counts = {n: np.zeros((3, _SLOTS)) for n in range(2, ORDER + 1)}
+        self.links = {n: np.zeros((4, _SLOTS), np.int32) for n in self.counts}
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: pd.DataFrame | None = None
-    seen: dict[str, list[int]] = {}
+    def add(self, seen: dict[str, list[int]]) -> None:
+        """The counts of a vocabulary; of n-grams that share a slot the most frequent word's gives context and suffix."""
+        codes, places = _layout([*seen])
+        weights = np.array([*seen.values()], np.float64)
+        owner = np.cumsum(codes == ord("^")) - 1
+        owner[np.flatnonzero(codes == ord("^"))[1:]] -= 1
+        owner = np.maximum(owner, 0)
+        below = None
+        for n, slot in _slots(codes):
+            if n > 1:
+                at = np.flatnonzero(places >= n - 1)
+                at = at[at > 0]
+                at = at[np.argsort(weights[owner[at], 0], kind="stable")]
+                own = slot[at]
+                for k in range(3):
+                    self.counts[n][k] += np.bincount(own, weights[owner[at], k], _SLOTS)
+                fresh = np.zeros((4, _SLOTS), np.int32)  # of several for one slot the last is the most frequent
+                fresh[:, own] = weights[owner[at], 0], below[at - 1], below[at], places[at] == n - 1
+                better = fresh[0] > self.links[n][0]
+                self.links[n][:, better] = fresh[:, better]
+            below = slot
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        for n, counts in self.counts.items():
+            used = np.flatnonzero(counts[0])
+            links, own = self.links[n][:, used], counts[:, used].astype(np.int64)
+            yield pd.DataFrame({"n": np.full(len(used), n, np.int32), "slot": used.astype(np.int32), "weight": links[0], "context": links[1], "suffix": links[2], "first": links[3], "every": own[0], "toxic": own[1], "ordinary": own[2]})
 
-    def add(held):
-        parts = _gather(seen)
-        seen.clear()
-        both = pd.concat([*parts, *([held] if held is not None else [])])
-        return both.groupby(_KEY, sort=False, as_index=False).agg({"context": "min", "suffix": "min", "first": "min", "every": "sum", "toxic": "sum", "ordinary": "sum"})
 
+@releasing
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tables = _Tables()
+    seen: dict[str, list[int]] = {}
     for batch in batches:
         for kind, own in batch["text"].groupby(batch["toxic"].fillna(-1).astype(int)):
             counts: Counter = Counter()
@@ -122,11 +128,11 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if kind >= 0:
                     entry[1 if kind == 1 else 2] += k
         if len(seen) >= WORDS:
-            held = add(held)
+            tables.add(seen)
+            seen.clear()
     if seen:
-        held = add(held)
-    if held is not None:
-        yield held.astype({"n": "int32", "slot": "int32", "context": "int32", "suffix": "int32", "first": "int32"})
+        tables.add(seen)
+    yield from tables.rows()
 
 
 @dataclass
@@ -285,17 +291,19 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     marked = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     taught = F.broadcast(_sample(marked.filter(fold.between(1, 3)), LABELS))
     counted = corpus.filter(fold.between(1, 3)).join(taught, "_id", "left").select("text", "toxic").mapInPandas(_count, _COUNTS)
-    merged = counted.groupBy("n", "slot").agg(*[F.min(c).alias(c) for c in ("context", "suffix", "first")], *[F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")])
-    model = build(merged.toPandas())
+    merged = counted.groupBy("n", "slot").agg(F.max(F.struct("weight", "context", "suffix", "first")).alias("_l"), *[F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")])
+    links = [F.col(f"_l.{c}").alias(c) for c in ("context", "suffix", "first")]
+    model = build(merged.select("n", "slot", *links, "every", "toxic", "ordinary").toArrow().to_pandas())
     shared = model.sent = docs.sparkSession.sparkContext.broadcast(model.packed())
 
+    @releasing
     def raw(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = Model.unpacked(shared.value)
         for text in texts:
             yield pd.DataFrame(own.raw([*text]), columns=["plain", "sure"])
 
     checked = corpus.filter(fold == 4).join(F.broadcast(_sample(marked.filter(fold == 4), CURVE)), "_id")
-    seen = checked.select(F.pandas_udf(raw, "plain double, sure double")("text").alias("raw"), "toxic").select("raw.*", "toxic").toPandas()
+    seen = checked.select(F.pandas_udf(raw, "plain double, sure double")("text").alias("raw"), "toxic").select("raw.*", "toxic").toArrow().to_pandas()
     model.curve = fit_curve(seen[["plain", "sure"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
@@ -304,6 +312,7 @@ def score_column(docs: DataFrame, model: Model, text_col="text") -> F.Column:
     """The score of each whole text, 0 to 1; null and empty texts have no evidence and get the curve's value at 0."""
     shared, curve = model.sent or docs.sparkSession.sparkContext.broadcast(model.packed()), model.curve
 
+    @releasing
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model.unpacked(shared.value)
         for text in texts:
