@@ -19,7 +19,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates: equal or close fingerprints, or five-word shingles alike by 0.8."""
     return simhash.keep_one(docs)
 
 
@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, the ids, and the text that they decode to."""
-    tokens = bpe.decode_ids(bpe.encode_texts(docs.select("doc_id", "source", "text")))
+    tokens = bpe.encode_and_decode(docs.select("doc_id", "source", "text"))
     return tokens.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
