@@ -76,6 +76,23 @@ def test_similar_texts(make):
     assert len([i for i in close if i in left]) <= 0.1 * len(close) and set(range(6)) <= left and 303 not in left
 
 
+def test_similar_texts_beyond_the_first(make):
+    # The smallest id is far from both others, which are close to each other; and a pair whose words are ordered anew in part.
+    rng = random.Random(7)
+    b = prose(rng, 400).split()
+    c = [*b[:-9], *prose(rng, 9).split()]
+    a = [*b[:310], *prose(rng, 90).split()]
+    lines = [prose(rng, 40) for _ in range(30)]
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c)), (4, " ".join(b[200:260])), (5, " ".join([*b[200:259], "new"]))]
+    rows += [(10 + k, " ".join(rng.sample(lines, 8))) for k in range(60)]  # of common lines only
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    want = {(i, j) for i in sets for j in sets if i > j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    assert {(3, 2), (5, 4)} <= want and (2, 1) not in want
+    got = {(r.src, r.dst) for r in simhash.similar_links(make(rows)).collect()}
+    assert got <= want and {(r.node, r.root) for r in simhash.components(make(rows).sparkSession.createDataFrame([*got], "src long, dst long")).collect()} >= {(3, 2), (5, 4)}
+    assert {r.doc_id for r in simhash.keep_one(make(rows)).collect()} & {1, 2, 3, 4, 5} == {1, 2, 4}
+
+
 def repeats():
     rng = random.Random(8)
     passage, other = prose(rng, 70), prose(rng, 55)

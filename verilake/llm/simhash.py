@@ -9,6 +9,7 @@ around it at most. Equal fingerprints are counted as one before the shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -19,15 +20,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verilake.llm.common import bounded_batches, cut, releasing, table
-from verilake.llm.suffixes import rolling
+from verilake.llm.suffixes import clear_hashes, rolling, word_hashes
 
 SHINGLE, SEED, BITS = 3, 42, 64
-#: For similar texts: words of a shingle, least similarity, shingle hashes of a sketch, and short fingerprints.
-WIDE, SIMILARITY, SKETCH, TABLES = 5, 0.8, 256, 4
+#: For similar texts: words of a shingle, least similarity, one in how many rows shows the hot shingles, and how many of these are sent to the workers.
+WIDE, SIMILARITY, SHARE, HOT = 5, 0.8, 16, 200_000
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-#: Hashes whose bits are counted at once, and words whose bits a worker keeps while it runs a task.
-BLOCK, CACHE = 1 << 14, 200_000
+#: Hashes whose bits are counted at once.
+BLOCK = 1 << 14
 
 
 def _signed_bits(hashes: list[int]) -> np.ndarray:
@@ -113,81 +114,125 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     return prints.join(owner, "_print").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-class _WordBits(dict):
-    """The TABLES x 32 hash bits of a word, as bytes; of bounded size."""
+def shingle_set(text: str) -> np.ndarray:
+    """The sorted 64-bit hashes of the distinct WIDE-word shingles; a shorter text is one shingle, and one without words has none."""
+    hashes = word_hashes(text.translate(_LOWER))
+    return np.unique(rolling(hashes, min(WIDE, len(hashes)))) if len(hashes) else hashes
 
-    def __missing__(self, word: str) -> bytes:
-        value = xxhash.xxh3_128_digest(word.encode("utf-8", "replace"))
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = value
-        return value
 
+def set_class(own: np.ndarray) -> int:
+    """A signed 64-bit name of a shingle set."""
+    return int.from_bytes(xxhash.xxh3_64_digest(own.tobytes()), "big", signed=True)
 
-_bits_of = _WordBits()
 
-
-def word_prints(words: list[str]) -> list[int]:
-    """TABLES signed 32-bit fingerprints of a text's distinct words."""
-    own = set(words)
-    raw = np.frombuffer(b"".join(map(_bits_of.__getitem__, own)), np.uint8).reshape(-1, 4 * TABLES)
-    counts = np.zeros(32 * TABLES, np.int64)
-    for at in range(0, len(raw), BLOCK):
-        counts += np.unpackbits(raw[at : at + BLOCK], axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * counts > len(own)).view(">i4").tolist()
-
-
-def shingle_sketch(words: list[str]) -> np.ndarray:
-    """The SKETCH smallest hashes of the distinct WIDE-word shingles; all of them, if there are no more."""
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace")) for w in words), np.uint64, len(words))
-    own = np.unique(rolling(hashes, min(WIDE, len(words))) >> np.uint64(32)).astype(np.uint32)
-    return own[:SKETCH]
+@releasing
+def _shingle_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sets = [shingle_set(text) for text in batch["text"]]
+        token, n = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+        yield pd.DataFrame({"token": token.view(np.int64), "n": n})
+    clear_hashes()
 
 
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets from their sketches; exact for sets that fit in them."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        both = both[:SKETCH]
-    return float(np.isin(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True).sum() / len(both)) if len(both) else 1.0
+def rare_first(own: np.ndarray, hot: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """A set in the common order of all sets: by the count of a hot shingle, 0 for others, then by the hash."""
+    if not len(hot):
+        return own
+    at = np.minimum(np.searchsorted(hot, own), len(hot) - 1)
+    return own[np.argsort(np.where(hot[at] == own, often[at], 0), kind="stable")]
 
 
 @releasing
-def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for i, text in zip(batch["_id"], batch["text"]):
-            words = text.translate(_LOWER).split()
-            if words:
-                out.append((i, word_prints(words), shingle_sketch(words).tobytes()))
-        yield pd.DataFrame(out, columns=["_id", "_prints", "_sketch"])
-    _bits_of.clear()
+        sets = [shingle_set(text) for text in batch["text"]]
+        yield pd.DataFrame({"_class": [set_class(own) for own in sets], "_set": [own.tobytes() for own in sets]})
+    clear_hashes()
+
+
+def set_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of distinct hashes."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([*map(sketch_similarity, a, b)], dtype="float64")
+    return pd.Series([*map(set_similarity, a, b)], dtype="float64")
 
 
-def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
-    """src, dst: ids of rows whose sets of five-word shingles have a similarity of 0.8 or more.
+def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY, only: DataFrame | None = None) -> DataFrame:
+    """src, dst: links of rows whose sets of five-word shingles have a similarity of 0.8 or more; src is the larger id.
 
-    Candidates come from ball hashing of TABLES short fingerprints of the distinct words, which
-    near copies of any length hardly change: a cell is a table and a variant, and each
-    document is compared with the smallest id of each of its 33 x TABLES cells. Rows
-    with a null id, and texts without words, have no links. Of repeated ids one counts.
+    The components of the links are those of all such pairs. Rows of one set are a class and
+    are linked to its smallest id. In the common order of rare_first two similar sets have
+    a shingle of their prefixes in common (of a set of n the first n - ceil(0.8 n) + 1), so
+    the classes of a prefix shingle are compared: first all with the smallest one, then
+    each pair that isn't in one component yet. The lengths, and what can follow the places of
+    the shingle, rule pairs out without loss; the rest is judged by the full sets. The hot
+    shingles come from a share of the rows, which changes the cost, not the result.
+
+    Rows with a null id, and texts without words, have no links; of repeated ids all texts
+    count. With only (a column _id) other ids are left out.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL AND text IS NOT NULL")
-    profiles = cut(own.mapInPandas(_profiles, "_id long, _prints array<int>, _sketch binary").dropDuplicates(["_id"]))
-    flips = F.array(F.lit(0), *[F.lit(1 << b if b < 31 else -(1 << 31)) for b in range(32)])
-    tables = profiles.select("_id", F.posexplode("_prints").alias("_table", "_print")).select("_id", "_table", "_print", F.explode(flips).alias("_flip"))
-    cells = tables.select("_id", (F.shiftleft(F.col("_table").cast("long"), 32) + F.col("_print").bitwiseXOR(F.col("_flip"))).alias("_cell"))
-    first = cut(cells.groupBy("_cell").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select("_cell", "_first"))
-    pairs = cells.join(first, "_cell").filter("_id <> _first").select(F.col("_id").alias("src"), F.col("_first").alias("dst")).distinct()
-    side = lambda i, name: profiles.select(F.col("_id").alias(i), F.col("_sketch").alias(name))
-    scored = pairs.join(side("src", "_a"), "src").join(side("dst", "_b"), "dst")
-    return scored.withColumn("_s", F.pandas_udf(_similar, "double")("_a", "_b")).filter(F.col("_s") >= similarity).select("src", "dst")
+    some = own.filter(F.pmod(F.xxhash64("_id"), F.lit(SHARE)) == 0).mapInPandas(_shingle_counts, "token long, n long")
+    hot = some.groupBy("token").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(HOT).toArrow().to_pandas()
+    token, often = hot["token"].to_numpy(np.int64).view(np.uint64), hot["n"].to_numpy(np.int64)
+    by = np.argsort(token)
+    sent = spark.sparkContext.broadcast((token[by], often[by]))
+
+    @releasing
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, text in zip(batch["_id"], batch["text"]):
+                tokens = shingle_set(text)
+                n = len(tokens)
+                if n:
+                    prefix = rare_first(tokens, *sent.value)[: n - math.ceil(similarity * n - 1e-9) + 1]
+                    out.append((i, set_class(tokens), n, prefix.view(np.int64)))
+            yield pd.DataFrame(out, columns=["_id", "_class", "_n", "_prefix"])
+        clear_hashes()
+
+    profiles = own.mapInPandas(prefixes, "_id long, _class long, _n int, _prefix array<long>")
+    profiles = cut(profiles if only is None else profiles.join(only.select("_id"), "_id", "left_semi"))
+    classes = profiles.groupBy("_class").agg(F.min(F.struct("_id", "_n", "_prefix")).alias("_one")).select("_class", "_one.*")
+    names = cut(classes.select("_class", F.col("_id").alias("_first")))
+    same = profiles.select("_id", "_class").join(names, "_class").filter("_id <> _first").select(F.col("_id").alias("src"), F.col("_first").alias("dst")).distinct()
+
+    entries = classes.select("_class", "_n", F.posexplode("_prefix").alias("_at", "_token"))
+    shared = cut(entries.groupBy("_token").agg(F.count("*").alias("_k"), F.min("_class").alias("_head")).filter("_k > 1").drop("_k"))
+    cells = cut(entries.join(shared, "_token"))
+
+    def side(rows: DataFrame, i: int) -> DataFrame:
+        return rows.select("_token", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "_token"])
+
+    n, m, least = F.col("_n1"), F.col("_n2"), similarity / (1 + similarity)
+    fits = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("_at1"), m - F.col("_at2")) >= least * (n + m) - 1e-9)
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """The pairs of classes (a, b) that are similar by their full sets."""
+        pairs = cut(pairs.distinct())
+        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct().join(names, "_class"))
+        found = own.join(wanted.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi").mapInPandas(_sets, "_class long, _set binary")
+        sets = cut(found.join(wanted, "_class", "left_semi").dropDuplicates(["_class"]))
+        both = pairs.join(sets.select(F.col("_class").alias("a"), F.col("_set").alias("_x")), "a").join(sets.select(F.col("_class").alias("b"), F.col("_set").alias("_y")), "b")
+        return cut(both.withColumn("_s", F.pandas_udf(_similar, "double")("_x", "_y")).filter(F.col("_s") >= similarity).select("a", "b"))
+
+    heads = side(cells.filter("_class = _head"), 1).join(side(cells.filter("_class <> _head"), 2), "_token").filter(fits)
+    linked = alike(heads.select(F.col("_class1").alias("a"), F.col("_class2").alias("b")))
+    roots = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    placed = cells.join(roots, F.col("_class") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("node", "root")
+    mixed = placed.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_token")
+    rest = cut(placed.filter("_class <> _head").join(mixed, "_token", "left_semi").drop("_head"))
+    others = side(rest, 1).join(side(rest, 2), "_token").filter((F.col("_class1") < F.col("_class2")) & (F.col("_root1") != F.col("_root2")) & fits)
+    linked = linked.unionByName(alike(others.select(F.col("_class1").alias("a"), F.col("_class2").alias("b"))))
+
+    named = linked.join(names.select(F.col("_class").alias("a"), F.col("_first").alias("x")), "a").join(names.select(F.col("_class").alias("b"), F.col("_first").alias("y")), "b")
+    return same.unionByName(named.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).filter("src <> dst").distinct())
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float | None = SIMILARITY) -> DataFrame:

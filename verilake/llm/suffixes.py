@@ -51,6 +51,7 @@ class _Hashes(dict):
 
 
 _hash_of = _Hashes()
+clear_hashes = _hash_of.clear
 
 
 def word_hashes(text: str) -> np.ndarray:
