@@ -219,6 +219,15 @@ def test_sources(spark, tmp_path):
     assert kept.count() == 1 and drops.first().no_face == 1
 
 
+def test_all_artifacts_are_read(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "a_job_rows.jsonl").write_text(json.dumps({"detect_ms": 5}) + "\n")
+    (tmp_path / "deep/other.jsonl").write_text(json.dumps({"detect_ms": 6, "align_ms": 2}) + "\nbroken\n" + json.dumps({"align_ms": 3}) + "\n")
+    (tmp_path / "deep/t.CSV").write_text('x.encode_ms,detect_ms,note\n4,9,"{""search_ms"": 7}"\n,8,"two\nlines"\nbad,,\n')
+    got = sorted((r.stage, r.value_ms) for r in files.read_benchmark_artifacts(spark, str(tmp_path)).collect())
+    assert got == [("align", 2.0), ("align", 3.0), ("detect", 5.0), ("encode", 4.0), ("search", 7.0)]
+
+
 def test_streams_match_batch(spark, tmp_path):
     events = spark.createDataFrame([("k", i, at(s)) for i, s in enumerate([0, 3, 10, 12, 30, 31])], "key string, event_id long, ts timestamp")
     events.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))

@@ -6,6 +6,8 @@ the same functions work on files and on tables.
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Iterator
 
@@ -174,13 +176,42 @@ def prefer_primary(samples: DataFrame) -> DataFrame:
     return samples.join(F.broadcast(best), ["stage", "priority"], "left_semi")
 
 
+def csv_samples(text: str, out: list[tuple[str, float]]) -> None:
+    """(stage, value) of a CSV text: its columns named by stages, and the JSON in other cells. A row with too many cells, or a broken one, ends it."""
+    try:
+        for row in csv.DictReader(io.StringIO(text, newline="")):
+            for key, value in row.items():
+                if key is None:
+                    return
+                if value:
+                    number = len(out)
+                    stage_samples({key: value} if key.split(".")[-1] in _STAGE else value, out)
+                    if len(out) == number and key.split(".")[-1] in _STAGE:
+                        stage_samples(value, out)
+    except csv.Error:
+        return
+
+
+def _walk_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out: list[tuple[str, float]] = []
+        for text in batch["value"]:
+            if text:
+                csv_samples(text, out)
+        yield pd.DataFrame(out, columns=["stage", "value_ms"])
+
+
 def read_benchmark_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """stage, value_ms of a tree of json and jsonl artifacts; job-row files come before all others."""
+    """stage, value_ms of a tree of json, jsonl and csv artifacts; job-row files come before all others."""
     read = lambda glob, whole: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=whole)
-    parts = [(read("*_job_rows.jsonl", False), 1), (read("*.json", True), 0)]
+    lines = read("*.[jJ][sS][oO][nN][lL]", False)
+    primary = F.col("_metadata.file_name").endswith("_job_rows.jsonl")
+    parts = [(collect_stage_samples(lines.filter(primary)), 1), (collect_stage_samples(lines.filter(~primary)), 0)]
+    parts.append((collect_stage_samples(read("*.[jJ][sS][oO][nN]", True)), 0))
+    parts.append((read("*.[cC][sS][vV]", True).mapInPandas(_walk_csv, "stage string, value_ms double"), 0))
     found = None
     for frame, priority in parts:
-        own = collect_stage_samples(frame).withColumn("priority", F.lit(priority))
+        own = frame.withColumn("priority", F.lit(priority))
         found = own if found is None else found.unionByName(own)
     return prefer_primary(found).select("stage", "value_ms")
 
