@@ -93,6 +93,14 @@ def test_similar_texts_beyond_the_first(make):
     assert {r.doc_id for r in simhash.keep_one(make(rows)).collect()} & {1, 2, 3, 4, 5} == {1, 2, 4}
 
 
+def test_keep_one_tells_rows_of_one_id_apart(make):
+    rng = random.Random(9)
+    texts = [prose(rng, 60) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (9, texts[2]), (10, texts[5])]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(make(rows)).collect())
+    assert kept == sorted([(0, texts[0]), (0, texts[1]), (7, texts[3]), (7, texts[4]), (9, texts[2]), (10, texts[5])])
+
+
 def repeats():
     rng = random.Random(8)
     passage, other = prose(rng, 70), prose(rng, 55)

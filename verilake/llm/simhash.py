@@ -236,18 +236,29 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float | None = SIMILARITY) -> DataFrame:
-    """The rows of docs whose id is the smallest of its group; of rows with equal ids the one of the smallest text hash.
+    """One row of docs for each group: that of the smallest id, null ids last; of equal ids that of the smallest hash of id and text.
 
     Groups are the components of near_duplicates and, unless similarity is None, those that
-    similar_links makes among their smallest documents.
+    similar_links makes among their first rows. Rows are told apart by id and text, so
+    texts of one id, or without an id, go only where their own text has a kept copy.
     """
-    kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.withColumn("_row", F.xxhash64(id_col, text_col))
+    order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    found = near_duplicates(rows.select(order.alias("_order"), F.col(text_col).alias("text")), "_order", "text")
+    kept = cut(found.filter(F.col("_order").eqNullSafe(F.col("component_id"))).select("_order").distinct())
     if similarity is not None:
-        again = components(similar_links(rows, id_col, text_col, similarity))
-        rows = rows.join(again.filter("node <> root").select("node"), F.col(id_col) == F.col("node"), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col)))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+        again = components(similar_links(rows, "_row", text_col, similarity, kept.select(F.col("_order.row").alias("_id"))))
+        members = again.unionByName(again.select(F.col("root").alias("node"), "root").distinct()).distinct()
+        ordered = members.join(kept, F.col("node") == F.col("_order.row"))
+        first = ordered.groupBy("root").agg(F.min("_order").alias("_first"))
+        lost = ordered.join(first, "root").filter(F.col("node") != F.col("_first.row")).select("node")
+        kept = kept.join(lost, F.col("_order.row") == F.col("node"), "left_anti")
+    kept = cut(kept.select(F.col("_order.row").alias("_row")))
+    # Only rows that are equal in id and text are left to thin out.
+    repeated = cut(rows.groupBy("_row").agg(F.count("*").alias("_n")).filter("_n > 1").select("_row"))
+    left = rows.join(kept, "_row", "left_semi")
+    once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return left.join(repeated, "_row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def op10_simhash(spark, sf_dir):
