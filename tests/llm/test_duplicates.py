@@ -133,6 +133,16 @@ def test_suffixes(make):
     assert suffixes.cut_repeats(docs).columns == docs.columns and suffixes.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_suffixes_whose_first_partner_is_short(make):
+    # 100 words are repeated; earlier documents hold pieces of 40 of them, so the first equal of every suffix is in a short one.
+    rng = random.Random(10)
+    passage = prose(rng, 100).split()
+    rows = [(k, f"{prose(rng, 20)} {' '.join(passage[10 * k : 10 * k + 40])} {prose(rng, 20)}") for k in range(7)]
+    rows += [(20, f"{prose(rng, 30)} {' '.join(passage)} {prose(rng, 30)}"), (21, f"{prose(rng, 5)} {' '.join(passage)} {prose(rng, 5)}")]
+    got = {tuple(r) for r in suffixes.repeated_passages(make(rows)).collect()}
+    assert got == {(21, 5, 105, 100, 20)}
+
+
 def test_without_spans():
     text = "a b  c\nd e"
     assert suffixes.without_spans(text, [{"start_word": 1, "end_word": 3}]) == "a d e"

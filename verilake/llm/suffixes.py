@@ -4,14 +4,12 @@ Only suffixes that begin at content-selected positions are kept: the minimisers
 GRAM words over WINDOW neighbouring positions. A passage of MIN_WORDS words holds at least
 one such position with DEPTH words after it, and equal passages hold the same ones. The
 suffixes are ordered by a hash of their first DEPTH words, which brings equal ones
-together like the lexicographic order does, and each is compared with the first of its
-neighbours, the one of the smallest id and place. Matches of one document pair on one
-diagonal join into runs, as neighbouring positions are at most WINDOW <= DEPTH apart;
-then each run is extended word by word to the left and to the right.
+together like the lexicographic order does. Only windows of MIN_WORDS words around a suffix
+that has an equal can be repeated; these are brought together in a second round by a
+hash of all their words, so each meets the first of its equals, whatever its suffixes
+share with other documents. Windows that overlap or touch make a passage.
 
 Since a match always points to a smaller (id, place), the first copy of a passage stays.
-A passage of which every kept suffix matches an earlier, shorter passage first is only
-found as far as it agrees with that one.
 """
 
 from __future__ import annotations
@@ -29,7 +27,7 @@ from verilake.llm.common import bounded_batches, cut, releasing, table
 
 MIN_WORDS, WINDOW, GRAM = 50, 25, 8
 DEPTH = MIN_WORDS - WINDOW + 1
-#: A match ends at most so many words from its outermost kept suffix.
+#: A window starts at most so many words before a kept suffix of its own.
 REACH = WINDOW - 1
 #: Words whose hashes a worker keeps while it runs a task.
 CACHE = 200_000
@@ -118,71 +116,57 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     _hash_of.clear()
 
 
+def open_windows(places: np.ndarray, n: int) -> np.ndarray:
+    """Starts of the windows of MIN_WORDS words, of n words, in which one of the kept suffixes at places lies with its DEPTH words."""
+    change = np.zeros(n + 2, np.int32)
+    np.add.at(change, np.clip(places - REACH, 0, n), 1)
+    np.add.at(change, places + 1, -1)
+    return np.flatnonzero(np.add.accumulate(change)[: max(n - MIN_WORDS + 1, 0)] > 0)
+
+
 @releasing
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """REACH words before and after each stretch asked for, as 32-bit hashes; the nearest words first."""
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        out = []
-        for i, text, asked in zip(batch["_id"], batch["text"], batch["_asked"]):
-            own = (word_hashes(text) >> np.uint64(32)).astype(np.uint32)
-            for stretch in asked:
-                a, b = stretch["_a"], stretch["_b"]
-                out.append((i, a, b, own[max(a - REACH, 0) : a][::-1].tobytes(), own[b : b + REACH].tobytes()))
-        yield pd.DataFrame(out, columns=["_id", "_a", "_b", "_left", "_right"])
+        ids, starts, grams = [], [], []
+        for i, text, places in zip(batch["_id"], batch["text"], batch["_places"]):
+            own = word_hashes(text)
+            places = np.asarray(places, np.int64)
+            at = open_windows(places[places < len(own)], len(own))
+            if len(at):
+                ids.append(np.full(len(at), i, np.int64))
+                starts.append(at)
+                grams.append(rolling(own, MIN_WORDS)[at])
+        if ids:
+            yield pd.DataFrame({"_gram": np.concatenate(grams).view(np.int64), "_id": np.concatenate(ids), "_at": np.concatenate(starts).astype(np.int32)})
     _hash_of.clear()
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Equal 32-bit values at the start of both."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 4
-    x, y = np.frombuffer(a, np.uint32, n // 4), np.frombuffer(b, np.uint32, n // 4)
-    return int((x != y).argmax())
-
-
-def _extend(left_a: pd.Series, left_b: pd.Series, right_a: pd.Series, right_b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame({"left": [*map(common, left_a, left_b)], "right": [*map(common, right_a, right_b)]}, dtype="int32")
-
-
 def matches(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """_id, _start, _end, _from, _from_start: maximal matches of MIN_WORDS words or more with an earlier place, in words."""
+    """_id, _at, _from: each place whose MIN_WORDS words stand at an earlier place too, and the id of the first of these."""
     spark = docs.sparkSession
     bounded_batches(spark)
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL AND text IS NOT NULL")
     suffixes = own.mapInPandas(_suffixes, "_key long, _id long, _at int")
-    # Written out, so that the join below deals its rows anew and AQE can split a hot suffix.
-    first = cut(suffixes.groupBy("_key").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_at")).alias("_first")).filter("_n > 1").drop("_n"))
-    equal = suffixes.join(first, "_key").select("_id", "_at", F.col("_first._id").alias("_from"), (F.col("_at") - F.col("_first._at")).alias("_shift")).filter("_id <> _from OR _shift <> 0").distinct()
-    line = Window.partitionBy("_id", "_from", "_shift").orderBy("_at")
-    parts = equal.withColumn("_run", F.sum(F.coalesce(F.col("_at") - F.lag("_at").over(line) > DEPTH, F.lit(True)).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = cut(parts.groupBy("_id", "_from", "_shift", "_run").agg(F.min("_at").alias("_a"), (F.max("_at") + DEPTH).alias("_b")).drop("_run"))
-    # Both sides of every run are looked up in one pass over the texts; equal stretches of a document once.
-    here = F.struct(F.col("_id").alias("i"), "_a", "_b")
-    there = F.struct(F.col("_from").alias("i"), (F.col("_a") - F.col("_shift")).alias("_a"), (F.col("_b") - F.col("_shift")).alias("_b"))
-    asked = runs.select(F.explode(F.array(here, there)).alias("e")).select("e.*").distinct().groupBy(F.col("i").alias("_id")).agg(F.collect_list(F.struct("_a", "_b")).alias("_asked"))
-    # Of repeated ids with different texts the smallest context counts.
-    around = own.join(asked, "_id").mapInPandas(_contexts, "_id long, _a int, _b int, _left binary, _right binary").groupBy("_id", "_a", "_b").agg(F.min("_left").alias("_left"), F.min("_right").alias("_right"))
-    around = cut(around)
-    other = around.select(F.col("_id").alias("_from"), F.col("_a").alias("_fa"), F.col("_b").alias("_fb"), F.col("_left").alias("_lb"), F.col("_right").alias("_rb"))
-    wide = runs.withColumns({"_fa": F.col("_a") - F.col("_shift"), "_fb": F.col("_b") - F.col("_shift")}).join(other, ["_from", "_fa", "_fb"]).join(around, ["_id", "_a", "_b"])
-    more = F.pandas_udf(_extend, "left int, right int")("_left", "_lb", "_right", "_rb")
-    spans = wide.select("_id", "_a", "_b", "_from", "_fa", more.alias("m")).select("_id", (F.col("_a") - F.col("m.left")).alias("_start"), (F.col("_b") + F.col("m.right")).alias("_end"), "_from", (F.col("_fa") - F.col("m.left")).alias("_from_start"))
-    return spans.filter(F.col("_end") - F.col("_start") >= MIN_WORDS)
+    # Written out, so that the joins below deal their rows anew and AQE can split a hot key.
+    shared = cut(suffixes.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").select("_key"))
+    places = suffixes.join(shared, "_key").groupBy("_id").agg(F.collect_set("_at").alias("_places"))
+    windows = cut(own.join(places, "_id").mapInPandas(_windows, "_gram long, _id long, _at int"))
+    first = cut(windows.groupBy("_gram").agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_at")).alias("_first")).filter("_n > 1").drop("_n"))
+    return windows.join(first, "_gram").filter("_id <> _first._id OR _at <> _first._at").select("_id", "_at", F.col("_first._id").alias("_from"))
 
 
 def repeated_passages(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """id, start_word, end_word, n_words, first_doc_id of every passage that repeats an earlier one.
 
-    Passages that overlap in a document are one; first_doc_id is the smallest id that they
-    repeat (the document's own, if it repeats itself). Rows with a null id or text have
+    Passages that overlap or touch in a document are one; first_doc_id is the smallest id that
+    they repeat (the document's own, if it repeats itself). Rows with a null id or text have
     none. Exact copies repeat their whole text if it has MIN_WORDS words.
     """
-    order = Window.partitionBy("_id").orderBy("_start", "_end")
-    seen = F.max("_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = matches(docs, id_col, text_col).withColumn("_new", F.coalesce(F.col("_start") > seen, F.lit(True)).cast("int"))
+    order = Window.partitionBy("_id").orderBy("_at")
+    found = matches(docs, id_col, text_col).groupBy("_id", "_at").agg(F.min("_from").alias("_from"))
+    parts = found.withColumn("_new", F.coalesce(F.col("_at") - F.lag("_at").over(order) > MIN_WORDS, F.lit(True)).cast("int"))
     parts = parts.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = parts.groupBy("_id", "_run").agg(F.min("_start").alias("start_word"), F.max("_end").alias("end_word"), F.min("_from").alias("first_doc_id"))
+    merged = parts.groupBy("_id", "_run").agg(F.min("_at").alias("start_word"), (F.max("_at") + MIN_WORDS).alias("end_word"), F.min("_from").alias("first_doc_id"))
     return merged.select(F.col("_id").alias(id_col), "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
