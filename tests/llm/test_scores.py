@@ -40,6 +40,16 @@ def test_toxicity(spark, make):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {i for i in held if score[i] < 0.5}
 
 
+def test_toxicity_counts_every_document(spark, make, monkeypatch):
+    rows = [(i, f"same word{'abcdefghij'[i % 10]} same") for i in range(40)]
+    seen, build = [], toxicity.build
+    monkeypatch.setattr(toxicity, "build", lambda counts: (seen.append(counts), build(counts))[1])
+    toxicity.learn(make(rows), spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int"))
+    two = seen[0][seen[0]["n"] == 2]
+    assert two["every"].sum() == sum(len(w) + 1 for _, t in rows for w in set(t.split()))
+    assert two["toxic"].sum() + two["ordinary"].sum() == sum(len(w) + 1 for i, t in rows if 1 <= zlib.crc32(str(i).encode()) % 5 <= 3 for w in set(t.split()))
+
+
 def test_toxicity_without_labels(spark, make):
     docs = make([(1, "some words here"), (2, None)])
     model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))

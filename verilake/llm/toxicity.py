@@ -1,13 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of the characters of a word, one of toxic and one of ordinary documents, share
-what they back off to: continuation counts over all training documents, labelled or
+what they back off to: continuation counts over all documents, labelled or
 not, smooth what a class has rarely or never seen, and give both classes the same value. A document's evidence is the difference of its two
 log-likelihoods per word; a logistic curve, fitted on labelled documents that the models
 haven't seen, turns it into a score.
 
 Sizes. n-grams are counted in 2^SLOT_BITS slots an order, so the model that is sent to the
-workers has a fixed size (at most 16 MB). The shared counts cover every training
+workers has a fixed size (at most 16 MB). The shared counts cover every
 document and grow with the input. Labelled documents are a sample of LABELS rows at
 most, chosen by a hash of the id, so that their ids can be broadcast.
 """
@@ -280,8 +280,9 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Model:
-    """Learn from documents with crc32(id) mod 5 of 1 to 4: models from 1 to 3, the curve from 4.
+    """Learn from labels of documents with crc32(id) mod 5 of 1 to 4: class counts from 1 to 3, the curve from 4.
 
+    The shared counts, which need no label, cover all documents.
     labels has the id and toxic (0, 1 or null; a document labelled twice counts as toxic
     if any label says so). Null texts and ids teach nothing.
     """
@@ -290,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
     corpus = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).dropna()
     marked = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     taught = F.broadcast(_sample(marked.filter(fold.between(1, 3)), LABELS))
-    counted = corpus.filter(fold.between(1, 3)).join(taught, "_id", "left").select("text", "toxic").mapInPandas(_count, _COUNTS)
+    counted = corpus.join(taught, "_id", "left").select("text", "toxic").mapInPandas(_count, _COUNTS)
     merged = counted.groupBy("n", "slot").agg(F.max(F.struct("weight", "context", "suffix", "first")).alias("_l"), *[F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")])
     links = [F.col(f"_l.{c}").alias(c) for c in ("context", "suffix", "first")]
     model = build(merged.select("n", "slot", *links, "every", "toxic", "ordinary").toArrow().to_pandas())
