@@ -169,6 +169,12 @@ def test_chunks(make):
     assert chunks.repeated_runs(docs.limit(0)).count() == 0
 
 
+def test_chunks_of_short_copies(make):
+    rows = [(1, "All rights reserved."), (2, "All rights reserved."), (3, "x"), (4, "x"), (5, "another one")]
+    found = {(r.doc_id, r.start_byte, r.n_bytes, r.first_doc_id, r.kept) for r in chunks.repeated_runs(make(rows)).collect()}
+    assert found == {(1, 0, 20, 1, True), (2, 0, 20, 1, False), (3, 0, 1, 3, True), (4, 0, 1, 3, False)}
+
+
 def test_chunks_resist_insertions():
     import numpy as np
 

@@ -3,7 +3,7 @@
 A byte is a boundary where the gear hash of the 32 bytes up to it has MASK bits of zeros at
 the top, so boundaries follow the content and an insertion moves only the chunks around
 it. Chunks are deduplicated by a 128-bit digest, counted before the shuffle; runs of
-chunks that occur elsewhere, RUN bytes or more, are reported.
+chunks that occur elsewhere are reported, however short.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from verilake.llm.common import bounded_batches, table
 
-#: Bytes of the smallest and the largest chunk, zero bits of a boundary, and bytes of a run worth reporting.
-SMALLEST, LARGEST, ZEROS, RUN = 32, 512, 5, 96
+#: Bytes of the smallest and the largest chunk, and the zero bits of a boundary.
+SMALLEST, LARGEST, ZEROS = 32, 512, 5
 #: One 32-bit value for each byte, from a rule.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 0) for b in range(256)], np.uint32)
 
@@ -82,8 +82,8 @@ def chunks(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return own.mapInPandas(_cut, "_id long, _nth int, _start int, _size int, _high long, _low long")
 
 
-def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", run=RUN) -> DataFrame:
-    """id, start_byte, n_bytes, n_chunks, first_doc_id and kept of every run of repeated chunks.
+def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", run=1) -> DataFrame:
+    """id, start_byte, n_bytes, n_chunks, first_doc_id and kept of every run of repeated chunks; of run bytes or more, if that is given.
 
     A chunk is repeated if its digest occurs at least twice. Of its occurrences the one of
     the smallest id, and in it the first, is kept. Runs break where kept changes, so a run
