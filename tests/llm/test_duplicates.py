@@ -93,6 +93,17 @@ def test_similar_texts_beyond_the_first(make):
     assert {r.doc_id for r in simhash.keep_one(make(rows)).collect()} & {1, 2, 3, 4, 5} == {1, 2, 4}
 
 
+def test_similar_short_texts(make):
+    # A few new words at the end change many bits of a short text's prints, but few of its shingles.
+    rng = random.Random(11)
+    rows = []
+    for k in range(150):
+        words = prose(rng, 34).split()
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-3], *prose(rng, 3).split()]))]
+    links = {(r.src, r.dst) for r in simhash.similar_links(make(rows)).collect()}
+    assert links == {(2 * k + 1, 2 * k) for k in range(150)}
+
+
 def test_keep_one_tells_rows_of_one_id_apart(make):
     rng = random.Random(9)
     texts = [prose(rng, 60) for _ in range(6)]
