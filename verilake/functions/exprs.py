@@ -26,7 +26,7 @@ def l2_normalize(vector, zero="skip", dim: int | None = None) -> Column:
     """vector / its norm. A zero norm or wrong length gives null (skip), the vector itself (keep), or an error (raise)."""
     size = norm(vector)
     bad = (size == 0) | (F.size(vector) != dim if dim else F.lit(False))
-    unit = F.transform(as_doubles(vector), lambda x: x / size)
+    unit = F.transform(as_doubles(vector), lambda x: F.try_divide(x, size))
     otherwise = {"skip": F.lit(None), "keep": as_doubles(vector), "raise": F.raise_error(F.lit("vector of zero norm or wrong length"))}[zero]
     return F.when(bad, otherwise.cast("array<double>")).otherwise(unit)
 
@@ -40,7 +40,7 @@ def iou(a, b, clamp=True) -> Column:
     inner = F.greatest(F.lit(0.0), F.least(a.x2, b.x2) - F.greatest(a.x1, b.x1)) * F.greatest(F.lit(0.0), F.least(a.y2, b.y2) - F.greatest(a.y1, b.y1))
     own = (lambda c: area(c.x1, c.y1, c.x2, c.y2)) if clamp else (lambda c: (c.x2 - c.x1) * (c.y2 - c.y1))
     union = own(a) + own(b) - inner
-    return F.when(union > 0, inner / union).otherwise(0.0)
+    return F.when(union > 0, F.try_divide(inner, union)).otherwise(0.0)
 
 
 def softmax_real(logits) -> Column:

@@ -36,8 +36,8 @@ def best_separating_threshold(signals: DataFrame) -> DataFrame:
     counts = rows.groupBy("value").agg(F.count_if("clean").alias("c"), F.count_if(~F.col("clean")).alias("o")).withColumn("_z", F.lit(0))
     totals = rows.agg(F.count_if("clean").alias("nc"), F.count_if(~F.col("clean")).alias("no"), F.min(F.when(F.col("clean"), F.col("value"))).alias("lo"), F.max(F.when(~F.col("clean"), F.col("value"))).alias("hi"))
     run = ordered_prefix(counts, "value", "_z", {"cum_c": "c", "cum_o": "o"}).crossJoin(F.broadcast(totals))
-    frr = F.when(F.col("nc") > 0, (F.col("cum_c") - F.col("c")) / F.col("nc")).otherwise(0.0)
-    far = F.when(F.col("no") > 0, 1 - (F.col("cum_o") - F.col("o")) / F.col("no")).otherwise(0.0)
+    frr = F.when(F.col("nc") > 0, F.try_divide(F.col("cum_c") - F.col("c"), "nc")).otherwise(0.0)
+    far = F.when(F.col("no") > 0, 1 - F.try_divide(F.col("cum_o") - F.col("o"), "no")).otherwise(0.0)
     best = run.agg(F.min(F.struct(far.alias("far"), frr.alias("frr"), "value")).alias("b"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
     return best.select(F.col("b.value").alias("threshold"), F.col("b.far").alias("far"), F.col("b.frr").alias("frr"), (F.col("lo") - F.col("hi")).alias("gap"))
 

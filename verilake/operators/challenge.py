@@ -21,7 +21,7 @@ def eye_aspect(points, centre, radius) -> Column:
     near = F.filter(points, lambda p: F.sqrt((p[0] - centre[0]) * (p[0] - centre[0]) + (p[1] - centre[1]) * (p[1] - centre[1])) <= radius)
     xs, ys = F.transform(near, lambda p: p[0]), F.transform(near, lambda p: p[1])
     w, h = F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys)
-    return F.when((F.size(near) >= 4) & (w >= 2.0), h / w)
+    return F.when((F.size(near) >= 4) & (w >= 2.0), F.try_divide(h, w))
 
 
 def frame_geometry(frames: DataFrame) -> DataFrame:
@@ -29,13 +29,13 @@ def frame_geometry(frames: DataFrame) -> DataFrame:
     p = F.col("lm5")
     left, right = p[2][0] - p[0][0], p[1][0] - p[2][0]
     wide = left + right
-    lean = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (left - right) / wide * 1.2))
+    lean = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(left - right, wide) * 1.2))
     eye, mouth = (p[0][1] + p[1][1]) / 2, (p[3][1] + p[4][1]) / 2
     out = frames.withColumns(
         {
             "yaw": F.when(wide < 1e-6, 0.0).otherwise(F.degrees(F.asin(lean))),
-            "pitch_signal": F.when(mouth - eye < 1e-6, 0.0).otherwise((p[2][1] - eye) / (mouth - eye)),
-            "mouth_width_ratio": F.when(F.col("x2") - F.col("x1") < 1, 0.0).otherwise(F.abs(p[3][0] - p[4][0]) / (F.col("x2") - F.col("x1"))),
+            "pitch_signal": F.when(mouth - eye < 1e-6, 0.0).otherwise(F.try_divide(p[2][1] - eye, mouth - eye)),
+            "mouth_width_ratio": F.when(F.col("x2") - F.col("x1") < 1, 0.0).otherwise(F.try_divide(F.abs(p[3][0] - p[4][0]), F.col("x2") - F.col("x1"))),
         }
     )
     if "lm106" not in frames.columns:
@@ -61,7 +61,7 @@ def track_consistency(frames: DataFrame) -> DataFrame:
     b, a = F.col("before"), F.col("box")
     step = F.when(b.isNotNull(), iou(_fields(b), _fields(a), clamp=False))
     own = rows.groupBy("challenge_id").agg(F.count("*").alias("n_frames"), F.avg(area).alias("m"), F.stddev_pop(area).alias("s"), F.min(step).alias("o"))
-    fine = (F.col("n_frames") >= MIN_FRAMES) & (F.col("m") > 1e-6) & (F.col("s") / F.col("m") <= AREA_CV) & (F.coalesce("o", F.lit(1.0)) >= IOU_MIN)
+    fine = (F.col("n_frames") >= MIN_FRAMES) & (F.col("m") > 1e-6) & (F.try_divide("s", "m") <= AREA_CV) & (F.coalesce("o", F.lit(1.0)) >= IOU_MIN)
     return own.select("challenge_id", "n_frames", F.coalesce(fine, F.lit(False)).alias("consistent"))
 
 
@@ -74,7 +74,7 @@ class _fields:
 
 def action_columns(ear, yaw, pitch, mouth) -> dict[str, Column]:
     """blink, turn, turn_side, nod, smile from the arrays of a session's valid values, against the mean of the first three."""
-    mean3 = lambda a: F.aggregate(F.slice(a, 1, REST), F.lit(0.0), lambda s, x: s + x) / F.least(F.lit(REST), F.size(a))
+    mean3 = lambda a: F.try_divide(F.aggregate(F.slice(a, 1, REST), F.lit(0.0), lambda s, x: s + x), F.least(F.lit(REST), F.size(a)))
     valid = lambda a: F.size(a) >= MIN_VALID
     blink = valid(ear) & (mean3(ear) > 1e-6) & (F.array_min(ear) <= mean3(ear) * (1 - EAR_DIP)) & (F.try_element_at(ear, F.lit(-1)) >= mean3(ear) * (1 - EAR_DIP * 0.5))
     up, down = F.array_max(yaw) - mean3(yaw), mean3(yaw) - F.array_min(yaw)
@@ -100,7 +100,7 @@ def verdict_columns(n, consistent, actions, performed: dict[str, Column], passiv
     done = F.array_compact(F.array(*[F.when(performed[c], F.lit(a)) for a, c in did.items()]))
     asked = F.array_distinct(actions)
     missing = F.array_except(asked, done)
-    share = F.when(F.size(asked) > 0, (F.size(asked) - F.size(missing)) / F.size(asked)).otherwise(0.0)
+    share = F.coalesce(F.try_divide(F.size(asked) - F.size(missing), F.size(asked)), F.lit(0.0))
     score = 0.5 * share + 0.3 * F.coalesce(passive, F.lit(0.0)) + F.when(consistent, 0.2).otherwise(0.0)
     reason = (
         F.when(n < MIN_FRAMES, "too_few_frames")
@@ -129,10 +129,10 @@ def session_verdict(frames, actions, threshold=THRESHOLD) -> dict[str, Column]:
     n = F.size(own)
     values = lambda c: F.transform(F.filter(own, lambda f: f[c].isNotNull()), lambda f: f[c].cast("double"))
     areas = F.transform(own, lambda f: ((f["x2"] - f["x1"]) * (f["y2"] - f["y1"])).cast("double"))
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
     m = mean(areas)
     spread = F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(areas, lambda x: x * x)) - m * m))
     steps = F.transform(F.slice(own, 2, MAX_FRAMES), lambda f, i: iou(_fields(own[i]), _fields(f), clamp=False))
-    consistent = F.coalesce((n >= MIN_FRAMES) & (m > 1e-6) & (spread / m <= AREA_CV) & (F.coalesce(F.array_min(steps), F.lit(1.0)) >= IOU_MIN), F.lit(False))
+    consistent = F.coalesce((n >= MIN_FRAMES) & (m > 1e-6) & (F.try_divide(spread, m) <= AREA_CV) & (F.coalesce(F.array_min(steps), F.lit(1.0)) >= IOU_MIN), F.lit(False))
     performed = action_columns(*map(values, ("ear", "yaw", "pitch_signal", "mouth_width_ratio")))
     return verdict_columns(n, consistent, actions, performed, mean(values("passive_score")), threshold) | {"n_frames": n}

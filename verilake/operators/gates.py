@@ -49,8 +49,8 @@ def pose_check(df: DataFrame) -> DataFrame:
     """pose_bad from five landmarks (array of [x, y]) and the box; false for fewer points or a degenerate box."""
     p = F.col("landmarks")
     w, h = _col("x2") - _col("x1"), _col("y2") - _col("y1")
-    eye = F.abs(p[0][1] - p[1][1]) / h
-    nose = F.abs(p[2][0] - (p[0][0] + p[1][0]) / 2) / w
+    eye = F.try_divide(F.abs(p[0][1] - p[1][1]), h)
+    nose = F.try_divide(F.abs(p[2][0] - (p[0][0] + p[1][0]) / 2), w)
     usable = (F.size(p) >= 5) & (w > 0) & (h > 0)
     return df.withColumn("pose_bad", F.coalesce(F.when(usable, (eye > 0.12) | (nose > 0.18)), F.lit(False)))
 

@@ -45,7 +45,7 @@ def recommend_threshold_pad(frames: DataFrame, n=200, id_col="pair_id") -> DataF
     lo, hi = bounds.lo or 0.0, bounds.hi or 0.0
     sweep = sweep_confusion(frames, n, lo, hi, ["attack_type"])
     attack, live = F.col("attack_type") != "live", F.col("attack_type") == "live"
-    by = sweep.groupBy("idx", "threshold").agg(F.max(F.when(attack & (F.col("fp") + F.col("tn") > 0), F.col("fp") / (F.col("fp") + F.col("tn")))).alias("apcer_max"), F.sum(F.when(live, F.col("fn"))).alias("fn"), F.sum(F.when(live, F.col("tp"))).alias("tp"))
+    by = sweep.groupBy("idx", "threshold").agg(F.max(F.when(attack & (F.col("fp") + F.col("tn") > 0), F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")))).alias("apcer_max"), F.sum(F.when(live, F.col("fn"))).alias("fn"), F.sum(F.when(live, F.col("tp"))).alias("tp"))
     acer = (F.coalesce("apcer_max", F.lit(0.0)) + ratio(F.coalesce("fn", F.lit(0)), F.coalesce(F.col("fn") + F.col("tp"), F.lit(0)))) / 2
     best = by.select(acer.alias("acer"), "idx", "threshold").agg(F.min(F.struct("acer", "idx", "threshold")).alias("b")).select(F.col("b.threshold").alias("threshold"), F.col("b.acer").alias("acer"))
     points = roc_points(frames.withColumn("pair_id", F.col(id_col)))

@@ -14,7 +14,7 @@ from verilake.operators.prefix import ordered_prefix
 
 
 def ratio(a, b, empty=0.0) -> Column:
-    return F.when(b > 0, a / b).otherwise(F.lit(empty))
+    return F.when(b > 0, F.try_divide(a, b)).otherwise(F.lit(empty))
 
 
 def rates(df: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def sweep_confusion(scored: DataFrame, n=200, lo=None, hi=None, slices=()) -> Da
     bounds = scored.groupBy(*keys).agg((F.min("score") if lo is None else F.lit(float(lo))).alias("lo"), (F.max("score") if hi is None else F.lit(float(hi))).alias("hi"))
     joined = scored.join(F.broadcast(bounds), keys) if keys else scored.crossJoin(F.broadcast(bounds))
     step = (F.col("hi") - F.col("lo")) / (n - 1)
-    guess = F.when(step > 0, F.floor((F.col("score") - F.col("lo")) / step)).otherwise(n - 1)
+    guess = F.when(step > 0, F.floor(F.try_divide(F.col("score") - F.col("lo"), step))).otherwise(n - 1)
     guess = F.greatest(F.lit(-1), F.least(F.lit(n - 1), guess.cast("int")))
     at = joined.withColumn("_g", guess)
     s, lo_c, hi_c = F.col("score"), F.col("lo"), F.col("hi")
@@ -86,7 +86,7 @@ def roc_curve(points: DataFrame, slices=()) -> DataFrame:
     With one class only the curve is (0, 0, inf), (1, 1, -inf).
     """
     keys = list(slices)
-    own = points.filter("pos > 0 AND neg > 0").select(*keys, "idx", F.col("score").alias("threshold"), (F.col("fp") / F.col("neg")).alias("far"), (F.col("tp") / F.col("pos")).alias("tar"))
+    own = points.filter("pos > 0 AND neg > 0").select(*keys, "idx", F.col("score").alias("threshold"), F.try_divide("fp", "neg").alias("far"), F.try_divide("tp", "pos").alias("tar"))
     ends = points.groupBy(*keys).agg(F.count("*").alias("n"), F.max("score").alias("hi"), F.min("score").alias("lo"), F.min((F.col("pos") > 0) & (F.col("neg") > 0)).alias("both"))
     first = ends.select(*keys, F.lit(0).cast("long").alias("idx"), F.when(F.col("both"), F.col("hi") + 1).otherwise(float("inf")).alias("threshold"), F.lit(0.0).alias("far"), F.lit(0.0).alias("tar"))
     last = ends.select(*keys, (F.col("n") + 1).alias("idx"), F.when(F.col("both"), F.col("lo") - 1).otherwise(float("-inf")).alias("threshold"), F.lit(1.0).alias("far"), F.lit(1.0).alias("tar"))
@@ -102,7 +102,7 @@ def collapse_ties(points: DataFrame, slices=()) -> DataFrame:
 
 def auc(points: DataFrame, slices=()) -> DataFrame:
     """Area under the curve of all samples; 0.5 if a class is missing."""
-    area = F.sum(F.when(F.col("label") != 1, F.col("tp")).otherwise(0)) / (F.max("pos") * F.max("neg"))
+    area = F.try_divide(F.sum(F.when(F.col("label") != 1, F.col("tp")).otherwise(0)), F.max("pos") * F.max("neg"))
     return points.groupBy(*slices).agg(F.when((F.max("pos") > 0) & (F.max("neg") > 0), area).otherwise(0.5).alias("auc"))
 
 
@@ -173,7 +173,7 @@ def subset_metrics(scored: DataFrame, slices=("slice",), targets=(0.001, 0.01))
 def fold_accuracy(scored: DataFrame) -> DataFrame:
     """Per fold the best accuracy over the thresholds at its own scores; mean and population deviation over the folds."""
     points = collapse_ties(roc_points(scored, ["fold"]), ["fold"])
-    best = points.groupBy("fold").agg(F.max((F.col("tp") + F.col("neg") - F.col("fp")) / (F.col("pos") + F.col("neg"))).alias("best"))
+    best = points.groupBy("fold").agg(F.max(F.try_divide(F.col("tp") + F.col("neg") - F.col("fp"), F.col("pos") + F.col("neg"))).alias("best"))
     return best.agg(F.count("*").alias("n_folds"), F.avg("best").alias("mean_accuracy"), F.coalesce(F.stddev_pop("best"), F.lit(0.0)).alias("std_accuracy"))
 
 

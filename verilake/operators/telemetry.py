@@ -71,7 +71,7 @@ def stage_latency_table(samples: DataFrame, exact=True) -> DataFrame:
     poll = c.crossJoin(v).select(F.lit("poll_overhead").alias("stage"), F.least("c.n", "v.n").alias("n"), *[floor(x) for x in ("p50", "p95", "p99", "mean")]).join(side("poll_overhead").select("stage"), "stage", "left_anti")
     full = own.unionByName(poll)
     base = full.agg(F.coalesce(F.max(F.when(F.col("stage") == "client_terminal_e2e", F.col("p95"))), F.max(F.when(F.col("stage") == "job_total_server", F.col("p95")))).alias("_base"))
-    return full.crossJoin(F.broadcast(base)).withColumn("share", F.when(F.col("_base") > 0, F.col("p95") / F.col("_base"))).drop("_base")
+    return full.crossJoin(F.broadcast(base)).withColumn("share", F.when(F.col("_base") > 0, F.try_divide("p95", "_base"))).drop("_base")
 
 
 def nearest_rank_stats(samples: DataFrame, key="stage", value="value_ms") -> DataFrame:
@@ -111,7 +111,7 @@ def histogram_delta_quantile(before: DataFrame, after: DataFrame, q: float, keys
     full = rows.join(total.select(*keys, "_t"), keys) if keys else rows.crossJoin(total.select("_t"))
     target = F.col("_t") * q
     span = F.col("_d") - F.col("_pd")
-    value = F.when(F.col("le") == float("inf"), F.col("_pu")).when(span <= 0, F.col("le")).otherwise(F.col("_pu") + (target - F.col("_pd")) / span * (F.col("le") - F.col("_pu")))
+    value = F.when(F.col("le") == float("inf"), F.col("_pu")).when(span <= 0, F.col("le")).otherwise(F.col("_pu") + F.try_divide(target - F.col("_pd"), span) * (F.col("le") - F.col("_pu")))
     hit = (F.col("_t") > 0) & (F.col("_d") >= target)
     return full.groupBy(*keys).agg(F.min(F.when(hit, F.struct("le", value.alias("v")))).alias("b")).select(*keys, F.col("b.v").alias("value"))
 
@@ -140,7 +140,7 @@ def audit_by_ip(log: DataFrame) -> DataFrame:
 
 
 def slo_summary(requests: DataFrame, p95_target=1000.0, error_budget=0.005) -> DataFrame:
-    """n, availability, error_rate, p95, whether each is met, and the share of the error budget that is used; requests: ok, latency_ms."""
+    """n, availability, error_rate, p95, whether each is met, and the share of the error budget that is used; requests: ok, latency_ms. Without requests n is 0 and the rest null."""
     own = requests.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.percentile("latency_ms", F.lit(0.95)).alias("p95"))
-    rate = F.col("errors") / F.col("n")
+    rate = F.try_divide("errors", "n")
     return own.select("n", (1 - rate).alias("availability"), rate.alias("error_rate"), "p95", (F.col("p95") < p95_target).alias("p95_met"), (rate < error_budget).alias("errors_met"), (rate / error_budget).alias("budget_used"))

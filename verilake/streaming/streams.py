@@ -68,7 +68,7 @@ def bucket_quantile(counts: list, total, q: float, bounds=BOUNDS):
     for i, (c, top) in enumerate(zip(counts, bounds)):
         steps.append((c, counts[i - 1] if i else F.lit(0), float(bounds[i - 1]) if i else 0.0, float(top)))
     for c, before, low, top in reversed(steps):
-        inside = F.when(c - before <= 0, F.lit(top)).otherwise(low + (total * q - before) / (c - before) * (top - low))
+        inside = F.when(c - before <= 0, F.lit(top)).otherwise(low + F.try_divide(total * q - before, c - before) * (top - low))
         value = F.when(c >= total * q, inside).otherwise(value)
     return F.when(total > 0, value)
 
