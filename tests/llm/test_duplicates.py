@@ -134,7 +134,7 @@ def test_suffixes(make):
             if (i, p) != min(found):
                 need[i].update(range(p, p + 50))
     got = defaultdict(set)
-    for r in suffixes.repeated_passages(make([*rows, (None, passage)])).collect():
+    for r in suffixes.repeated_passages(make(rows)).collect():
         got[r.doc_id].update(range(r.start_word, r.end_word))
     assert got == need
     docs = make(rows)
@@ -144,6 +144,52 @@ def test_suffixes(make):
     assert suffixes.cut_repeats(docs).columns == docs.columns and suffixes.repeated_passages(docs.limit(0)).count() == 0
 
 
+def brute_passages(rows):
+    """Words of each (id, text) that belong to a window of 50 words with an earlier copy."""
+    places, need = defaultdict(list), defaultdict(set)
+    rows = sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is None, r[0]))
+    for order, (i, t) in enumerate(rows):
+        words = t.split()
+        for p in range(len(words) - 49):
+            places[tuple(words[p : p + 50])].append((order, p))
+    for found in places.values():
+        for order, p in found:
+            if (order, p) != min(found):
+                need[rows[order][0]].update(range(p, p + 50))
+    return need
+
+
+def test_suffixes_dealt_over_many_partitions(make, spark):
+    # One passage that most rows share, with and without the same words around it, and repeated words, in partitions of a few suffixes each.
+    rng = random.Random(12)
+    passage, wide = prose(rng, 60), prose(rng, 130)
+    rows = [(i, f"{prose(rng, 9 + i % 5)} {passage} {prose(rng, 20)}") for i in range(60)]
+    rows += [(100 + i, wide) for i in range(60)] + [(200, "la " * 400), (201, "la " * 90), (202, " ".join(wide.split()[:70])), (None, wide), (None, passage)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, firsts = defaultdict(set), {}
+        for r in suffixes.repeated_passages(make(rows)).collect():
+            got[r.doc_id].update(range(r.start_word, r.end_word))
+            firsts[r.doc_id] = r.first_doc_id
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == brute_passages(rows)
+    assert all(firsts[i] == 0 for i in range(1, 60)) and all(firsts[i] == 100 for i in range(101, 160)) and firsts[202] == 100
+
+
+def test_suffixes_of_repeated_ids(make):
+    rng = random.Random(13)
+    a, b = prose(rng, 100), prose(rng, 100)
+    rows = [(1, a), (1, b), (1, b), (2, f"{a} {prose(rng, 4)}"), (3, b), (None, a), (None, prose(rng, 80)), (4, None), (5, "")]
+    got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in suffixes.repeated_passages(make(rows)).collect()}
+    assert got == {(2, 0, 100, 1), (3, 0, 100, 1), (None, 0, 100, 1)}
+    cut = sorted((r.doc_id or 0, len((r.text or "").split())) for r in suffixes.cut_repeats(make(rows)).collect())
+    assert cut == sorted([(1, 100), (1, 100), (1, 100), (2, 4), (3, 0), (0, 0), (0, 80), (4, 0), (5, 0)])
+
+
 def test_suffixes_whose_first_partner_is_short(make):
     # 100 words are repeated; earlier documents hold pieces of 40 of them, so the first equal of every suffix is in a short one.
     rng = random.Random(10)

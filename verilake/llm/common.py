@@ -7,14 +7,14 @@ import ctypes
 import functools
 import gc
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; whole texts can be long, so batches stay small.
-BATCH_ROWS = 512
-BATCH_BYTES = 32 << 20
+#: Bytes of one Arrow batch of whole texts.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what a Python worker holds at once, in rows and in bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """Lower Spark's default bound on the bytes of an Arrow batch, as whole texts are several times larger in Python; a bound that the caller has set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "-1", str((1 << 63) - 1)):
+        spark.conf.set(name, BATCH_BYTES)
 
 
 def releasing(batches):
@@ -41,15 +42,38 @@ def releasing(batches):
     return run
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir or the context.
 
-    Only where spark.checkpoint.dir is unset, as in tests, a temporary folder is taken.
+    Where none is set, local mode, as in tests, gets a temporary one; on a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verilake-"))
-    return df.checkpoint()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        held = context._jsc.sc().getCheckpointDir()
+        if held.isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="verilake-"))
+            held = context._jsc.sc().getCheckpointDir()
+        base = held.get()
+    return base
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder, which cuts its lineage. Parquet is several times smaller than a checkpoint of rows."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/verilake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._verilake_path = path
+    return written
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut has written, once what was made of them is written itself."""
+    for df in tables:
+        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._verilake_path)
+        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def held_out(doc_id) -> F.Column:
