@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, releasing, table
+from verilake.llm.common import bounded_batches, cut, drop, releasing, table
 from verilake.llm.suffixes import clear_hashes, rolling, word_hashes
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -65,8 +65,8 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
 
 def ball_links(prints: DataFrame) -> DataFrame:
     """src, dst: each distinct fingerprint with the smallest one around each of its variants, where that differs."""
-    # Spread first: each row becomes 65, and AQE has put the few bytes of the fingerprints into few tasks.
-    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_print")
+    # Dealt out first, in turn: each row becomes 65, and AQE has put the few bytes of the fingerprints into few tasks.
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)).cast("long") for b in range(BITS)])
     variants = prints.select("_print", F.explode(flips).alias("_flip")).select("_print", F.col("_print").bitwiseXOR(F.col("_flip")).alias("_variant"))
     balls = variants.groupBy("_variant").agg(F.collect_list("_print").alias("_near")).filter(F.size("_near") > 1)
@@ -84,17 +84,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = cut(edges.select(F.greatest("src", "dst").alias("hi"), F.least("src", "dst").alias("lo")).filter("hi <> lo").distinct())
     before = None
+    # The minima are written before they are joined, so that both sides are dealt anew and AQE can split a hub.
     while True:
         state = links.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
         if before == (state.n, state.h) or not state.n:
             break
         before = (state.n, state.h)
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
-        small_low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct())
+        small_low = cut(large.groupBy("hi").agg(F.min("lo").alias("m")))
         small = large.join(small_low, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("a"), F.col("m").alias("b")), F.struct(F.col("lo").alias("a"), F.col("m").alias("b")))).alias("e"))
+        used = (links, low, large, small_low)
         links = cut(small.select(F.col("e.a").alias("hi"), F.col("e.b").alias("lo")).filter("hi <> lo").distinct())
+        drop(*used)
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
 
 
@@ -106,11 +109,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFr
     component, which is null only if all its ids are null.
     """
     prints = cut(fingerprints(docs, id_col, text_col))
-    distinct = prints.groupBy("_print").agg(F.min("_id").alias("_first"))
+    distinct = cut(prints.groupBy("_print").agg(F.min("_id").alias("_first")))
     roots = components(ball_links(distinct.select("_print")))
-    members = distinct.join(roots, F.col("_print") == F.col("node"), "left").select("_print", "_first", F.coalesce("root", "_print").alias("_root"))
-    smallest = members.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    owner = members.join(smallest, "_root").select("_print", "component_id")
+    members = cut(distinct.join(roots, F.col("_print") == F.col("node"), "left").select("_print", "_first", F.coalesce("root", "_print").alias("_root")))
+    smallest = cut(members.groupBy("_root").agg(F.min("_first").alias("component_id")))
+    owner = cut(members.join(smallest, "_root").select("_print", "component_id"))
     return prints.join(owner, "_print").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -172,6 +175,9 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     the shingle, rule pairs out without loss; the rest is judged by the full sets. The hot
     shingles come from a share of the rows, which changes the cost, not the result.
 
+    A shingle of the prefixes is looked at further only if several classes have it; a
+    class's entries are narrow rows, written once.
+
     Rows with a null id, and texts without words, have no links; of repeated ids all texts
     count. With only (a column _id) other ids are left out.
     """
@@ -187,25 +193,30 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     @releasing
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            rows, tokens = [], []
             for i, text in zip(batch["_id"], batch["text"]):
-                tokens = shingle_set(text)
-                n = len(tokens)
+                own = shingle_set(text)
+                n = len(own)
                 if n:
-                    prefix = rare_first(tokens, *sent.value)[: n - math.ceil(similarity * n - 1e-9) + 1]
-                    out.append((i, set_class(tokens), n, prefix.view(np.int64)))
-            yield pd.DataFrame(out, columns=["_id", "_class", "_n", "_prefix"])
+                    tokens.append(rare_first(own, *sent.value)[: n - math.ceil(similarity * n - 1e-9) + 1])
+                    rows.append((i, set_class(own), n, len(tokens[-1])))
+            if rows:
+                ids, classes, n, k = (np.array(x, np.int64) for x in zip(*rows))
+                at = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                yield pd.DataFrame({"_id": np.repeat(ids, k), "_class": np.repeat(classes, k), "_n": np.repeat(n, k).astype(np.int32), "_at": at.astype(np.int32), "_token": np.concatenate(tokens).view(np.int64)})
         clear_hashes()
 
-    profiles = own.mapInPandas(prefixes, "_id long, _class long, _n int, _prefix array<long>")
-    profiles = cut(profiles if only is None else profiles.join(only.select("_id"), "_id", "left_semi"))
-    classes = profiles.groupBy("_class").agg(F.min(F.struct("_id", "_n", "_prefix")).alias("_one")).select("_class", "_one.*")
-    names = cut(classes.select("_class", F.col("_id").alias("_first")))
-    same = profiles.select("_id", "_class").join(names, "_class").filter("_id <> _first").select(F.col("_id").alias("src"), F.col("_first").alias("dst")).distinct()
-
-    entries = classes.select("_class", "_n", F.posexplode("_prefix").alias("_at", "_token"))
-    shared = cut(entries.groupBy("_token").agg(F.count("*").alias("_k"), F.min("_class").alias("_head")).filter("_k > 1").drop("_k"))
-    cells = cut(entries.join(shared, "_token"))
+    if only is not None:
+        own = own.join(only.select("_id"), "_id", "left_semi")
+    entries = cut(own.mapInPandas(prefixes, "_id long, _class long, _n int, _at int, _token long"))
+    ids = entries.filter("_at = 0").select("_id", "_class")
+    names = cut(ids.groupBy("_class").agg(F.min("_id").alias("_first")))
+    same = ids.join(names, "_class").filter("_id <> _first").select(F.col("_id").alias("src"), F.col("_first").alias("dst")).distinct()
+
+    # Most shingles of the prefixes are in one class only; what is left of them is written before the join, so that a hot one can be split.
+    shared = cut(entries.groupBy("_token").agg(F.min("_class").alias("_head"), F.max("_class").alias("_last")).filter("_head <> _last").drop("_last"))
+    cells = cut(entries.drop("_id").join(shared, "_token").distinct())
+    drop(shared)
 
     def side(rows: DataFrame, i: int) -> DataFrame:
         return rows.select("_token", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "_token"])
