@@ -1,7 +1,9 @@
 """Toxicity and language: held-out accuracy and odd inputs."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -23,45 +25,99 @@ def corpus(n=700):
     return rows, labels
 
 
+def scored(docs, model):
+    return {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+
+
 def test_toxicity(spark, make):
     rows, labels = corpus()
     odd = [(9001, None), (9002, ""), (9003, "!!! 123"), (None, "vilezug vilekrab"), (9004, "vilezug " * 30000), (0, rows[0][1])]
     docs = make(rows + odd)
     marks = spark.createDataFrame(labels + [(9001, 1, 1), (None, 0, 1), (1, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.learn(docs, marks)
-    got = docs.select("doc_id", toxicity.score_column(docs, model).alias("s")).collect()
-    assert len(got) == len(rows) + len(odd) and all(0 <= r.s <= 1 for r in got)
-    score = {r.doc_id: r.s for r in got}
+    got = toxicity.score(docs, model, keep=("size",)).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 for r in got) and all(r.size == 3 for r in got)
+    score = {r.doc_id: r.score for r in got}
     held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     bad, good = [score[i] for i in held if i % 4 == 0], [score[i] for i in held if i % 4]
     assert np.mean([b > g for b in bad for g in good]) > 0.95
     assert score[9001] == score[9002] == score[9003] and score[9004] > 0.5
     kept = toxicity.reject_toxic(docs, marks)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {i for i in held if score[i] < 0.5}
-
-
-def test_toxicity_counts_every_document(spark, make, monkeypatch):
-    rows = [(i, f"same word{'abcdefghij'[i % 10]} same") for i in range(40)]
-    seen, build = [], toxicity.build
-    monkeypatch.setattr(toxicity, "build", lambda counts: (seen.append(counts), build(counts))[1])
-    toxicity.learn(make(rows), spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int"))
-    two = seen[0][seen[0]["n"] == 2]
-    assert two["every"].sum() == sum(len(w) + 1 for _, t in rows for w in set(t.split()))
-    assert two["toxic"].sum() + two["ordinary"].sum() == sum(len(w) + 1 for i, t in rows if 1 <= zlib.crc32(str(i).encode()) % 5 <= 3 for w in set(t.split()))
+    want = sorted((r.doc_id or -1, r.score < 0.5) for r in got)
+    assert kept.columns == docs.columns and sorted((r.doc_id or -1) for r in kept.collect()) == [i for i, fine in want if fine] and kept.first().score == 0.5
+
+
+def test_toxicity_does_not_depend_on_partitions_or_on_what_is_sent(spark, make, monkeypatch):
+    rows, labels = corpus(200)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one = scored(make(rows), toxicity.learn(make(rows), marks))
+    dealt = make(rows).repartition(7)
+    monkeypatch.setattr(toxicity, "COMMON", 50)  # other words meet their evidence in a join
+    monkeypatch.setattr(toxicity, "WORDS", 20)
+    assert scored(dealt, toxicity.learn(dealt, marks)) == one
+
+
+def kneser_ney(known):
+    """Evidence of each word by plain dictionaries; known: word -> (every, toxic, ordinary)."""
+    top = toxicity.ORDER
+    grams = {n: defaultdict(lambda: [0, 0, 0]) for n in range(2, top + 1)}
+    for word, counts in known.items():
+        framed = f"^{word}^"
+        for end in range(2, len(framed) + 1):
+            for n in range(2, min(top, end) + 1):
+                for k in range(3):
+                    grams[n][framed[end - n : end]][k] += counts[k]
+    single = Counter(g[1:] for g in grams[2])
+    total = sum(c + 0.01 for c in single.values())
+
+    def count(g):
+        longer = sum(1 for x in grams[len(g) + 1] if x[1:] == g) if len(g) < top else 0
+        return longer if longer and g[0] != "^" else grams[len(g)][g][0]
+
+    def mix(g, of, discount, below):
+        others = [of(x) for x in grams[len(g)] if x[:-1] == g[:-1]]
+        if not sum(others):
+            return below
+        kept = sum(max(c - discount, 0) for c in others)
+        return max(of(g) - discount, 0) / sum(others) + max(1 - kept / sum(others), toxicity.LEAST) * below
+
+    def shared(g):
+        if len(g) == 1:
+            return (single[g] + 0.01) / total
+        return mix(g, count, toxicity.DISCOUNT, shared(g[1:]))
+
+    out = {}
+    for word in known:
+        framed, evidence = f"^{word}^", 0.0
+        for end in range(2, len(framed) + 1):
+            g = framed[max(0, end - top) : end]
+            p, q = (mix(g, lambda x, k=k: grams[len(x)][x][k], toxicity.CLASS_DISCOUNT, shared(g)) for k in (1, 2))
+            evidence += math.log(p) - math.log(q)
+        out[word] = evidence
+    return out
+
+
+def test_evidence_against_brute_force(spark, rng):
+    known = {w: (k, min(k, rng.randint(0, 9)), rng.randint(0, 30)) for w in set(prose(rng, 60, "aeinst").split()) | {"a", "supercalifragilistic"} for k in [rng.randint(1, 60)]}
+    table = spark.createDataFrame([(w, *c) for w, c in known.items()], "word string, every long, toxic long, ordinary long")
+    got = {r.hash: r.plain / toxicity.PARTS for r in toxicity.word_evidence(table, toxicity.gram_evidence(toxicity.n_grams(table))).collect()}
+    want = {toxicity._digest(w): e for w, e in kneser_ney(known).items()}
+    assert set(got) == set(want) and all(abs(got[h] - want[h]) < 1e-4 for h in want)
+
+
+def test_vocabulary_counts_every_document(spark):
+    rows = [(f"same word{'abcdefghij'[i % 10]} same", (None, 0, 1)[i % 3]) for i in range(40)]
+    got = {r.word: (r.every, r.toxic, r.ordinary) for r in toxicity.vocabulary(spark.createDataFrame(rows, "text string, toxic int")).collect()}
+    assert got["same"] == (40, 13, 13) and got["worda"] == (4, 1, 1)
 
 
 def test_toxicity_without_labels(spark, make):
     docs = make([(1, "some words here"), (2, None)])
-    model = toxicity.learn(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
-    scores = [r.s for r in docs.select(toxicity.score_column(docs, model).alias("s")).collect()]
-    assert len(set(scores)) == 1 and 0 <= scores[0] <= 1
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    scores = scored(docs, toxicity.learn(docs, none))
+    assert len(set(scores.values())) == 1 and all(0 <= x <= 1 for x in scores.values())
     empty = docs.limit(0)
-    assert empty.select(toxicity.score_column(empty, toxicity.learn(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))).alias("s")).count() == 0
-
-
-def test_evidence_is_shared_below(spark):
-    model = toxicity.Model(np.full(toxicity._SLOTS, 1e-3, np.float32))
-    assert not model.informed and (model.scores(["a b", None]) == 0.5).all()
+    assert scored(empty, toxicity.learn(empty, none)) == {}
 
 
 def test_language(spark, make, rng):
@@ -78,8 +134,6 @@ def test_language(spark, make, rng):
 
 
 def test_grams_against_brute_force(rng):
-    from collections import Counter
-
     text = prose(rng, 50, "abcé") + " 日本"
     codes = language.letters(text)
     grams, counts = language.count_grams(codes)

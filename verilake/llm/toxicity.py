@@ -1,124 +1,77 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of the characters of a word, one of toxic and one of ordinary documents, share
-what they back off to: continuation counts over all documents, labelled or
-not, smooth what a class has rarely or never seen, and give both classes the same value. A document's evidence is the difference of its two
-log-likelihoods per word; a logistic curve, fitted on labelled documents that the models
-haven't seen, turns it into a score.
-
-Sizes. n-grams are counted in 2^SLOT_BITS slots an order, so the model that is sent to the
-workers has a fixed size (at most 16 MB). The shared counts cover every
-document and grow with the input. Labelled documents are a sample of LABELS rows at
-most, chosen by a hash of the id, so that their ids can be broadcast.
+what they back off to: continuation counts over all documents, labelled or not, smooth what
+a class has rarely or never seen, and give both classes the same value. A document's
+evidence is the difference of its two log-likelihoods per word; a logistic curve, fitted
+on labelled documents that the models haven't seen, turns it into a score.
+
+All counts are tables that grow with the corpus: the vocabulary (documents by word), the
+n-grams under their own characters, their contexts and continuations, and the evidence of
+each distinct word, made by joins of these. The evidence of the COMMON most frequent words
+is sent to the workers; other words of a text meet theirs in a join. Evidence is kept in
+whole millionths of a nat, so sums don't depend on the partitioning. Labelled documents
+are a sample of LABELS rows at most, chosen by a hash of the id, so that their ids can be
+broadcast.
 """
 
 from __future__ import annotations
 
-import pickle
+import functools
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, held_out, releasing, table
+from verilake.llm.common import bounded_batches, cut, held_out, releasing, table
 
 #: Highest order of the models.
 ORDER = 6
-SLOT_BITS = 18
 #: Taken off each count: of the shared model, and of the classes, where what is rare says little.
 DISCOUNT, CLASS_DISCOUNT = 0.75, 6.0
+#: The least share of a context that goes to what lies below it.
+LEAST = 1e-6
 #: Evidence of a word, in nats, that only chance differences of the classes explain; the second measure leaves it out.
 CHANCE = 3.0
+#: Evidence is kept in so many parts of a nat.
+PARTS = 1_000_000
 #: Bounds on the labelled documents for the class counts, and for the curve.
 LABELS, CURVE = 400_000, 50_000
-#: Distinct words that are counted or scored at once.
-WORDS = 100_000
+#: Words whose evidence is sent to the workers, and distinct words that a worker holds at once.
+COMMON, WORDS = 1 << 19, 100_000
 _WORD = re.compile(r"[^\W\d_]+")
-_SLOTS = 1 << SLOT_BITS
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _layout(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of ^word^word^ ... ^ and the place of each within its word, the ^ before it being 0."""
-    codes = np.frombuffer(("^" + "^".join(vocabulary) + "^").encode("utf-32-le", "surrogatepass"), np.uint32)
-    starts = np.flatnonzero(codes == ord("^"))
-    places = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
-    places[starts[1:]] = np.diff(starts)  # the ^ at a word's end belongs to it
-    return codes, places
-
-
-def _slots(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each order, the slot of the n-gram that ends at each position."""
-    symbols = (codes.astype(np.uint64) + np.uint64(1)) * _MIX
-    state = symbols ^ (symbols >> np.uint64(29))
-    shift = np.uint64(64 - SLOT_BITS)
-    yield 1, (state * _MIX >> shift).astype(np.int32)
-    for n in range(2, ORDER + 1):
-        earlier = np.zeros_like(symbols)
-        earlier[n - 1 :] = symbols[: -(n - 1)] if len(symbols) >= n else 0
-        state = (state ^ (earlier + np.uint64(n))) * np.uint64(0xBF58476D1CE4E5B9)
-        state ^= state >> np.uint64(31)
-        yield n, (state * _MIX >> shift).astype(np.int32)
-
-
-_COUNTS = "n int, slot int, weight int, context int, suffix int, first int, every long, toxic long, ordinary long"
-
-
-class _Tables:
-    """n-gram counts of one task, in arrays of fixed size: in all, in toxic, in ordinary documents."""
-
-    def __init__(self):
-        self.counts = {n: np.zeros((3, _SLOTS)) for n in range(2, ORDER + 1)}
-        self.links = {n: np.zeros((4, _SLOTS), np.int32) for n in self.counts}
-
-    def add(self, seen: dict[str, list[int]]) -> None:
-        """The counts of a vocabulary; of n-grams that share a slot the most frequent word's gives context and suffix."""
-        codes, places = _layout([*seen])
-        weights = np.array([*seen.values()], np.float64)
-        owner = np.cumsum(codes == ord("^")) - 1
-        owner[np.flatnonzero(codes == ord("^"))[1:]] -= 1
-        owner = np.maximum(owner, 0)
-        below = None
-        for n, slot in _slots(codes):
-            if n > 1:
-                at = np.flatnonzero(places >= n - 1)
-                at = at[at > 0]
-                at = at[np.argsort(weights[owner[at], 0], kind="stable")]
-                own = slot[at]
-                for k in range(3):
-                    self.counts[n][k] += np.bincount(own, weights[owner[at], k], _SLOTS)
-                fresh = np.zeros((4, _SLOTS), np.int32)  # of several for one slot the last is the most frequent
-                fresh[:, own] = weights[owner[at], 0], below[at - 1], below[at], places[at] == n - 1
-                better = fresh[0] > self.links[n][0]
-                self.links[n][:, better] = fresh[:, better]
-            below = slot
-
-    def rows(self) -> Iterator[pd.DataFrame]:
-        for n, counts in self.counts.items():
-            used = np.flatnonzero(counts[0])
-            links, own = self.links[n][:, used], counts[:, used].astype(np.int64)
-            yield pd.DataFrame({"n": np.full(len(used), n, np.int32), "slot": used.astype(np.int32), "weight": links[0], "context": links[1], "suffix": links[2], "first": links[3], "every": own[0], "toxic": own[1], "ordinary": own[2]})
+def _digest(word: str) -> int:
+    """The same signed number as xxhash64 of the word in Spark."""
+    value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
 @releasing
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    tables = _Tables()
+    """Documents by word, once a document, so that no repetitive one sets the counts: in all, toxic, ordinary."""
     seen: dict[str, list[int]] = {}
+
+    def rows() -> pd.DataFrame:
+        counts = np.array([*seen.values()], np.int64).reshape(-1, 3)
+        return pd.DataFrame({"word": [*seen], "every": counts[:, 0], "toxic": counts[:, 1], "ordinary": counts[:, 2]})
+
     for batch in batches:
         for kind, own in batch["text"].groupby(batch["toxic"].fillna(-1).astype(int)):
             counts: Counter = Counter()
-            for text in own:  # once a document, so that no repetitive document sets the counts
+            for text in own:
                 counts.update(set(words(text)))
             for word, k in counts.items():
                 entry = seen.get(word)
@@ -128,132 +81,146 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if kind >= 0:
                     entry[1 if kind == 1 else 2] += k
         if len(seen) >= WORDS:
-            tables.add(seen)
+            yield rows()
             seen.clear()
     if seen:
-        tables.add(seen)
-    yield from tables.rows()
+        yield rows()
+
+
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """word, every, toxic, ordinary: the documents with each word; docs: text, toxic (1, 0 or null)."""
+    counted = docs.mapInPandas(_count, "word string, every long, toxic long, ordinary long")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")])
+
+
+_CLASSES = ("toxic", "ordinary")
+
+
+def n_grams(vocabulary: DataFrame) -> DataFrame:
+    """gram, n, context, suffix and the counts of every n-gram of 2 to ORDER characters of ^word^."""
+    framed = vocabulary.withColumn("framed", F.concat(F.lit("^"), "word", F.lit("^")))
+    ends = framed.select("framed", "every", *_CLASSES, F.explode(F.sequence(F.lit(2), F.length("framed"))).alias("end"))
+    grams = ends.select(F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(ORDER), F.col("end"))), lambda n: F.col("framed").substr(F.col("end") - n + 1, n))).alias("gram"), "every", *_CLASSES)
+    summed = grams.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("every", *_CLASSES)])
+    return summed.select("gram", F.length("gram").alias("n"), F.expr("left(gram, length(gram) - 1)").alias("context"), F.expr("substr(gram, 2)").alias("suffix"), "every", *_CLASSES)
+
+
+def _kept(count: F.Column, discount: float) -> F.Column:
+    return F.greatest(count - discount, F.lit(0.0))
+
+
+def _discounted(rows: DataFrame, counts: dict[str, tuple[F.Column, float]]) -> DataFrame:
+    """rows with p_name = (count - discount) / total of the context, and back_name, the share taken off, for each of counts {name: (count, discount)}."""
+    totals = rows.groupBy("context").agg(*[F.sum(c).alias(f"total_{k}") for k, (c, _) in counts.items()], *[F.sum(_kept(c, d)).alias(f"kept_{k}") for k, (c, d) in counts.items()])
+    joined = rows.join(totals, "context")
+    for k, (c, d) in counts.items():
+        left = F.coalesce(1 - F.try_divide(f"kept_{k}", f"total_{k}"), F.lit(1.0))
+        joined = joined.withColumns({f"p_{k}": F.coalesce(F.try_divide(_kept(c, d), F.col(f"total_{k}")), F.lit(0.0)), f"back_{k}": F.greatest(left, F.lit(LEAST))})
+    return joined.drop(*[f"{x}_{k}" for x in ("total", "kept") for k in counts])
+
+
+def gram_evidence(grams: DataFrame) -> DataFrame:
+    """gram, evidence: log P(last character | rest, toxic) - log P(... | rest, ordinary) of the n-grams at which a word is judged.
+
+    Those are the n-grams of ORDER characters, and the shorter ones that begin a word. A
+    shorter n-gram inside words counts by its continuations, the distinct longer ones that
+    end with it; one that begins a word has none, so its own count is taken.
+    """
+    two = grams.filter("n = 2")
+    single = two.groupBy(F.col("suffix").alias("gram")).agg((F.count("*") + 0.01).alias("c"))
+    below = single.crossJoin(single.agg(F.sum("c").alias("all"))).select("gram", (F.col("c") / F.col("all")).alias("shared"))
+    judged = None
+    for n in range(2, ORDER + 1):
+        rows = grams.filter(F.col("n") == n)
+        if n < ORDER:
+            longer = grams.filter(F.col("n") == n + 1).groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("longer"))
+            rows = rows.join(longer, "gram", "left")
+        else:
+            rows = rows.withColumn("longer", F.lit(None).cast("long"))
+        begins = F.col("gram").startswith("^")
+        count = F.when(begins | F.col("longer").isNull(), F.col("every")).otherwise(F.col("longer"))
+        rows = _discounted(rows.withColumn("count", count), {"shared": (F.col("count"), DISCOUNT)} | {k: (F.col(k), CLASS_DISCOUNT) for k in _CLASSES})
+        rows = rows.join(below.withColumnsRenamed({"gram": "suffix", "shared": "below"}), "suffix")
+        # Written level by level, as each is read for its n-grams and for those above them.
+        rows = cut(rows.withColumn("shared", F.col("p_shared") + F.col("back_shared") * F.col("below")))
+        below = rows.select("gram", "shared")
+        likely = [F.col(f"p_{k}") + F.col(f"back_{k}") * F.col("shared") for k in _CLASSES]
+        own = rows.filter(F.lit(n == ORDER) | F.col("gram").startswith("^")).select("gram", (F.log(likely[0]) - F.log(likely[1])).alias("evidence"))
+        judged = own if judged is None else judged.unionByName(own)
+    return judged
+
+
+def word_evidence(vocabulary: DataFrame, judged: DataFrame) -> DataFrame:
+    """hash (xxhash64 of the word), every, plain: the evidence of each word in parts of a nat; and sure, without what chance explains."""
+    framed = vocabulary.select("word", "every", F.concat(F.lit("^"), "word", F.lit("^")).alias("framed"))
+    ends = framed.select("word", "every", "framed", F.explode(F.sequence(F.lit(2), F.length("framed"))).alias("end"))
+    tops = ends.select("word", "every", F.col("framed").substr(F.greatest(F.lit(1), F.col("end") - ORDER + 1), F.least(F.lit(ORDER), F.col("end"))).alias("gram"))
+    placed = tops.join(judged.withColumn("evidence", F.round(F.col("evidence") * PARTS).cast("long")), "gram")
+    plain, least = F.sum("evidence"), int(CHANCE * PARTS)
+    summed = placed.groupBy("word").agg(F.first("every").alias("every"), plain.alias("plain"))
+    sure = F.signum(F.col("plain").cast("double")).cast("long") * F.greatest(F.abs("plain") - least, F.lit(0))
+    return summed.select(F.xxhash64("word").alias("hash"), "every", "plain", sure.alias("sure"))
+
+
+def on_curve(plain: F.Column, sure: F.Column, curve: tuple[float, ...]) -> F.Column:
+    at = plain * curve[0] + sure * curve[1] + curve[2]
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))
 
 
 @dataclass
 class Model:
-    """Discounted probabilities by n-gram slot and back-off weights by context slot, for each order."""
+    """The evidence of all words of the corpus: the common ones as sorted hashes at the workers, the others as a table (word, plain, sure)."""
 
-    first: np.ndarray
-    shared: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=dict)
+    common: Broadcast
+    others: DataFrame
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)
-    informed: bool = False
-    sent: Broadcast | None = None
-
-    def packed(self) -> bytes:
-        """The model in half precision, compressed; what is sent to the workers."""
-        halves = {n: [(p.astype(np.float16), b.astype(np.float16)) for p, b in (self.shared[n], *self.classes[n])] for n in self.shared}
-        return zlib.compress(pickle.dumps((self.first, halves, self.informed)), 1)
-
-    @staticmethod
-    def unpacked(data: bytes) -> Model:
-        first, halves, informed = pickle.loads(zlib.decompress(data))
-        model = Model(first, informed=informed)
-        for n, parts in halves.items():
-            # Half precision has no value between 0 and 6e-8; a back-off weight stays above it.
-            full = [(p.astype(np.float32), np.maximum(b.astype(np.float32), np.float32(1e-6))) for p, b in parts]
-            model.shared[n], model.classes[n] = full[0], full[1:]
-        return model
-
-    def evidence(self, vocabulary: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary) for each word."""
-        codes, places = _layout(vocabulary)
-        own, below, value = None, None, None
-        total = np.zeros(len(codes), np.float32)
-        for n, slot in _slots(codes):
-            if n == 1:
-                value = self.first[slot]
-            else:
-                before = np.empty_like(below)
-                before[0], before[1:] = 0, below[:-1]
-                top = places == n - 1 if n < ORDER else places >= n - 1
-                at = np.flatnonzero(top)
-                p, back = self.shared[n]
-                deep = np.flatnonzero(places >= n - 1)
-                value = value.copy()
-                value[deep] = p[slot[deep]] + back[before[deep]] * value[deep]
-                # The class counts apply at the longest context inside the word, on top of the shared value.
-                odds = [p[slot[at]] + back[before[at]] * value[at] for p, back in self.classes[n]]
-                total[at] = np.log(odds[0]) - np.log(odds[1])
-            below = slot
-        total[0] = 0
-        ends = np.flatnonzero(codes == ord("^"))
-        return np.add.reduceat(total, ends[:-1] + 1) if len(vocabulary) else total[:0]
-
-    def raw(self, texts: list[str | None]) -> np.ndarray:
-        """Two measures of each whole text, both 0 without words.
-
-        They are the difference of the log-likelihoods per word, and the same without the
-        part of each word's difference that chance explains.
+
+    def raw(self, texts: DataFrame) -> DataFrame:
+        """digest, plain, sure: both measures of each distinct text (text, digest), per word; 0 without words.
+
+        Words that the learned corpus never had count as words without evidence.
         """
-        out = np.zeros((len(texts), 2))
-        if not self.informed:
-            return out
-        split = [words(t) if t else [] for t in texts]
-        fresh: set[str] = set()
-        start = 0
-        for i, own in enumerate(split):
-            fresh.update(own)
-            if fresh and (len(fresh) >= WORDS or i == len(split) - 1):
-                vocabulary = [*fresh]
-                plain = self.evidence(vocabulary).astype(float)
-                sure = np.sign(plain) * np.maximum(np.abs(plain) - CHANCE, 0)
-                number = dict(zip(vocabulary, range(len(vocabulary))))
-                for j in range(start, i + 1):
-                    if split[j]:
-                        at = np.fromiter(map(number.__getitem__, split[j]), np.int64, len(split[j]))
-                        out[j] = plain[at].mean(), sure[at].mean()
-                fresh.clear()
-                start = i + 1
-        return out
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        return on_curve(self.raw(texts), self.curve)
-
-
-def on_curve(raw: np.ndarray, curve: tuple[float, ...]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(raw @ np.array(curve[:2]) + curve[2], -30, 30)))
-
-
-def _discounted(slot, context, counts, discount) -> tuple[np.ndarray, np.ndarray]:
-    """(count - discount) / total by slot, and by context the share that was taken off, for what lies below."""
-    total = np.bincount(context, counts, _SLOTS)
-    kept = np.bincount(context, np.maximum(counts - discount, 0), _SLOTS)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.zeros(_SLOTS, np.float32)
-        p[slot] = np.where(total[context] > 0, np.maximum(counts - discount, 0) / total[context], 0)
-        back = np.where(total > 0, 1 - kept / total, 1).astype(np.float32)
-    return p, np.maximum(back, np.float32(1e-6))
-
-
-def build(counts: pd.DataFrame) -> Model:
-    """The model from the summed counts, at most ORDER x 2^SLOT_BITS rows."""
-    by = {n: rows for n, rows in counts.groupby("n")}
-    model = Model(np.full(_SLOTS, 1e-6, np.float32))
-    if 2 not in by:
-        return model
-    single = np.bincount(by[2]["suffix"], minlength=_SLOTS)
-    model.first = ((single + 0.01) / (single + 0.01).sum()).astype(np.float32)
-    for n in range(2, ORDER + 1):
-        rows = by.get(n)
-        if rows is None:
-            empty = (np.zeros(_SLOTS, np.float32), np.ones(_SLOTS, np.float32))
-            model.classes[n], model.shared[n] = [empty, empty], empty
-            continue
-        slot, context = rows["slot"].to_numpy(), rows["context"].to_numpy()
-        model.classes[n] = [_discounted(slot, context, rows[c].to_numpy(float), CLASS_DISCOUNT) for c in ("toxic", "ordinary")]
-        # Continuations: distinct longer n-grams that end so; a word's start has none, its plain count is taken.
-        longer = np.bincount(by[n + 1]["suffix"], minlength=_SLOTS)[slot] if n + 1 in by else np.zeros(len(slot))
-        plain = rows["every"].to_numpy(float)
-        model.shared[n] = _discounted(slot, context, np.where((rows["first"] == 1) | (longer == 0), plain, longer), DISCOUNT)
-    model.informed = bool(counts["toxic"].sum() and counts["ordinary"].sum())
-    return model
+        found = texts.mapInPandas(_measure(self.common), "digest string, n long, plain long, sure long, word long, k long")
+        more = found.filter("word IS NOT NULL").join(self.others.withColumnsRenamed({"plain": "p", "sure": "s"}), "word")
+        parts = found.filter("word IS NULL").select("digest", "n", "plain", "sure").unionByName(more.select("digest", F.lit(0).cast("long").alias("n"), (F.col("k") * F.col("p")).alias("plain"), (F.col("k") * F.col("s")).alias("sure")))
+        # Equal texts are added up together, in the numerator as in the denominator.
+        summed = parts.groupBy("digest").agg(*[F.sum(c).alias(c) for c in ("n", "plain", "sure")])
+        mean = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n") * PARTS), F.lit(0.0)).alias(c)
+        return summed.select("digest", mean("plain"), mean("sure"))
+
+    def scores(self, texts: DataFrame) -> DataFrame:
+        """digest, score of each distinct text."""
+        return self.raw(texts).select("digest", on_curve(F.col("plain"), F.col("sure"), self.curve).alias("score"))
+
+
+def digest(text_col) -> F.Column:
+    """The name of a text; null and empty texts share one."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _measure(common: Broadcast):
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, plain, sure = common.value
+        digest_of = functools.lru_cache(maxsize=WORDS)(_digest)
+        for batch in batches:
+            out: list[tuple] = []
+            for name, text in zip(batch["digest"], batch["text"]):
+                own = np.fromiter(map(digest_of, words(text) if text else ()), np.int64)
+                at = np.searchsorted(hashes, own)
+                known = at < len(hashes)
+                known[known] = hashes[at[known]] == own[known]
+                at = at[known]
+                out.append((name, len(own), int(plain[at].sum()), int(sure[at].sum()), None, None))
+                if not known.all():
+                    word, k = np.unique(own[~known], return_counts=True)
+                    out += [(name, 0, 0, 0, int(w), int(c)) for w, c in zip(word, k)]
+            columns = [*zip(*out)] or [()] * 6
+            # Whole numbers that may be missing need their own type; 64-bit hashes don't fit a float.
+            kinds = {"digest": object, "n": "int64", "plain": "int64", "sure": "int64", "word": "Int64", "k": "Int64"}
+            yield pd.DataFrame({name: pd.array(column, dtype=kind) for (name, kind), column in zip(kinds.items(), columns)})
+
+    return run
 
 
 def fit_curve(raw: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
@@ -282,56 +249,60 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Model:
     """Learn from labels of documents with crc32(id) mod 5 of 1 to 4: class counts from 1 to 3, the curve from 4.
 
-    The shared counts, which need no label, cover all documents.
-    labels has the id and toxic (0, 1 or null; a document labelled twice counts as toxic
-    if any label says so). Null texts and ids teach nothing.
+    The shared counts, which need no label, cover all documents; learn from the table that is
+    to be scored, or one that holds it. labels has the id and toxic (0, 1 or null; a
+    document labelled twice counts as toxic if any label says so). Null texts teach
+    nothing; a null id has no label. Rows of one id all take its label.
     """
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     fold = F.crc32(F.col("_id").cast("string")) % 5
-    corpus = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).dropna()
+    corpus = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     marked = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     taught = F.broadcast(_sample(marked.filter(fold.between(1, 3)), LABELS))
-    counted = corpus.join(taught, "_id", "left").select("text", "toxic").mapInPandas(_count, _COUNTS)
-    merged = counted.groupBy("n", "slot").agg(F.max(F.struct("weight", "context", "suffix", "first")).alias("_l"), *[F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")])
-    links = [F.col(f"_l.{c}").alias(c) for c in ("context", "suffix", "first")]
-    model = build(merged.select("n", "slot", *links, "every", "toxic", "ordinary").toArrow().to_pandas())
-    shared = model.sent = docs.sparkSession.sparkContext.broadcast(model.packed())
-
-    @releasing
-    def raw(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = Model.unpacked(shared.value)
-        for text in texts:
-            yield pd.DataFrame(own.raw([*text]), columns=["plain", "sure"])
-
-    checked = corpus.filter(fold == 4).join(F.broadcast(_sample(marked.filter(fold == 4), CURVE)), "_id")
-    seen = checked.select(F.pandas_udf(raw, "plain double, sure double")("text").alias("raw"), "toxic").select("raw.*", "toxic").toArrow().to_pandas()
+    known = cut(vocabulary(corpus.join(taught, "_id", "left").select("text", "toxic")))
+    lexicon = cut(word_evidence(known, gram_evidence(cut(n_grams(known)))))
+    # The bounded part of the lexicon: three numbers for each of COMMON words.
+    top = lexicon.orderBy(F.desc("every"), "hash").limit(COMMON)
+    common = top.select("hash", "plain", "sure").toArrow().to_pandas().sort_values("hash")
+    sent = spark.sparkContext.broadcast(tuple(common[c].to_numpy(np.int64) for c in ("hash", "plain", "sure")))
+    last = top.agg(F.count("*").alias("n"), F.max(F.struct((-F.col("every")).alias("rank"), "hash")).alias("end")).first()
+    beyond = F.lit(last.n == COMMON)
+    if last.n:
+        beyond &= (-F.col("every") > last.end.rank) | ((-F.col("every") == last.end.rank) & (F.col("hash") > last.end.hash))
+    model = Model(sent, lexicon.filter(beyond).select(F.col("hash").alias("word"), "plain", "sure"))
+    checked = corpus.filter(fold == 4).join(F.broadcast(_sample(marked.filter(fold == 4), CURVE)), "_id").select("text", digest("text").alias("digest"), "toxic")
+    seen = model.raw(checked.select("text", "digest")).join(checked.select("digest", "toxic"), "digest").select("plain", "sure", "toxic").toArrow().to_pandas()
+    seen = seen.sort_values(["plain", "sure", "toxic"])  # the same sums whatever the order of rows
     model.curve = fit_curve(seen[["plain", "sure"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
 
-def score_column(docs: DataFrame, model: Model, text_col="text") -> F.Column:
-    """The score of each whole text, 0 to 1; null and empty texts have no evidence and get the curve's value at 0."""
-    shared, curve = model.sent or docs.sparkSession.sparkContext.broadcast(model.packed()), model.curve
-
-    @releasing
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Model.unpacked(shared.value)
-        for text in texts:
-            yield pd.Series(on_curve(own.raw([*text]), curve))
+def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", keep=(), name="score") -> DataFrame:
+    """id, the columns keep and the score of each whole text, 0 to 1.
 
+    Null, empty and letterless texts have no evidence and get the curve's value at 0. Equal
+    texts have equal scores; repeated rows stay. Texts of any length are judged whole.
+    """
     bounded_batches(docs.sparkSession)
-    return F.pandas_udf(score, "double")(text_col)
+    scores = model.scores(docs.select(F.col(text_col).alias("text"), digest(text_col).alias("digest")))
+    rows = docs.select(id_col, *keep, digest(text_col).alias("digest"))
+    return rows.join(scores.withColumnRenamed("score", name), "digest").drop("digest")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold=0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, learned from docs and labels."""
+    """The rows of docs that score below the threshold, learned from docs and labels; all columns stay as they are, whatever their names."""
     model = learn(docs, labels, id_col, text_col)
-    return docs.withColumn("_score", score_column(docs, model, text_col)).filter(F.col("_score") < threshold).select(*docs.columns)
+    bounded_batches(docs.sparkSession)
+    scores = model.scores(docs.select(F.col(text_col).alias("text"), digest(text_col).alias("digest")))
+    # Written, so that Spark knows the size of the rejected texts' names before it plans the join.
+    rejected = cut(scores.filter(F.col("score") >= threshold).select("digest"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest(text_col).alias("digest"))
+    return rows.join(rejected, "digest", "left_anti").select("row.*")
 
 
 def op1_toxicity(spark, sf_dir):
     """Every document scored; labels only from documents that aren't held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = learn(docs, table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score_column(docs, model).alias("score"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id").alias("held_out"))
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")), keep=("held_out",))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
