@@ -6,31 +6,29 @@ a class has rarely or never seen, and give both classes the same value. A docume
 evidence is the difference of its two log-likelihoods per word; a logistic curve, fitted
 on labelled documents that the models haven't seen, turns it into a score.
 
-All counts are tables that grow with the corpus: the vocabulary (documents by word), the
-n-grams under their own characters, their contexts and continuations, and the evidence of
-each distinct word, made by joins of these. The evidence of the COMMON most frequent words
-is sent to the workers; other words of a text meet theirs in a join. Evidence is kept in
-whole millionths of a nat, so sums don't depend on the partitioning. Labelled documents
-are a sample of LABELS rows at most, chosen by a hash of the id, so that their ids can be
-broadcast.
+The n-grams of all documents are counted under their own characters, in tables that grow
+with the corpus. Where neither class has an n-gram more often than the discount, both
+models give it the shared value times what its context leaves over, so the shared value
+cancels out. Only n-grams that a class has more often need it. These come from labelled
+documents, a sample of LABELS rows at most, so they and the statistics of their contexts
+are few and are sent to the workers.
 """
 
 from __future__ import annotations
 
-import functools
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, held_out, releasing, table
+from verilake.llm.common import bounded_batches, cut, drop, held_out, releasing, table
 
 #: Highest order of the models.
 ORDER = 6
@@ -40,25 +38,22 @@ DISCOUNT, CLASS_DISCOUNT = 0.75, 6.0
 LEAST = 1e-6
 #: Evidence of a word, in nats, that only chance differences of the classes explain; the second measure leaves it out.
 CHANCE = 3.0
-#: Evidence is kept in so many parts of a nat.
-PARTS = 1_000_000
+#: Evidence of a word is rounded to so many decimals, so that it doesn't depend on its neighbours in a batch.
+PLACES = 6
 #: Bounds on the labelled documents for the class counts, and for the curve.
 LABELS, CURVE = 400_000, 50_000
-#: Words whose evidence is sent to the workers, and distinct words that a worker holds at once.
-COMMON, WORDS = 1 << 19, 100_000
+#: Distinct words that are counted or scored at once.
+WORDS = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TURN = np.uint64(0xBF58476D1CE4E5B9)
+_CLASSES = ("toxic", "ordinary")
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _digest(word: str) -> int:
-    """The same signed number as xxhash64 of the word in Spark."""
-    value = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"), 42)
-    return value - (1 << 64) if value >> 63 else value
-
-
 @releasing
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Documents by word, once a document, so that no repetitive one sets the counts: in all, toxic, ordinary."""
@@ -90,137 +85,183 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, every, toxic, ordinary: the documents with each word; docs: text, toxic (1, 0 or null)."""
     counted = docs.mapInPandas(_count, "word string, every long, toxic long, ordinary long")
-    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("every", "toxic", "ordinary")])
-
-
-_CLASSES = ("toxic", "ordinary")
+    return counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("every", *_CLASSES)])
 
 
 def n_grams(vocabulary: DataFrame) -> DataFrame:
-    """gram, n, context, suffix and the counts of every n-gram of 2 to ORDER characters of ^word^."""
+    """gram, every, toxic, ordinary: the counts of every n-gram of 2 to ORDER characters of ^word^."""
     framed = vocabulary.withColumn("framed", F.concat(F.lit("^"), "word", F.lit("^")))
     ends = framed.select("framed", "every", *_CLASSES, F.explode(F.sequence(F.lit(2), F.length("framed"))).alias("end"))
     grams = ends.select(F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(ORDER), F.col("end"))), lambda n: F.col("framed").substr(F.col("end") - n + 1, n))).alias("gram"), "every", *_CLASSES)
-    summed = grams.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("every", *_CLASSES)])
-    return summed.select("gram", F.length("gram").alias("n"), F.expr("left(gram, length(gram) - 1)").alias("context"), F.expr("substr(gram, 2)").alias("suffix"), "every", *_CLASSES)
+    return grams.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("every", *_CLASSES)])
+
 
+def _context(gram) -> F.Column:
+    return F.expr(f"left({gram}, length({gram}) - 1)")
 
-def _kept(count: F.Column, discount: float) -> F.Column:
-    return F.greatest(count - discount, F.lit(0.0))
 
+def _kept(count, discount: float) -> F.Column:
+    return F.greatest(F.col(count) - discount, F.lit(0.0))
 
-def _discounted(rows: DataFrame, counts: dict[str, tuple[F.Column, float]]) -> DataFrame:
-    """rows with p_name = (count - discount) / total of the context, and back_name, the share taken off, for each of counts {name: (count, discount)}."""
-    totals = rows.groupBy("context").agg(*[F.sum(c).alias(f"total_{k}") for k, (c, _) in counts.items()], *[F.sum(_kept(c, d)).alias(f"kept_{k}") for k, (c, d) in counts.items()])
-    joined = rows.join(totals, "context")
-    for k, (c, d) in counts.items():
-        left = F.coalesce(1 - F.try_divide(f"kept_{k}", f"total_{k}"), F.lit(1.0))
-        joined = joined.withColumns({f"p_{k}": F.coalesce(F.try_divide(_kept(c, d), F.col(f"total_{k}")), F.lit(0.0)), f"back_{k}": F.greatest(left, F.lit(LEAST))})
-    return joined.drop(*[f"{x}_{k}" for x in ("total", "kept") for k in counts])
 
+def _pandas(rows: DataFrame, order: str) -> pd.DataFrame:
+    return rows.toArrow().to_pandas().sort_values(order, ignore_index=True)
 
-def gram_evidence(grams: DataFrame) -> DataFrame:
-    """gram, evidence: log P(last character | rest, toxic) - log P(... | rest, ordinary) of the n-grams at which a word is judged.
 
-    Those are the n-grams of ORDER characters, and the shorter ones that begin a word. A
-    shorter n-gram inside words counts by its continuations, the distinct longer ones that
-    end with it; one that begins a word has none, so its own count is taken.
+def build(grams: DataFrame) -> Model:
+    """The model from the n-grams of a corpus.
+
+    A word is judged at its n-grams of ORDER characters, and at the shorter ones that begin
+    it. A shorter n-gram inside words counts by its continuations, the distinct longer ones
+    that end with it; one that begins a word has none, so its own count is taken.
     """
-    two = grams.filter("n = 2")
-    single = two.groupBy(F.col("suffix").alias("gram")).agg((F.count("*") + 0.01).alias("c"))
-    below = single.crossJoin(single.agg(F.sum("c").alias("all"))).select("gram", (F.col("c") / F.col("all")).alias("shared"))
-    judged = None
-    for n in range(2, ORDER + 1):
-        rows = grams.filter(F.col("n") == n)
-        if n < ORDER:
-            longer = grams.filter(F.col("n") == n + 1).groupBy(F.col("suffix").alias("gram")).agg(F.count("*").alias("longer"))
-            rows = rows.join(longer, "gram", "left")
+    judged = grams.filter((F.length("gram") == ORDER) | F.col("gram").startswith("^"))
+    own = judged.filter("toxic > 0 OR ordinary > 0").withColumn("context", _context("gram"))
+    sums = [x for c in _CLASSES for x in (F.sum(c).alias(f"total_{c}"), F.sum(_kept(c, CLASS_DISCOUNT)).alias(f"kept_{c}"))]
+    contexts = _pandas(own.groupBy("context").agg(*sums).filter("kept_toxic > 0 OR kept_ordinary > 0"), "context")
+    often = _pandas(own.filter((F.col("toxic") > CLASS_DISCOUNT) | (F.col("ordinary") > CLASS_DISCOUNT)).select("gram", *_CLASSES), "gram")
+    # What the shared values of these n-grams need: their own endings, and all n-grams in the contexts of those.
+    endings = sorted({g[i:] for g in often["gram"] for i in range(len(g))})
+    spark = grams.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(c,) for c in sorted({g[:-1] for g in endings})], "context string"))
+    plain = judged.select("gram", "every").withColumn("context", _context("gram")).join(wanted, "context", "left_semi").select("gram", "context", F.col("every").alias("count"))
+    longer = grams.select(F.expr("substr(gram, 2)").alias("gram")).withColumn("context", _context("gram")).join(wanted, "context", "left_semi").groupBy("gram", "context").agg(F.count("*").alias("count"))
+    counts = cut(plain.unionByName(longer).withColumn("count", F.col("count") + F.when(F.length("gram") == 1, 0.01).otherwise(0.0)))
+    totals = _pandas(counts.groupBy("context").agg(F.sum("count").alias("total"), F.sum(_kept("count", DISCOUNT)).alias("kept")), "context")
+    needed = F.broadcast(spark.createDataFrame([(g,) for g in endings], "gram string"))
+    known = _pandas(counts.join(needed, "gram", "left_semi").select("gram", "count"), "gram")
+    drop(counts)
+    total = {c: (t, k) for c, t, k in zip(totals["context"], totals["total"], totals["kept"])}
+    count = dict(zip(known["gram"], known["count"]))
+    shared: dict[str, float] = {}
+    for gram in sorted(endings, key=len):
+        all_, kept = total[gram[:-1]]
+        if len(gram) == 1:
+            shared[gram] = count[gram] / all_
         else:
-            rows = rows.withColumn("longer", F.lit(None).cast("long"))
-        begins = F.col("gram").startswith("^")
-        count = F.when(begins | F.col("longer").isNull(), F.col("every")).otherwise(F.col("longer"))
-        rows = _discounted(rows.withColumn("count", count), {"shared": (F.col("count"), DISCOUNT)} | {k: (F.col(k), CLASS_DISCOUNT) for k in _CLASSES})
-        rows = rows.join(below.withColumnsRenamed({"gram": "suffix", "shared": "below"}), "suffix")
-        # Written level by level, as each is read for its n-grams and for those above them.
-        rows = cut(rows.withColumn("shared", F.col("p_shared") + F.col("back_shared") * F.col("below")))
-        below = rows.select("gram", "shared")
-        likely = [F.col(f"p_{k}") + F.col(f"back_{k}") * F.col("shared") for k in _CLASSES]
-        own = rows.filter(F.lit(n == ORDER) | F.col("gram").startswith("^")).select("gram", (F.log(likely[0]) - F.log(likely[1])).alias("evidence"))
-        judged = own if judged is None else judged.unionByName(own)
-    return judged
-
-
-def word_evidence(vocabulary: DataFrame, judged: DataFrame) -> DataFrame:
-    """hash (xxhash64 of the word), every, plain: the evidence of each word in parts of a nat; and sure, without what chance explains."""
-    framed = vocabulary.select("word", "every", F.concat(F.lit("^"), "word", F.lit("^")).alias("framed"))
-    ends = framed.select("word", "every", "framed", F.explode(F.sequence(F.lit(2), F.length("framed"))).alias("end"))
-    tops = ends.select("word", "every", F.col("framed").substr(F.greatest(F.lit(1), F.col("end") - ORDER + 1), F.least(F.lit(ORDER), F.col("end"))).alias("gram"))
-    placed = tops.join(judged.withColumn("evidence", F.round(F.col("evidence") * PARTS).cast("long")), "gram")
-    plain, least = F.sum("evidence"), int(CHANCE * PARTS)
-    summed = placed.groupBy("word").agg(F.first("every").alias("every"), plain.alias("plain"))
-    sure = F.signum(F.col("plain").cast("double")).cast("long") * F.greatest(F.abs("plain") - least, F.lit(0))
-    return summed.select(F.xxhash64("word").alias("hash"), "every", "plain", sure.alias("sure"))
-
-
-def on_curve(plain: F.Column, sure: F.Column, curve: tuple[float, ...]) -> F.Column:
-    at = plain * curve[0] + sure * curve[1] + curve[2]
-    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), at))))
+            shared[gram] = max(count[gram] - DISCOUNT, 0) / all_ + max(1 - kept / all_, LEAST) * shared[gram[1:]]
+    left = {}
+    for c in _CLASSES:
+        share = 1 - contexts[f"kept_{c}"] / contexts[f"total_{c}"].clip(lower=1)
+        left[c] = dict(zip(contexts["context"], share.clip(lower=LEAST)))
+    sizes = {c: dict(zip(contexts["context"], contexts[f"total_{c}"])) for c in _CLASSES}
+    evidence = []
+    for gram, *seen in zip(often["gram"], *(often[c] for c in _CLASSES)):
+        context = gram[:-1]
+        likely = [max(k - CLASS_DISCOUNT, 0) / max(sizes[c][context], 1) + left[c][context] * shared[gram] for k, c in zip(seen, _CLASSES)]
+        evidence.append(math.log(likely[0]) - math.log(likely[1]))
+    rest = [math.log(left["toxic"][c]) - math.log(left["ordinary"][c]) for c in contexts["context"]]
+    return Model(*_sorted([*often["gram"]], evidence), *_sorted([*contexts["context"]], rest))
+
+
+def _sorted(strings: list[str], values: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    keys = keys_of(strings)
+    order = np.argsort(keys)
+    return keys[order], np.array(values, np.float64)[order]
+
+
+def _first_state(symbols: np.ndarray) -> np.ndarray:
+    mixed = (symbols.astype(np.uint64) + np.uint64(1)) * _MIX
+    return mixed ^ (mixed >> np.uint64(29))
+
+
+def _next_state(state: np.ndarray, symbols: np.ndarray, n: int) -> np.ndarray:
+    """The state of n-grams from that of their last n - 1 characters and the character before these."""
+    state = (state ^ ((symbols.astype(np.uint64) + np.uint64(1)) * _MIX + np.uint64(n))) * _TURN
+    return state ^ (state >> np.uint64(31))
+
+
+def keys_of(strings: list[str]) -> np.ndarray:
+    """A 64-bit key of each string of 1 to ORDER characters."""
+    out = np.zeros(len(strings), np.uint64)
+    sizes = np.array([len(s) for s in strings], np.int64)
+    for n in np.unique(sizes):
+        at = np.flatnonzero(sizes == n)
+        codes = np.frombuffer("".join(strings[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+        state = _first_state(codes[:, -1])
+        for k in range(2, n + 1):
+            state = _next_state(state, codes[:, -k], k)
+        out[at] = state
+    return out
+
+
+def _layout(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of ^word^word^ ... ^ and the place of each within its word, the ^ before it being 0."""
+    codes = np.frombuffer(("^" + "^".join(vocabulary) + "^").encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.flatnonzero(codes == ord("^"))
+    places = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    places[starts[1:]] = np.diff(starts)  # the ^ at a word's end belongs to it
+    return codes, places
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, out: np.ndarray) -> None:
+    """Put the values of the known keys into out."""
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        known = keys[at] == wanted
+        out[known] = values[at[known]]
 
 
 @dataclass
 class Model:
-    """The evidence of all words of the corpus: the common ones as sorted hashes at the workers, the others as a table (word, plain, sure)."""
+    """Evidence of the n-grams that a class has often, and of contexts for all others; in order of their keys."""
 
-    common: Broadcast
-    others: DataFrame
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    values: np.ndarray = field(default_factory=lambda: np.empty(0))
+    contexts: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    rest: np.ndarray = field(default_factory=lambda: np.empty(0))
     curve: tuple[float, ...] = (0.0, 0.0, 0.0)
 
-    def raw(self, texts: DataFrame) -> DataFrame:
-        """digest, plain, sure: both measures of each distinct text (text, digest), per word; 0 without words.
-
-        Words that the learned corpus never had count as words without evidence.
+    def evidence(self, vocabulary: list[str]) -> np.ndarray:
+        """log P(word | toxic) - log P(word | ordinary) of each word."""
+        if not vocabulary:
+            return np.empty(0)
+        codes, places = _layout(vocabulary)
+        state = _first_state(codes)
+        gram, context = state.copy(), np.zeros_like(state)
+        for n in range(2, ORDER + 1):
+            deep = np.flatnonzero(places >= n - 1)
+            deep = deep[deep > 0]
+            context[deep] = state[deep - 1]  # what was the gram of n - 1 characters before
+            longer = state.copy()
+            longer[deep] = _next_state(state[deep], codes[deep - n + 1], n)
+            gram[deep] = longer[deep]
+            state = longer
+        value = np.zeros(len(codes))
+        _look_up(self.contexts, self.rest, context, value)
+        _look_up(self.keys, self.values, gram, value)
+        value[0] = 0
+        ends = np.flatnonzero(codes == ord("^"))
+        return np.round(np.add.reduceat(value, ends[:-1] + 1), PLACES)
+
+    def raw(self, texts: list[str | None]) -> np.ndarray:
+        """Two measures of each whole text, both 0 without words.
+
+        They are the difference of the log-likelihoods per word, and the same without the
+        part of each word's difference that chance explains.
         """
-        found = texts.mapInPandas(_measure(self.common), "digest string, n long, plain long, sure long, word long, k long")
-        more = found.filter("word IS NOT NULL").join(self.others.withColumnsRenamed({"plain": "p", "sure": "s"}), "word")
-        parts = found.filter("word IS NULL").select("digest", "n", "plain", "sure").unionByName(more.select("digest", F.lit(0).cast("long").alias("n"), (F.col("k") * F.col("p")).alias("plain"), (F.col("k") * F.col("s")).alias("sure")))
-        # Equal texts are added up together, in the numerator as in the denominator.
-        summed = parts.groupBy("digest").agg(*[F.sum(c).alias(c) for c in ("n", "plain", "sure")])
-        mean = lambda c: F.coalesce(F.try_divide(F.col(c), F.col("n") * PARTS), F.lit(0.0)).alias(c)
-        return summed.select("digest", mean("plain"), mean("sure"))
-
-    def scores(self, texts: DataFrame) -> DataFrame:
-        """digest, score of each distinct text."""
-        return self.raw(texts).select("digest", on_curve(F.col("plain"), F.col("sure"), self.curve).alias("score"))
-
-
-def digest(text_col) -> F.Column:
-    """The name of a text; null and empty texts share one."""
-    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
-
-
-def _measure(common: Broadcast):
-    @releasing
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, plain, sure = common.value
-        digest_of = functools.lru_cache(maxsize=WORDS)(_digest)
-        for batch in batches:
-            out: list[tuple] = []
-            for name, text in zip(batch["digest"], batch["text"]):
-                own = np.fromiter(map(digest_of, words(text) if text else ()), np.int64)
-                at = np.searchsorted(hashes, own)
-                known = at < len(hashes)
-                known[known] = hashes[at[known]] == own[known]
-                at = at[known]
-                out.append((name, len(own), int(plain[at].sum()), int(sure[at].sum()), None, None))
-                if not known.all():
-                    word, k = np.unique(own[~known], return_counts=True)
-                    out += [(name, 0, 0, 0, int(w), int(c)) for w, c in zip(word, k)]
-            columns = [*zip(*out)] or [()] * 6
-            # Whole numbers that may be missing need their own type; 64-bit hashes don't fit a float.
-            kinds = {"digest": object, "n": "int64", "plain": "int64", "sure": "int64", "word": "Int64", "k": "Int64"}
-            yield pd.DataFrame({name: pd.array(column, dtype=kind) for (name, kind), column in zip(kinds.items(), columns)})
-
-    return run
+        out = np.zeros((len(texts), 2))
+        split: list[list[str]] = []
+        fresh: set[str] = set()
+        for i, text in enumerate(texts):
+            split.append(words(text) if text else [])
+            fresh.update(split[-1])
+            if len(fresh) >= WORDS or i == len(texts) - 1:
+                vocabulary = [*fresh]
+                plain = self.evidence(vocabulary)
+                sure = np.sign(plain) * np.maximum(np.abs(plain) - CHANCE, 0)
+                number = dict(zip(vocabulary, range(len(vocabulary))))
+                for j, own in enumerate(split, i + 1 - len(split)):
+                    if own:
+                        at = np.fromiter(map(number.__getitem__, own), np.int64, len(own))
+                        out[j] = plain[at].mean(), sure[at].mean()
+                fresh.clear()
+                split.clear()
+        return out
+
+
+def on_curve(raw: np.ndarray, curve: tuple[float, ...]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(raw @ np.array(curve[:2]) + curve[2], -30, 30)))
 
 
 def fit_curve(raw: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
@@ -249,60 +290,59 @@ def _sample(rows: DataFrame, most: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> Model:
     """Learn from labels of documents with crc32(id) mod 5 of 1 to 4: class counts from 1 to 3, the curve from 4.
 
-    The shared counts, which need no label, cover all documents; learn from the table that is
-    to be scored, or one that holds it. labels has the id and toxic (0, 1 or null; a
-    document labelled twice counts as toxic if any label says so). Null texts teach
-    nothing; a null id has no label. Rows of one id all take its label.
+    The shared counts, which need no label, cover all documents. labels has the id and toxic
+    (0, 1 or null; a document labelled twice counts as toxic if any label says so). Null
+    texts teach nothing; a null id has no label. Rows of one id all take its label.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     fold = F.crc32(F.col("_id").cast("string")) % 5
     corpus = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     marked = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     taught = F.broadcast(_sample(marked.filter(fold.between(1, 3)), LABELS))
-    known = cut(vocabulary(corpus.join(taught, "_id", "left").select("text", "toxic")))
-    lexicon = cut(word_evidence(known, gram_evidence(cut(n_grams(known)))))
-    # The bounded part of the lexicon: three numbers for each of COMMON words.
-    top = lexicon.orderBy(F.desc("every"), "hash").limit(COMMON)
-    common = top.select("hash", "plain", "sure").toArrow().to_pandas().sort_values("hash")
-    sent = spark.sparkContext.broadcast(tuple(common[c].to_numpy(np.int64) for c in ("hash", "plain", "sure")))
-    last = top.agg(F.count("*").alias("n"), F.max(F.struct((-F.col("every")).alias("rank"), "hash")).alias("end")).first()
-    beyond = F.lit(last.n == COMMON)
-    if last.n:
-        beyond &= (-F.col("every") > last.end.rank) | ((-F.col("every") == last.end.rank) & (F.col("hash") > last.end.hash))
-    model = Model(sent, lexicon.filter(beyond).select(F.col("hash").alias("word"), "plain", "sure"))
-    checked = corpus.filter(fold == 4).join(F.broadcast(_sample(marked.filter(fold == 4), CURVE)), "_id").select("text", digest("text").alias("digest"), "toxic")
-    seen = model.raw(checked.select("text", "digest")).join(checked.select("digest", "toxic"), "digest").select("plain", "sure", "toxic").toArrow().to_pandas()
-    seen = seen.sort_values(["plain", "sure", "toxic"])  # the same sums whatever the order of rows
+    grams = cut(n_grams(vocabulary(corpus.join(taught, "_id", "left").select("text", "toxic"))))
+    model = build(grams)
+    drop(grams)
+    sent = send(docs, model)
+
+    @releasing
+    def raw(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in texts:
+            yield pd.DataFrame(sent.value.raw([*text]), columns=["plain", "sure"])
+
+    checked = corpus.filter(fold == 4).join(F.broadcast(_sample(marked.filter(fold == 4), CURVE)), "_id")
+    seen = checked.select(F.pandas_udf(raw, "plain double, sure double")("text").alias("raw"), "toxic").select("raw.*", "toxic").toArrow().to_pandas()
+    seen = seen.sort_values(["plain", "sure", "toxic"])  # the same sums whatever the order of the rows
     model.curve = fit_curve(seen[["plain", "sure"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
 
 
-def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", keep=(), name="score") -> DataFrame:
-    """id, the columns keep and the score of each whole text, 0 to 1.
+def send(docs: DataFrame, model: Model) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
+def score_column(docs: DataFrame, model: Model, text_col="text") -> F.Column:
+    """The score of each whole text, 0 to 1, however long; null, empty and letterless texts have no evidence and get the curve's value at 0."""
+    sent = send(docs, model)
+
+    @releasing
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series(on_curve(sent.value.raw([*text]), sent.value.curve))
 
-    Null, empty and letterless texts have no evidence and get the curve's value at 0. Equal
-    texts have equal scores; repeated rows stay. Texts of any length are judged whole.
-    """
     bounded_batches(docs.sparkSession)
-    scores = model.scores(docs.select(F.col(text_col).alias("text"), digest(text_col).alias("digest")))
-    rows = docs.select(id_col, *keep, digest(text_col).alias("digest"))
-    return rows.join(scores.withColumnRenamed("score", name), "digest").drop("digest")
+    return F.pandas_udf(score, "double")(text_col)
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", threshold=0.5) -> DataFrame:
     """The rows of docs that score below the threshold, learned from docs and labels; all columns stay as they are, whatever their names."""
     model = learn(docs, labels, id_col, text_col)
-    bounded_batches(docs.sparkSession)
-    scores = model.scores(docs.select(F.col(text_col).alias("text"), digest(text_col).alias("digest")))
-    # Written, so that Spark knows the size of the rejected texts' names before it plans the join.
-    rejected = cut(scores.filter(F.col("score") >= threshold).select("digest"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), digest(text_col).alias("digest"))
-    return rows.join(rejected, "digest", "left_anti").select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), score_column(docs, model, text_col).alias("score"))
+    return rows.filter(F.col("score") < threshold).select("row.*")
 
 
 def op1_toxicity(spark, sf_dir):
     """Every document scored; labels only from documents that aren't held out."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id").alias("held_out"))
-    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")), keep=("held_out",))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = learn(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score_column(docs, model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
