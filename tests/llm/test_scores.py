@@ -105,6 +105,14 @@ def test_evidence_against_brute_force(spark, rng):
     assert all(abs(got[w] - want[w]) < 1e-5 for w in want) and max(abs(e) for e in want.values()) > 1
 
 
+def test_continuations(spark):
+    known = ["one", "once", "bone", "no"]
+    table = spark.createDataFrame([(w, 1, 0, 0) for w in known], "word string, every long, toxic long, ordinary long")
+    grams = {n: {f"^{w}^"[i : i + n] for w in known for i in range(len(w) + 3 - n)} for n in range(2, toxicity.ORDER + 1)}
+    want = Counter(g[1:] for n in grams for g in grams[n])
+    assert {r.gram: r["count"] for r in toxicity.continuations(toxicity.n_grams(table)).collect()} == want
+
+
 def test_vocabulary_counts_every_document(spark):
     rows = [(f"same word{'abcdefghij'[i % 10]} same", (None, 0, 1)[i % 3]) for i in range(40)]
     got = {r.word: (r.every, r.toxic, r.ordinary) for r in toxicity.vocabulary(spark.createDataFrame(rows, "text string, toxic int")).collect()}

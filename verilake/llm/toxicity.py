@@ -89,13 +89,23 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 
 def n_grams(vocabulary: DataFrame) -> DataFrame:
-    """gram, every, toxic, ordinary: the counts of every n-gram of 2 to ORDER characters of ^word^."""
-    framed = vocabulary.withColumn("framed", F.concat(F.lit("^"), "word", F.lit("^")))
-    ends = framed.select("framed", "every", *_CLASSES, F.explode(F.sequence(F.lit(2), F.length("framed"))).alias("end"))
-    grams = ends.select(F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(ORDER), F.col("end"))), lambda n: F.col("framed").substr(F.col("end") - n + 1, n))).alias("gram"), "every", *_CLASSES)
+    """gram, every, toxic, ordinary: the counts of the n-grams at which the words of a vocabulary are judged: those of ORDER characters of ^word^, and the shorter ones that begin it."""
+    framed = vocabulary.select(F.concat(F.lit("^"), "word", F.lit("^")).alias("framed"), "every", *_CLASSES)
+    ends = F.sequence(F.lit(2), F.length("framed"))
+    grams = framed.select(F.explode(F.transform(ends, lambda end: F.col("framed").substr(F.greatest(F.lit(1), end - ORDER + 1), F.least(F.lit(ORDER), end)))).alias("gram"), "every", *_CLASSES)
     return grams.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("every", *_CLASSES)])
 
 
+def continuations(judged: DataFrame) -> DataFrame:
+    """gram, count: how many distinct n-grams of one more character end with each n-gram of 1 to ORDER - 1 characters that doesn't begin a word."""
+    found, longer = None, judged.filter(F.length("gram") == ORDER).select("gram")
+    for n in range(ORDER - 1, 0, -1):
+        own = cut(longer.groupBy(F.expr("substr(gram, 2)").alias("gram")).agg(F.count("*").alias("count")))
+        found = own if found is None else found.unionByName(own)
+        longer = own.select("gram").unionByName(judged.filter((F.length("gram") == n) & F.col("gram").startswith("^")).select("gram"))
+    return found
+
+
 def _context(gram) -> F.Column:
     return F.expr(f"left({gram}, length({gram}) - 1)")
 
@@ -108,24 +118,22 @@ def _pandas(rows: DataFrame, order: str) -> pd.DataFrame:
     return rows.toArrow().to_pandas().sort_values(order, ignore_index=True)
 
 
-def build(grams: DataFrame) -> Model:
-    """The model from the n-grams of a corpus.
+def build(judged: DataFrame) -> Model:
+    """The model from the n-grams at which a corpus is judged.
 
-    A word is judged at its n-grams of ORDER characters, and at the shorter ones that begin
-    it. A shorter n-gram inside words counts by its continuations, the distinct longer ones
-    that end with it; one that begins a word has none, so its own count is taken.
+    An n-gram inside words of less than ORDER characters counts by its continuations; one that
+    begins a word has none, so its own count is taken.
     """
-    judged = grams.filter((F.length("gram") == ORDER) | F.col("gram").startswith("^"))
     own = judged.filter("toxic > 0 OR ordinary > 0").withColumn("context", _context("gram"))
     sums = [x for c in _CLASSES for x in (F.sum(c).alias(f"total_{c}"), F.sum(_kept(c, CLASS_DISCOUNT)).alias(f"kept_{c}"))]
     contexts = _pandas(own.groupBy("context").agg(*sums).filter("kept_toxic > 0 OR kept_ordinary > 0"), "context")
     often = _pandas(own.filter((F.col("toxic") > CLASS_DISCOUNT) | (F.col("ordinary") > CLASS_DISCOUNT)).select("gram", *_CLASSES), "gram")
     # What the shared values of these n-grams need: their own endings, and all n-grams in the contexts of those.
     endings = sorted({g[i:] for g in often["gram"] for i in range(len(g))})
-    spark = grams.sparkSession
+    spark = judged.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(c,) for c in sorted({g[:-1] for g in endings})], "context string"))
     plain = judged.select("gram", "every").withColumn("context", _context("gram")).join(wanted, "context", "left_semi").select("gram", "context", F.col("every").alias("count"))
-    longer = grams.select(F.expr("substr(gram, 2)").alias("gram")).withColumn("context", _context("gram")).join(wanted, "context", "left_semi").groupBy("gram", "context").agg(F.count("*").alias("count"))
+    longer = continuations(judged).withColumn("context", _context("gram")).join(wanted, "context", "left_semi").select("gram", "context", "count")
     counts = cut(plain.unionByName(longer).withColumn("count", F.col("count") + F.when(F.length("gram") == 1, 0.01).otherwise(0.0)))
     totals = _pandas(counts.groupBy("context").agg(F.sum("count").alias("total"), F.sum(_kept("count", DISCOUNT)).alias("kept")), "context")
     needed = F.broadcast(spark.createDataFrame([(g,) for g in endings], "gram string"))
@@ -160,14 +168,17 @@ def _sorted(strings: list[str], values: list[float]) -> tuple[np.ndarray, np.nda
     return keys[order], np.array(values, np.float64)[order]
 
 
-def _first_state(symbols: np.ndarray) -> np.ndarray:
-    mixed = (symbols.astype(np.uint64) + np.uint64(1)) * _MIX
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    return (codes.astype(np.uint64) + np.uint64(1)) * _MIX
+
+
+def _first_state(mixed: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _next_state(state: np.ndarray, symbols: np.ndarray, n: int) -> np.ndarray:
+def _next_state(state: np.ndarray, mixed: np.ndarray, n: int) -> np.ndarray:
     """The state of n-grams from that of their last n - 1 characters and the character before these."""
-    state = (state ^ ((symbols.astype(np.uint64) + np.uint64(1)) * _MIX + np.uint64(n))) * _TURN
+    state = (state ^ (mixed + np.uint64(n))) * _TURN
     return state ^ (state >> np.uint64(31))
 
 
@@ -178,9 +189,10 @@ def keys_of(strings: list[str]) -> np.ndarray:
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
         codes = np.frombuffer("".join(strings[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
-        state = _first_state(codes[:, -1])
+        mixed = _mixed(codes)
+        state = _first_state(mixed[:, -1])
         for k in range(2, n + 1):
-            state = _next_state(state, codes[:, -k], k)
+            state = _next_state(state, mixed[:, -k], k)
         out[at] = state
     return out
 
@@ -217,15 +229,15 @@ class Model:
         if not vocabulary:
             return np.empty(0)
         codes, places = _layout(vocabulary)
-        state = _first_state(codes)
+        mixed = _mixed(codes)
+        state = _first_state(mixed)
         gram, context = state.copy(), np.zeros_like(state)
         for n in range(2, ORDER + 1):
-            deep = np.flatnonzero(places >= n - 1)
-            deep = deep[deep > 0]
-            context[deep] = state[deep - 1]  # what was the gram of n - 1 characters before
-            longer = state.copy()
-            longer[deep] = _next_state(state[deep], codes[deep - n + 1], n)
-            gram[deep] = longer[deep]
+            deep = places >= n - 1
+            longer = np.zeros_like(state)
+            longer[n - 1 :] = _next_state(state[n - 1 :], mixed[: len(mixed) - n + 1], n)
+            np.copyto(context[1:], state[:-1], where=deep[1:])  # the gram of n - 1 characters before
+            np.copyto(gram, longer, where=deep)
             state = longer
         value = np.zeros(len(codes))
         _look_up(self.contexts, self.rest, context, value)
