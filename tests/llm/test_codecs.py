@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from tests.llm.conftest import prose
 from verilake.llm import bpe, html_text, media, mixing, search
 
 
-@pytest.mark.parametrize("filters", [0, 1, 2])
+@pytest.mark.parametrize("filters", [None, 0, 1, 2, 3, 4])
 @pytest.mark.parametrize("text", ["", "a", "x" * 192, "é日🎉" * 1000])
 def test_png_round_trip(filters, text):
     payload = media.pad(text.encode())
@@ -40,7 +41,31 @@ def test_all_filters():
         paeth = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
         lines.append([kind, *((row - [0 * row, left, above, (left + above) // 2, paeth][kind]) % 256)])
         above = row
-    assert (media._unfilter(np.array(lines, np.uint8), 3) == rows).all()
+    both = media._unfilter([np.array(lines, np.uint8), np.array(lines[:3], np.uint8)], 3)
+    assert (both[0] == rows).all() and (both[1] == rows[:3]).all()
+
+
+def test_filters_are_chosen_by_row():
+    text = ("abc" * 64 + "abd" * 64) * 3 + "".join(chr(97 + (7 * i) % 26) for i in range(1920)) + " " * 384
+    image = media.encode_png(media.pad(text.encode()))
+    at, packed = 8, b""
+    while at < len(image):
+        size = int.from_bytes(image[at : at + 4])
+        if image[at + 4 : at + 8] == b"IDAT":
+            packed += image[at + 8 : at + 8 + size]
+        at += 12 + size
+    kinds = {*np.frombuffer(zlib.decompress(packed), np.uint8).reshape(-1, 193)[:, 0].tolist()}
+    assert len(kinds) > 1 and kinds <= {0, 1, 2, 4}
+
+
+def test_phash_against_brute_force():
+    rng = np.random.default_rng(1)
+    pixels = rng.integers(0, 256, (32, 32, 3), np.uint8)
+    grey = pixels.sum(2).tolist()
+    low = [[sum(math.cos(math.pi * u * (2 * y + 1) / 64) * math.cos(math.pi * v * (2 * x + 1) / 64) * grey[y][x] for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+    middle = sorted(c for i, c in enumerate(c for line in low for c in line) if i)[31]
+    bits = "".join(str(int(c > middle)) for line in low for c in line)
+    assert media.phash(pixels) == f"{int(bits, 2):016x}"
 
 
 def test_media_table(make, spark):
@@ -136,6 +161,103 @@ def test_pages():
     assert html_text.main_text(deep) == "inside here"
 
 
+class Tree(HTMLParser):
+    """Nodes of well-formed pages: [tag, children, own text]."""
+
+    def __init__(self, source):
+        super().__init__()
+        self.stack = [["#page", [], ""]]
+        self.feed(source)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append([tag, [], ""])
+        self.stack[-2][1].append(self.stack[-1])
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][2] += "".join(data.split())
+
+
+def composite(source):
+    """The text of the node of the largest density sum by plain recursion, without widening and thresholds."""
+    root = Tree(source).stack[0]
+
+    def measure(node, linked=False):
+        linked = linked or node[0] == "a"
+        parts = [measure(c, linked) for c in node[1]]
+        chars = len(node[2]) + sum(p[0] for p in parts)
+        links = len(node[2]) * linked + sum(p[1] for p in parts)
+        tags = sum(p[2] + 1 for p in parts)
+        anchors = sum(p[3] + (c[0] == "a") for p, c in zip(parts, node[1]))
+        node.append((chars, links, tags, anchors))
+        return node[3]
+
+    measure(root)
+    body = next(c for c in root[1][0][1] if c[0] == "body")
+    share = body[3][1] / max(body[3][0], 1)
+
+    def density(node):
+        c, lc, t, lt = node[3]
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        base = math.log(lc * c / max(c - lc, 1) + share * c + math.e)
+        return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1)) / math.log(max(base, 1) + 1)
+
+    def nodes(node):
+        yield node
+        for child in node[1]:
+            yield from nodes(child)
+
+    value = lambda node: sum(map(density, node[1])) or density(node) * 0.999
+    best = max(nodes(body), key=value)
+    return "".join(n[2] for n in nodes(best))
+
+
+def test_core_against_brute_force():
+    rng = random.Random(21)
+    for _ in range(60):
+        def block(depth):
+            if depth == 0 or rng.random() < 0.3:
+                text = prose(rng, rng.randint(1, 40))
+                return f"<p>{text}</p>" if rng.random() < 0.7 else f'<span><a href="x">{text}</a></span>'
+            return "<div>" + "".join(block(depth - 1) for _ in range(rng.randint(1, 4))) + "</div>"
+
+        source = "<html><body>" + "".join(block(3) for _ in range(3)) + "</body></html>"
+        page = html_text.Page(source)
+        density, sums, _ = page.densities()
+        best = max(range(page.body(), len(page.tags)), key=lambda i: (sums[i], -i))
+        inside = [False] * len(page.tags)
+        for i in range(best, len(page.tags)):
+            inside[i] = i == best or inside[page.parents[i]]
+        own = "".join("".join(t.split()) for node, t in page.events if t and inside[node])
+        assert own == composite(source)
+        kept = page.kept()
+        assert all(kept[i] for i in range(len(inside)) if inside[i])
+
+
+@pytest.mark.parametrize("name", ["content with-sidebar", "no-sidebar", "has-comments", "layout-sidebar-right", "post related-topic", "share-story article-body"])
+def test_classes_that_say_more_keep_their_article(name):
+    assert html_text.main_text(PAGE % f'<div class="{name}">{BODY}</div>') == TEXT
+    assert html_text.main_text(f'<html><body class="{name}"><form><div class="{name}">{BODY}</div></form></body></html>') == TEXT
+
+
+def test_density_decides():
+    long = "".join(f"<p>{prose(random.Random(k), 60)}</p>" for k in range(5))
+    links = "".join(f'<li><a href="/{k}">{prose(random.Random(k), 4)}</a></li>' for k in range(12))
+    text = html_text.main_text(f"<html><body><div>{long}</div><div><ul>{links}</ul></div></body></html>")
+    assert text.count("\n") == 4 and text == html_text.main_text(f"<html><body><div>{long}</div></body></html>")
+    # Not what stands in an article or main element: the text is elsewhere.
+    assert html_text.main_text(f"<html><body><article><ul>{links}</ul></article><div>{long}</div></body></html>") == text
+    # A second dense part is kept by the threshold.
+    both = html_text.main_text(f"<html><body><div>{long}</div><ul>{links}</ul><div>{long}</div></body></html>")
+    assert both == f"{text}\n{text}"
+    wide = html_text.main_text(f"<html><body><div>{long * 4000}</div></body></html>")
+    assert wide.count("\n") == 5 * 4000 - 1
+
+
 def test_page_table(spark):
     pages = spark.createDataFrame([(1, "u", PAGE % f"<article>{BODY}</article>", "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}

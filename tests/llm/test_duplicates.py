@@ -226,6 +226,50 @@ def test_chunks(make):
     assert chunks.repeated_runs(docs.limit(0)).count() == 0
 
 
+def brute_runs(rows):
+    """Runs of repeated chunks of rows (id, text) by plain dictionaries: (id, start, bytes, chunks, first id, kept)."""
+    import numpy as np
+
+    rows = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0])
+    places, out = defaultdict(list), []
+    cut = []
+    for k, (i, t) in enumerate(rows):
+        raw = (t or "").encode()
+        ends = chunks.chunk_ends(np.frombuffer(raw, np.uint8))
+        cut.append([raw[s:e] for s, e in zip([0, *ends], ends)])
+        for nth, piece in enumerate(cut[-1]):
+            places[piece].append((k, nth))
+    for k, pieces in enumerate(cut):
+        at, last = 0, None
+        for nth, piece in enumerate(pieces):
+            found = places[piece]
+            kept = found[0] == (k, nth)
+            if len(found) > 1:
+                if last == (nth - 1, kept):
+                    s, n, c, first, _ = out[-1][1:]
+                    out[-1] = (rows[k][0], s, n + len(piece), c + 1, min(first, rows[found[0][0]][0]), kept)
+                else:
+                    out.append((rows[k][0], at, len(piece), 1, rows[found[0][0]][0], kept))
+                last = (nth, kept)
+            at += len(piece)
+    return sorted(out)
+
+
+def test_chunks_against_brute_force(make):
+    rows, passage = repeats()
+    rows += [(60, rows[2][1]), (60, rows[2][1]), (61, rows[1][1] * 300), (70, passage * 2)]
+    assert sorted(tuple(r) for r in chunks.repeated_runs(make(rows)).collect()) == brute_runs(rows)
+
+
+def test_chunks_of_repeated_ids(make):
+    rng = random.Random(15)
+    a, b = prose(rng, 60), prose(rng, 60)
+    found = sorted((r.doc_id, r.start_byte, r.n_bytes, r.kept) for r in chunks.repeated_runs(make([(1, a), (1, b), (2, a), (3, b), (4, a)])).collect())
+    assert found == sorted([(1, 0, len(a), True), (1, 0, len(b), True), (2, 0, len(a), False), (3, 0, len(b), False), (4, 0, len(a), False)])
+    twice = sorted((r.doc_id, r.n_bytes, r.kept) for r in chunks.repeated_runs(make([(1, a), (1, a)])).collect())
+    assert twice == [(1, len(a), False), (1, len(a), True)]
+
+
 def test_chunks_of_short_copies(make):
     rows = [(1, "All rights reserved."), (2, "All rights reserved."), (3, "x"), (4, "x"), (5, "another one")]
     found = {(r.doc_id, r.start_byte, r.n_bytes, r.first_doc_id, r.kept) for r in chunks.repeated_runs(make(rows)).collect()}

@@ -141,6 +141,33 @@ def test_language(spark, make, rng):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def profile_of(texts, top):
+    """The most frequent n-grams of texts by plain counting, packed, with their counts' order."""
+    counts = Counter()
+    for text in texts:
+        own = language.letters(text).tolist()
+        for n in (1, 2, 3):
+            for i in range(len(own) - n + 1):
+                if own[i : i + n] != [1]:
+                    counts[sum(c << language.BITS * (n - 1 - k) for k, c in enumerate(own[i : i + n]))] += 1
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))][:top]
+
+
+def test_profiles_and_distance_against_brute_force(make, rng, monkeypatch):
+    monkeypatch.setattr(language, "PIECE", 37)  # pieces don't change the counts
+    rows = [(i, prose(rng, 30, ("etaoin", "zuvxyk")[i % 2]), ("aa", "bb")[i % 2]) for i in range(30)]
+    docs = make(rows)
+    learned = language.learn_profiles(docs, top=40)
+    profiles = {lang: profile_of([t for _, t, x in rows if x == lang], 40) for lang in ("aa", "bb")}
+    got = {lang: [r.gram for r in sorted(learned.collect(), key=lambda r: r["rank"]) if r.lang == lang] for lang in profiles}
+    assert got == profiles
+    assert sorted(map(tuple, learned.collect())) == sorted(map(tuple, language.learn_profiles(docs.repartition(7), top=40).collect()))
+    for r in language.identify(docs, learned, top=40, keep=("text",)).collect():
+        own = profile_of([r.text], 40)
+        far = {lang: sum(abs(p.index(g) - k) if g in p else 40 for k, g in enumerate(own)) / (40 * len(own)) for lang, p in profiles.items()}
+        assert r.lang_pred == min(far, key=lambda x: (far[x], x)) and abs(r.score - (1 - min(far.values()))) < 1e-9
+
+
 def test_grams_against_brute_force(rng):
     text = prose(rng, 50, "abcé") + " 日本"
     codes = language.letters(text)

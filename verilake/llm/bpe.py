@@ -299,8 +299,8 @@ def encode_and_decode(docs: DataFrame, text_col="text", vocabulary=VOCABULARY) -
         own.forget()
 
     bounded_batches(docs.sparkSession)
-    made = docs.withColumn("_made", F.pandas_udf(both, "ids array<int>, decoded string")(text_col))
-    return made.select(*[c for c in docs.columns if c not in ("ids", "decoded")], "_made.ids", "_made.decoded")
+    made = docs.select(F.struct(*docs.columns).alias("row"), F.pandas_udf(both, "ids array<int>, decoded string")(text_col).alias("made"))
+    return made.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("ids", "decoded")], "made.ids", "made.decoded")
 
 
 def decode_ids(tokens: DataFrame, ids_col="ids", vocabulary=VOCABULARY) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, table
+from verilake.llm.common import bounded_batches, cut, releasing, table
 
 #: Bytes of the smallest and the largest chunk, and the zero bits of a boundary.
 SMALLEST, LARGEST, ZEROS = 32, 512, 5
@@ -56,30 +56,35 @@ def chunk_ends(data: np.ndarray) -> list[int]:
     return ends
 
 
-def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@releasing
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     digest = xxhash.xxh3_128_intdigest
     for batch in batches:
-        ids, nths, starts, sizes, digests = [], [], [], [], []
-        for i, text in zip(batch["_id"], batch["text"]):
+        counts, nths, starts, sizes, digests = [], [], [], [], []
+        for text in batch["text"]:
             raw = text.encode("utf-8", "replace") if text else b""
-            start = 0
-            for nth, end in enumerate(chunk_ends(np.frombuffer(raw, np.uint8))):
-                ids.append(i)
-                nths.append(nth)
-                starts.append(start)
-                sizes.append(end - start)
-                digests.append(digest(raw[start:end]))
-                start = end
+            ends = chunk_ends(np.frombuffer(raw, np.uint8))
+            begins = [0, *ends[:-1]] if ends else []
+            counts.append(len(ends))
+            nths += range(len(ends))
+            starts += begins
+            sizes += [e - s for s, e in zip(begins, ends)]
+            digests += [digest(raw[s:e]) for s, e in zip(begins, ends)]
         high = np.array([d >> 64 for d in digests], np.uint64).view(np.int64)
         low = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64).view(np.int64)
-        yield pd.DataFrame({"_id": np.array(ids, np.int64), "_nth": np.array(nths, np.int32), "_start": np.array(starts, np.int32), "_size": np.array(sizes, np.int32), "_high": high, "_low": low})
+        own = {c: np.repeat(batch[c].to_numpy(np.int64), counts) for c in ("_id", "_hash", "_row")}
+        yield pd.DataFrame(own | {"_nth": np.array(nths, np.int32), "_start": np.array(starts, np.int64), "_size": np.array(sizes, np.int32), "_high": high, "_low": low})
 
 
 def chunks(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """_id, _nth, _start, _size and the digest of every chunk; empty and null texts have none. Rows with a null id are left out, as chunks are named by it."""
+    """_id, _hash (of the text), _row, _nth, _start, _size and the digest of every chunk; empty and null texts have none.
+
+    _row tells rows of one id apart; it holds only within one run, so write the result
+    before reading it twice. Rows with a null id are left out, as runs are named by it.
+    """
     bounded_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL")
-    return own.mapInPandas(_cut, "_id long, _nth int, _start int, _size int, _high long, _low long")
+    own = docs.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_hash"), F.monotonically_increasing_id().alias("_row"), F.col(text_col).alias("text"))
+    return own.filter("_id IS NOT NULL").mapInPandas(_chunks, "_id long, _hash long, _row long, _nth int, _start long, _size int, _high long, _low long")
 
 
 def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", run=1) -> DataFrame:
@@ -87,17 +92,18 @@ def repeated_runs(docs: DataFrame, id_col="doc_id", text_col="text", run=1) -> D
 
     A chunk is repeated if its digest occurs at least twice. Of its occurrences the one of
     the smallest id, and in it the first, is kept. Runs break where kept changes, so a run
-    with kept false can be cut out whole. Repeated rows of one id count as occurrences
-    at the same place and aren't told apart.
+    with kept false can be cut out whole. Rows of one id are documents of their own, in
+    order of a hash of their texts; of rows equal in both, one is kept.
     """
-    cut = chunks(docs, id_col, text_col)
-    key = ["_high", "_low"]
-    first = cut.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.struct("_id", "_nth")).alias("_first")).filter("_n > 1").drop("_n")
-    found = cut.join(first, key).select("_id", "_nth", "_start", "_size", F.col("_first._id").alias("_from"), ((F.col("_first._id") == F.col("_id")) & (F.col("_first._nth") == F.col("_nth"))).alias("kept")).distinct()
-    order = Window.partitionBy("_id").orderBy("_nth")
+    found = cut(chunks(docs, id_col, text_col))
+    key, place = ["_high", "_low"], ["_id", "_hash", "_row", "_nth"]
+    # Written before the join, so that both sides are dealt anew and AQE can split a chunk that a third of the documents share.
+    first = cut(found.groupBy(key).agg(F.count("*").alias("_n"), F.min(F.struct(*place)).alias("_first")).filter("_n > 1").drop("_n"))
+    repeated = found.join(first, key).select(*place, "_start", "_size", F.col("_first._id").alias("_from"), (F.struct(*place) == F.col("_first")).alias("kept"))
+    order = Window.partitionBy("_id", "_row").orderBy("_nth")
     broken = (F.col("_nth") - F.lag("_nth", 1, -9).over(order) > 1) | (F.col("kept") != F.lag("kept").over(order))
-    runs = found.withColumn("_run", F.sum(F.coalesce(broken, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    summed = runs.groupBy("_id", "_run").agg(F.min("_start").alias("start_byte"), F.sum("_size").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("_from").alias("first_doc_id"), F.first("kept").alias("kept"))
+    runs = repeated.withColumn("_run", F.sum(F.coalesce(broken, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    summed = runs.groupBy("_id", "_row", "_run").agg(F.min("_start").alias("start_byte"), F.sum("_size").alias("n_bytes"), F.count("*").alias("n_chunks"), F.min("_from").alias("first_doc_id"), F.first("kept").alias("kept"))
     return summed.filter(F.col("n_bytes") >= run).select(F.col("_id").alias(id_col), "start_byte", "n_bytes", "n_chunks", "first_doc_id", "kept")
 
 

@@ -50,32 +50,46 @@ def letters(text: str) -> np.ndarray:
     return np.concatenate([[1], codes]).astype(np.uint32) if len(codes) else codes
 
 
-def _grams(codes: np.ndarray, base: int, dtype) -> np.ndarray:
-    """Packed 1-, 2- and 3-grams over an alphabet below base; shorter ones begin with zeros."""
+def _without(grams: np.ndarray, parted: np.ndarray, width: int) -> np.ndarray:
+    """grams but for those, width characters long, that reach over one of the places parted."""
+    hit = (parted[:, None] - np.arange(width)).ravel()
+    return np.delete(grams, hit[(hit >= 0) & (hit < len(grams))])
+
+
+def _grams(codes: np.ndarray, base: int, dtype, starts: int | None) -> np.ndarray:
+    """Packed 1-, 2- and 3-grams, over an alphabet below base, that begin at the first starts places; shorter ones begin with zeros.
+
+    The code 0 parts texts, and no n-gram reaches over it.
+    """
     c = codes.astype(dtype)
     pairs = c[:-1] * dtype(base) + c[1:]
-    return np.concatenate([c[c != 1], pairs, pairs[:-1] * dtype(base) + c[2:]])
+    triples = pairs[:-1] * dtype(base) + c[2:]
+    single, pairs, triples = c[:starts], pairs[:starts], triples[:starts]
+    parted = np.flatnonzero(c == 0)
+    if len(parted):
+        pairs, triples = _without(pairs, parted, 2), _without(triples, parted, 3)
+    return np.concatenate([single[single > 1], pairs, triples])
 
 
-def count_grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams, in order, and how often each occurs."""
+def count_grams(codes: np.ndarray, starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Packed n-grams, in order, and how often each occurs; with starts only those that begin at the first so many places."""
     if not len(codes):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     seen = np.zeros(1 << BITS, bool)
     seen[codes] = True
-    seen[0] = True
+    seen[:2] = True
     alphabet = np.flatnonzero(seen)
     base = len(alphabet)
     dense = np.zeros(1 << BITS, np.int32)
     dense[alphabet] = np.arange(base)
     own = dense[codes]
     if base <= DENSE and len(own) > base**3 // 4:
-        counts = np.bincount(_grams(own, base, np.int32), minlength=1)
+        counts = np.bincount(_grams(own, base, np.int32, starts), minlength=1)
         found = np.flatnonzero(counts)
         counts = counts[found]
     else:
-        grams = np.sort(_grams(own, base, np.int32 if base <= SMALL else np.int64))
-        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+        grams = np.sort(_grams(own, base, np.int32 if base <= SMALL else np.int64, starts))
+        first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.empty(0, np.int64)
         found, counts = grams[first].astype(np.int64), np.diff(np.concatenate([first, [len(grams)]]))
     a, b, c = found // (base * base), found // base % base, found % base
     return (alphabet[a].astype(np.int64) << 2 * BITS) | (alphabet[b].astype(np.int64) << BITS) | alphabet[c], counts
@@ -87,8 +101,8 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 
 def _pieces(codes: np.ndarray) -> Iterator[np.ndarray]:
-    """Long texts in pieces that share two characters, so that no 3-gram is lost; the short grams of the overlap count twice."""
-    for at in range(0, max(len(codes) - 2, 1), PIECE):
+    """Long texts in pieces of PIECE places and the two after them, at which no n-gram begins."""
+    for at in range(0, len(codes), PIECE):
         yield codes[at : at + PIECE + 2]
 
 
@@ -98,8 +112,9 @@ def _count_by_language(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
         for lang, texts in batch.groupby("lang")["text"]:
             parts = totals.setdefault(lang, [])
             codes = [x for x in map(letters, texts) if len(x)]
-            for piece in _pieces(np.concatenate(codes)) if codes else ():
-                parts.append(count_grams(piece))
+            apart = [x for own in codes for x in (own, np.zeros(1, np.uint32))]
+            for piece in _pieces(np.concatenate(apart)) if codes else ():
+                parts.append(count_grams(piece, PIECE))
             if len(parts) > 16:
                 totals[lang] = [_merge(parts)]
     for lang, parts in totals.items():

@@ -41,61 +41,88 @@ def pad(data: bytes) -> bytes:
     return data + b" " * ((-len(data)) % ROW if data else ROW)
 
 
-def encode_png(payload: bytes, filters: int = 0, level: int = 4) -> bytes:
-    """payload, a positive multiple of 192 bytes, as the rows of an image; filters: 0 none, 1 left, 2 above."""
+def _filtered(rows: np.ndarray, kind: int) -> np.ndarray:
+    """Rows less what a filter predicts: 0 nothing, 1 the pixel to the left, 2 that above, 3 the mean of both, 4 the nearest to left + above - corner of these."""
+    if kind == 0:
+        return rows
+    left, above = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, DEPTH:], above[1:] = rows[:, :-DEPTH], rows[:-1]
+    if kind < 3:
+        return rows - (left if kind == 1 else above)
+    corner = np.zeros_like(rows)
+    corner[1:, DEPTH:] = rows[:-1, :-DEPTH]
+    return rows - _predicted(kind, left.astype(np.int16), above.astype(np.int16), corner.astype(np.int16)).astype(np.uint8)
+
+
+def _predicted(kind, left: np.ndarray, above: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What each kind of filter (a number, or one for each pixel) predicts from the neighbours."""
+    estimate = left + above - corner
+    a, b, c = abs(estimate - left), abs(estimate - above), abs(estimate - corner)
+    nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+    return np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) >> 1, nearest], 0)
+
+
+def encode_png(payload: bytes, filters: int | None = None, level: int = 4) -> bytes:
+    """payload, a positive multiple of 192 bytes, as the rows of an image.
+
+    filters names one filter for all rows; without it each row gets that of 0, 1, 2 and 4 with
+    the smallest differences, the usual rule of encoders.
+    """
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    if filters == 1:
-        coded = rows.copy()
-        coded[:, DEPTH:] -= rows[:, :-DEPTH]
-    elif filters == 2:
-        coded = rows.copy()
-        coded[1:] -= rows[:-1]
-    else:
-        coded = rows
     lines = np.empty((len(rows), ROW + 1), np.uint8)
-    lines[:, 0], lines[:, 1:] = filters, coded
+    if filters is None:
+        kinds = np.array([0, 1, 2, 4], np.uint8)
+        coded = np.stack([_filtered(rows, int(kind)) for kind in kinds])
+        best = np.minimum(coded, -coded).sum(2, dtype=np.int64).argmin(0)
+        lines[:, 0], lines[:, 1:] = kinds[best], coded[best, np.arange(len(rows))]
+    else:
+        lines[:, 0], lines[:, 1:] = filters, _filtered(rows, filters)
     header = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines, level)) + _chunk(b"IEND", b"")
 
 
-def _unfilter(lines: np.ndarray, depth: int) -> np.ndarray:
-    """Rows with a leading filter byte -> samples. Whole images of one simple filter are done at once."""
+def _unfilter(images: list[np.ndarray], depth: int) -> list[np.ndarray]:
+    """Rows with a leading filter byte -> samples, for images of one width.
+
+    A pixel needs those to its left, above and at the corner between, so all pixels of a
+    diagonal are done at once, for all images together, one diagonal after the other.
+    """
+    heights = np.array([len(x) for x in images])
+    lines = np.concatenate(images)
+    kinds, width = lines[:, 0], (lines.shape[1] - 1) // depth
+    pixels = lines[:, 1:].reshape(-1, depth)
+    row = np.arange(len(lines))
+    y = row - np.repeat(np.cumsum(heights) - heights, heights)
+    order = np.argsort(y, kind="stable")
+    level = y[order]
+    # One more row and column of zeros for what lies outside of an image.
+    out = np.zeros(((len(lines) + 1) * (width + 1), depth), np.int16)
+    above_row = np.where(y > 0, row - 1, len(lines))
+    for d in range(int(heights.max()) + width - 1):
+        lo, hi = np.searchsorted(level, (d - width + 1, d + 1))
+        at = order[lo:hi]
+        x = d - level[lo:hi]
+        here, above = at * (width + 1) + x, above_row[at] * (width + 1) + x
+        guess = _predicted(kinds[at, None], out.take(here, 0), out.take(above + 1, 0), out.take(above, 0))
+        out[here + 1] = (pixels.take(at * width + x, 0) + guess) & 255
+    samples = out.reshape(-1, width + 1, depth)[:-1, 1:].astype(np.uint8).reshape(len(lines), -1)
+    return np.split(samples, np.cumsum(heights)[:-1])
+
+
+def _simple(lines: np.ndarray, depth: int) -> np.ndarray | None:
+    """The samples of an image whose rows need no diagonals, else None."""
     kinds, rows = lines[:, 0], lines[:, 1:]
-    if not kinds.any():
-        return rows
     if (kinds == 2).all():
         return np.cumsum(rows, axis=0, dtype=np.uint8)
-    if (kinds == 1).all():
-        return np.cumsum(rows.reshape(len(rows), -1, depth), axis=1, dtype=np.uint8).reshape(len(rows), -1)
-    out, above = np.empty_like(rows), np.zeros(rows.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        line = out[y]
-        if kind == 0:
-            line[:] = rows[y]
-        elif kind == 1:
-            line[:] = np.cumsum(rows[y].reshape(-1, depth), axis=0, dtype=np.uint8).ravel()
-        elif kind == 2:
-            line[:] = rows[y] + above
-        elif kind in (3, 4):
-            left, corner = np.zeros(depth, np.int16), np.zeros(depth, np.int16)
-            for x in range(0, len(line), depth):
-                up = above[x : x + depth].astype(np.int16)
-                if kind == 3:
-                    guess = (left + up) // 2
-                else:
-                    estimate = left + up - corner
-                    a, b, c = abs(estimate - left), abs(estimate - up), abs(estimate - corner)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
-                line[x : x + depth] = (rows[y, x : x + depth] + guess) & 255
-                left, corner = line[x : x + depth].astype(np.int16), up
-        else:
-            raise BadImage(f"filter {kind}")
-        above = line
+    if (kinds > 1).any():
+        return None
+    out = rows.copy()
+    out[kinds == 1] = np.cumsum(rows[kinds == 1].reshape(-1, rows.shape[1] // depth, depth), axis=1, dtype=np.uint8).reshape(-1, rows.shape[1])
     return out
 
 
-def decode_png(data: bytes) -> np.ndarray:
-    """The samples, (height, width, 3). Raises BadImage on a wrong checksum, length or kind."""
+def _rows_of(data: bytes) -> np.ndarray:
+    """The filtered rows. Raises BadImage on a wrong checksum, length or kind."""
     if data[:8] != SIGNATURE:
         raise BadImage("signature")
     at, header, packed, kind = 8, None, [], b""
@@ -120,7 +147,36 @@ def decode_png(data: bytes) -> np.ndarray:
     width, height = header[:2]
     if len(raw) != height * (width * DEPTH + 1):
         raise BadImage("length of the pixel data")
-    return _unfilter(np.frombuffer(raw, np.uint8).reshape(height, -1), DEPTH).reshape(height, width, DEPTH)
+    lines = np.frombuffer(raw, np.uint8).reshape(height, -1)
+    if (lines[:, 0] > 4).any():
+        raise BadImage("kind of filter")
+    return lines
+
+
+def decode_all(images: list[bytes | None]) -> list[np.ndarray | None]:
+    """The samples of each image, (height, width, 3); None for one that is missing, damaged or of another kind."""
+    found: list[np.ndarray | None] = []
+    waiting: dict[int, list[int]] = {}
+    for i, data in enumerate(images):
+        try:
+            lines = _rows_of(data)
+        except (BadImage, TypeError):
+            found.append(None)
+            continue
+        found.append(_simple(lines, DEPTH))
+        if found[-1] is None:
+            found[-1] = lines
+            waiting.setdefault(lines.shape[1], []).append(i)
+    for group in waiting.values():
+        for i, samples in zip(group, _unfilter([found[i] for i in group], DEPTH)):
+            found[i] = samples
+    return [None if x is None else x.reshape(len(x), -1, DEPTH) for x in found]
+
+
+def decode_png(data: bytes) -> np.ndarray:
+    """The samples of one image, (height, width, 3). Raises BadImage on a wrong checksum, length or kind."""
+    _rows_of(data)
+    return decode_all([data])[0]
 
 
 def _shrink(grey: np.ndarray, axis: int) -> np.ndarray:
@@ -154,10 +210,8 @@ def png_features(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Digests and hash of stored images, from the bytes read back; an image that fails its checksums gives nulls."""
     for batch in images:
         rows = []
-        for image in batch:
-            try:
-                pixels = decode_png(image)
-            except (BadImage, TypeError):
+        for image, pixels in zip(batch, decode_all([*batch])):
+            if pixels is None:
                 rows.append((None,) * 6)
                 continue
             payload = pixels.tobytes()

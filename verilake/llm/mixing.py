@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from verilake.llm.common import cut, table
 
-BUCKETS = 4096
+#: Buckets of the ids, by the first three hex digits of their md5.
+BUCKETS = 16**3
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -65,7 +66,7 @@ def mix_sources(docs: DataFrame, seed=7, weights=WEIGHTS, share=1.5, cap=2.0, id
             F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")).alias("_key"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             F.xxhash64(text_col).alias("text_hash"),
-            F.coalesce(F.pmod(F.col(id_col), F.lit(BUCKETS)), F.lit(-1)).cast("int").alias("_bucket"),
+            F.coalesce(F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 3), 16, 10).cast("int"), F.lit(-1)).alias("_bucket"),
         )
     )
     cells = base.groupBy("_key", "size", "_bucket").agg(F.count("*").alias("_n"))
@@ -93,20 +94,21 @@ def mix_sources(docs: DataFrame, seed=7, weights=WEIGHTS, share=1.5, cap=2.0, id
 
 
 def emit_mixture(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
-    """The mixture itself: every document as often as it has copies, in its own columns.
+    """The mixture itself: every document as often as it has copies, in its own columns, whatever their names.
 
-    The copies of equal (id, source, text) rows are dealt to those rows one by one.
-    Documents of size 0 take no words; they stay once if their number of copies isn't 0.
+    The copies of equal (id, source, text) rows are dealt to those rows one by one, in order
+    of a hash of all their columns. Documents of size 0 take no words; they stay once if
+    their number of copies isn't 0.
     """
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    dealt = mixed.filter("copies > 0").groupBy(F.col(id_col).alias("_i"), F.col("source").alias("_s"), F.col("text_hash").alias("_t")).agg(F.collect_list("copies").alias("_copies"))
-    own = docs.withColumn("_h", F.xxhash64(text_col))
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_h") == F.col("_t"))
-    joined = own.join(dealt, same)
-    nth = F.row_number().over(Window.partitionBy(id_col, source_col, "_h").orderBy(F.lit(1)))
-    copies = F.coalesce(F.try_element_at("_copies", nth), F.lit(0)).cast("int")
-    repeated = joined.withColumn("_c", copies).filter("_c > 0").withColumn("_r", F.explode(F.sequence(F.lit(1), F.col("_c"))))
-    return repeated.select(*[F.col(c) for c in docs.columns])
+    key = {"id": F.col(id_col), "source": F.col(source_col), "hash": F.xxhash64(text_col)}
+    dealt = mixed.filter("copies > 0").groupBy(F.struct(F.col(id_col).alias("id"), "source", F.col("text_hash").alias("hash")).alias("same")).agg(F.sort_array(F.collect_list("copies")).alias("dealt"))
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.struct(*[c.alias(k) for k, c in key.items()]).alias("key"), F.xxhash64(*hashed).alias("every"))
+    joined = own.join(dealt, F.col("key").eqNullSafe(F.col("same")))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("every"))
+    copies = joined.withColumn("n", F.coalesce(F.try_element_at("dealt", nth), F.lit(0)).cast("int")).filter("n > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op9_mixing(spark, sf_dir):
@@ -119,7 +121,7 @@ SQL = r"""
 WITH base AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS k,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce(((doc_id % 4096) + 4096) % 4096, -1) AS bucket
+         coalesce(('0x' || substr(md5(doc_id::VARCHAR), 1, 3))::BIGINT, -1) AS bucket
   FROM documents),
 totals AS (SELECT k, source, sum(size)::BIGINT AS source_size FROM base GROUP BY ALL),
 weighted AS (

@@ -253,15 +253,15 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity: floa
     similar_links makes among their first rows. Rows are told apart by id and text, so
     texts of one id, or without an id, go only where their own text has a kept copy.
     """
-    rows = docs.withColumn("_row", F.xxhash64(id_col, text_col))
-    order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    found = near_duplicates(rows.select(order.alias("_order"), F.col(text_col).alias("text")), "_order", "text")
+    rows = docs.select(F.struct(*docs.columns).alias("all"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_row"))
+    order = F.struct(F.col("id").isNull().alias("late"), "id", F.col("_row").alias("row"))
+    found = near_duplicates(rows.select(order.alias("_order"), "text"), "_order", "text")
     kept = cut(found.filter(F.col("_order").eqNullSafe(F.col("component_id"))).select("_order").distinct())
     if similarity is not None:
-        again = components(similar_links(rows, "_row", text_col, similarity, kept.select(F.col("_order.row").alias("_id"))))
+        again = components(similar_links(rows, "_row", "text", similarity, kept.select(F.col("_order.row").alias("_id"))))
         members = again.unionByName(again.select(F.col("root").alias("node"), "root").distinct()).distinct()
-        ordered = members.join(kept, F.col("node") == F.col("_order.row"))
-        first = ordered.groupBy("root").agg(F.min("_order").alias("_first"))
+        ordered = cut(members.join(kept, F.col("node") == F.col("_order.row")))
+        first = cut(ordered.groupBy("root").agg(F.min("_order").alias("_first")))
         lost = ordered.join(first, "root").filter(F.col("node") != F.col("_first.row")).select("node")
         kept = kept.join(lost, F.col("_order.row") == F.col("node"), "left_anti")
     kept = cut(kept.select(F.col("_order.row").alias("_row")))
@@ -269,7 +269,7 @@ def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity: floa
     repeated = cut(rows.groupBy("_row").agg(F.count("*").alias("_n")).filter("_n > 1").select("_row"))
     left = rows.join(kept, "_row", "left_semi")
     once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return left.join(repeated, "_row", "left_anti").unionByName(once).select(*docs.columns)
+    return left.join(repeated, "_row", "left_anti").unionByName(once).select("all.*")
 
 
 def op10_simhash(spark, sf_dir):
