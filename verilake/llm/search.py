@@ -1,15 +1,22 @@
-"""Exact BM25 top-k: inverted index per shard, block-max WAND pruning, exact merge.
-
-A shard is an inverted index of SHARD documents at most, one row with packed arrays. Its
-documents are ordered so that alike ones are neighbours, and cut into blocks of BLOCK. The
-short lists of a query's rare terms are read in full; for its frequent terms, whose
-lists make up most of the index, the largest impact in each block is known, and the sum
-of these maxima bounds what a block's documents can gain from them. The most promising
-blocks are scored first; then only documents whose bound reaches the k-th best score
-known so far, here or in the shards searched before, are scored at all.
-
-The shards are searched in two rounds: about the square root of their number first, whose
-k-th best score is the floor for all others, so few rows leave the second round.
+"""Exact BM25 top-k: inverted index per shard, block-max pruning, exact merge.
+
+Documents that have the same most frequent term, and then like lengths, are neighbours, so a
+shard, one row with packed arrays, holds alike documents. It is bounded in documents and
+in postings, and cut into blocks of BLOCK documents.
+
+For each query the largest impact of each of its terms in a shard bounds what the shard's
+documents can reach; a shard below the query's floor is left at once. Within a shard the
+short lists of rare terms are read; for frequent terms, whose lists make up most of
+the index, the largest impact in each block is known, and the sum of these bounds a block.
+Blocks are scored in order of their bounds, and the threshold, the k-th best score so far,
+rises, until the next block's bound is below it. As in WAND, what can't pass the threshold
+by its maxima is skipped unread; but the order is that of the bounds, not of document
+numbers, and moving one cursor at a time is replaced by steps over whole arrays. Bounds
+and first scores are in single precision and allow for its error; what passes is scored
+again in double precision, in one order of terms, so equal documents tie exactly.
+
+The shards are searched in two rounds: about the square root of their number first, evenly
+over the kinds of documents, whose k-th best score is the floor for all others.
 
 Document frequencies, the number of documents and their mean length are those of the whole
 collection, so the scores of all shards compare, and the best k of all are exact. The
@@ -28,14 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, table
+from verilake.llm.common import bounded_batches, cut, releasing, table
 
 K1, B, TOP = 1.2, 0.75, 10
-SHARD, BLOCK, QUERIES, TERMS = 8192, 16, 512, 50_000
-#: Blocks that are scored before the first pruning; a frequent term's share of a shard, and how many there are at most.
-FIRST, FREQUENT, MOST = 8, 1 / 32, 256
-#: Decimals of a score, and terms whose hashes a worker keeps while it runs a task.
-PLACES, CACHE = 6, 200_000
+#: Bounds of a shard, in documents and postings; documents of a block; queries that meet a shard at once; terms whose frequencies are looked up at once.
+SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 8192, 4_000_000, 16, 1024, 50_000
+#: Blocks that are scored before the threshold is set again; a frequent term's share of a shard, and how many there are at most.
+STEP, FREQUENT, MOST = 8, 1 / 32, 256
+#: Parts that the documents of one leading term are dealt to.
+SALT = 16
+#: Relative error of sums in single precision, with a margin; terms whose hashes a worker keeps while it runs a task.
+ERROR, CACHE = 1e-4, 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,106 +70,149 @@ def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(hashes, return_counts=True)
 
 
-def _pack(ids: list[int], found: list[tuple[np.ndarray, np.ndarray]]) -> dict:
-    lengths = np.array([n.sum() for _, n in found], np.int64)
-    sizes = np.array([len(t) for t, _ in found])
-    # The most frequent term tells languages apart; like lengths have like impacts.
-    lead = np.array([t[n.argmax()] if len(t) else 0 for t, n in found], np.int64)
-    order = np.lexsort((lengths, lead))
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
+@releasing
+def _postings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [terms_of(text) for text in batch["text"]]
+        # The most frequent term tells languages and subjects apart; like lengths have like impacts.
+        lead = [int(t[n.argmax()]) if len(t) else 0 for t, n in found]
+        yield pd.DataFrame({"_id": batch["_id"], "_lead": lead, "_length": [int(n.sum()) for _, n in found], "_terms": [t.tobytes() for t, _ in found], "_counts": [n.astype(np.int32).tobytes() for _, n in found]})
+    _hash_of.clear()
+
+
+def _pack(ids: list[int], found: list[tuple[np.ndarray, np.ndarray]], lead: int = 0) -> dict:
+    """A shard of documents, in the order in which they come."""
+    sizes = np.array([len(t) for t, _ in found], np.int64)
     term = np.concatenate([t for t, _ in found]) if found else np.empty(0, np.int64)
-    count = np.concatenate([n for _, n in found]) if found else np.empty(0, np.int64)
-    doc = np.repeat(place, sizes)
-    by = np.lexsort((doc, term))
+    count = np.concatenate([n for _, n in found]) if found else np.empty(0, np.int32)
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), sizes)
+    by = np.argsort(term, kind="stable")
     term, count, doc = term[by], count[by], doc[by]
     first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
     return {
-        "ids": np.array(ids, np.int64)[order].tobytes(),
-        "lengths": lengths[order].astype(np.int32).tobytes(),
+        "ids": np.array(ids, np.int64).tobytes(),
+        "lengths": np.array([int(n.sum()) for _, n in found], np.int64).tobytes(),
         "terms": term[first].tobytes(),
-        "starts": np.append(first, len(term)).astype(np.int32).tobytes(),
-        "docs": doc.astype(np.uint16).tobytes(),
-        "counts": np.minimum(count, 0xFFFF).astype(np.uint16).tobytes(),
+        "starts": np.append(first, len(term)).astype(np.int64).tobytes(),
+        "docs": doc.tobytes(),
+        "counts": count.astype(np.int32).tobytes(),
+        "lead": lead,
     }
 
 
-SHARD_SCHEMA = "ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary"
+SHARD_SCHEMA = "ids binary, lengths binary, terms binary, starts binary, docs binary, counts binary, lead long"
 
 
+@releasing
 def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    ids, found = [], []
+    ids, found, lead, postings = [], [], 0, 0
     for batch in batches:
-        for i, text in zip(batch["_id"], batch["text"]):
+        for i, own, terms, counts in zip(batch["_id"], batch["_lead"], batch["_terms"], batch["_counts"]):
+            if ids and (len(ids) == SHARD or postings + len(terms) // 8 > POSTINGS):
+                yield pd.DataFrame([_pack(ids, found, lead)])
+                ids, found, postings = [], [], 0
+            lead = lead if ids else int(own)
             ids.append(i)
-            found.append(terms_of(text))
-            if len(ids) == SHARD:
-                yield pd.DataFrame([_pack(ids, found)])
-                ids, found = [], []
+            found.append((np.frombuffer(terms, np.int64), np.frombuffer(counts, np.int32)))
+            postings += len(found[-1][0])
     if ids:
-        yield pd.DataFrame([_pack(ids, found)])
-    _hash_of.clear()
+        yield pd.DataFrame([_pack(ids, found, lead)])
 
 
 def build_shards(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row for each shard. Rows with a null id are left out; empty texts are documents of length 0."""
+    """One row for each shard. Rows with a null id are left out; empty and null texts are documents of length 0."""
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL")
-    return own.mapInPandas(_shards, SHARD_SCHEMA)
+    rows = own.mapInPandas(_postings, "_id long, _lead long, _length long, _terms binary, _counts binary")
+    dealt = rows.repartition("_lead", F.pmod(F.xxhash64("_id"), F.lit(SALT))).sortWithinPartitions("_lead", "_length", "_id")
+    return dealt.mapInPandas(_shards, SHARD_SCHEMA)
 
 
 class Shard:
-    """A shard's arrays, with impacts and block maxima for a mean length."""
+    """A shard's arrays, with impacts, block maxima and shard maxima for a mean length."""
 
     def __init__(self, row, mean_length: float):
         self.ids = np.frombuffer(row["ids"], np.int64)
-        lengths = np.frombuffer(row["lengths"], np.int32)
+        lengths = np.frombuffer(row["lengths"], np.int64)
         self.terms = np.frombuffer(row["terms"], np.int64)
-        self.starts = np.frombuffer(row["starts"], np.int32)
-        self.docs = np.frombuffer(row["docs"], np.uint16)
-        counts = np.frombuffer(row["counts"], np.uint16).astype(np.float64)
+        self.starts = np.frombuffer(row["starts"], np.int64)
+        self.docs = np.frombuffer(row["docs"], np.int32)
+        counts = np.frombuffer(row["counts"], np.int32).astype(np.float64)
         weight = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         self.impacts = counts * (K1 + 1) / (counts + weight[self.docs])
+        self.light = self.impacts.astype(np.float32)
+        self.most = np.maximum.reduceat(self.impacts, self.starts[:-1]) if len(self.terms) else np.empty(0)
         self.blocks = -(-len(self.ids) // BLOCK)
         sizes = np.diff(self.starts)
+        # Postings in order of (term, document), to find those of single documents.
+        self.places = np.repeat(np.arange(len(self.terms)), sizes) * len(self.ids) + self.docs
         frequent = np.flatnonzero(sizes >= max(len(self.ids) * FREQUENT, BLOCK))
         frequent = frequent[np.argsort(-sizes[frequent], kind="stable")[:MOST]]
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        self.matrix = np.zeros((self.blocks * BLOCK, len(frequent)))
+        self.matrix = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
         at, n = _spread(self.starts[frequent], self.starts[frequent + 1])
-        self.matrix[self.docs[at], np.repeat(np.arange(len(frequent)), n)] = self.impacts[at]
+        self.matrix[self.docs[at], np.repeat(np.arange(len(frequent)), n)] = self.light[at]
         self.block_max = self.matrix.reshape(self.blocks, BLOCK, len(frequent)).max(1)
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best documents that reach the floor, ties by the smaller id."""
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """The number of each term in the shard, -1 for others."""
         at = np.searchsorted(self.terms, terms)
-        here = at < len(self.terms)
-        here[here] = self.terms[at[here]] == terms[here]
-        at, weights = at[here], weights[here]
-        column = self.column[at]
+        at[at == len(self.terms)] = 0
+        return np.where(self.terms[at] == terms, at, -1) if len(self.terms) else np.full(len(terms), -1)
+
+    def reach(self, at: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Bound of all documents of the shard, for each of the queries whose terms begin at first."""
+        return np.add.reduceat(np.where(at >= 0, self.most[at] * weights, 0), first) if len(self.terms) else np.zeros(len(first))
+
+    def best(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best documents that reach the floor, ties by the smaller id; at: the numbers of the query's terms."""
+        here = np.flatnonzero(at >= 0)
+        column = self.column[at[here]]
         frequent = column >= 0
-        own = np.zeros(self.matrix.shape[1])
-        own[column[frequent]] = weights[frequent]
-        rare = at[~frequent]
+        own = np.zeros(self.matrix.shape[1], np.float32)
+        own[column[frequent]] = weights[here[frequent]]
+        rare = at[here[~frequent]]
         lists, n = _spread(self.starts[rare], self.starts[rare + 1])
-        exact = np.bincount(self.docs[lists], self.impacts[lists] * np.repeat(weights[~frequent], n), self.blocks * BLOCK)
-        bound = exact.reshape(self.blocks, BLOCK) + (self.block_max @ own)[:, None]
-        top = bound.max(1)
-        least = floor
-        if self.blocks > FIRST:
-            first = np.argpartition(-top, FIRST - 1)[:FIRST]
-            docs = (first[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            seen = np.round(exact[docs] + self.matrix[docs] @ own, PLACES)
-            if len(seen) >= k:
-                least = max(least, float(np.partition(seen, len(seen) - k)[len(seen) - k]))
-        blocks = np.flatnonzero((top + 1e-5 >= least) & (top > 0))
-        docs = blocks[:, None] * BLOCK + np.arange(BLOCK)
-        docs = docs[bound[blocks] + 1e-5 >= least]
-        docs = docs[docs < len(self.ids)]
-        scores = np.round(exact[docs] + self.matrix[docs] @ own, PLACES)
-        found = np.flatnonzero((scores > 0) & (scores >= least))
-        order = found[np.lexsort((self.ids[docs[found]], -scores[found]))[:k]]
-        return self.ids[docs[order]], scores[order]
+        exact = np.bincount(self.docs[lists], self.light[lists] * np.repeat(weights[here[~frequent]], n), self.blocks * BLOCK).astype(np.float32)
+        bound = self.block_max @ own + exact.reshape(self.blocks, BLOCK).max(1)
+        order = np.argsort(-bound)
+        slack = ERROR * (1 + float(bound[order[0]]))
+        least, done, docs, scores = floor, 0, [], []
+        while done < self.blocks:
+            stop = done + max(STEP, done)  # twice as many with each step
+            ahead = order[done:stop]
+            ahead = ahead[(bound[ahead] + slack >= least) & (bound[ahead] > 0)]
+            if not len(ahead):
+                break
+            rows = (ahead[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            docs.append(rows)
+            scores.append(exact[rows] + self.matrix[rows] @ own)
+            if len(ahead) < stop - done:
+                break
+            if len(rows) >= k:
+                every = np.concatenate(scores)
+                least = max(least, float(np.partition(every, len(every) - k)[len(every) - k]) - slack)
+            done = stop
+        if not docs:
+            return np.empty(0, np.int64), np.empty(0)
+        rows, light = np.concatenate(docs), np.concatenate(scores)
+        if len(light) >= k:
+            least = max(floor, float(np.partition(light, len(light) - k)[len(light) - k]) - slack)
+        rows = rows[(light + slack >= least) & (light > 0)]
+        rows = rows[rows < len(self.ids)]
+        scores = self.score(rows, at, weights)
+        found = np.flatnonzero((scores > 0) & (scores >= floor))
+        best = found[np.lexsort((self.ids[rows[found]], -scores[found]))[:k]]
+        return self.ids[rows[best]], scores[best]
+
+    def score(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of single documents: all terms of the query in its order, 0 for what is missing, so that the sum is the same in any shard."""
+        if not len(docs) or not len(self.places):
+            return np.zeros(len(docs))
+        wanted = at[None, :] * len(self.ids) + docs[:, None]
+        place = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
+        known = (at >= 0)[None, :] & (self.places[place] == wanted)
+        return np.where(known, self.impacts[place] * weights[None, :], 0.0).sum(1)
 
 
 def _spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +231,12 @@ def _query_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for shard_terms, starts, wanted in zip(batch["terms"], batch["starts"], batch["wanted"]):
-            terms, starts = np.frombuffer(shard_terms, np.int64), np.frombuffer(starts, np.int32)
+            terms, starts = np.frombuffer(shard_terms, np.int64), np.frombuffer(starts, np.int64)
             wanted = np.sort(np.asarray(wanted, np.int64))
             at = np.searchsorted(terms, wanted)
             here = at < len(terms)
             here[here] = terms[at[here]] == wanted[here]
-            yield pd.DataFrame({"term": wanted[here], "n": starts[at[here] + 1].astype(np.int64) - starts[at[here]]})
+            yield pd.DataFrame({"term": wanted[here], "n": starts[at[here] + 1] - starts[at[here]]})
 
 
 def _bundle(rows: pd.DataFrame) -> pd.DataFrame:
@@ -192,64 +245,71 @@ def _bundle(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col="text") -> DataFrame:
-    """query_id, rank, doc_id, score: the k best documents for each row of queries (id, whole text as a bag of words).
+    """query_id, rank, doc_id, score: the k best documents for each row of queries (id, whole text as its set of words).
 
     Ties go to the smaller id. A query without words, or whose words no document has, gets
     no rows; a query that is a document itself finds itself too. Null ids are left out.
+    Of the texts of a repeated query id the smallest counts; documents of one id are found
+    each for itself.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     shards = cut(build_shards(docs, id_col, text_col))
-    # A row holds a whole shard: few at a time.
-    stats = shards.agg(F.sum(F.octet_length("ids") / 8).alias("n")).first()
+    stats = shards.agg(F.count("*").alias("shards"), F.sum(F.octet_length("ids") / 8).alias("n")).first()
     n_docs = int(stats.n or 0)
     total = shards.select("lengths").mapInPandas(_lengths, "total long").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t
     mean = total / n_docs if n_docs else 0.0
-    own = queries.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["_id"])
+    own = queries.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL AND text IS NOT NULL").groupBy("_id").agg(F.min("text").alias("text"))
     asked = cut(own.mapInPandas(_query_terms, "query_id long, term long"))
     distinct = asked.select("term").distinct()
     sizes = asked.agg(F.count_distinct("query_id").alias("q"), F.approx_count_distinct("term").alias("t")).first()
     term_parts, bundle_parts = max(1, -(-sizes.t // TERMS)), max(1, -(-sizes.q // QUERIES))
     term_blocks = distinct.groupBy(F.pmod("term", F.lit(term_parts)).alias("_b")).agg(F.collect_list("term").alias("wanted")).drop("_b").coalesce(term_parts)
-    df = shards.select("terms", "starts").crossJoin(term_blocks).mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    df = shards.select("terms", "starts").crossJoin(cut(term_blocks)).mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     weight = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = cut(asked.join(df, "term").select("query_id", "term", weight.alias("weight"), F.pmod(F.xxhash64("query_id"), F.lit(bundle_parts)).alias("_b")))
 
+    @releasing
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[bytes, Shard] | None = None
         for batch in batches:
             for row in batch.to_dict("records"):
                 if held is None or held[0] != row["ids"]:
+                    held = None
                     held = (row["ids"], Shard(row, mean))
+                shard = held[1]
                 ids, terms, weights, floors = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("wanted", np.int64), ("weights", np.float64), ("floors", np.float64)))
                 first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                out: list[tuple[np.ndarray, ...]] = []
-                for a, b in zip(first, np.append(first[1:], len(ids))):
-                    hits, scores = held[1].best(terms[a:b], weights[a:b], k, floors[a])
-                    out.append((np.full(len(hits), ids[a]), hits, scores))
+                at = shard.find(terms)
+                reach = shard.reach(at, weights, first)
+                out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+                for a, b, most in zip(first, np.append(first[1:], len(ids)), reach):
+                    if most > 0 and most * (1 + ERROR) >= floors[a]:
+                        hits, scores = shard.best(at[a:b], weights[a:b], k, floors[a])
+                        out.append((np.full(len(hits), ids[a]), hits, scores))
                 yield pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "doc_id", "score"))})
 
     def round_of(part: DataFrame, floors: DataFrame | None) -> DataFrame:
-        """The best documents of some shards, above the floors of the queries; a row holds a whole shard, so few at a time."""
+        """The best documents of some shards, above the floors of the queries."""
         rows = weighted.withColumn("floor", F.lit(0.0)) if floors is None else weighted.join(floors, "query_id", "left").fillna(0.0, ["floor"])
-        bundles = rows.groupBy("_b").applyInPandas(_bundle, "queries binary, wanted binary, weights binary, floors binary").coalesce(bundle_parts)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
-        found = cut(part.crossJoin(cut(bundles)).mapInPandas(search, "query_id long, doc_id long, score double"))
-        bounded_batches(spark)
-        return found
+        bundles = cut(rows.groupBy("_b").applyInPandas(_bundle, "queries binary, wanted binary, weights binary, floors binary"))
+        return cut(part.crossJoin(bundles).mapInPandas(search, "query_id long, doc_id long, score double"))
 
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    n_shards = shards.count()
-    early = F.pmod(F.xxhash64("ids"), F.lit(max(1, math.isqrt(n_shards)))) == 0
-    found = round_of(shards.filter(early), None)
+    # Numbers of the shards by kind of document: a few bytes for each shard, which holds thousands of documents.
+    kinds = shards.select(F.xxhash64("ids").alias("shard"), F.row_number().over(Window.orderBy("lead", F.xxhash64("ids"))).alias("nth"))
+    step = max(1, math.isqrt(stats.shards))
+    early = cut(kinds.filter(F.col("nth") % step == 0).select("shard"))
+    named = shards.withColumn("shard", F.xxhash64("ids"))
+    found = round_of(named.join(F.broadcast(early), "shard", "left_semi").drop("shard"), None)
     kth = found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    found = found.unionByName(round_of(shards.filter(~early), kth))
+    found = found.unionByName(round_of(named.join(F.broadcast(early), "shard", "left_anti").drop("shard"), kth))
     return found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        yield pd.DataFrame({"total": [int(np.frombuffer(x, np.int32).astype(np.int64).sum()) for x in batch["lengths"]]})
+        yield pd.DataFrame({"total": [int(np.frombuffer(x, np.int64).sum()) for x in batch["lengths"]]})
 
 
 def op6_search(spark, sf_dir):
