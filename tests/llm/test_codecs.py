@@ -326,21 +326,24 @@ def test_search(make, rng, monkeypatch):
 def test_pruned_shard_equals_full_scores():
     rng = random.Random(9)
     found = [search.terms_of(prose(rng, rng.randint(5, 80), "abcd")) for _ in range(2000)]
-    row = search._pack(list(range(2000)), found)
-    shard = search.Shard(row, 40.0)
-    for q in range(0, 2000, 97):
-        terms = found[q][0]
-        weights = np.linspace(0.5, 3, len(terms))
-        at = shard.find(terms)
-        ids, scores = shard.best(at, weights, 10)
-        every = shard.score(np.arange(2000), at, weights)
+    shard = search.Shard(search._pack(list(range(2000)), found), 40.0)
+    asked = [found[q][0] for q in range(0, 2000, 13)]
+    terms, weights = np.concatenate(asked), np.concatenate([np.linspace(0.5, 3, len(t)) for t in asked])
+    first = np.cumsum([0, *map(len, asked)])[:-1]
+    every = {}
+    for q, own in enumerate(asked):
+        at = shard.find(own)
         lists, n = search._spread(shard.starts[at], shard.starts[at + 1])
-        assert np.allclose(every, np.bincount(shard.docs[lists], shard.impacts[lists] * np.repeat(weights, n), 2000))
-        want = sorted(range(2000), key=lambda i: (-every[i], shard.ids[i]))[:10]
-        assert ids.tolist() == shard.ids[want].tolist() and scores.tolist() == every[want].tolist()
-        assert shard.reach(at, weights, np.array([0]))[0] >= scores[0]
-        above, _ = shard.best(at, weights, 10, floor=float(scores[4]))
-        assert above.tolist() == ids[: len(above)].tolist() and len(above) >= 5
+        every[q] = np.bincount(shard.docs[lists], shard.impacts[lists] * np.repeat(np.linspace(0.5, 3, len(own)), n), 2000)
+    got = {q: (ids, scores) for q, ids, scores in shard.best(terms, weights, first, np.zeros(len(asked)), 10)}
+    for q, scores in every.items():
+        want = sorted(range(2000), key=lambda i: (-round(scores[i], 9), i))[:10]
+        assert got[q][0].tolist() == want and np.allclose(got[q][1], scores[want])
+    assert (shard.reach(shard.find(terms), weights, first) >= [got[q][1][0] for q in range(len(asked))]).all()
+    floors = np.array([got[q][1][4] for q in range(len(asked))])
+    for q, ids, scores in shard.best(terms, weights, first, floors, 10):
+        assert ids.tolist() == got[q][0][: len(ids)].tolist() and len(ids) >= 5
+    assert not shard.best(terms, weights, first, np.full(len(asked), 1e9), 10)
 
 
 def test_search_over_many_shards(make, rng, monkeypatch):

@@ -8,12 +8,12 @@ For each query the largest impact of each of its terms in a shard bounds what th
 documents can reach; a shard below the query's floor is left at once. Within a shard the
 short lists of rare terms are read; for frequent terms, whose lists make up most of
 the index, the largest impact in each block is known, and the sum of these bounds a block.
-Blocks are scored in order of their bounds, and the threshold, the k-th best score so far,
-rises, until the next block's bound is below it. As in WAND, what can't pass the threshold
-by its maxima is skipped unread; but the order is that of the bounds, not of document
-numbers, and moving one cursor at a time is replaced by steps over whole arrays. Bounds
-and first scores are in single precision and allow for its error; what passes is scored
-again in double precision, in one order of terms, so equal documents tie exactly.
+Alike queries, those with the same best block, are taken GROUP at a time. Their best blocks
+are scored first, which raises each query's threshold, the k-th best score so far; then
+the blocks whose bound reaches the threshold of any of them. As in WAND, what can't pass by
+its maxima is skipped unread; but the order is that of the bounds, not of document
+numbers, and moving one cursor at a time is replaced by products of whole arrays. What
+passes is scored again in one order of terms, so equal documents tie exactly.
 
 The shards are searched in two rounds: about the square root of their number first, evenly
 over the kinds of documents, whose k-th best score is the floor for all others.
@@ -40,12 +40,12 @@ from verilake.llm.common import bounded_batches, cut, releasing, table
 K1, B, TOP = 1.2, 0.75, 10
 #: Bounds of a shard, in documents and postings; documents of a block; queries that meet a shard at once; terms whose frequencies are looked up at once.
 SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 8192, 4_000_000, 16, 1024, 50_000
-#: Blocks that are scored before the threshold is set again; a frequent term's share of a shard, and how many there are at most.
-STEP, FREQUENT, MOST = 8, 1 / 32, 256
+#: Queries that are searched together, and blocks of each that are scored first; a frequent term's share of a shard, and how many there are at most.
+GROUP, FIRST, FREQUENT, MOST = 64, 2, 1 / 32, 256
 #: Parts that the documents of one leading term are dealt to.
 SALT = 16
-#: Relative error of sums in single precision, with a margin; terms whose hashes a worker keeps while it runs a task.
-ERROR, CACHE = 1e-4, 200_000
+#: Relative error of sums in another order, with a margin; terms whose hashes a worker keeps while it runs a task.
+ERROR, CACHE = 1e-9, 200_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -139,19 +139,16 @@ class Shard:
         counts = np.frombuffer(row["counts"], np.int32).astype(np.float64)
         weight = K1 * (1 - B + B * lengths / max(mean_length, 1e-9))
         self.impacts = counts * (K1 + 1) / (counts + weight[self.docs])
-        self.light = self.impacts.astype(np.float32)
         self.most = np.maximum.reduceat(self.impacts, self.starts[:-1]) if len(self.terms) else np.empty(0)
         self.blocks = -(-len(self.ids) // BLOCK)
         sizes = np.diff(self.starts)
-        # Postings in order of (term, document), to find those of single documents.
-        self.places = np.repeat(np.arange(len(self.terms)), sizes) * len(self.ids) + self.docs
         frequent = np.flatnonzero(sizes >= max(len(self.ids) * FREQUENT, BLOCK))
         frequent = frequent[np.argsort(-sizes[frequent], kind="stable")[:MOST]]
         self.column = np.full(len(self.terms), -1, np.int32)
         self.column[frequent] = np.arange(len(frequent))
-        self.matrix = np.zeros((self.blocks * BLOCK, len(frequent)), np.float32)
+        self.matrix = np.zeros((self.blocks * BLOCK, len(frequent)))
         at, n = _spread(self.starts[frequent], self.starts[frequent + 1])
-        self.matrix[self.docs[at], np.repeat(np.arange(len(frequent)), n)] = self.light[at]
+        self.matrix[self.docs[at], np.repeat(np.arange(len(frequent)), n)] = self.impacts[at]
         self.block_max = self.matrix.reshape(self.blocks, BLOCK, len(frequent)).max(1)
 
     def find(self, terms: np.ndarray) -> np.ndarray:
@@ -164,55 +161,77 @@ class Shard:
         """Bound of all documents of the shard, for each of the queries whose terms begin at first."""
         return np.add.reduceat(np.where(at >= 0, self.most[at] * weights, 0), first) if len(self.terms) else np.zeros(len(first))
 
-    def best(self, at: np.ndarray, weights: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best documents that reach the floor, ties by the smaller id; at: the numbers of the query's terms."""
-        here = np.flatnonzero(at >= 0)
-        column = self.column[at[here]]
-        frequent = column >= 0
-        own = np.zeros(self.matrix.shape[1], np.float32)
-        own[column[frequent]] = weights[here[frequent]]
-        rare = at[here[~frequent]]
-        lists, n = _spread(self.starts[rare], self.starts[rare + 1])
-        exact = np.bincount(self.docs[lists], self.light[lists] * np.repeat(weights[here[~frequent]], n), self.blocks * BLOCK).astype(np.float32)
-        bound = self.block_max @ own + exact.reshape(self.blocks, BLOCK).max(1)
-        order = np.argsort(-bound)
-        slack = ERROR * (1 + float(bound[order[0]]))
-        least, done, docs, scores = floor, 0, [], []
-        while done < self.blocks:
-            stop = done + max(STEP, done)  # twice as many with each step
-            ahead = order[done:stop]
-            ahead = ahead[(bound[ahead] + slack >= least) & (bound[ahead] > 0)]
-            if not len(ahead):
-                break
-            rows = (ahead[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            docs.append(rows)
-            scores.append(exact[rows] + self.matrix[rows] @ own)
-            if len(ahead) < stop - done:
-                break
-            if len(rows) >= k:
-                every = np.concatenate(scores)
-                least = max(least, float(np.partition(every, len(every) - k)[len(every) - k]) - slack)
-            done = stop
-        if not docs:
-            return np.empty(0, np.int64), np.empty(0)
-        rows, light = np.concatenate(docs), np.concatenate(scores)
-        if len(light) >= k:
-            least = max(floor, float(np.partition(light, len(light) - k)[len(light) - k]) - slack)
-        rows = rows[(light + slack >= least) & (light > 0)]
+    def best(self, terms: np.ndarray, weights: np.ndarray, first: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the query, ids, scores): the k best documents that reach its floor, ties by the smaller id, of each query; its terms begin at first."""
+        at = self.find(terms)
+        ends = np.append(first[1:], len(terms))
+        reach = self.reach(at, weights, first)
+        open_ = np.flatnonzero((reach > 0) & (reach * (1 + ERROR) >= floors))
+        if not len(open_):
+            return []
+        owner = np.repeat(np.arange(len(first)), ends - first)
+        column = np.where(at >= 0, self.column[at], -1)
+        dense = np.zeros((self.matrix.shape[1], len(first)))
+        often = column >= 0
+        dense[column[often], owner[often]] = weights[often]
+        bounds = self.block_max @ dense
+        open_ = open_[np.argsort(bounds[:, open_].argmax(0), kind="stable")]
+        found = []
+        for start in range(0, len(open_), GROUP):
+            group = open_[start : start + GROUP]
+            lists = []
+            rare = np.zeros((len(group), self.blocks * BLOCK))
+            for n, q in enumerate(group):
+                own = np.flatnonzero((at[first[q] : ends[q]] >= 0) & ~often[first[q] : ends[q]]) + first[q]
+                place, sizes = _spread(self.starts[at[own]], self.starts[at[own] + 1])
+                lists.append((own - first[q], place, sizes))
+                rare[n] = np.bincount(self.docs[place], self.impacts[place] * np.repeat(weights[own], sizes), self.blocks * BLOCK)
+            bound = bounds[:, group] + rare.reshape(len(group), self.blocks, BLOCK).max(2).T
+            least = floors[group]
+            slack = ERROR * (1 + bound.max(0))
+            ahead = np.unique(np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=0)[:FIRST])
+            rows, scores = self._scored(ahead, dense[:, group], rare)
+            least = self._raised(least, scores, k, slack)
+            more = (bound + slack >= least).any(1)
+            more[ahead] = False
+            rest, others = self._scored(np.flatnonzero(more), dense[:, group], rare)
+            rows, scores = np.concatenate([rows, rest]), np.concatenate([scores, others])
+            least = self._raised(least, scores, k, slack)
+            passed = (scores + slack >= least) & (scores > 0)
+            for n, q in enumerate(group):
+                docs = rows[passed[:, n]]
+                if len(docs):
+                    exact = self.score(docs, at[first[q] : ends[q]], weights[first[q] : ends[q]], lists[n])
+                    good = np.flatnonzero(exact >= floors[q])
+                    order = good[np.lexsort((self.ids[docs[good]], -exact[good]))[:k]]
+                    found.append((int(q), self.ids[docs[order]], exact[order]))
+        return found
+
+    def _scored(self, blocks: np.ndarray, dense: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents of blocks and their scores, a column for each query."""
+        rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
         rows = rows[rows < len(self.ids)]
-        scores = self.score(rows, at, weights)
-        found = np.flatnonzero((scores > 0) & (scores >= floor))
-        best = found[np.lexsort((self.ids[rows[found]], -scores[found]))[:k]]
-        return self.ids[rows[best]], scores[best]
-
-    def score(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of single documents: all terms of the query in its order, 0 for what is missing, so that the sum is the same in any shard."""
-        if not len(docs) or not len(self.places):
-            return np.zeros(len(docs))
-        wanted = at[None, :] * len(self.ids) + docs[:, None]
-        place = np.minimum(np.searchsorted(self.places, wanted), len(self.places) - 1)
-        known = (at >= 0)[None, :] & (self.places[place] == wanted)
-        return np.where(known, self.impacts[place] * weights[None, :], 0.0).sum(1)
+        return rows, self.matrix[rows] @ dense + rare[:, rows].T
+
+    @staticmethod
+    def _raised(least: np.ndarray, scores: np.ndarray, k: int, slack: np.ndarray) -> np.ndarray:
+        if len(scores) < k:
+            return least
+        return np.maximum(least, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] - slack)
+
+    def score(self, docs: np.ndarray, at: np.ndarray, weights: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """Scores of single documents: all terms of the query in its order, 0 for what is missing, so that the sum is the same in any shard. lists: the rare terms, and their postings."""
+        every = np.zeros((len(docs), len(at)))
+        column = np.where(at >= 0, self.column[at], -1)
+        often = np.flatnonzero(column >= 0)
+        every[:, often] = self.matrix[docs[:, None], column[often]]
+        rare, place, sizes = lists
+        number = np.full(self.blocks * BLOCK, -1)
+        number[docs] = np.arange(len(docs))
+        hit = number[self.docs[place]]
+        own = hit >= 0
+        every[hit[own], np.repeat(rare, sizes)[own]] = self.impacts[place[own]]
+        return (every * weights).sum(1)
 
 
 def _spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,13 +299,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
                 shard = held[1]
                 ids, terms, weights, floors = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("wanted", np.int64), ("weights", np.float64), ("floors", np.float64)))
                 first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                at = shard.find(terms)
-                reach = shard.reach(at, weights, first)
-                out: list[tuple[np.ndarray, ...]] = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-                for a, b, most in zip(first, np.append(first[1:], len(ids)), reach):
-                    if most > 0 and most * (1 + ERROR) >= floors[a]:
-                        hits, scores = shard.best(at[a:b], weights[a:b], k, floors[a])
-                        out.append((np.full(len(hits), ids[a]), hits, scores))
+                out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+                out += [(np.full(len(hits), ids[first[q]]), hits, scores) for q, hits, scores in shard.best(terms, weights, first, floors[first], k)]
                 yield pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "doc_id", "score"))})
 
     def round_of(part: DataFrame, floors: DataFrame | None) -> DataFrame:
