@@ -76,6 +76,25 @@ def drop(*tables: DataFrame) -> None:
         hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Bits of the filter that may_be_in sends along: at most 1024 bitmaps of 4 KB, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def may_be_in(df: DataFrame, column: str, keys: DataFrame, flag: str) -> DataFrame:
+    """df with a boolean flag: false only where the hash in column isn't among the long hashes of keys (one column).
+
+    The bitmaps have a fixed size, so they can be broadcast. With very many keys most
+    bits are set and the flag tells little; it spares work, and a join must follow.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER_BITS))
+    (name,) = keys.columns
+    bits = keys.select(place(name).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("_bits"))
+    joined = df.join(F.broadcast(bits), F.bitmap_bucket_number(place(column)) == F.col("_bucket"), "left")
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn(flag, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
 def held_out(doc_id) -> F.Column:
     """Rows kept from training: crc32 of the id as text, modulo 5, is 0 (null ids: 0 as well)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, drop, releasing, table
+from verilake.llm.common import bounded_batches, cut, drop, may_be_in, releasing, table
 from verilake.llm.suffixes import clear_hashes, rolling, word_hashes
 
 SHINGLE, SEED, BITS = 3, 42, 64
@@ -164,7 +164,7 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([*map(set_similarity, a, b)], dtype="float64")
 
 
-def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY, only: DataFrame | None = None) -> DataFrame:
+def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """src, dst: links of rows whose sets of five-word shingles have a similarity of 0.8 or more; src is the larger id.
 
     The components of the links are those of all such pairs. Rows of one set are a class and
@@ -176,10 +176,12 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     shingles come from a share of the rows, which changes the cost, not the result.
 
     A shingle of the prefixes is looked at further only if several classes have it; a
-    class's entries are narrow rows, written once.
+    class's entries are narrow rows, written once. Before the full sets are fetched, the
+    shingles that two prefixes have in common are counted: beyond its prefix a set has
+    0.8 n - 1 more at most, so similar sets share nearly half of their prefixes.
 
     Rows with a null id, and texts without words, have no links; of repeated ids all texts
-    count. With only (a column _id) other ids are left out.
+    count.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -206,8 +208,6 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
                 yield pd.DataFrame({"_id": np.repeat(ids, k), "_class": np.repeat(classes, k), "_n": np.repeat(n, k).astype(np.int32), "_at": at.astype(np.int32), "_token": np.concatenate(tokens).view(np.int64)})
         clear_hashes()
 
-    if only is not None:
-        own = own.join(only.select("_id"), "_id", "left_semi")
     entries = cut(own.mapInPandas(prefixes, "_id long, _class long, _n int, _at int, _token long"))
     ids = entries.filter("_at = 0").select("_id", "_class")
     names = cut(ids.groupBy("_class").agg(F.min("_id").alias("_first")))
@@ -227,18 +227,25 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs of classes (a, b) that are similar by their full sets."""
         pairs = cut(pairs.distinct())
+        end = lambda name: cells.select(F.col("_class").alias(name), "_token", F.col("_n").alias(f"n_{name}"))
+        common = pairs.join(end("a"), "a").join(end("b"), ["b", "_token"]).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+        beyond = lambda c: F.ceil(similarity * F.col(c) - 1e-9) - 1
+        pairs = cut(common.filter(F.col("k") + F.greatest(beyond("n_a"), beyond("n_b")) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b"))
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct().join(names, "_class"))
-        found = own.join(wanted.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi").mapInPandas(_sets, "_class long, _set binary")
+        rows = may_be_in(own.withColumn("_key", F.xxhash64("_id")), "_key", wanted.select(F.xxhash64("_first").alias("_key")), "_maybe")
+        found = rows.filter("_maybe").select("text").mapInPandas(_sets, "_class long, _set binary")
         sets = cut(found.join(wanted, "_class", "left_semi").dropDuplicates(["_class"]))
         both = pairs.join(sets.select(F.col("_class").alias("a"), F.col("_set").alias("_x")), "a").join(sets.select(F.col("_class").alias("b"), F.col("_set").alias("_y")), "b")
-        return cut(both.withColumn("_s", F.pandas_udf(_similar, "double")("_x", "_y")).filter(F.col("_s") >= similarity).select("a", "b"))
+        made = cut(both.withColumn("_s", F.pandas_udf(_similar, "double")("_x", "_y")).filter(F.col("_s") >= similarity).select("a", "b"))
+        drop(sets)
+        return made
 
     heads = side(cells.filter("_class = _head"), 1).join(side(cells.filter("_class <> _head"), 2), "_token").filter(fits)
     linked = alike(heads.select(F.col("_class1").alias("a"), F.col("_class2").alias("b")))
     roots = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     placed = cells.join(roots, F.col("_class") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("node", "root")
     mixed = placed.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_token")
-    rest = cut(placed.filter("_class <> _head").join(mixed, "_token", "left_semi").drop("_head"))
+    rest = cut(placed.join(mixed, "_token", "left_semi").drop("_head"))
     others = side(rest, 1).join(side(rest, 2), "_token").filter((F.col("_class1") < F.col("_class2")) & (F.col("_root1") != F.col("_root2")) & fits)
     linked = linked.unionByName(alike(others.select(F.col("_class1").alias("a"), F.col("_class2").alias("b"))))
 
@@ -249,27 +256,32 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text", similarity: float | None = SIMILARITY) -> DataFrame:
     """One row of docs for each group: that of the smallest id, null ids last; of equal ids that of the smallest hash of id and text.
 
-    Groups are the components of near_duplicates and, unless similarity is None, those that
-    similar_links makes among their first rows. Rows are told apart by id and text, so
-    texts of one id, or without an id, go only where their own text has a kept copy.
+    Groups are the components of all links: of close fingerprints, as in near_duplicates, and,
+    unless similarity is None, of similar texts. Rows are told apart by id and text, so
+    texts of one id, or without an id, go only where their own text has a kept copy. All
+    columns stay as they are, whatever their names.
     """
     rows = docs.select(F.struct(*docs.columns).alias("all"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_row"))
     order = F.struct(F.col("id").isNull().alias("late"), "id", F.col("_row").alias("row"))
-    found = near_duplicates(rows.select(order.alias("_order"), "text"), "_order", "text")
-    kept = cut(found.filter(F.col("_order").eqNullSafe(F.col("component_id"))).select("_order").distinct())
+    prints = cut(fingerprints(rows.select("text", order.alias("_order")), "_order", "text"))
+    near = components(ball_links(prints.select("_print").distinct()))
+    placed = cut(prints.join(near, F.col("_print") == F.col("node"), "left").select(F.col("_id").alias("_order"), F.coalesce("root", "_print").alias("_group")))
     if similarity is not None:
-        again = components(similar_links(rows, "_row", "text", similarity, kept.select(F.col("_order.row").alias("_id"))))
-        members = again.unionByName(again.select(F.col("root").alias("node"), "root").distinct()).distinct()
-        ordered = cut(members.join(kept, F.col("node") == F.col("_order.row")))
-        first = cut(ordered.groupBy("root").agg(F.min("_order").alias("_first")))
-        lost = ordered.join(first, "root").filter(F.col("node") != F.col("_first.row")).select("node")
-        kept = kept.join(lost, F.col("_order.row") == F.col("node"), "left_anti")
-    kept = cut(kept.select(F.col("_order.row").alias("_row")))
-    # Only rows that are equal in id and text are left to thin out.
-    repeated = cut(rows.groupBy("_row").agg(F.count("*").alias("_n")).filter("_n > 1").select("_row"))
-    left = rows.join(kept, "_row", "left_semi")
-    once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return left.join(repeated, "_row", "left_anti").unionByName(once).select("all.*")
+        # Links between rows become links between the groups that these have by their fingerprints.
+        group = lambda name, to: placed.select(F.col("_order.row").alias(name), F.col("_group").alias(to)).distinct()
+        edges = similar_links(rows, "_row", "text", similarity).join(group("src", "a"), "src").join(group("dst", "b"), "dst")
+        wider = components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).filter("src <> dst").distinct())
+        placed = cut(placed.join(wider, F.col("_group") == F.col("node"), "left").select("_order", F.coalesce("root", "_group").alias("_group")))
+    first = cut(placed.groupBy("_group").agg(F.min("_order").alias("_first")))
+    lost = placed.join(first, "_group").filter(F.col("_order") != F.col("_first")).select(F.col("_order.row").alias("_row")).distinct()
+    repeated = placed.groupBy(F.col("_order.row").alias("_row")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_row")
+    # Few rows are lost or repeated; only those that may be among them are shuffled with their texts.
+    marked = cut(lost.withColumn("_lost", F.lit(True)).unionByName(repeated.withColumn("_lost", F.lit(False))).groupBy("_row").agg(F.max("_lost").alias("_lost")))
+    asked = may_be_in(rows.select("all", "_row"), "_row", marked.select("_row"), "_maybe")
+    sure = asked.filter("NOT _maybe").select("all", "_row")
+    judged = asked.filter("_maybe").select("all", "_row").join(marked, "_row", "left")
+    once = judged.filter("NOT _lost").dropDuplicates(["_row"])
+    return sure.unionByName(judged.filter("_lost IS NULL").select("all", "_row")).unionByName(once.select("all", "_row")).select("all.*")
 
 
 def op10_simhash(spark, sf_dir):
