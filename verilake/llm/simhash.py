@@ -25,6 +25,8 @@ from verilake.llm.suffixes import clear_hashes, rolling, word_hashes
 SHINGLE, SEED, BITS = 3, 42, 64
 #: For similar texts: words of a shingle, least similarity, one in how many rows shows the hot shingles, and how many of these are sent to the workers.
 WIDE, SIMILARITY, SHARE, HOT = 5, 0.8, 16, 200_000
+#: Turns of comparing classes with the heads of their cells, and different orders of these in each.
+TURNS, ORDERS = 1, 3
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Hashes whose bits are counted at once.
@@ -170,8 +172,8 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     The components of the links are those of all such pairs. Rows of one set are a class and
     are linked to its smallest id. In the common order of rare_first two similar sets have
     a shingle of their prefixes in common (of a set of n the first n - ceil(0.8 n) + 1), so
-    the classes of a prefix shingle are compared: first all with the smallest one, then
-    each pair that isn't in one component yet. The lengths, and what can follow the places of
+    the classes of a prefix shingle are compared: first, in TURNS turns, each with a few heads,
+    then each pair that isn't in one component yet. The lengths, and what can follow the places of
     the shingle, rule pairs out without loss; the rest is judged by the full sets. The hot
     shingles come from a share of the rows, which changes the cost, not the result.
 
@@ -214,9 +216,12 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     same = ids.join(names, "_class").filter("_id <> _first").select(F.col("_id").alias("src"), F.col("_first").alias("dst")).distinct()
 
     # Most shingles of the prefixes are in one class only; what is left of them is written before the join, so that a hot one can be split.
-    shared = cut(entries.groupBy("_token").agg(F.min("_class").alias("_head"), F.max("_class").alias("_last")).filter("_head <> _last").drop("_last"))
+    shared = cut(entries.groupBy("_token").agg(F.min("_class").alias("_least"), F.max("_class").alias("_last")).filter("_least <> _last").select("_token"))
     cells = cut(entries.drop("_id").join(shared, "_token").distinct())
     drop(shared)
+    # How much a class shares: in a group of copies of one text, those that changed least share most, and most are similar to them.
+    size = cut(cells.groupBy("_token").agg(F.count("*").alias("_k")))
+    central = cut(cells.select("_class", "_token").join(size, "_token").groupBy("_class").agg(F.floor(8 * F.log2(F.sum("_k"))).alias("_level")))
 
     def side(rows: DataFrame, i: int) -> DataFrame:
         return rows.select("_token", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "_token"])
@@ -240,14 +245,27 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
         drop(sets)
         return made
 
-    heads = side(cells.filter("_class = _head"), 1).join(side(cells.filter("_class <> _head"), 2), "_token").filter(fits)
-    linked = alike(heads.select(F.col("_class1").alias("a"), F.col("_class2").alias("b")))
-    roots = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    placed = cells.join(roots, F.col("_class") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("node", "root")
-    mixed = placed.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_token")
-    rest = cut(placed.join(mixed, "_token", "left_semi").drop("_head"))
+    def at_heads(rows: DataFrame, turn: int) -> DataFrame:
+        """Each class with the head of its cells: one of those that share most, by a hash; cells have a few different orders, so that one class has several heads."""
+        order = F.struct(-F.col("_level"), F.xxhash64("_class", F.pmod("_token", F.lit(ORDERS)), F.lit(turn)))
+        heads = cut(rows.groupBy("_token").agg(F.min(F.struct(order.alias("o"), *[F.col(c) for c in rows.columns if c != "_token"])).alias("_h")))
+        heads = heads.select("_token", *[F.col(f"_h.{c}").alias(f"{c}1") for c in rows.columns if c != "_token"])
+        return heads.join(side(rows, 2), "_token").filter((F.col("_class1") != F.col("_class2")) & (F.col("_root1") != F.col("_root2")) & fits)
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("_class1", "_class2").alias("a"), F.greatest("_class1", "_class2").alias("b"))
+
+    linked, rest = None, cells.withColumn("_root", F.col("_class")).join(central, "_class")
+    for turn in range(TURNS):
+        more = alike(ordered(at_heads(rest, turn)))
+        linked = more if linked is None else linked.unionByName(more)
+        roots = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        placed = cells.join(roots, F.col("_class") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("node", "root")
+        # Only cells whose classes aren't all in one component by now have pairs left.
+        mixed = placed.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_token")
+        rest = cut(placed.join(mixed, "_token", "left_semi").join(central, "_class"))
     others = side(rest, 1).join(side(rest, 2), "_token").filter((F.col("_class1") < F.col("_class2")) & (F.col("_root1") != F.col("_root2")) & fits)
-    linked = linked.unionByName(alike(others.select(F.col("_class1").alias("a"), F.col("_class2").alias("b"))))
+    linked = linked.unionByName(alike(ordered(others)))
 
     named = linked.join(names.select(F.col("_class").alias("a"), F.col("_first").alias("x")), "a").join(names.select(F.col("_class").alias("b"), F.col("_first").alias("y")), "b")
     return same.unionByName(named.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).filter("src <> dst").distinct())
