@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verilake.functions import exprs
-from verilake.functions.redact import is_biometric_key, redacted, sanitized
+from verilake.functions.redact import is_biometric_key, redact_bytes, redact_fields, sanitize_result
 from verilake.operators import calibration, challenge, enroll, gates, pad, telemetry, windows
 from verilake.sources import files
 from verilake.streaming import streams
@@ -182,11 +182,14 @@ def test_expressions(spark):
     assert one(spark, exprs.client_ip(F.lit(" "), F.lit(" 1.1.1.1 , 2.2.2.2"), F.lit("h"))) == "1.1.1.1"
 
 
-def test_redaction():
+def test_redaction(spark):
     assert all(map(is_biometric_key, ("embedding", "EMBEDDING", "user_embedding", "face_crop_x")))
     assert not any(map(is_biometric_key, ("image_url", "align_crop_ms", "face_count")))
-    assert redacted({"a": {"embedding": [1, {"x": 2}]}, "n": 1}) == {"a": {"embedding": ["[REDACTED]", {"x": "[REDACTED]"}]}, "n": 1}
-    assert sanitized({"a": [{"timings": 1, "b": 2}], "error": 3}) == {"a": [{"b": 2}]}
+    changed = lambda f, doc: json.loads(one(spark, f(F.lit(json.dumps(doc)))))
+    assert changed(redact_fields, {"a": {"embedding": [1, {"x": 2}]}, "n": 1, "t": ["A" * 300]}) == {"a": {"embedding": ["[REDACTED]", {"x": "[REDACTED]"}]}, "n": 1, "t": ["[REDACTED:b64]"]}
+    assert changed(sanitize_result, {"a": [{"timings": 1, "b": 2}], "error": 3}) == {"a": [{"b": 2}]}
+    assert one(spark, redact_fields(F.lit("{broken"))) is None
+    assert [r.b for r in spark.createDataFrame([(b"abc",), (None,)], "x binary").select(redact_bytes("x").alias("b")).collect()] == ["[REDACTED:bytes:3]", None]
 
 
 def test_sources(spark, tmp_path):
@@ -235,3 +238,27 @@ def test_streams_match_batch(spark, tmp_path):
     got = {r.event_id: r.repeat for r in streams.available(streams.stream_anti_replay(live)).collect()}
     want = {r.event_id: r.repeat for r in windows.anchored_window_verdict(events, 10).collect()}
     assert got == want
+
+
+def test_sessions_without_signals_and_tables_without_rows(spark):
+    from verilake.operators import challenge, telemetry
+
+    schema = "challenge_id long, idx int, x1 double, y1 double, x2 double, y2 double, yaw double, pitch_signal double, ear double, mouth_width_ratio double, passive_score double"
+    frames = spark.createDataFrame([(1, i, 0.0, 0.0, 10.0, 10.0, None, None, None, None, None) for i in range(8)], schema)
+    asked = spark.createDataFrame([(1, ["blink"]), (2, ["nod"])], "challenge_id long, actions array<string>")
+    got = {r.challenge_id: (r.is_live, r.reason) for r in challenge.challenge_verdict(frames, asked).collect()}
+    assert got == {1: (False, "actions_incomplete:blink"), 2: (False, "too_few_frames")}
+    assert challenge.detect_actions(frames).collect()[0].blink is False
+    names = [c for c in frames.columns if c not in ("challenge_id", "idx")]
+    gathered = frames.groupBy("challenge_id").agg(F.sort_array(F.collect_list(F.struct("idx", *names))).alias("frames"))
+    made = challenge.session_verdict(F.col("frames"), F.array(F.lit("blink")))
+    assert gathered.select(*[c.alias(k) for k, c in made.items()]).first().reason == "actions_incomplete:blink"
+    none = telemetry.slo_summary(spark.createDataFrame([], "ok boolean, latency_ms double")).first()
+    assert none.n == 0 and none.error_rate is None
+
+
+def test_small_metric_values_are_read(spark):
+    from verilake.sources import files
+
+    lines = spark.createDataFrame([("m 2.5e-05",), ('h_bucket{le="0.1"} 3',)], "value string")
+    assert {(r.metric, r.le, r.value) for r in files.parse_metric_snapshots(lines).collect()} == {("m", None, 2.5e-05), ("h_bucket", 0.1, 3.0)}

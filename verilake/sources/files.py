@@ -127,33 +127,47 @@ def job_rows(payloads: DataFrame) -> DataFrame:
 def parse_metric_snapshots(lines: DataFrame, keys=()) -> DataFrame:
     """keys, metric, le, value from exposition text; le is null for plain values, +Inf is infinity; several label sets give the largest value."""
     v = F.col("value")
-    name, labels, number = (F.regexp_extract(v, r"^([A-Za-z_:][\w:]*)(?:\{([^}]*)\})? ([0-9.eE+]+)$", i) for i in (1, 2, 3))
+    name, labels, number = (F.regexp_extract(v, r"^([A-Za-z_:][\w:]*)(?:\{([^}]*)\})? ([0-9.eE+-]+)$", i) for i in (1, 2, 3))
     le = F.regexp_extract(labels, r'^le="([^"]+)"$', 1)
     bound = F.when(le == "+Inf", F.lit(float("inf"))).otherwise(le.try_cast("double"))
     rows = lines.select(*keys, name.alias("metric"), bound.alias("le"), number.try_cast("double").alias("value")).filter("metric <> '' AND value IS NOT NULL")
     return rows.groupBy(*keys, "metric", "le").agg(F.max("value").alias("value"))
 
 
+def _opened(text: str):
+    """The JSON inside a text, or None."""
+    if text.lstrip()[:1] not in ("{", "["):
+        return None
+    try:
+        return json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+
+
+def _number(value) -> float | None:
+    if isinstance(value, bool) or not isinstance(value, int | float | str):
+        return None
+    try:
+        return float(value)
+    except ValueError:
+        return None
+
+
 def stage_samples(obj, out: list[tuple[str, float]]) -> None:
-    """(stage, value) of every number under a stage's key, at any depth; JSON inside text is opened."""
-    if isinstance(obj, dict):
-        for key, value in obj.items():
-            stage = _STAGE.get(str(key).split(".")[-1])
-            if stage is None or isinstance(value, dict):
-                stage_samples(value, out)
-            elif isinstance(value, (int, float, str)) and not isinstance(value, bool):
-                try:
-                    out.append((stage, float(value)))
-                except ValueError:
-                    continue
-    elif isinstance(obj, list):
-        for item in obj:
-            stage_samples(item, out)
-    elif isinstance(obj, str) and obj.strip()[:1] in ("{", "["):
-        try:
-            stage_samples(json.loads(obj), out)
-        except (ValueError, RecursionError):
-            return
+    """(stage, value) of every number under a stage's key, at any depth, in document order; JSON inside text is opened."""
+    pending = [(None, obj)]  # (stage that the value is named by, value)
+    while pending:
+        stage, value = pending.pop()
+        if isinstance(value, dict):
+            pending += [(_STAGE.get(str(key).split(".")[-1]), inner) for key, inner in reversed(value.items())]
+        elif stage is not None:
+            number = _number(value)
+            if number is not None:
+                out.append((stage, number))
+        elif isinstance(value, list):
+            pending += [(None, inner) for inner in reversed(value)]
+        elif isinstance(value, str):
+            pending.append((None, _opened(value)))
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
