@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verilake.operators.recognition import auc, eer_point, ratio, roc_curve, roc_points, score_distribution, sweep_confusion
+from verilake.operators.recognition import curve_summary, ratio, roc_points, score_distribution, sweep_confusion
 
 #: The attack types that always appear, and the accuracy that is asked for.
 ATTACKS = ("print", "replay", "cutout")
@@ -49,7 +49,7 @@ def recommend_threshold_pad(frames: DataFrame, n=200, id_col="pair_id") -> DataF
     acer = (F.coalesce("apcer_max", F.lit(0.0)) + ratio(F.coalesce("fn", F.lit(0)), F.coalesce(F.col("fn") + F.col("tp"), F.lit(0)))) / 2
     best = by.select(acer.alias("acer"), "idx", "threshold").agg(F.min(F.struct("acer", "idx", "threshold")).alias("b")).select(F.col("b.threshold").alias("threshold"), F.col("b.acer").alias("acer"))
     points = roc_points(frames.withColumn("pair_id", F.col(id_col)))
-    return best.crossJoin(eer_point(roc_curve(points))).crossJoin(auc(points))
+    return best.crossJoin(curve_summary(points, {}))
 
 
 def video_scores(frames: DataFrame) -> DataFrame:

@@ -118,15 +118,48 @@ def eer_point(curve: DataFrame, slices=()) -> DataFrame:
     return curve.groupBy(*slices).agg(best.alias("b")).select(*slices, ((F.col("b.far") + F.col("b.frr")) / 2).alias("eer"), F.col("b.threshold").alias("eer_threshold"))
 
 
-def recommend_thresholds(scored: DataFrame, target=0.001, n=200) -> DataFrame:
-    """high at the target FAR, low at the first best F1 of n thresholds, margin and the EER threshold."""
-    curve = roc_curve(roc_points(scored))
-    high = tar_at_far(curve, target).select(F.col("tar_at_far_threshold").alias("high"))
+def curve_summary(points: DataFrame, targets: dict[str, float], slices=()) -> DataFrame:
+    """slices, auc, eer, eer_threshold and, for each of targets {name: FAR}, name and name_threshold: what auc, eer_point and tar_at_far give, by one aggregate over the points.
+
+    The curve's end points aren't made: they are compared with the best of the others.
+    """
+    far, tar = F.try_divide("fp", "neg"), F.try_divide("tp", "pos")
+    frr = 1 - tar
+    own = F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.struct(F.abs(far - frr).alias("d"), "idx", far.alias("far"), frr.alias("frr"), F.col("score").alias("threshold")))
+    area = F.try_divide(F.sum(F.when(F.col("label") != 1, F.col("tp")).otherwise(0)), F.max("pos") * F.max("neg"))
+    best = {name: F.max(F.when((F.col("pos") > 0) & (F.col("neg") > 0) & (far <= target), F.struct(tar.alias("tar"), F.col("score").alias("threshold")))).alias(f"_{name}") for name, target in targets.items()}
+    summed = points.groupBy(*slices).agg(F.max("score").alias("_hi"), F.min("score").alias("_lo"), F.count("*").alias("_n"), (F.min((F.col("pos") > 0) & (F.col("neg") > 0))).alias("_both"), area.alias("_area"), F.min(own).alias("_eer"), *best.values())
+    infinite = F.lit(float("inf"))
+    hi, lo = F.when(F.col("_both"), F.col("_hi") + 1).otherwise(infinite), F.when(F.col("_both"), F.col("_lo") - 1).otherwise(-infinite)
+    end = lambda idx, far, frr, at: F.struct(F.lit(1.0).alias("d"), idx.cast("long").alias("idx"), F.lit(far).alias("far"), F.lit(frr).alias("frr"), at.alias("threshold"))
+    eer = F.least(F.col("_eer"), end(F.lit(0), 0.0, 1.0, hi), end(F.col("_n") + 1, 1.0, 0.0, lo))
+    out = [F.when(F.col("_both"), F.col("_area")).otherwise(0.5).alias("auc"), ((eer["far"] + eer["frr"]) / 2).alias("eer"), eer["threshold"].alias("eer_threshold")]
+    for name, target in targets.items():
+        ends = [F.struct(F.lit(0.0).alias("tar"), hi.alias("threshold")), *([F.struct(F.lit(1.0).alias("tar"), lo.alias("threshold"))] if target >= 1 else [])]
+        top = F.greatest(F.col(f"_{name}"), *ends) if len(ends) else F.col(f"_{name}")
+        out += [top["tar"].alias(name), top["threshold"].alias(f"{name}_threshold")]
+    return summed.select(*slices, *out)
+
+
+def _target_name(target: float) -> str:
+    return "tar_at_far_" + f"{target:g}".replace(".", "_")
+
+
+def _best_f1(scored: DataFrame, n: int) -> DataFrame:
+    """low: the first of n thresholds with the best F1."""
     p, r = F.col("precision"), F.col("recall")
     f1 = sweep_confusion(scored, n).withColumn("f1", ratio(2 * p * r, p + r))
-    low = f1.agg(F.max(F.struct("f1", (-F.col("idx")).alias("first"), "threshold")).alias("b")).select(F.col("b.threshold").alias("low"))
-    joined = high.crossJoin(low).crossJoin(eer_point(curve))
-    return joined.withColumn("margin", F.greatest(F.lit(0.0), F.least(F.col("high") - F.col("low"), F.col("high"))))
+    return f1.agg(F.max(F.struct("f1", (-F.col("idx")).alias("first"), "threshold")).alias("b")).select(F.col("b.threshold").alias("low"))
+
+
+def recommend_thresholds(scored: DataFrame, target=0.001, n=200) -> DataFrame:
+    """high at the target FAR, low at the first best F1 of n thresholds, margin and the EER threshold."""
+    curve = curve_summary(roc_points(scored), {"t": target}).select(F.col("t_threshold").alias("high"), "eer", "eer_threshold")
+    return curve.crossJoin(_best_f1(scored, n)).select("high", "low", "eer", "eer_threshold", margin().alias("margin"))
+
+
+def margin() -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.col("high") - F.col("low"), F.col("high")))
 
 
 def score_distribution(scored: DataFrame, bins=50, lo=-1.0, hi=1.0) -> DataFrame:
@@ -147,26 +180,23 @@ def score_distribution(scored: DataFrame, bins=50, lo=-1.0, hi=1.0) -> DataFrame
 
 def eval_1to1(scored: DataFrame, current=0.45, targets=(0.001, 0.01)) -> DataFrame:
     """One row: counts, TAR at each target, EER, AUC, recommended thresholds and the rates at the current one; an error if there are no pairs of one kind."""
-    points = roc_points(scored)
-    curve = roc_curve(points)
-    counts = scored.agg(F.count("*").alias("n_pairs"), F.count_if(F.col("label") == 1).alias("n_genuine"), F.count_if(F.col("label") == 0).alias("n_impostor"))
-    out = counts.withColumn("error", F.when((F.col("n_genuine") == 0) | (F.col("n_impostor") == 0), "no genuine or impostor pairs"))
-    for target in targets:
-        name = "tar_at_far_" + f"{target:g}".replace(".", "_")
-        out = out.crossJoin(tar_at_far(curve, target, name=name))
-    at = confusion(scored, current).select(F.col("far").alias("current_far"), F.col("frr").alias("current_frr"))
-    return out.crossJoin(auc(points)).crossJoin(recommend_thresholds(scored)).crossJoin(at)
+    names = {_target_name(t): t for t in targets}
+    up, genuine = F.col("score") >= current, F.col("label") == 1
+    counts = scored.agg(F.count("*").alias("n_pairs"), F.count_if(genuine).alias("n_genuine"), F.count_if(F.col("label") == 0).alias("n_impostor"), *[F.count_if(c).alias(k) for k, c in (("_tp", up & genuine), ("_fp", up & ~genuine), ("_tn", ~up & ~genuine), ("_fn", ~up & genuine))])
+    tp, fp, tn, fn = (F.col(c) for c in ("_tp", "_fp", "_tn", "_fn"))
+    error = F.when((F.col("n_genuine") == 0) | (F.col("n_impostor") == 0), "no genuine or impostor pairs")
+    summary = curve_summary(roc_points(scored), names | {"_high": 0.001}).withColumnRenamed("_high_threshold", "high").drop("_high")
+    joined = counts.crossJoin(summary).crossJoin(_best_f1(scored, 200))
+    curve = [c for name in names for c in (name, f"{name}_threshold")]
+    return joined.select("n_pairs", "n_genuine", "n_impostor", error.alias("error"), *curve, "auc", "high", "low", "eer", "eer_threshold", margin().alias("margin"), ratio(fp, fp + tn).alias("current_far"), ratio(fn, tp + fn).alias("current_frr"))
 
 
 def subset_metrics(scored: DataFrame, slices=("slice",), targets=(0.001, 0.01)) -> DataFrame:
     """TAR at the targets, AUC and EER of every slice in one pass; error where a class is missing."""
     keys = list(slices)
     points = roc_points(scored, keys)
-    curve = roc_curve(points, keys)
-    out = points.groupBy(*keys).agg(F.max("pos").alias("n_genuine"), F.max("neg").alias("n_impostor"))
-    for target in targets:
-        out = out.join(tar_at_far(curve, target, keys, "tar_at_far_" + f"{target:g}".replace(".", "_")), keys)
-    out = out.join(auc(points, keys), keys).join(eer_point(curve, keys), keys)
+    sizes = scored.filter("score IS NOT NULL AND label IS NOT NULL").groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("n_genuine"), F.count_if(F.col("label") != 1).alias("n_impostor"))
+    out = sizes.join(curve_summary(points, {_target_name(t): t for t in targets}, keys), keys)
     return out.withColumn("error", F.when((F.col("n_genuine") == 0) | (F.col("n_impostor") == 0), "class missing"))
 
 
