@@ -39,7 +39,7 @@ from verilake.llm.common import bounded_batches, cut, releasing, table
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Bounds of a shard, in documents and postings; documents of a block; queries that meet a shard at once; terms whose frequencies are looked up at once.
-SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 8192, 4_000_000, 16, 1024, 50_000
+SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 4096, 1_500_000, 16, 512, 50_000
 #: Queries that are searched together, and blocks of each that are scored first; a frequent term's share of a shard, and how many there are at most.
 GROUP, FIRST, FREQUENT, MOST = 64, 2, 1 / 32, 256
 #: Parts that the documents of one leading term are dealt to.
