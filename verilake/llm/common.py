@@ -28,16 +28,21 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+def release() -> None:
+    """Give free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def releasing(batches):
     """A worker's iterator function that gives free memory back at the end of its task, as an idle worker stays for a minute."""
 
     @functools.wraps(batches)
     def run(rows):
         yield from batches(rows)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-            ctypes.CDLL(None).malloc_trim(0)
+        release()
 
     return run
 

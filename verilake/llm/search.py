@@ -35,11 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, releasing, table
+from verilake.llm.common import bounded_batches, cut, release, releasing, table
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Bounds of a shard, in documents and postings; documents of a block; queries that meet a shard at once; terms whose frequencies are looked up at once.
-SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 4096, 1_500_000, 16, 512, 50_000
+SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 2048, 750_000, 16, 512, 50_000
 #: Queries that are searched together, and blocks of each that are scored first; a frequent term's share of a shard, and how many there are at most.
 GROUP, FIRST, FREQUENT, MOST = 64, 2, 1 / 32, 256
 #: Parts that the documents of one leading term are dealt to.
@@ -295,6 +295,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
             for row in batch.to_dict("records"):
                 if held is None or held[0] != row["ids"]:
                     held = None
+                    release()
                     held = (row["ids"], Shard(row, mean))
                 shard = held[1]
                 ids, terms, weights, floors = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("wanted", np.int64), ("weights", np.float64), ("floors", np.float64)))
