@@ -28,6 +28,18 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+@contextlib.contextmanager
+def rows_at_once(spark: SparkSession, n: int):
+    """At most n rows in an Arrow batch of what is run inside; for rows of several MB."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give free memory back to the system."""
     gc.collect()

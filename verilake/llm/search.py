@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, release, releasing, table
+from verilake.llm.common import bounded_batches, cut, release, releasing, rows_at_once, table
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Bounds of a shard, in documents and postings; documents of a block; queries that meet a shard at once; terms whose frequencies are looked up at once.
@@ -276,7 +276,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
     shards = cut(build_shards(docs, id_col, text_col))
     stats = shards.agg(F.count("*").alias("shards"), F.sum(F.octet_length("ids") / 8).alias("n")).first()
     n_docs = int(stats.n or 0)
-    total = shards.select("lengths").mapInPandas(_lengths, "total long").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t
+    with rows_at_once(spark, 2):
+        total = shards.select("lengths").mapInPandas(_lengths, "total long").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first().t
     mean = total / n_docs if n_docs else 0.0
     own = queries.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL AND text IS NOT NULL").groupBy("_id").agg(F.min("text").alias("text"))
     asked = cut(own.mapInPandas(_query_terms, "query_id long, term long"))
@@ -284,7 +285,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
     sizes = asked.agg(F.count_distinct("query_id").alias("q"), F.approx_count_distinct("term").alias("t")).first()
     term_parts, bundle_parts = max(1, -(-sizes.t // TERMS)), max(1, -(-sizes.q // QUERIES))
     term_blocks = distinct.groupBy(F.pmod("term", F.lit(term_parts)).alias("_b")).agg(F.collect_list("term").alias("wanted")).drop("_b").coalesce(term_parts)
-    df = shards.select("terms", "starts").crossJoin(cut(term_blocks)).mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    asked_for = cut(term_blocks)
+    with rows_at_once(spark, 2):
+        df = cut(shards.select("terms", "starts").crossJoin(asked_for).mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("df")))
     weight = F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = cut(asked.join(df, "term").select("query_id", "term", weight.alias("weight"), F.pmod(F.xxhash64("query_id"), F.lit(bundle_parts)).alias("_b")))
 
@@ -308,7 +311,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
         """The best documents of some shards, above the floors of the queries."""
         rows = weighted.withColumn("floor", F.lit(0.0)) if floors is None else weighted.join(floors, "query_id", "left").fillna(0.0, ["floor"])
         bundles = cut(rows.groupBy("_b").applyInPandas(_bundle, "queries binary, wanted binary, weights binary, floors binary"))
-        return cut(part.crossJoin(bundles).mapInPandas(search, "query_id long, doc_id long, score double"))
+        with rows_at_once(spark, 2):
+            return cut(part.crossJoin(bundles).mapInPandas(search, "query_id long, doc_id long, score double"))
 
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     # Numbers of the shards by kind of document: a few bytes for each shard, which holds thousands of documents.
