@@ -77,10 +77,14 @@ def shared_folder(spark: SparkSession) -> str:
     return base
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Row groups of tables whose rows have several MB. Parquet looks at the size of a group after 100 rows first, and reads a group's binary column at once.
+BIG_ROWS = {"parquet.block.size": 16 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
+
+
+def cut(df: DataFrame, big_rows: bool = False) -> DataFrame:
     """df as a table written to the shared folder, which cuts its lineage. Parquet is several times smaller than a checkpoint of rows."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/verilake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(BIG_ROWS if big_rows else {})).parquet(path)
     written = df.sparkSession.read.schema(df.schema).parquet(path)
     written._verilake_path = path
     return written

@@ -260,7 +260,9 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _bundle(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["query_id", "term"])
-    return pd.DataFrame([{"queries": rows["query_id"].to_numpy(np.int64).tobytes(), "wanted": rows["term"].to_numpy(np.int64).tobytes(), "weights": rows["weight"].to_numpy(np.float64).tobytes(), "floors": rows["floor"].to_numpy(np.float64).tobytes()}])
+    ids, first = np.unique(rows["query_id"].to_numpy(np.int64), return_index=True)
+    floors = rows["floor"].to_numpy(np.float64)[first]
+    return pd.DataFrame([{"queries": ids.tobytes(), "first": first.astype(np.int64).tobytes(), "floors": floors.tobytes(), "wanted": rows["term"].to_numpy(np.int64).tobytes(), "weights": rows["weight"].to_numpy(np.float64).tobytes()}])
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col="text") -> DataFrame:
@@ -273,7 +275,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shards = cut(build_shards(docs, id_col, text_col))
+    shards = cut(build_shards(docs, id_col, text_col), big_rows=True)
     stats = shards.agg(F.count("*").alias("shards"), F.sum(F.octet_length("ids") / 8).alias("n")).first()
     n_docs = int(stats.n or 0)
     with rows_at_once(spark, 2):
@@ -301,16 +303,15 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
                     release()
                     held = (row["ids"], Shard(row, mean))
                 shard = held[1]
-                ids, terms, weights, floors = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("wanted", np.int64), ("weights", np.float64), ("floors", np.float64)))
-                first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                ids, first, floors, terms, weights = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("first", np.int64), ("floors", np.float64), ("wanted", np.int64), ("weights", np.float64)))
                 out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-                out += [(np.full(len(hits), ids[first[q]]), hits, scores) for q, hits, scores in shard.best(terms, weights, first, floors[first], k)]
+                out += [(np.full(len(hits), ids[q]), hits, scores) for q, hits, scores in shard.best(terms, weights, first, floors, k)]
                 yield pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "doc_id", "score"))})
 
     def round_of(part: DataFrame, floors: DataFrame | None) -> DataFrame:
         """The best documents of some shards, above the floors of the queries."""
         rows = weighted.withColumn("floor", F.lit(0.0)) if floors is None else weighted.join(floors, "query_id", "left").fillna(0.0, ["floor"])
-        bundles = cut(rows.groupBy("_b").applyInPandas(_bundle, "queries binary, wanted binary, weights binary, floors binary"))
+        bundles = cut(rows.groupBy("_b").applyInPandas(_bundle, "queries binary, first binary, floors binary, wanted binary, weights binary"), big_rows=True)
         with rows_at_once(spark, 2):
             return cut(part.crossJoin(bundles).mapInPandas(search, "query_id long, doc_id long, score double"))
 
