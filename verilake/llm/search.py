@@ -16,7 +16,8 @@ numbers, and moving one cursor at a time is replaced by products of whole arrays
 passes is scored again in one order of terms, so equal documents tie exactly.
 
 The shards are searched in two rounds: about the square root of their number first, evenly
-over the kinds of documents, whose k-th best score is the floor for all others.
+over the kinds of documents, whose k-th best score is the floor for all others. A task
+keeps the k best of each query over its shards, which raises the floors further.
 
 Document frequencies, the number of documents and their mean length are those of the whole
 collection, so the scores of all shards compare, and the best k of all are exact. The
@@ -161,10 +162,10 @@ class Shard:
         """Bound of all documents of the shard, for each of the queries whose terms begin at first."""
         return np.add.reduceat(np.where(at >= 0, self.most[at] * weights, 0), first) if len(self.terms) else np.zeros(len(first))
 
-    def best(self, terms: np.ndarray, weights: np.ndarray, first: np.ndarray, floors: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(number of the query, ids, scores): the k best documents that reach its floor, ties by the smaller id, of each query; its terms begin at first."""
-        at = self.find(terms)
-        ends = np.append(first[1:], len(terms))
+    def best(self, terms: np.ndarray, weights: np.ndarray, first: np.ndarray, floors: np.ndarray, k: int, places: np.ndarray | None = None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(number of the query, ids, scores): the k best documents that reach its floor, ties by the smaller id, of each query; its terms begin at first. With places, the terms are distinct, and places says which one stands where."""
+        at = self.find(terms) if places is None else self.find(terms)[places]
+        ends = np.append(first[1:], len(at))
         reach = self.reach(at, weights, first)
         open_ = np.flatnonzero((reach > 0) & (reach * (1 + ERROR) >= floors))
         if not len(open_):
@@ -179,13 +180,15 @@ class Shard:
         found = []
         for start in range(0, len(open_), GROUP):
             group = open_[start : start + GROUP]
-            lists = []
-            rare = np.zeros((len(group), self.blocks * BLOCK))
-            for n, q in enumerate(group):
-                own = np.flatnonzero((at[first[q] : ends[q]] >= 0) & ~often[first[q] : ends[q]]) + first[q]
-                place, sizes = _spread(self.starts[at[own]], self.starts[at[own] + 1])
-                lists.append((own - first[q], place, sizes))
-                rare[n] = np.bincount(self.docs[place], self.impacts[place] * np.repeat(weights[own], sizes), self.blocks * BLOCK)
+            width = self.blocks * BLOCK
+            every, sizes = _spread(first[group], ends[group])
+            mine = (at[every] >= 0) & ~often[every]
+            own, asks = every[mine], np.repeat(np.arange(len(group)), sizes)[mine]
+            place, sizes = _spread(self.starts[at[own]], self.starts[at[own] + 1])
+            rare = np.bincount(np.repeat(asks * width, sizes) + self.docs[place], self.impacts[place] * np.repeat(weights[own], sizes), len(group) * width).reshape(len(group), width)
+            # Where the rare terms of each query, and their postings, begin.
+            from_term = np.searchsorted(asks, np.arange(len(group) + 1))
+            from_place = np.append(0, np.cumsum(sizes))[from_term]
             bound = bounds[:, group] + rare.reshape(len(group), self.blocks, BLOCK).max(2).T
             least = floors[group]
             slack = ERROR * (1 + bound.max(0))
@@ -201,7 +204,9 @@ class Shard:
             for n, q in enumerate(group):
                 docs = rows[passed[:, n]]
                 if len(docs):
-                    exact = self.score(docs, at[first[q] : ends[q]], weights[first[q] : ends[q]], lists[n])
+                    a, b = from_term[n : n + 2]
+                    lists = own[a:b] - first[q], place[from_place[n] : from_place[n + 1]], sizes[a:b]
+                    exact = self.score(docs, at[first[q] : ends[q]], weights[first[q] : ends[q]], lists)
                     good = np.flatnonzero(exact >= floors[q])
                     order = good[np.lexsort((self.ids[docs[good]], -exact[good]))[:k]]
                     found.append((int(q), self.ids[docs[order]], exact[order]))
@@ -234,6 +239,29 @@ class Shard:
         return (every * weights).sum(1)
 
 
+class Best:
+    """The k best documents that a task has found for each query of a bundle; they raise its floors."""
+
+    def __init__(self, queries: np.ndarray, floors: np.ndarray, k: int):
+        self.queries, self.floors, self.k = queries, floors.copy(), k
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, found: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        for q, ids, scores in found:
+            if q in self.found:
+                ids, scores = np.concatenate([self.found[q][0], ids]), np.concatenate([self.found[q][1], scores])
+                order = np.lexsort((ids, -scores))[: self.k]
+                ids, scores = ids[order], scores[order]
+            self.found[q] = ids, scores
+            if len(scores) == self.k:
+                self.floors[q] = max(self.floors[q], scores[-1])
+
+    def rows(self) -> pd.DataFrame:
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        out += [(np.full(len(ids), self.queries[q]), ids, scores) for q, (ids, scores) in self.found.items()]
+        return pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "doc_id", "score"))})
+
+
 def _spread(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges, one after the other, and the length of each range."""
     n = stops - starts
@@ -262,7 +290,8 @@ def _bundle(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["query_id", "term"])
     ids, first = np.unique(rows["query_id"].to_numpy(np.int64), return_index=True)
     floors = rows["floor"].to_numpy(np.float64)[first]
-    return pd.DataFrame([{"queries": ids.tobytes(), "first": first.astype(np.int64).tobytes(), "floors": floors.tobytes(), "wanted": rows["term"].to_numpy(np.int64).tobytes(), "weights": rows["weight"].to_numpy(np.float64).tobytes()}])
+    terms, places = np.unique(rows["term"].to_numpy(np.int64), return_inverse=True)
+    return pd.DataFrame([{"queries": ids.tobytes(), "first": first.astype(np.int64).tobytes(), "floors": floors.tobytes(), "wanted": terms.tobytes(), "places": places.astype(np.int32).tobytes(), "weights": rows["weight"].to_numpy(np.float64).tobytes()}])
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col="text") -> DataFrame:
@@ -296,22 +325,23 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
     @releasing
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple[bytes, Shard] | None = None
+        best: dict[bytes, Best] = {}
         for batch in batches:
             for row in batch.to_dict("records"):
                 if held is None or held[0] != row["ids"]:
                     held = None
                     release()
                     held = (row["ids"], Shard(row, mean))
-                shard = held[1]
-                ids, first, floors, terms, weights = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("first", np.int64), ("floors", np.float64), ("wanted", np.int64), ("weights", np.float64)))
-                out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-                out += [(np.full(len(hits), ids[q]), hits, scores) for q, hits, scores in shard.best(terms, weights, first, floors, k)]
-                yield pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("query_id", "doc_id", "score"))})
+                ids, first, floors, terms, places, weights = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("first", np.int64), ("floors", np.float64), ("wanted", np.int64), ("places", np.int32), ("weights", np.float64)))
+                own = best.setdefault(row["queries"], Best(ids, floors, k))
+                own.add(held[1].best(terms, weights, first, own.floors, k, places))
+        for own in best.values():
+            yield own.rows()
 
     def round_of(part: DataFrame, floors: DataFrame | None) -> DataFrame:
         """The best documents of some shards, above the floors of the queries."""
         rows = weighted.withColumn("floor", F.lit(0.0)) if floors is None else weighted.join(floors, "query_id", "left").fillna(0.0, ["floor"])
-        bundles = cut(rows.groupBy("_b").applyInPandas(_bundle, "queries binary, first binary, floors binary, wanted binary, weights binary"), big_rows=True)
+        bundles = cut(rows.groupBy("_b").applyInPandas(_bundle, "queries binary, first binary, floors binary, wanted binary, places binary, weights binary"), big_rows=True)
         with rows_at_once(spark, 2):
             return cut(part.crossJoin(bundles).mapInPandas(search, "query_id long, doc_id long, score double"))
 
@@ -321,7 +351,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
     step = max(1, math.isqrt(stats.shards))
     early = cut(kinds.filter(F.col("nth") % step == 0).select("shard"))
     named = shards.withColumn("shard", F.xxhash64("ids"))
-    found = round_of(named.join(F.broadcast(early), "shard", "left_semi").drop("shard"), None)
+    # Several shards in a task, so that few rows leave it.
+    some = cut(named.join(F.broadcast(early), "shard", "left_semi").drop("shard").repartition(1 + math.isqrt(stats.shards // step)), big_rows=True)
+    found = round_of(some, None)
     kth = found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
     found = found.unionByName(round_of(named.join(F.broadcast(early), "shard", "left_anti").drop("shard"), kth))
     return found.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
