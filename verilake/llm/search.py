@@ -36,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.llm.common import bounded_batches, cut, release, releasing, rows_at_once, table
+from verilake.llm.common import bounded_batches, cut, releasing, rows_at_once, table
 
 K1, B, TOP = 1.2, 0.75, 10
 #: Bounds of a shard, in documents and postings; documents of a block; queries that meet a shard at once; terms whose frequencies are looked up at once.
 SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 2048, 750_000, 16, 512, 50_000
+#: Bundles of queries in a file, and so in a task.
+AT_ONCE = 4
 #: Queries that are searched together, and blocks of each that are scored first; a frequent term's share of a shard, and how many there are at most.
 GROUP, FIRST, FREQUENT, MOST = 64, 2, 1 / 32, 256
 #: Parts that the documents of one leading term are dealt to.
@@ -329,8 +331,6 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
         for batch in batches:
             for row in batch.to_dict("records"):
                 if held is None or held[0] != row["ids"]:
-                    held = None
-                    release()
                     held = (row["ids"], Shard(row, mean))
                 ids, first, floors, terms, places, weights = (np.frombuffer(row[c], kind) for c, kind in (("queries", np.int64), ("first", np.int64), ("floors", np.float64), ("wanted", np.int64), ("places", np.int32), ("weights", np.float64)))
                 own = best.setdefault(row["queries"], Best(ids, floors, k))
@@ -341,7 +341,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k=TOP, id_col="doc_id", text_col=
     def round_of(part: DataFrame, floors: DataFrame | None) -> DataFrame:
         """The best documents of some shards, above the floors of the queries."""
         rows = weighted.withColumn("floor", F.lit(0.0)) if floors is None else weighted.join(floors, "query_id", "left").fillna(0.0, ["floor"])
-        bundles = cut(rows.groupBy("_b").applyInPandas(_bundle, "queries binary, first binary, floors binary, wanted binary, places binary, weights binary"), big_rows=True)
+        bundles = rows.groupBy("_b").applyInPandas(_bundle, "queries binary, first binary, floors binary, wanted binary, places binary, weights binary")
+        # A shard that a task has unpacked meets several bundles.
+        bundles = cut(bundles.coalesce(-(-bundle_parts // AT_ONCE)), big_rows=True)
         with rows_at_once(spark, 2):
             return cut(part.crossJoin(bundles).mapInPandas(search, "query_id long, doc_id long, score double"))
 
