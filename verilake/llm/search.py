@@ -45,8 +45,8 @@ SHARD, POSTINGS, BLOCK, QUERIES, TERMS = 2048, 750_000, 16, 512, 50_000
 AT_ONCE = 4
 #: Queries that are searched together, and blocks of each that are scored first; a frequent term's share of a shard, and how many there are at most.
 GROUP, FIRST, FREQUENT, MOST = 64, 2, 1 / 32, 256
-#: Parts that the documents of one leading term are dealt to.
-SALT = 16
+#: Parts that the documents of one leading term are dealt to: SALT at least, and one for each PART documents of the collection, so that a hot term's parts don't grow with it.
+SALT, PART = 16, 16_384
 #: Relative error of sums in another order, with a margin; terms whose hashes a worker keeps while it runs a task.
 ERROR, CACHE = 1e-9, 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -125,8 +125,9 @@ def _shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def build_shards(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """One row for each shard. Rows with a null id are left out; empty and null texts are documents of length 0."""
     own = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).filter("_id IS NOT NULL")
+    salt = max(SALT, own.select("_id").count() // PART)
     rows = own.mapInPandas(_postings, "_id long, _lead long, _length long, _terms binary, _counts binary")
-    dealt = rows.repartition("_lead", F.pmod(F.xxhash64("_id"), F.lit(SALT))).sortWithinPartitions("_lead", "_length", "_id")
+    dealt = rows.repartition("_lead", F.pmod(F.xxhash64("_id"), F.lit(salt))).sortWithinPartitions("_lead", "_length", "_id")
     return dealt.mapInPandas(_shards, SHARD_SCHEMA)
 
 
