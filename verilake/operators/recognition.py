@@ -49,7 +49,7 @@ def sweep_confusion(scored: DataFrame, n=200, lo=None, hi=None, slices=()) -> Da
     """
     keys = list(slices)
     bounds = scored.groupBy(*keys).agg((F.min("score") if lo is None else F.lit(float(lo))).alias("lo"), (F.max("score") if hi is None else F.lit(float(hi))).alias("hi"))
-    joined = scored.join(F.broadcast(bounds), keys) if keys else scored.crossJoin(F.broadcast(bounds))
+    joined = scored.join(bounds, keys) if keys else scored.crossJoin(F.broadcast(bounds))
     step = (F.col("hi") - F.col("lo")) / (n - 1)
     guess = F.when(step > 0, F.floor(F.try_divide(F.col("score") - F.col("lo"), step))).otherwise(n - 1)
     guess = F.greatest(F.lit(-1), F.least(F.lit(n - 1), guess.cast("int")))
@@ -76,7 +76,7 @@ def roc_points(scored: DataFrame, slices=()) -> DataFrame:
     rows = scored.filter("score IS NOT NULL AND label IS NOT NULL").select(*keys, "pair_id", "score", "label").withColumns({"_p": (F.col("label") == 1).cast("long"), "_n": (F.col("label") != 1).cast("long")})
     run = ordered_prefix(rows, "score", "pair_id", {"tp": "_p", "fp": "_n"}, descending=True, keys=keys)
     totals = rows.groupBy(*keys).agg(F.sum("_p").alias("pos"), F.sum("_n").alias("neg"))
-    run = run.join(F.broadcast(totals), keys) if keys else run.crossJoin(F.broadcast(totals))
+    run = run.join(totals, keys) if keys else run.crossJoin(F.broadcast(totals))
     return run.select(*keys, (F.col("tp") + F.col("fp")).alias("idx"), "score", "label", "tp", "fp", "pos", "neg")
 
 
