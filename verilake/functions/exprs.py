@@ -22,6 +22,11 @@ def norm(vector) -> Column:
     return F.sqrt(F.aggregate(as_doubles(vector), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def cosine(a, b) -> Column:
+    """Cosine of two vectors as they are; null if the lengths differ or a norm is zero."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
+
+
 def l2_normalize(vector, zero="skip", dim: int | None = None) -> Column:
     """vector / its norm. A zero norm or wrong length gives null (skip), the vector itself (keep), or an error (raise)."""
     size = norm(vector)

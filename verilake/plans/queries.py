@@ -763,6 +763,12 @@ def encrypt_vectors(v):
     return plain.select("vec_id", F.octet_length("encrypted").alias("n_bytes"), (F.col("payload") == F.col("original")).alias("same"))
 
 
+@query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine(v):
+    following = v("embeddings").select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return v("embeddings").join(following, "vec_id").select("vec_id", F.round(exprs.cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9+/=]{256,}', '[REDACTED:b64]', 'g'), '\[[0-9eE.,\-+\s]{200,}\]', '[REDACTED:array]', 'g')) AS h FROM log_text")
 def redact_text(v):
     return v("log_text").select("doc_id", F.md5(exprs.redact_text(F.col("text"))).alias("h"))
