@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verilake.llm import bpe, chunks, html_text, language, media, mixing, search, simhash, suffixes, toxicity
+from verilake.llm import bpe, chunks, html_text, language, media, mixing, runs, search, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
+    "op11_runs": runs.op11_runs,
 }
 
 SQL = {
