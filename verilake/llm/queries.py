@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verilake.llm import bpe, chunks, html_text, language, media, mixing, runs, search, simhash, suffixes, toxicity
+from verilake.llm import bpe, chunks, collocations, fingerprints, html_text, language, media, mixing, runs, search, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -16,8 +16,11 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_simhash": simhash.op10_simhash,
     "op11_runs": runs.op11_runs,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 SQL = {
     "op9_mixing": mixing.SQL,
+    "op13_collocations": collocations.SQL,
 }

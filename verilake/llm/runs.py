@@ -175,9 +175,9 @@ def periodic_runs(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFram
     text; null ids and repeated rows give a row each; an empty table gives none.
     """
     bounded_batches(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    kind = own.schema["_id"].dataType.simpleString()
-    return own.mapInPandas(_found, f"_id {kind}, runs array<struct<start: long, length: long, period: long>>, collapsed string").withColumnRenamed("_id", id_col)
+    own = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))  # a string, as pandas has no whole numbers beside nulls
+    found = own.mapInPandas(_found, "_id string, runs array<struct<start: long, length: long, period: long>>, collapsed string")
+    return found.select(F.col("_id").cast(docs.schema[id_col].dataType).alias(id_col), "runs", "collapsed")
 
 
 def _repeating(text, doc_id):
