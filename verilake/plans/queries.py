@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from verilake.functions import exprs
 from verilake.functions.redact import redact_fields, sanitize_result
 from verilake.operators import calibration, challenge, enroll, gates, pad, pairs, recognition, search, telemetry, windows
-from verilake.plans.views import Views, with_views
+from verilake.plans.views import VIEWS, Views, with_views
 from verilake.sources import files
 from verilake.streaming import streams
 
@@ -850,32 +850,59 @@ def stream_rate_limit(v):
     return streams.available(streams.stream_rate_limit(_access(v), 2, 86400))
 
 
-@query("SELECT user_id AS job_id, count(*) > 0 AS notified FROM events GROUP BY 1")
+@query("""WITH RECURSIVE e AS (SELECT user_id AS job_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT job_id, event_id, n, ts AS anchor, true AS first FROM e WHERE n = 1 UNION ALL
+SELECT e.job_id, e.event_id, e.n, CASE WHEN e.ts >= f.anchor + INTERVAL 1 HOUR THEN e.ts ELSE f.anchor END, e.ts >= f.anchor + INTERVAL 1 HOUR FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n + 1)
+SELECT job_id, event_id FROM f WHERE first""")
 def stream_webhook_dedup(v):
-    rows = streams.available(streams.stream_webhook_dedup(_stream(v).withColumnRenamed("user_id", "job_id"), "1 hour"))
-    return rows.groupBy("job_id").agg((F.count("*") > 0).alias("notified"))
+    return streams.available(streams.stream_webhook_dedup(_stream(v).select(F.col("user_id").alias("job_id"), "event_id", "ts")))
 
 
-@query("""SELECT DISTINCT c.token FROM token_consume c JOIN token_issue_all i ON c.token = i.token AND c.ts >= i.ts AND c.ts < i.ts + INTERVAL 4 HOUR""")
+@query("""WITH RECURSIVE a AS (SELECT token, -1 AS event_id, ts FROM token_issue_all UNION ALL SELECT token, event_id, ts FROM token_consume),
+e AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY ts, event_id) AS n FROM a),
+f AS (SELECT token, event_id, ts, n, CASE WHEN event_id < 0 THEN ts END AS issued, false AS used, false AS takes FROM e WHERE n = 1 UNION ALL
+SELECT token, event_id, ts, n, CASE WHEN event_id < 0 THEN ts ELSE issued END, CASE WHEN event_id < 0 THEN false ELSE used OR takes END, takes
+FROM (SELECT e.*, f.issued, f.used, coalesce(e.event_id >= 0 AND NOT f.used AND e.ts < f.issued + INTERVAL 4 HOUR, false) AS takes FROM f JOIN e ON e.token = f.token AND e.n = f.n + 1))
+SELECT token, event_id, ts FROM f WHERE takes""")
 def stream_token_consume(v):
     token = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("ts").cast("date").cast("string")).alias("token")
     issued = _stream(v).filter("event_type = 'signup'").select(token, "ts")
     consumed = _stream(v).filter("event_type = 'click'").select(token, "event_id", "ts")
-    return streams.available(streams.stream_token_consume(issued, consumed, 4 * 3600)).select("token")
+    return streams.available(streams.stream_token_consume(issued, consumed, 4 * 3600)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# Each job's events and, last, what the watermark's timers see: a row without a status.
+@query("""WITH RECURSIVE r AS (SELECT job_id, status, CASE status WHEN 'accepted' THEN 0 WHEN 'claimed' THEN 1 ELSE 2 END AS r, epoch_us(ts) AS tm FROM job_events WHERE status IS NOT NULL),
+a AS (SELECT * FROM r UNION ALL SELECT DISTINCT job_id, NULL, 9, (SELECT epoch_us(max(ts)) // 1000 * 1000 - 60000000 FROM job_events) FROM r),
+e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY status IS NULL, tm, r, status) AS n FROM a),
+f AS (SELECT job_id, n, status, tm AS opened, tm AS since, NULL::BIGINT AS expired, NULL::BIGINT AS gone, status AS move FROM e WHERE n = 1 UNION ALL
+SELECT job_id, n, CASE WHEN moves THEN new ELSE s2 END, CASE WHEN new IS NOT NULL AND s2 IS NULL THEN tm ELSE opened END, CASE WHEN moves THEN tm ELSE t1 END,
+ CASE WHEN s1 = 'expired' AND status <> 'expired' THEN t1 END, CASE WHEN s1 IS NOT NULL AND s2 IS NULL THEN t1 + 300000000 END, CASE WHEN moves THEN new END
+FROM (SELECT *, new IS NOT NULL AND (s2 IS NULL OR r > CASE s2 WHEN 'accepted' THEN 0 WHEN 'claimed' THEN 1 ELSE 2 END) AS moves
+FROM (SELECT *, CASE WHEN s1 IN ('accepted', 'claimed') OR tm - t1 < 300000000 THEN s1 END AS s2
+FROM (SELECT e.job_id, e.n, e.status AS new, e.r, e.tm, f.status, f.opened, CASE WHEN f.status IN ('accepted', 'claimed') AND e.tm - f.opened > 300000000 THEN 'expired' ELSE f.status END AS s1,
+ CASE WHEN f.status IN ('accepted', 'claimed') AND e.tm - f.opened > 300000000 THEN f.opened + 300000000 ELSE f.since END AS t1 FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n + 1))))
+SELECT job_id, move AS status, since FROM f WHERE move IS NOT NULL UNION ALL SELECT job_id, 'expired', expired FROM f WHERE expired IS NOT NULL UNION ALL SELECT job_id, 'gone', gone FROM f WHERE gone IS NOT NULL""")
+def stream_job_lifecycle(v):
+    return streams.available(streams.stream_job_lifecycle(v.spark.sql(VIEWS["job_events"], events=_stream(v))))
 
 
-@query("""WITH e AS (SELECT event_id % 500 AS job_id, CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'error' THEN 2 END AS r FROM events)
-SELECT job_id, CASE max(r) WHEN 0 THEN 'accepted' WHEN 1 THEN 'claimed' ELSE 'ended' END AS status FROM e GROUP BY 1 HAVING max(r) IS NOT NULL""")
-def stream_job_lifecycle(v):
-    status = F.when(F.col("event_type") == "click", "accepted").when(F.col("event_type") == "view", "claimed").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "error")
-    rows = streams.available(streams.stream_job_lifecycle(_stream(v).select((F.col("event_id") % 500).alias("job_id"), status.alias("status"), "ts")), "update")
-    ended = F.when(F.col("status").isin("done", "error"), "ended").otherwise(F.col("status"))
-    return rows.filter("status <> 'expired'").select("job_id", ended.alias("status"))
+SESSIONS = """e AS (SELECT *, row_number() OVER (PARTITION BY challenge_id ORDER BY ts, idx) AS n, x1 IS NOT NULL AS face FROM session_input),
+f AS (SELECT challenge_id, idx, n, ts, ts AS start, 1 AS session, CASE WHEN face THEN 1 ELSE 0 END AS counted, face AS counts FROM e WHERE n = 1 UNION ALL
+SELECT challenge_id, idx, n, ts, start, session, counted + CASE WHEN face AND counted < 30 THEN 1 ELSE 0 END, face AND counted < 30
+FROM (SELECT e.challenge_id, e.idx, e.n, e.ts, e.face, CASE WHEN fresh THEN e.ts ELSE p.start END AS start, p.session + CASE WHEN fresh THEN 1 ELSE 0 END AS session, CASE WHEN fresh THEN 0 ELSE p.counted END AS counted
+FROM (SELECT f.*, e.ts >= f.ts + INTERVAL 36 HOUR OR e.ts >= f.start + INTERVAL 20 DAY AS fresh FROM f JOIN e ON e.challenge_id = f.challenge_id AND e.n = f.n + 1) p JOIN e ON e.challenge_id = p.challenge_id AND e.n = p.n + 1)),
+made AS (SELECT challenge_id, session, any_value(start) AS start, max(counted) AS counted, session < max(max(session)) OVER (PARTITION BY challenge_id) OR max(counted) = 30
+ OR least(max(ts) + INTERVAL 36 HOUR, any_value(start) + INTERVAL 20 DAY) <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) AS ended FROM f GROUP BY 1, 2),
+session_frames AS (SELECT f.challenge_id * 1000 + f.session AS challenge_id, i.* EXCLUDE (challenge_id) FROM f JOIN session_input i ON i.challenge_id = f.challenge_id AND i.idx = f.idx WHERE f.counts)"""
 
 
-@query()
+@query(f"""WITH RECURSIVE {SESSIONS}, {CHALLENGE.replace("challenge_frames", "session_frames")},
+j AS (SELECT m.challenge_id, m.start, m.counted AS n_frames, coalesce(consistent, false) AS consistent, passive, coalesce(blink, false) AS blink FROM made m LEFT JOIN tr ON tr.challenge_id = m.challenge_id * 1000 + m.session LEFT JOIN ac ON ac.challenge_id = tr.challenge_id WHERE ended),
+s AS (SELECT *, 0.5 * blink::INT + 0.3 * coalesce(passive, 0) + 0.2 * consistent::INT AS score FROM j),
+r AS (SELECT *, CASE WHEN n_frames < 6 THEN 'too_few_frames' WHEN NOT consistent THEN 'consistency_fail' WHEN NOT blink THEN 'actions_incomplete:blink' WHEN score >= 0.859 THEN 'ok' ELSE 'below_threshold' END AS reason FROM s)
+SELECT challenge_id, start, reason = 'ok' AS is_live, round(CASE WHEN n_frames < 6 THEN 0 ELSE greatest(0, least(1, score)) END, 6) AS confidence, reason, n_frames FROM r""")
 def stream_challenge_sessions(v):
-    from verilake.plans.views import VIEWS
-
-    frames = v.spark.sql(VIEWS["challenge_frames"], events=_stream(v))
-    return streams.available(streams.stream_challenge_sessions(frames, ["blink"], "6 hours"))
+    frames = v.spark.sql(VIEWS["session_input"], events=_stream(v))
+    ended = streams.available(streams.stream_challenge_sessions(frames, ["blink"], 36 * 3600, 20 * 86400))
+    return ended.withColumns({"start": F.col("start").cast("timestamp_ntz"), "confidence": F.round("confidence", 6)})

@@ -41,6 +41,14 @@ VIEWS = {
                (value * 7) % 60 AS yaw, 0.5 + (value % 3) / 10 AS pitch_signal, CASE WHEN event_id % 13 = 0 THEN NULL ELSE 0.1 + (value % 5) / 20 END AS ear,
                0.3 + (value % 2) / 20 AS mouth_width_ratio, (value % 10) / 10 AS passive_score, ts
         FROM {events}""",
+    "session_input": """
+        SELECT user_id AS challenge_id, event_id AS idx, CASE WHEN event_id % 11 <> 0 THEN 100 + value % 10 END AS x1, 100 + value % 7 AS y1, 200 + value % 10 AS x2, 200 + value % 7 AS y2,
+               (value * 7) % 60 AS yaw, 0.5 + (value % 3) / 10 AS pitch_signal, CASE WHEN event_id % 13 = 0 THEN NULL ELSE 0.1 + (value % 5) / 20 END AS ear,
+               0.3 + (value % 2) / 20 AS mouth_width_ratio, (value % 10) / 10 AS passive_score, ts
+        FROM {events}""",
+    "job_events": """
+        SELECT CAST(floor(event_id / 4) AS BIGINT) AS job_id, CASE event_type WHEN 'click' THEN 'accepted' WHEN 'view' THEN 'claimed' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' END AS status, ts
+        FROM {events}""",
     "stage_samples": """
         SELECT CASE event_type WHEN 'click' THEN 'detect' WHEN 'view' THEN 'encode' WHEN 'signup' THEN 'search' WHEN 'purchase' THEN 'job_total_server' ELSE 'client_terminal_e2e' END AS stage, value AS value_ms
         FROM {events}""",

@@ -3,19 +3,21 @@
 Late rows are dropped after the watermark: RATE_DELAY for rates, the time to live for
 stateful operators. available() runs a stream over what is there now and gives the result
 as a table, which is how the streams are compared with their batch twins.
+
+Stateful operators are in processors.py.
 """
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from verilake.operators.challenge import MAX_FRAMES, session_verdict
+from verilake.operators.challenge import session_verdict
+from verilake.streaming import processors
 
 RATE_DELAY = "10 minutes"
 BOUNDS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000)
@@ -34,27 +36,44 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir or the context; a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="verilake-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+@contextlib.contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, outside the JVM's heap, as transformWithState asks; the session's setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def available(stream: DataFrame, mode="append") -> DataFrame:
     """Run a stream over what is there now; the result as a table in the shared checkpoint folder."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="verilake-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{_shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     keep = place + ("/out" if mode == "complete" else "/out/batch={}")
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(keep.format(number))
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    with rocksdb_state(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{place}/out").drop("batch")
+    return spark.read.schema(stream.schema).parquet(f"{place}/out").select(*stream.columns)
 
 
 def stream_result_rate(log: DataFrame) -> DataFrame:
@@ -91,32 +110,18 @@ def stream_slo_alerts(requests: DataFrame, window="5 minutes", p95_ms=1000.0, er
     return rows.withColumn("alert", F.when(F.col("p95") > p95_ms, "latency").when(F.col("error_share") > error_share, "errors")).filter("alert IS NOT NULL")
 
 
-def _anchored(seconds: float, limit: int):
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor, nth = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for event, ts in zip(rows["event_id"], rows["ts"]):
-            at = ts.value // 1000
-            if anchor is None or at - anchor >= seconds * 1_000_000:
-                anchor, nth = at, 0
-            nth += 1
-            out.append((key[0], event, nth, nth > limit))
-        state.update((anchor, nth))
-        # The state goes when the watermark has passed the window.
-        state.setTimeoutTimestamp(max(int(anchor // 1000 + seconds * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "event_id", "nth", "repeat"])
+def _micros(ts="ts"):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
-    return fold
 
+def stream_anchored(events: DataFrame, seconds: float, limit=1, delay: str | None = None) -> DataFrame:
+    """key, event_id, nth, repeat: windows anchored at their first event; events: key, event_id, ts.
 
-def stream_anchored(events: DataFrame, seconds: float, limit=1) -> DataFrame:
-    """key, event_id, nth, repeat: windows anchored at their first event, with one (anchor, count) of state per live key; events: key, event_id, ts."""
-    rows = events.select("key", "event_id", "ts").filter("key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", f"{int(seconds)} seconds")
-    return rows.groupBy("key").applyInPandasWithState(_anchored(seconds, limit), "key string, event_id long, nth int, repeat boolean", "anchor long, nth int", "append", GroupStateTimeout.EventTimeTimeout)
+    State is one (anchor, count) for each key with a live window; a timer clears it when the watermark has passed the window's end.
+    """
+    rows = events.filter("key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay or f"{int(seconds)} seconds").select("key", "event_id", "ts", _micros().alias("at"))
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.groupBy("key").transformWithState(processors.Windows(seconds, limit), f"key {kind}, event_id long, nth int, repeat boolean", "append", "EventTime")
 
 
 def stream_anti_replay(events: DataFrame, seconds=10) -> DataFrame:
@@ -129,52 +134,44 @@ def stream_rate_limit(events: DataFrame, limit: int, seconds=60) -> DataFrame:
     return stream_anchored(events, seconds, limit)
 
 
-def stream_webhook_dedup(notifications: DataFrame, delay="1 hour") -> DataFrame:
-    """The first notification of each job_id within the delay. Unlike an anchored window, a repeat after more than the delay may be dropped only while state is kept."""
-    return notifications.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["job_id"])
+def stream_webhook_dedup(notifications: DataFrame, seconds=3600) -> DataFrame:
+    """job_id, event_id of the notifications that go out: the first of each job, and the first after each window of so many seconds that one has opened."""
+    return stream_anchored(notifications.withColumnRenamed("job_id", "key"), seconds, 1).filter("NOT repeat").select(F.col("key").alias("job_id"), "event_id")
 
 
 def stream_token_consume(issued: DataFrame, consumed: DataFrame, ttl_seconds=120) -> DataFrame:
-    """token, event_id, ts of the first consumption to arrive of each token within ttl of its issue."""
-    delay = f"{ttl_seconds} seconds"
-    i = issued.select(F.col("token").alias("_t"), F.col("ts").alias("_from")).withWatermark("_from", delay)
-    c = consumed.withWatermark("ts", delay)
-    hit = F.expr(f"token = _t AND ts >= _from AND ts < _from + INTERVAL {ttl_seconds} SECONDS")
-    return c.join(i, hit).select("token", "event_id", "ts").dropDuplicatesWithinWatermark(["token"])
-
-
-def stream_challenge_sessions(frames: DataFrame, actions: list[str], idle="5 seconds", delay=RATE_DELAY) -> DataFrame:
-    """challenge_id, start, is_live, confidence, reason, n_frames when a session has been idle; frames as for challenge_verdict, with ts."""
-    names = ("x1", "y1", "x2", "y2", "yaw", "pitch_signal", "ear", "mouth_width_ratio", "passive_score")
-    own = frames.withWatermark("ts", delay).groupBy("challenge_id", F.session_window("ts", idle)).agg(F.slice(F.sort_array(F.collect_list(F.struct("ts", "idx", *names))), 1, MAX_FRAMES).alias("frames"))
+    """token, event_id, ts of the consumption that takes each token: the first within ttl of its issue (token, ts); consumed: token, event_id, ts.
+
+    Both streams are one, so that issue and consumption of a batch meet in order of their times. A token issued again starts a new life.
+    """
+    i = issued.select("token", F.lit(None).cast("long").alias("event_id"), "ts")
+    rows = i.unionByName(consumed.select("token", F.col("event_id").cast("long").alias("event_id"), "ts")).filter("token IS NOT NULL AND ts IS NOT NULL")
+    rows = rows.withWatermark("ts", f"{ttl_seconds} seconds").select("token", "event_id", "ts", _micros().alias("at"))
+    taken = rows.groupBy("token").transformWithState(processors.Tokens(ttl_seconds), "token string, event_id long, at long", "append", "EventTime")
+    return taken.select("token", "event_id", F.timestamp_micros("at").alias("ts"))
+
+
+def stream_challenge_sessions(frames: DataFrame, actions: list[str], idle=5.0, total=60.0, delay=RATE_DELAY) -> DataFrame:
+    """challenge_id, start, is_live, confidence, reason, n_frames of each session at its end; frames as for challenge_verdict, with ts.
+
+    A session ends with its last frame that counts (MAX_FRAMES), after idle seconds without a frame, or total seconds
+    after its first. Frames without a face (no box) keep it alive and don't count. What comes
+    after its last frame that counts, before it would have ended otherwise, is dropped.
+    """
+    rows = frames.filter("challenge_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
+    rows = rows.select("challenge_id", "ts", _micros().alias("at"), F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("double").alias(c) for c in processors.SIGNALS])
+    ended = rows.groupBy("challenge_id").transformWithState(processors.Sessions(idle, total), f"challenge_id {rows.schema['challenge_id'].dataType.simpleString()}, start long, frames array<struct<{processors.FRAME}>>", "append", "EventTime")
     made = session_verdict(F.col("frames"), F.array(*map(F.lit, actions)))
-    return own.select("challenge_id", F.col("session_window.start").alias("start"), *[c.alias(k) for k, c in made.items()])
-
-
-def _life(stale_seconds: float):
-    def step(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            status, since = state.get
-            state.remove()
-            if status in ("accepted", "claimed"):
-                yield pd.DataFrame([(key[0], "expired", since)], columns=["job_id", "status", "since"])
-            return
-        rank = {"accepted": 0, "claimed": 1, "done": 2, "error": 2}
-        status, since = state.get if state.exists else (None, None)
-        for batch in batches:
-            for name, ts in sorted(zip(batch["status"], batch["ts"]), key=lambda x: (x[1], rank.get(x[0], -1))):
-                if name in rank and (status is None or rank[name] > rank[status]):
-                    status, since = name, ts.value // 1000
-        if status is None:
-            return
-        state.update((status, since))
-        state.setTimeoutTimestamp(max(int(since // 1000 + stale_seconds * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], status, since)], columns=["job_id", "status", "since"])
-
-    return step
-
-
-def stream_job_lifecycle(events: DataFrame, stale_seconds=300.0, delay="1 minute") -> DataFrame:
-    """job_id, status, since (microseconds) whenever a job moves on: accepted, claimed, done or error; expired if it stays open for longer than stale_seconds. events: job_id, status, ts."""
-    rows = events.select("job_id", "status", "ts").withWatermark("ts", delay)
-    return rows.groupBy("job_id").applyInPandasWithState(_life(stale_seconds), "job_id long, status string, since long", "status string, since long", "update", GroupStateTimeout.EventTimeTimeout)
+    return ended.select("challenge_id", F.timestamp_micros("start").alias("start"), *[c.alias(k) for k, c in made.items()])
+
+
+def stream_job_lifecycle(events: DataFrame, stale_seconds=300.0, ttl_seconds=300.0, delay="1 minute") -> DataFrame:
+    """job_id, status, since (microseconds) whenever a job moves on; events: job_id, status, ts.
+
+    accepted, claimed, done and error come from events, in this order, and a later one of a lower rank changes nothing. A job that stays open for
+    longer than stale_seconds is expired; a result (done, error, expired) is gone after
+    ttl_seconds, and with it the job's state. An event after that starts the job anew.
+    """
+    rows = events.filter("job_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).select("job_id", "status", "ts", _micros().alias("at"))
+    kind = rows.schema["job_id"].dataType.simpleString()
+    return rows.groupBy("job_id").transformWithState(processors.Jobs(stale_seconds, ttl_seconds), f"job_id {kind}, status string, since long", "append", "EventTime")
