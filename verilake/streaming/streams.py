@@ -61,10 +61,10 @@ def rocksdb_state(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def available(stream: DataFrame, mode="append") -> DataFrame:
-    """Run a stream over what is there now; the result as a table in the shared checkpoint folder."""
+def available(stream: DataFrame, mode="append", place: str | None = None) -> DataFrame:
+    """Run a stream over what is there now; the result as a table in place, by default a folder of its own in the shared checkpoint folder."""
     spark = stream.sparkSession
-    place = f"{_shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = place or f"{_shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     keep = place + ("/out" if mode == "complete" else "/out/batch={}")
 
     def store(batch: DataFrame, number: int) -> None:
