@@ -115,12 +115,6 @@ def test_geometry(spark):
     assert one(spark, challenge.eye_aspect(F.slice(points, 1, 3), centre, F.lit(10.0))) is None
 
 
-def test_main_face(spark):
-    rows = [(1, 1, 0.0, 0.0, 112.0, 112.0, 0.8), (1, 2, 2.0, 2.0, 113.0, 113.0, 0.97), (2, 1, 0.0, 0.0, 200.0, 200.0, 0.88), (2, 2, 300.0, 300.0, 340.0, 340.0, 0.98)]
-    df = spark.createDataFrame(rows, "image long, det_idx long, x1 double, y1 double, x2 double, y2 double, confidence double")
-    assert {r.image: r.det_idx for r in windows.select_main_face(df).collect()} == {1: 2, 2: 1}
-
-
 def at(seconds):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
 
