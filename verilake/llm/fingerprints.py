@@ -140,19 +140,24 @@ def _minima(texts: list[str]) -> np.ndarray:
     return least.T.astype(np.uint8)
 
 
-def fingerprints_of(texts: list[str]) -> list[str]:
-    """Hex digits of the fingerprints of texts; of the empty text: no digits."""
-    out: list[str] = []
+def prints_of(texts: list[str]) -> list[bytes]:
+    """The fingerprints of texts; of the empty text: no bytes."""
+    out: list[bytes] = []
     start = held = 0
     for i, text in enumerate([*texts, None]):
         if text is None or (held and held + len(text) > AT_ONCE):
             some = texts[start:i]
-            out += [row.tobytes().hex() if t else "" for t, row in zip(some, _minima(some))] if some else []
+            out += [row.tobytes() if t else b"" for t, row in zip(some, _minima(some))] if some else []
             start, held = i, 0
         held += len(text or "")
     return out
 
 
+def fingerprints_of(texts: list[str]) -> list[str]:
+    """Hex digits of the fingerprints of texts."""
+    return [p.hex() for p in prints_of(texts)]
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of each text, 2 * SLOTS hex digits; of null and empty texts: the empty string."""
 
@@ -174,18 +179,18 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 PAIR, HEAD, TAIL = range(3)
-_EDITED = "_kind byte, _part int, _id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string, _text string"
+_EDITED = "_kind byte, _part int, _id string, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, next_fingerprint binary, _text string"
 
 
-def _pairs(ids: list, texts: list[str], prints: list[str], part: int) -> pd.DataFrame:
+def _pairs(ids: list, texts: list[str], prints: list[bytes], part: int) -> pd.DataFrame:
     """A row for each text but the last, with what comes of it and the next one."""
     edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:])]
-    digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited]
+    digests = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() for t in edited]
     n = pd.Series([len(t) for t in texts[:-1]], dtype="int64")
-    return pd.DataFrame({"_kind": PAIR, "_part": part, "_id": ids[:-1], "n_chars": n, "edited_sha256": digests, "fingerprint": prints[:-1], "edited_fingerprint": fingerprints_of(edited), "next_fingerprint": prints[1:], "_text": None})
+    return pd.DataFrame({"_kind": PAIR, "_part": part, "_id": ids[:-1], "n_chars": n, "edited_sha256": digests, "fingerprint": prints[:-1], "edited_fingerprint": prints_of(edited), "next_fingerprint": prints[1:], "_text": None})
 
 
-def _end(i, text: str, own: str, part: int, kind: int) -> pd.DataFrame:
+def _end(i, text: str, own: bytes, part: int, kind: int) -> pd.DataFrame:
     return pd.DataFrame({"_kind": [kind], "_part": [part], "_id": [i], "n_chars": [len(text)], "edited_sha256": [None], "fingerprint": [own], "edited_fingerprint": [None], "next_fingerprint": [None], "_text": [text]})
 
 
@@ -193,13 +198,13 @@ def _end(i, text: str, own: str, part: int, kind: int) -> pd.DataFrame:
 def _edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each row of a sorted partition with the next one; its first and its last row with their texts, as what comes before and after them is in other partitions."""
     part = TaskContext.get().partitionId()
-    held: tuple[list, list, list] | None = None
+    held: tuple[list, list, list] | None = None  # the last row so far
     for batch in batches:
         ids = batch["_id"].tolist()
         texts = ["" if t is None else t for t in batch["_text"]]
         if not ids:
             continue
-        prints = fingerprints_of(texts)
+        prints = prints_of(texts)
         if held is None:
             yield _end(ids[0], texts[0], prints[0], part, HEAD)
         else:
@@ -225,7 +230,7 @@ def edited_fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> Da
     come last, rows of one id in order of a hash of their texts. A single row is next to
     itself; an empty table gives no rows.
 
-    Rows are sorted across the cluster once. The texts at both ends of each partition are all that is written.
+    Rows are sorted across the cluster once. The texts at both ends of each partition are all that is written, beside digests and fingerprints as bytes.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
@@ -240,7 +245,8 @@ def edited_fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> Da
     heads = made.filter(F.col("_kind") == HEAD).select(F.col("_part").alias("_next"), F.col("_text").alias("b"), F.col("fingerprint").alias("fb"))
     across = tails.join(follows, "_part").join(heads, "_next").select("id", "a", "fa", "b", "fb").mapInPandas(_joined, _EDITED)
     whole = made.filter(F.col("_kind") == PAIR).unionByName(across)
-    return whole.select(F.col("_id").cast(kind).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")
+    digits = [F.lower(F.hex(c)).alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint")]
+    return whole.select(F.col("_id").cast(kind).alias(id_col), "n_chars", *digits)
 
 
 def op12_fingerprints(spark, sf_dir):
