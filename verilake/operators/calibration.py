@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verilake.operators.prefix import ordered_prefix
+from verilake.operators.quantiles import exact_quantiles
 from verilake.operators.recognition import sweep_confusion
 
 LOW_DATA = 50
@@ -46,7 +47,10 @@ def signal_stats(rows: DataFrame, signals: list[str], group="group") -> DataFram
     """n, min, max, mean and median of each signal in each group; NaN and null don't count."""
     stacked = rows.select(group, F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("value")) for s in signals])).alias("x")).select(group, "x.*")
     fine = stacked.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    return fine.groupBy(group, "signal").agg(F.count("*").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"))
+    plain = fine.groupBy(group, "signal").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"))
+    middle = exact_quantiles(fine, "value", (0.5,), [group, "signal"]).select(F.col(group).alias("_g"), F.col("signal").alias("_s"), "n", F.col("p")[0].alias("median"))
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("signal") == F.col("_s"))
+    return plain.join(middle, same).select(group, "signal", "n", "min", "max", "mean", "median")
 
 
 def status_tally(rows: DataFrame) -> DataFrame:

@@ -85,3 +85,8 @@ def decrypt_vectors(df: DataFrame, key: DataFrame, column="encrypted", name="pay
     c, n = F.col(column), F.octet_length(column)
     spark_form = F.concat(F.substring(c, 1, IV), F.substring(c, F.lit(IV + TAG + 1), n - IV - TAG), F.substring(c, IV + 1, TAG))
     return joined.withColumn(name, F.try_aes_decrypt(spark_form, F.col("_key"), F.lit("GCM"))).drop("_key")
+
+
+def decrypt_failures(decrypted: DataFrame, column="encrypted", name="payload") -> DataFrame:
+    """n, n_failed: vectors that were encrypted, and those of them that couldn't be decrypted."""
+    return decrypted.agg(F.count(column).alias("n"), F.count_if(F.col(column).isNotNull() & F.col(name).isNull()).alias("n_failed"))

@@ -93,8 +93,11 @@ def pad_score_distribution(frames: DataFrame, bins=50) -> DataFrame:
 
 
 def pad_dataset_stats(frames: DataFrame) -> DataFrame:
-    """Rows by class, by attack type, by label and in all, with one scan: kind, value, n."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in (("class", "cls"), ("attack_type", "attack_type"), ("label", "label"))], F.struct(F.lit("all").alias("kind"), F.lit("all").alias("value")))
+    """Rows by class, by attack type, by label, by medium (image, video_frame; where is_image tells) and in all, with one scan: kind, value, n."""
+    columns = {"class": F.col("cls"), "attack_type": F.col("attack_type"), "label": F.col("label"), "all": F.lit("all")}
+    if "is_image" in frames.columns:
+        columns["medium"] = F.when(F.col("is_image"), "image").otherwise("video_frame")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.cast("string").alias("value")) for k, c in columns.items()])
     return frames.select(F.explode(kinds).alias("k")).select("k.*").groupBy("kind", "value").agg(F.count("*").alias("n"))
 
 

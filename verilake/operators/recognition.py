@@ -207,10 +207,13 @@ def fold_accuracy(scored: DataFrame) -> DataFrame:
     return best.agg(F.count("*").alias("n_folds"), F.avg("best").alias("mean_accuracy"), F.coalesce(F.stddev_pop("best"), F.lit(0.0)).alias("std_accuracy"))
 
 
-def cmc_curve(ranks: DataFrame, max_rank=50) -> DataFrame:
-    """rank, accuracy from probe ranks (rank, null if the identity isn't in the gallery): the share found within each rank."""
+def cmc_curve(ranks: DataFrame, max_rank=50, gallery: DataFrame | None = None) -> DataFrame:
+    """rank, accuracy from probe ranks (rank, null if the identity isn't in the gallery): the share found within each rank, up to max_rank and the gallery's size."""
     total = ranks.agg(F.count("*").alias("n"))
     counts = ranks.filter(F.col("rank") <= max_rank).groupBy("rank").agg(F.count("*").alias("c"))
     steps = ranks.sparkSession.range(1, max_rank + 1).select(F.col("id").alias("rank"))
+    if gallery is not None:
+        size = gallery.agg(F.count("*").alias("_size"))
+        steps = steps.crossJoin(F.broadcast(size)).filter("rank <= _size").drop("_size")
     run = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return steps.join(F.broadcast(counts), "rank", "left").crossJoin(total).select("rank", ratio(F.coalesce(F.sum("c").over(run), F.lit(0)), F.col("n")).alias("accuracy"))

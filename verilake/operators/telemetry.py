@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verilake.operators.quantiles import exact_quantiles
+
 #: Fixed key names. Stages of a pipeline, and the terms that a job's processing time is made of.
 PIPELINE_STAGES = ("preprocess_ms", "detect_ms", "align_ms", "encode_ms", "search_ms", "liveness_ms", "decision_ms")
 ALIASES = {"detect_ms": "fast_detect_ms", "align_ms": "align_crop_ms", "search_ms": "vector_search_ms"}
@@ -54,24 +58,36 @@ def job_result_metrics(df: DataFrame, column="result") -> DataFrame:
     )
 
 
-def stage_latency_table(samples: DataFrame, exact=True) -> DataFrame:
+def stage_latency_table(samples: DataFrame, client: DataFrame | None = None, stages: Iterable[str] = ()) -> DataFrame:
     """stage, n, p50, p95, p99, mean and share of the client's p95 (else the server's), from (stage, value_ms).
 
     Percentiles interpolate. poll_overhead, where it has no samples, is client - server
-    by quantile, floored at 0. The exact percentile sums up equal values before the
-    shuffle; exact=False is for values without repetitions.
+    by quantile, floored at 0. client (n, p50, p95, p99, mean; at most one row) is a summary that stands for the
+    client's samples, unless these have a priority above 0 (a column of samples). Of stages, those without samples get a row with n 0 and nulls.
     """
-    q = F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99))
-    p = F.percentile("value_ms", q) if exact else F.percentile_approx("value_ms", q, F.lit(10000))
-    own = samples.filter("value_ms IS NOT NULL").groupBy("stage").agg(F.count("*").alias("n"), p.alias("p"), F.avg("value_ms").alias("mean"))
-    own = own.select("stage", "n", *[F.col("p")[i].alias(c) for i, c in enumerate(("p50", "p95", "p99"))], "mean")
+    names = ("p50", "p95", "p99")
+    fine = samples.filter("value_ms IS NOT NULL")
+    level = F.max("priority") if "priority" in samples.columns else F.lit(0)
+    means = fine.groupBy("stage").agg(F.avg("value_ms").alias("mean"), level.alias("_level"))
+    own = exact_quantiles(fine, "value_ms", (0.5, 0.95, 0.99), ["stage"]).join(means, "stage").select("stage", "n", *[F.col("p")[i].alias(c) for i, c in enumerate(names)], "mean", "_level")
+    if client is not None:
+        stands = client.select(F.lit("client_terminal_e2e").alias("stage"), F.col("n").cast("long").alias("n"), *names, "mean", F.lit(0).alias("_level"))
+        beaten = F.broadcast(stands.select("stage"))  # one row
+        own = own.filter("_level > 0 OR stage <> 'client_terminal_e2e'").unionByName(own.filter("_level = 0 AND stage = 'client_terminal_e2e'").join(beaten, "stage", "left_anti"))
+        first = own.filter("stage = 'client_terminal_e2e'").select("stage")
+        own = own.unionByName(stands.join(first, "stage", "left_anti"))
+    own = own.drop("_level")
     side = lambda s: own.filter(F.col("stage") == s)
     c, v = side("client_terminal_e2e").alias("c"), side("job_total_server").alias("v")
     floor = lambda x: F.greatest(F.lit(0.0), F.col(f"c.{x}") - F.col(f"v.{x}")).alias(x)
-    poll = c.crossJoin(v).select(F.lit("poll_overhead").alias("stage"), F.least("c.n", "v.n").alias("n"), *[floor(x) for x in ("p50", "p95", "p99", "mean")]).join(side("poll_overhead").select("stage"), "stage", "left_anti")
+    poll = c.crossJoin(v).select(F.lit("poll_overhead").alias("stage"), F.least("c.n", "v.n").alias("n"), *[floor(x) for x in (*names, "mean")]).join(side("poll_overhead").select("stage"), "stage", "left_anti")
     full = own.unionByName(poll)
     base = full.agg(F.coalesce(F.max(F.when(F.col("stage") == "client_terminal_e2e", F.col("p95"))), F.max(F.when(F.col("stage") == "job_total_server", F.col("p95")))).alias("_base"))
-    return full.crossJoin(F.broadcast(base)).withColumn("share", F.when(F.col("_base") > 0, F.try_divide("p95", "_base"))).drop("_base")
+    out = full.crossJoin(F.broadcast(base)).withColumn("share", F.when(F.col("_base") > 0, F.try_divide("p95", "_base"))).drop("_base")
+    if not stages:
+        return out
+    every = samples.sparkSession.createDataFrame([(s,) for s in stages], "stage string")
+    return every.join(out, "stage", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def nearest_rank_stats(samples: DataFrame, key="stage", value="value_ms") -> DataFrame:
@@ -122,16 +138,25 @@ def counter_delta(before: DataFrame, after: DataFrame, key="metric") -> DataFram
     return a.join(b, key, "full_outer").select(key, F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.greatest(F.lit(0.0), F.col("_b") - F.col("_a"))).alias("delta"))
 
 
-def capacity_curve(jobs: DataFrame) -> DataFrame:
-    """One row per offered rate: jobs, shares completed and failed, p50 and p95 of the queue delay, and validity.
+def capacity_curve(jobs: DataFrame, delays: Mapping[str, str] = {"queue": "queue_delay_ms"}) -> DataFrame:
+    """One row per offered rate: jobs, shares completed and failed, p50 and p95 of each delay, and validity.
 
-    jobs: rate, status, queue_delay_ms, queue_left, inflight_left. A rate is valid if some
+    jobs: rate, status, queue_left, inflight_left and the delays, {name: column}, which give name_p50 and name_p95. A rate is valid if some
     jobs completed and none were left waiting or running.
     """
     done, failed = F.col("status") == "completed", F.col("status") == "failed"
-    out = jobs.groupBy("rate").agg(F.count("*").alias("n"), F.count_if(done).alias("completed"), F.count_if(failed).alias("failed"), F.percentile("queue_delay_ms", F.array(F.lit(0.5), F.lit(0.95))).alias("p"), F.max("queue_left").alias("queue_left"), F.max("inflight_left").alias("inflight_left"))
+    out = jobs.groupBy("rate").agg(F.count("*").alias("n"), F.count_if(done).alias("completed"), F.count_if(failed).alias("failed"), F.max("queue_left").alias("queue_left"), F.max("inflight_left").alias("inflight_left"))
+    found = exact_quantiles(_stacked(jobs, delays, ["rate"]), "value", (0.5, 0.95), ["rate", "measure"])
+    at = lambda name, i: F.max(F.when(F.col("measure") == name, F.col("p")[i]))
+    wide = found.groupBy("rate").agg(*[at(name, i).alias(f"{name}_{p}") for name in delays for i, p in enumerate(("p50", "p95"))])
     valid = (F.col("completed") > 0) & (F.col("queue_left") == 0) & (F.col("inflight_left") == 0)
-    return out.select("rate", "n", (F.col("completed") / F.col("n")).alias("completed_share"), (F.col("failed") / F.col("n")).alias("failed_share"), F.col("p")[0].alias("queue_p50"), F.col("p")[1].alias("queue_p95"), valid.alias("valid"))
+    return out.join(wide, "rate", "left").select("rate", "n", (F.col("completed") / F.col("n")).alias("completed_share"), (F.col("failed") / F.col("n")).alias("failed_share"), *[f"{name}_{p}" for name in delays for p in ("p50", "p95")], valid.alias("valid"))
+
+
+def _stacked(df: DataFrame, measures: Mapping[str, str], keys=()) -> DataFrame:
+    """keys, measure, value: a row for each of the measures, {name: column}."""
+    own = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(c).cast("double").alias("value")) for name, c in measures.items()])
+    return df.select(*keys, F.explode(own).alias("_m")).select(*keys, "_m.*")
 
 
 def audit_by_ip(log: DataFrame) -> DataFrame:
@@ -139,8 +164,20 @@ def audit_by_ip(log: DataFrame) -> DataFrame:
     return log.filter("request_ip IS NOT NULL").groupBy("request_ip").agg(F.count("*").alias("n"), F.count_if(~F.col("result")).alias("failures"))
 
 
-def slo_summary(requests: DataFrame, p95_target=1000.0, error_budget=0.005) -> DataFrame:
-    """n, availability, error_rate, p95, whether each is met, and the share of the error budget that is used; requests: ok, latency_ms. Without requests n is 0 and the rest null."""
-    own = requests.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), F.percentile("latency_ms", F.lit(0.95)).alias("p95"))
+def slo_summary(requests: DataFrame, p95_target=1000.0, error_budget=0.005, queue_target=1000.0, total_target=2000.0, reject_target=0.2) -> DataFrame:
+    """n, availability, error_rate, p95, whether each is met, and the share of the error budget that is used; requests: ok, latency_ms. Without requests n is 0 and the rest null.
+
+    With a column queue_ms or total_ms, also its p95 and whether that is below its target; with
+    quality_rejected, also the share of rejects and whether it is.
+    """
+    targets = {"p95": ("latency_ms", p95_target)} | {f"{c}_p95": (f"{c}_ms", t) for c, t in (("queue", queue_target), ("total", total_target)) if f"{c}_ms" in requests.columns}
+    rejects = {"_r": F.count_if("quality_rejected")} if "quality_rejected" in requests.columns else {}
+    own = requests.agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), *[c.alias(k) for k, c in rejects.items()])
+    found = exact_quantiles(_stacked(requests, {k: c for k, (c, _) in targets.items()}), "value", (0.95,), ["measure"])
+    wide = found.agg(*[F.max(F.when(F.col("measure") == k, F.col("p")[0])).alias(k) for k in targets])
     rate = F.try_divide("errors", "n")
-    return own.select("n", (1 - rate).alias("availability"), rate.alias("error_rate"), "p95", (F.col("p95") < p95_target).alias("p95_met"), (rate < error_budget).alias("errors_met"), (rate / error_budget).alias("budget_used"))
+    more = [c for k, (_, t) in targets.items() if k != "p95" for c in (F.col(k), (F.col(k) < t).alias(f"{k}_met"))]
+    if rejects:
+        share = F.try_divide("_r", "n")
+        more += [share.alias("reject_share"), (share < reject_target).alias("reject_met")]
+    return own.crossJoin(wide).select("n", (1 - rate).alias("availability"), rate.alias("error_rate"), "p95", (F.col("p95") < p95_target).alias("p95_met"), (rate < error_budget).alias("errors_met"), (rate / error_budget).alias("budget_used"), *more)

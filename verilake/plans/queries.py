@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -83,10 +84,10 @@ def top2_margin(v):
 
 
 @query(f"""WITH {NEAREST}, ranks AS (SELECT s.sample_idx, (SELECT min(rank) FROM ranked r WHERE r.probe_idx = s.sample_idx AND r.hit_identity = s.identity) AS rank FROM split s WHERE n > 1)
-SELECT r.rank AS rank, round((SELECT count(*) FROM ranks WHERE ranks.rank <= r.rank) / (SELECT count(*) FROM ranks), 9) AS accuracy FROM (SELECT unnest(range(1, 51)) AS rank) r""")
+SELECT r.rank AS rank, round((SELECT count(*) FROM ranks WHERE ranks.rank <= r.rank) / (SELECT count(*) FROM ranks), 9) AS accuracy FROM (SELECT unnest(range(1, least(51, (SELECT count(*) + 1 FROM split WHERE n = 1)))) AS rank) r""")
 def cmc_curve(v):
     probes, gallery = _split(v)
-    return recognition.cmc_curve(search.probe_ranks(probes, gallery)).withColumn("accuracy", F.round("accuracy", 9))
+    return recognition.cmc_curve(search.probe_ranks(probes, gallery), gallery=gallery).withColumn("accuracy", F.round("accuracy", 9))
 
 
 @query(f"WITH {NEAREST} SELECT (SELECT count(*) FROM split WHERE n > 1) AS n_probes, (SELECT count(*) FROM split WHERE n > 1) - count_if(rank = 1) AS n_mismatch FROM ranked")
@@ -268,9 +269,12 @@ def score_distribution(v):
     return recognition.score_distribution(v("scored"))
 
 
-@query(f"""WITH {RECOMMEND}, n AS (SELECT count(*) AS n_pairs, count_if(label = 1) AS n_genuine, count_if(label = 0) AS n_impostor FROM scored), c AS (SELECT {RATES} FROM ({_conf('scored', '0.45')}))
+EVAL = f"""WITH {RECOMMEND}, n AS (SELECT count(*) AS n_pairs, count_if(label = 1) AS n_genuine, count_if(label = 0) AS n_impostor FROM scored), c AS (SELECT {RATES} FROM ({_conf('scored', '0.45')}))
 SELECT n.*, NULL::VARCHAR AS error, a.*, b.*, auc, high, low, eer, eer_threshold, greatest(0, least(high - low, high)) AS margin, c.far AS current_far, c.frr AS current_frr
-FROM n, {_at('0.001', 'tar_at_far_0_001')} a, {_at('0.01', 'tar_at_far_0_01')} b, area, rec, eer, c""")
+FROM n, {_at('0.001', 'tar_at_far_0_001')} a, {_at('0.01', 'tar_at_far_0_01')} b, area, rec, eer, c"""
+
+
+@query(EVAL)
 def eval_1to1(v):
     return recognition.eval_1to1(v("scored"))
 
@@ -365,14 +369,18 @@ def active_gate_policy(v):
     return pad.active_gate_policy(_frames(v))
 
 
-@query("""SELECT 'class' AS kind, cls AS value, count(*) AS n FROM all_frames GROUP BY 2 UNION ALL SELECT 'attack_type', attack_type, count(*) FROM all_frames GROUP BY 2 UNION ALL SELECT 'label', label::VARCHAR, count(*) FROM all_frames GROUP BY 2 UNION ALL SELECT 'all', 'all', count(*) FROM all_frames""")
+PAD_MANIFEST = """m AS (SELECT path, lower(split_part(path, '/', 3)) AS f, lower(split_part(path, '.', 2)) AS e FROM pad_paths), c AS (SELECT path, e, CASE WHEN f IN ('cutout printouts', 'cut-out') THEN 'cut-out printouts' ELSE f END AS cls FROM m),
+f AS (SELECT cls, CASE WHEN cls LIKE 'live%' THEN 1 ELSE 0 END AS label, CASE cls WHEN 'printouts' THEN 'print' WHEN 'cut-out printouts' THEN 'cutout' WHEN 'replay' THEN 'replay' ELSE 'live' END AS attack_type, path, e = 'jpg' AS is_image, unnest(CASE WHEN e = 'jpg' THEN [NULL::BIGINT] ELSE range(0, 30) END)::INT AS frame_index
+FROM c WHERE cls <> 'other' AND e IN ('jpg', 'mp4'))"""
+
+
+@query(f"""WITH {PAD_MANIFEST} SELECT 'class' AS kind, cls AS value, count(*) AS n FROM f GROUP BY 2 UNION ALL SELECT 'attack_type', attack_type, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'label', label::VARCHAR, count(*) FROM f GROUP BY 2
+UNION ALL SELECT 'medium', CASE WHEN is_image THEN 'image' ELSE 'video_frame' END, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'all', 'all', count(*) FROM f""")
 def pad_dataset_stats(v):
-    return pad.pad_dataset_stats(v("all_frames"))
+    return pad.pad_dataset_stats(files.pad_manifest(v("pad_paths")))
 
 
-@query("""WITH m AS (SELECT path, lower(split_part(path, '/', 3)) AS f, lower(split_part(path, '.', 2)) AS e FROM pad_paths), c AS (SELECT path, e, CASE WHEN f IN ('cutout printouts', 'cut-out') THEN 'cut-out printouts' ELSE f END AS cls FROM m)
-SELECT cls, CASE WHEN cls LIKE 'live%' THEN 1 ELSE 0 END AS label, CASE cls WHEN 'printouts' THEN 'print' WHEN 'cut-out printouts' THEN 'cutout' WHEN 'replay' THEN 'replay' ELSE 'live' END AS attack_type, path, e = 'jpg' AS is_image, unnest(CASE WHEN e = 'jpg' THEN [NULL::BIGINT] ELSE range(0, 30) END)::INT AS frame_index
-FROM c WHERE cls <> 'other' AND e IN ('jpg', 'mp4')""")
+@query(f"WITH {PAD_MANIFEST} SELECT * FROM f")
 def read_pad_manifest(v):
     return files.pad_manifest(v("pad_paths"))
 
@@ -612,11 +620,14 @@ def signal_stats(v):
 # --- telemetry --------------------------------------------------------------------------
 
 
-@query("""WITH o AS (SELECT stage, count(*) AS n, quantile_cont(value_ms, 0.5) AS p50, quantile_cont(value_ms, 0.95) AS p95, quantile_cont(value_ms, 0.99) AS p99, avg(value_ms) AS mean FROM stage_samples GROUP BY 1),
-p AS (SELECT 'poll_overhead' AS stage, least(c.n, s.n) AS n, greatest(0, c.p50 - s.p50) AS p50, greatest(0, c.p95 - s.p95) AS p95, greatest(0, c.p99 - s.p99) AS p99, greatest(0, c.mean - s.mean) AS mean FROM o c, o s WHERE c.stage = 'client_terminal_e2e' AND s.stage = 'job_total_server'), a AS (SELECT * FROM o UNION ALL SELECT * FROM p)
-SELECT stage, n, p50, p95, p99, round(mean, 6) AS mean, p95 / (SELECT p95 FROM o WHERE stage = 'client_terminal_e2e') AS share FROM a""")
+LATENCY = """o AS (SELECT stage, count(*) AS n, quantile_cont(value_ms, 0.5) AS p50, quantile_cont(value_ms, 0.95) AS p95, quantile_cont(value_ms, 0.99) AS p99, avg(value_ms) AS mean FROM stage_samples GROUP BY 1),
+p AS (SELECT 'poll_overhead' AS stage, least(c.n, s.n) AS n, greatest(0, c.p50 - s.p50) AS p50, greatest(0, c.p95 - s.p95) AS p95, greatest(0, c.p99 - s.p99) AS p99, greatest(0, c.mean - s.mean) AS mean FROM o c, o s WHERE c.stage = 'client_terminal_e2e' AND s.stage = 'job_total_server'), a AS (SELECT * FROM o UNION ALL SELECT * FROM p),
+latency AS (SELECT stage, coalesce(n, 0) AS n, p50, p95, p99, mean, p95 / (SELECT p95 FROM o WHERE stage = 'client_terminal_e2e') AS share FROM (SELECT unnest(STAGES) AS stage) LEFT JOIN a USING (stage))""".replace("STAGES", str(list(files.STAGE_KEYS)))
+
+
+@query(f"WITH {LATENCY} SELECT * REPLACE (round(mean, 6) AS mean) FROM latency")
 def stage_latency_table(v):
-    return telemetry.stage_latency_table(v("stage_samples")).withColumn("mean", F.round("mean", 6))
+    return telemetry.stage_latency_table(v("stage_samples"), stages=files.STAGE_KEYS).withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT stage, count(*) AS n, list_sort(list(value_ms))[(floor(count(*) * 0.5) + 1)::INT] AS p50, list_sort(list(value_ms))[(floor(count(*) * 0.95) + 1)::INT] AS p95, max(value_ms) AS max FROM stage_samples GROUP BY 1")
@@ -674,9 +685,10 @@ def counter_delta(v):
 
 
 @query("""SELECT rate, count(*) AS n, count_if(status = 'completed') / count(*) AS completed_share, count_if(status = 'failed') / count(*) AS failed_share, quantile_cont(queue_delay_ms, 0.5) AS queue_p50, quantile_cont(queue_delay_ms, 0.95) AS queue_p95,
+quantile_cont(fast_detect_ms, 0.5) AS pop_p50, quantile_cont(fast_detect_ms, 0.95) AS pop_p95, quantile_cont(vector_search_ms, 0.5) AS claim_p50, quantile_cont(vector_search_ms, 0.95) AS claim_p95,
 count_if(status = 'completed') > 0 AND max(queue_left) = 0 AND max(inflight_left) = 0 AS valid FROM jobs GROUP BY 1""")
 def capacity_curve(v):
-    return telemetry.capacity_curve(v("jobs"))
+    return telemetry.capacity_curve(v("jobs"), {"queue": "queue_delay_ms", "pop": "fast_detect_ms", "claim": "vector_search_ms"})
 
 
 @query("SELECT request_ip, count(*) AS n, count_if(NOT result) AS failures FROM verification_log GROUP BY 1")
@@ -684,9 +696,12 @@ def audit_by_ip(v):
     return telemetry.audit_by_ip(v("verification_log"))
 
 
-@query("SELECT count(*) AS n, 1 - count_if(event_type = 'error') / count(*) AS availability, count_if(event_type = 'error') / count(*) AS error_rate, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.95) < 1000 AS p95_met, count_if(event_type = 'error') / count(*) < 0.005 AS errors_met, count_if(event_type = 'error') / count(*) / 0.005::DOUBLE AS budget_used FROM events")
+@query("""SELECT count(*) AS n, 1 - count_if(event_type = 'error') / count(*) AS availability, count_if(event_type = 'error') / count(*) AS error_rate, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.95) < 1000 AS p95_met,
+count_if(event_type = 'error') / count(*) < 0.005 AS errors_met, count_if(event_type = 'error') / count(*) / 0.005::DOUBLE AS budget_used, quantile_cont(CASE WHEN event_id % 5 > 0 THEN value * 30 END, 0.95) AS queue_p95, quantile_cont(CASE WHEN event_id % 5 > 0 THEN value * 30 END, 0.95) < 1000 AS queue_p95_met,
+quantile_cont(value * 40, 0.95) AS total_p95, quantile_cont(value * 40, 0.95) < 2000 AS total_p95_met, count_if(event_id % 6 = 0) / count(*) AS reject_share, count_if(event_id % 6 = 0) / count(*) < 0.2 AS reject_met FROM events""")
 def slo_summary(v):
-    return telemetry.slo_summary(v("events").select((F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms")))
+    more = [F.when(F.col("event_id") % 5 > 0, F.col("value") * 30).alias("queue_ms"), (F.col("value") * 40).alias("total_ms"), (F.col("event_id") % 6 == 0).alias("quality_rejected")]
+    return telemetry.slo_summary(v("events").select((F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_ms"), *more))
 
 
 @query("""SELECT '{"job_id":"' || event_id || '","status":"' || event_type || '"}' AS payload FROM events WHERE event_id % 3 = 0""")
@@ -743,24 +758,34 @@ def dedupe_references(v):
     return enroll.dedupe_references(v("references_")).select("id", "user_id")
 
 
-@query("SELECT vec_id, 4 * len(embedding) AS n_bytes, true AS same FROM embeddings")
+# The bits of a 32-bit float, from its power of two and its fraction, as little-endian hex digits.
+_FLOAT = """CASE WHEN x = 0 THEN '00000000' ELSE (SELECT printf('%02X%02X%02X%02X', b & 255, (b >> 8) & 255, (b >> 16) & 255, b >> 24) FROM
+(SELECT (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END + ((abs(x)::DOUBLE / pow(2, floor(log2(abs(x)::DOUBLE))) - 1) * 8388608)::BIGINT + (floor(log2(abs(x)::DOUBLE))::BIGINT + 127) * 8388608)::BIGINT AS b)) END"""
+_VECTOR_HEX = f"""parts AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), bits AS (SELECT vec_id, pos, {_FLOAT} AS h FROM parts),
+coded AS (SELECT vec_id, string_agg(h, '' ORDER BY pos) AS h FROM bits GROUP BY 1)"""
+
+
+@query(f"WITH {_VECTOR_HEX} SELECT vec_id, h AS bytes, true AS same FROM coded")
 def vector_bytes(v):
     raw = enroll.vector_to_bytes(F.col("embedding"))
-    return v("embeddings").withColumn("b", raw).select("vec_id", F.octet_length("b").alias("n_bytes"), (enroll.vector_from_bytes(F.col("b")) == F.col("embedding")).alias("same"))
+    return v("embeddings").withColumn("b", raw).select("vec_id", F.hex("b").alias("bytes"), (enroll.vector_from_bytes(F.col("b")) == F.col("embedding")).alias("same"))
 
 
-@query()
+@query(f"WITH {_VECTOR_HEX} SELECT vec_id, sha256(unhex(h)) AS h FROM coded")
 def vector_hash(v):
-    return v("embeddings").select("vec_id", enroll.vector_hash(F.col("embedding")).alias("h"), enroll.vector_hash(F.col("embedding"), True).alias("query_key"))
+    return v("embeddings").select("vec_id", enroll.vector_hash(F.col("embedding")).alias("h"))
 
 
-@query("SELECT vec_id, 4 * len(embedding) + 28 AS n_bytes, true AS same FROM embeddings")
+@query(f"""WITH {_VECTOR_HEX} SELECT vec_id, len(h) // 2 + 28 AS n_bytes, h AS plain, true AS hidden, true AS nonces_differ, 0 AS n_failed, count(*) OVER () AS n_failed_with_another_key FROM coded""")
 def encrypt_vectors(v):
     # The key comes with the data here; a job reads it from its secret store into such a one-row table.
-    key = v("region").filter("r_regionkey = 0").select(F.unhex(F.sha2("r_name", 256)).alias("key"))
-    coded = enroll.encrypt_vectors(v("embeddings").withColumn("payload", enroll.vector_to_bytes(F.col("embedding"))), key)
-    plain = enroll.decrypt_vectors(coded.withColumnRenamed("payload", "original"), key)
-    return plain.select("vec_id", F.octet_length("encrypted").alias("n_bytes"), (F.col("payload") == F.col("original")).alias("same"))
+    key = lambda n: v("region").filter(f"r_regionkey = {n}").select(F.unhex(F.sha2("r_name", 256)).alias("key"))
+    coded = enroll.encrypt_vectors(v("embeddings").withColumn("payload", enroll.vector_to_bytes(F.col("embedding"))), key(0)).withColumnRenamed("payload", "original")
+    # A second nonce gives other bytes for the same vector.
+    again = enroll.encrypt_vectors(coded.withColumnRenamed("encrypted", "_first"), key(0), "original")
+    plain = enroll.decrypt_vectors(again, key(0))
+    failed = enroll.decrypt_failures(plain).select("n_failed").crossJoin(enroll.decrypt_failures(enroll.decrypt_vectors(coded, key(1))).select(F.col("n_failed").alias("n_failed_with_another_key")))
+    return plain.select("vec_id", F.octet_length("encrypted").alias("n_bytes"), F.hex("payload").alias("plain"), (~F.contains(F.hex("encrypted"), F.hex("original"))).alias("hidden"), (F.col("encrypted") != F.col("_first")).alias("nonces_differ")).crossJoin(F.broadcast(failed))
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -782,21 +807,83 @@ def redact_documents(v):
     return rows.select("event_id", flat.alias("redacted"), sanitize_result(F.col("doc")).alias("sanitized"))
 
 
-@query("SELECT stage, n::VARCHAR AS n, printf('%.3f', p95) AS p95 FROM (SELECT stage, count(*) AS n, quantile_cont(value_ms, 0.95) AS p95 FROM stage_samples GROUP BY 1)")
+# --- readers and writers: each writes what the tables give and reads it back ---------------
+
+
+def _scratch(v: Views) -> str:
+    return f"{streams.shared_folder(v.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {LATENCY} SELECT stage, n::VARCHAR AS n, {', '.join(f"round({c}::DECIMAL(30,9), 3)::VARCHAR AS {c}" for c in ('p50', 'p95', 'p99', 'mean', 'share'))} FROM latency")
 def write_latency_table(v):
-    table = telemetry.stage_latency_table(v("stage_samples")).filter("stage <> 'poll_overhead'")
-    return table.select("stage", F.col("n").cast("string").alias("n"), exprs.format_number(F.col("p95")).alias("p95"))
+    path = _scratch(v)
+    files.write_latency_table(telemetry.stage_latency_table(v("stage_samples"), stages=files.STAGE_KEYS), path)
+    return v.spark.read.csv(path, header=True, emptyValue="", nullValue="\\N").replace("", None)
 
 
-@query()
+@query(f"WITH {_roc()} SELECT idx::VARCHAR AS idx, {', '.join(f"printf('%.6g', {c}::DOUBLE) AS {c}" for c in ('threshold', 'far', 'tar', 'frr'))} FROM curve")
 def write_curve_csvs(v):
-    curve = recognition.roc_curve(recognition.roc_points(v("scored")))
-    return curve.select("idx", *[files.format_6g(F.col(c)).alias(c) for c in ("threshold", "far", "tar", "frr")])
+    path = _scratch(v)
+    files.write_curve_csv(recognition.roc_curve(recognition.roc_points(v("scored"))).select("idx", "threshold", "far", "tar", "frr"), path, "idx")
+    return v.spark.read.csv(path, header=True)
 
 
-@query()
+@query(EVAL)
 def eval_report(v):
-    return files.report_json(recognition.eval_1to1(v("scored")))
+    """The report's JSON, as it was written, parsed again: keys in order, all of them there."""
+    path, summary = _scratch(v), recognition.eval_1to1(v("scored"))
+    files.write_eval_report(summary, path)
+    plain = [f for f in summary.schema if f.dataType.typeName() != "array"]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain)
+    return v.spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
+@query("SELECT sample_idx, identity, list_sum(embedding::DOUBLE[]) AS total, (SELECT count(*) FROM samples) AS n FROM samples")
+def read_samples(v):
+    base = _scratch(v)
+    built = files.get_or_build_samples(v.spark, base, "set", 320, lambda: v("samples"))
+    return built.select("sample_idx", "identity", F.aggregate(exprs.as_doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x).alias("total")).crossJoin(files.read_samples_meta(v.spark, base, "set", 320).select("n"))
+
+
+@query("SELECT cls, count(*) AS n, count_if(NOT face_detected) AS no_face, round(sum(CASE WHEN face_detected THEN score END), 6) AS total FROM all_frames GROUP BY 1")
+def read_pad_predictions(v):
+    path = _scratch(v)
+    files.write_pad_predictions(v("all_frames"), path)
+    frames, drops = files.read_pad_predictions(v.spark, path)
+    return drops.join(frames.groupBy("cls").agg(F.round(F.sum("score"), 6).alias("total")), "cls")
+
+
+@query(r"SELECT '/root/' || regexp_replace(image_a, '_\d{4}\.(jpg|jpeg|png)$', '', 'i') || '/' || image_a AS a, '/root/' || regexp_replace(image_b, '_\d{4}\.(jpg|jpeg|png)$', '', 'i') || '/' || image_b AS b, is_same AS label, fold_id::INT AS fold FROM pair_rows")
+def read_pairs_file(v):
+    path = _scratch(v)
+    v("pair_rows").write.csv(path, header=True)
+    return files.read_pairs_csv(v.spark, path, "/root")
+
+
+# Documents of several kinds: samples under their keys, also in JSON inside text; tables with a stage's column; load-test summaries.
+@query("""SELECT 'search' AS stage, count(*) AS n, sum(event_id) AS total FROM events UNION ALL SELECT 'detect', count(*), round(sum(value), 6) FROM events WHERE event_type <> 'error' UNION ALL SELECT 'align', count(*), sum(user_id) FROM events""")
+def read_benchmark_artifacts(v):
+    root = _scratch(v)
+    row = F.struct(F.col("event_id").alias("search_ms"), F.to_json(F.struct(F.col("user_id").alias("a.align_ms"))).alias("inner"))
+    documents = v("events").groupBy("user_id").agg(F.struct(F.collect_list(row).alias("rows")).alias("deep")).select("deep")
+    documents.write.option("maxRecordsPerFile", 1).json(f"{root}/documents")
+    v("events").select(F.when(F.col("event_type") != "error", F.col("value")).alias("x.detect_ms"), "event_type").write.csv(f"{root}/tables", header=True)
+    return files.read_benchmark_artifacts(v.spark, root).groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("value_ms"), 6).alias("total"))
+
+
+@query(f"""WITH {LATENCY}, c AS (SELECT min(user_id) AS u FROM events), s AS (SELECT count(*) AS n, median(value) AS p50, max(value) AS p95, avg(value) AS mean FROM events WHERE user_id = (SELECT u FROM c)),
+r AS (SELECT * REPLACE (CASE stage WHEN 'client_terminal_e2e' THEN s.n WHEN 'poll_overhead' THEN least(s.n, v.n) ELSE l.n END AS n, CASE stage WHEN 'client_terminal_e2e' THEN s.p50 WHEN 'poll_overhead' THEN greatest(0, s.p50 - v.p50) ELSE l.p50 END AS p50,
+ CASE stage WHEN 'client_terminal_e2e' THEN s.p95 WHEN 'poll_overhead' THEN greatest(0, s.p95 - v.p95) ELSE l.p95 END AS p95) FROM (SELECT stage, n, p50, p95 FROM latency) l, s, (SELECT n, p50, p95 FROM latency WHERE stage = 'job_total_server') v)
+SELECT stage, n, round(p50, 6) AS p50, round(p95, 6) AS p95, round(p95 / (SELECT p95 FROM s), 6) AS share FROM (SELECT stage, n, p50, p95 FROM r)""")
+def latency_with_client_summary(v):
+    root = _scratch(v)
+    block = F.struct(F.expr("percentile(value, 0.5)").alias("med"), F.max("value").alias("p(95)"), F.avg("value").alias("avg"))
+    users = v("events").groupBy("user_id").agg(block.alias("client_e2e_ms"), F.struct(F.count("*").alias("count")).alias("iterations"))
+    first = users.filter(F.col("user_id") == v("events").agg(F.min("user_id")).scalar())
+    first.select(F.struct("client_e2e_ms", "iterations").alias("metrics")).write.json(f"{root}/summary")
+    samples = v("stage_samples").withColumn("priority", F.lit(0))
+    table = telemetry.stage_latency_table(samples, files.read_client_summary(v.spark, root), files.STAGE_KEYS)
+    return table.select("stage", "n", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "share")])
 
 
 # --- streams, run over what is there now ------------------------------------------------
@@ -806,11 +893,13 @@ def _stream(v: Views) -> DataFrame:
     return streams.events_stream(v.spark, v.sf_dir)
 
 
-@query("""WITH w AS (SELECT unnest(range(0, 5)) AS k), e AS (SELECT event_type AS result, date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS start FROM events, w)
-SELECT start, result, count(*) AS n, count(*) / 300 AS per_second FROM e GROUP BY 1, 2""")
+@query("""WITH w AS (SELECT unnest(range(0, 5)) AS k), e AS (SELECT event_type, event_id, user_id, date_trunc('minute', ts) - k * INTERVAL 1 MINUTE AS start FROM events, w),
+x AS (SELECT start, 'total' AS kind, 'all' AS value FROM e UNION ALL SELECT start, 'result', event_type FROM e UNION ALL SELECT start, 'reject', 'all' FROM e WHERE event_id % 7 = 0 UNION ALL SELECT start, 'reject_reason', 'reason' || user_id % 3 FROM e WHERE event_id % 7 = 0)
+SELECT start, kind, value, count(*) AS n, count(*) / 300 AS per_second FROM x GROUP BY 1, 2, 3""")
 def stream_result_rate(v):
-    rows = streams.available(streams.stream_result_rate(_stream(v).withColumnRenamed("event_type", "result")), "complete")
-    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    reason = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("reason"), (F.col("user_id") % 3).cast("string")))
+    log = _stream(v).select("ts", F.col("event_type").alias("result"), reason.alias("reject_reason"))
+    return streams.available(streams.stream_result_rate(log), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 STREAM_BUCKETS = "unnest([1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000]) AS le"
@@ -829,11 +918,16 @@ def stream_latency_quantiles(v):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "stage", "n", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"))
 
 
-@query("SELECT date_trunc('day', ts) AS start, count(*) AS n, round(count_if(event_type = 'error') / count(*), 9) AS error_share, 'errors' AS alert FROM events GROUP BY 1 HAVING count_if(event_type = 'error') / count(*) > 0.05")
+@query(f"""WITH e AS (SELECT date_trunc('day', ts) AS start, event_type, stage, CASE stage WHEN 'p95' THEN value WHEN 'queue_p95' THEN value * 9 END AS value FROM events, (SELECT unnest(['p95', 'queue_p95']) AS stage) WHERE stage = 'p95' OR event_id % 3 = 0),
+g AS (SELECT start, stage, count(*) AS n FROM e GROUP BY 1, 2), l AS (SELECT {STREAM_BUCKETS}), c AS (SELECT start, stage, le, count_if(value <= le) AS c FROM e, l GROUP BY 1, 2, 3),
+b AS (SELECT *, coalesce(lag(c) OVER w, 0) AS pc, coalesce(lag(le) OVER w, 0) AS pl FROM c WINDOW w AS (PARTITION BY start, stage ORDER BY le)), q AS (SELECT start, stage, round(coalesce({_quantile('0.95')}, 10000), 6) AS x FROM g),
+d AS (SELECT date_trunc('day', ts) AS start, count(*) AS n, round(count_if(event_type = 'error') / count(*), 9) AS error_share FROM events GROUP BY 1),
+j AS (SELECT d.*, a.x AS p95, z.x AS queue_p95 FROM d JOIN q a ON a.start = d.start AND a.stage = 'p95' LEFT JOIN q z ON z.start = d.start AND z.stage = 'queue_p95')
+SELECT *, 'latency' AS alert FROM j WHERE p95 > 50 UNION ALL SELECT *, 'errors' FROM j WHERE error_share > 0.2 UNION ALL SELECT *, 'queue' FROM j WHERE queue_p95 > 500""")
 def stream_slo_alerts(v):
-    requests = _stream(v).select("ts", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("value_ms"))
-    rows = streams.available(streams.stream_slo_alerts(requests, "1 day", error_share=0.05), "complete")
-    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("error_share", 9).alias("error_share"), "alert")
+    requests = _stream(v).select("ts", (F.col("event_type") != "error").alias("ok"), F.col("value").alias("value_ms"), F.when(F.col("event_id") % 3 == 0, F.col("value") * 9).alias("queue_ms"))
+    rows = streams.available(streams.stream_slo_alerts(requests, "1 day", 50.0, 0.2), "complete")
+    return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", *[F.round(c, d).alias(c) for c, d in (("p95", 6), ("error_share", 9), ("queue_p95", 6))], "alert")
 
 
 def _access(v: Views) -> DataFrame:

@@ -9,9 +9,12 @@ from __future__ import annotations
 import csv
 import io
 import json
+import time
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,23 +56,70 @@ def sample_set_path(base: str, slug: str, det_size: int) -> str:
     return f"{base}/{slug}_det{det_size}"
 
 
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _manifest(spark: SparkSession, path: str):
+    """The last manifest of a sample set: version, n, slug, det_size; None without one."""
+    files, place = _hadoop(spark, f"{path}/manifests")
+    if not files.exists(place):
+        return None
+    names = sorted(s.getPath().getName() for s in files.listStatus(place) if s.getPath().getName().endswith(".json"))
+    return spark.read.schema("version string, n long, slug string, det_size int").json(f"{path}/manifests/{names[-1]}").first() if names else None
+
+
 def write_samples(samples: DataFrame, base: str, slug: str, det_size: int) -> None:
-    """The sample set and its one-row meta table."""
-    path = sample_set_path(base, slug, det_size)
-    samples.write.mode("overwrite").parquet(f"{path}/samples")
-    samples.agg(F.count("*").alias("n"), F.lit(slug).alias("slug"), F.lit(det_size).alias("det_size")).write.mode("overwrite").parquet(f"{path}/meta")
+    """Publish a sample set: its rows in a folder of their own, then a manifest that names it.
 
+    The manifest is one small file, put in place by a rename, so that readers see the set before or the new one, and never
+    a part. What a write that was broken off leaves isn't named by any. The version before stays for readers that
+    have begun; older ones are deleted.
+    """
+    spark, path = samples.sparkSession, sample_set_path(base, slug, det_size)
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    samples.write.parquet(f"{path}/versions/{version}")
+    n = spark.read.schema(samples.schema).parquet(f"{path}/versions/{version}").count()
+    files, target = _hadoop(spark, f"{path}/manifests/{version}.json")
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/.{version}")
+    stream = files.create(hidden)
+    stream.write(bytearray(json.dumps({"version": version, "n": n, "slug": slug, "det_size": det_size}).encode()))
+    stream.close()
+    if not files.rename(hidden, target):
+        raise OSError(f"could not publish {target}")
+    for folder in ("manifests", "versions"):
+        every = sorted((s.getPath() for s in files.listStatus(_hadoop(spark, f"{path}/{folder}")[1])), key=lambda p: p.getName())
+        for old in every:
+            if old.getName().removesuffix(".json") < _before(spark, path, version):
+                files.delete(old, True)
+
+
+def _before(spark: SparkSession, path: str, version: str) -> str:
+    """The version that was published before this one, or this one."""
+    files, place = _hadoop(spark, f"{path}/manifests")
+    names = sorted(s.getPath().getName().removesuffix(".json") for s in files.listStatus(place) if s.getPath().getName().endswith(".json"))
+    earlier = [n for n in names if n < version]
+    return earlier[-1] if earlier else version
+
+
+def read_samples_meta(spark: SparkSession, base: str, slug: str, det_size: int) -> DataFrame | None:
+    """The manifest of a sample set as a one-row table, or None."""
+    found = _manifest(spark, sample_set_path(base, slug, det_size))
+    return None if found is None else spark.createDataFrame([tuple(found)], "version string, n long, slug string, det_size int")
 
-def read_samples(spark: SparkSession, base: str, slug: str, det_size: int) -> DataFrame | None:
-    """The sample set, or None if it is missing or its count isn't the one in its meta table."""
-    from pyspark.errors import AnalysisException
 
+def read_samples(spark: SparkSession, base: str, slug: str, det_size: int) -> DataFrame | None:
+    """The sample set that was published last, or None if there is none or its rows aren't as many as its manifest says."""
     path = sample_set_path(base, slug, det_size)
+    found = _manifest(spark, path)
+    if found is None:
+        return None
     try:
-        samples, meta = spark.read.parquet(f"{path}/samples"), spark.read.parquet(f"{path}/meta").first()
-    except AnalysisException:
+        samples = spark.read.parquet(f"{path}/versions/{found.version}")
+    except AnalysisException:  # no file is left
         return None
-    return samples if meta is not None and samples.count() == meta.n else None
+    return samples if samples.count() == found.n else None
 
 
 def get_or_build_samples(spark: SparkSession, base: str, slug: str, det_size: int, build, force=False) -> DataFrame:
@@ -216,7 +266,7 @@ def _walk_csv(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_benchmark_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """stage, value_ms of a tree of json, jsonl and csv artifacts; job-row files come before all others."""
+    """stage, value_ms, priority of a tree of json, jsonl and csv artifacts; job-row files (priority 1) come before all others (0)."""
     read = lambda glob, whole: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=whole)
     lines = read("*.[jJ][sS][oO][nN][lL]", False)
     primary = F.col("_metadata.file_name").endswith("_job_rows.jsonl")
@@ -227,7 +277,37 @@ def read_benchmark_artifacts(spark: SparkSession, root: str) -> DataFrame:
     for frame, priority in parts:
         own = frame.withColumn("priority", F.lit(priority))
         found = own if found is None else found.unionByName(own)
-    return prefer_primary(found).select("stage", "value_ms")
+    return prefer_primary(found).select("stage", "value_ms", "priority")
+
+
+#: Keys of a load test's summary, in order of preference.
+CLIENT_BLOCKS = ("client_e2e_ms", "client_terminal_e2e_ms")
+COUNT_BLOCKS = ("completed", "result_passes", "terminal_done", "iterations")
+SUMMARY_KEYS = {"p50": ("p(50)", "med", "median"), "p95": ("p(95)",), "p99": ("p(99)",), "mean": ("avg", "mean")}
+
+
+def client_summaries(documents: DataFrame) -> DataFrame:
+    """path, n, p50, p95, p99, mean of the load-test summaries among JSON documents (path, value).
+
+    n is the count of the client's block (its own or that of its values), else that of the first other block that has one; without any, the summary doesn't count.
+    """
+    text = "map<string,string>"
+    metrics = F.from_json(F.col("value"), f"metrics {text}")["metrics"]
+    block = lambda k: F.from_json(F.try_element_at("_m", F.lit(k)), text)
+    own = F.coalesce(*[F.when(F.size(block(k)) > 0, block(k)) for k in CLIENT_BLOCKS])
+    number = lambda m, k: F.try_element_at(m, F.lit(k)).try_cast("double")
+    rows = documents.select("path", metrics.alias("_m")).filter("_m IS NOT NULL").withColumn("_b", own).filter("_b IS NOT NULL")
+    inner = F.from_json(F.try_element_at("_b", F.lit("values")), text)
+    count = F.coalesce(number(F.col("_b"), "count"), number(inner, "count"), *[number(block(k), "count") for k in COUNT_BLOCKS])
+    return rows.select("path", F.floor(count).alias("n"), *[F.coalesce(*[number(F.col("_b"), k) for k in keys]).alias(c) for c, keys in SUMMARY_KEYS.items()]).filter("n IS NOT NULL")
+
+
+def read_client_summary(spark: SparkSession, root: str) -> DataFrame:
+    """The first summary, by path, of the JSON artifacts of a tree, as stage_latency_table takes it; no row if there is none."""
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN]").text(root, wholetext=True)
+    found = client_summaries(read.select(F.col("_metadata.file_path").alias("path"), "value"))
+    first = found.agg(F.min(F.struct(*found.columns)).alias("s")).filter("s IS NOT NULL")
+    return first.select("s.*").drop("path")
 
 
 def read_service_tables(spark: SparkSession, base: str | None = None, jdbc: dict | None = None, tables=("users", "embeddings", "verification_logs", "verification_jobs")) -> dict[str, DataFrame]:
@@ -275,7 +355,7 @@ def write_curve_csv(curve: DataFrame, path: str, order: str) -> None:
 
 
 def write_latency_table(table: DataFrame, path: str) -> None:
-    """stage, n and the numbers in three decimals, blanks for what is missing."""
+    """stage, n and the numbers in three decimals, blanks for what is missing. Rounding to nine first keeps a last bit from deciding at a half."""
     from verilake.functions.exprs import format_number
 
-    table.select("stage", "n", *[format_number(F.col(c)).alias(c) for c in ("p50", "p95", "p99", "mean", "share")]).coalesce(1).sortWithinPartitions("stage").write.mode("overwrite").csv(path, header=True, emptyValue="")
+    table.select("stage", "n", *[format_number(F.round(c, 9)).alias(c) for c in ("p50", "p95", "p99", "mean", "share")]).coalesce(1).sortWithinPartitions("stage").write.mode("overwrite").csv(path, header=True, emptyValue="")

@@ -36,7 +36,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
-def _shared_folder(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir or the context; a temporary one in local mode only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
@@ -64,7 +64,7 @@ def rocksdb_state(spark: SparkSession):
 def available(stream: DataFrame, mode="append", place: str | None = None) -> DataFrame:
     """Run a stream over what is there now; the result as a table in place, by default a folder of its own in the shared checkpoint folder."""
     spark = stream.sparkSession
-    place = place or f"{_shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = place or f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     keep = place + ("/out" if mode == "complete" else "/out/batch={}")
 
     def store(batch: DataFrame, number: int) -> None:
@@ -77,8 +77,18 @@ def available(stream: DataFrame, mode="append", place: str | None = None) -> Dat
 
 
 def stream_result_rate(log: DataFrame) -> DataFrame:
-    """Verifications per second by result over 5 minutes, every minute; log: ts, result."""
-    return log.withWatermark("ts", RATE_DELAY).groupBy(F.window("ts", "5 minutes", "1 minute"), "result").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "result", "n", (F.col("n") / 300).alias("per_second"))
+    """start, kind, value, n and per_second over 5 minutes, every minute: of all verifications (kind total), by result, and of quality rejects in all (reject) and by reason (reject_reason).
+
+    log: ts, result, and reject_reason, null where quality rejected nothing; without that column there are no rejects.
+    """
+    kinds = [F.struct(F.lit("total").alias("kind"), F.lit("all").alias("value")), F.struct(F.lit("result"), F.col("result").cast("string"))]
+    if "reject_reason" in log.columns:
+        reason = F.col("reject_reason").cast("string")
+        kinds += [F.when(reason.isNotNull(), F.struct(F.lit("reject"), F.lit("all"))), F.when(reason.isNotNull(), F.struct(F.lit("reject_reason"), reason))]
+    kinds = [F.when(k.isNotNull(), k).cast("struct<kind: string, value: string>") for k in kinds]
+    rows = log.withWatermark("ts", RATE_DELAY).select("ts", F.explode(F.array_compact(F.array(*kinds))).alias("k"))
+    counts = rows.groupBy(F.window("ts", "5 minutes", "1 minute"), "k.kind", "k.value").agg(F.count("*").alias("n"))
+    return counts.select(F.col("window.start").alias("start"), "kind", "value", "n", (F.col("n") / 300).alias("per_second"))
 
 
 def bucket_quantile(counts: list, total, q: float, bounds=BOUNDS):
@@ -101,13 +111,16 @@ def stream_latency_quantiles(samples: DataFrame, window="5 minutes", slide: str
     return own.select(F.col("window.start").alias("start"), "stage", "n", bucket_quantile(b, F.col("n"), 0.95).alias("p95"), bucket_quantile(b, F.col("n"), 0.99).alias("p99"))
 
 
-def stream_slo_alerts(requests: DataFrame, window="5 minutes", p95_ms=1000.0, error_share=0.005) -> DataFrame:
-    """start, n, p95, error_share and alert of the tumbling windows that break a limit; requests: ts, ok, value_ms."""
-    counts = [F.count_if(F.col("value_ms") <= b).alias(f"b{i}") for i, b in enumerate(BOUNDS)]
-    own = requests.withWatermark("ts", RATE_DELAY).groupBy(F.window("ts", window)).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("errors"), *counts)
-    b = [F.col(f"b{i}") for i in range(len(BOUNDS))]
-    rows = own.select(F.col("window.start").alias("start"), "n", bucket_quantile(b, F.col("n"), 0.95).alias("p95"), (F.col("errors") / F.col("n")).alias("error_share"))
-    return rows.withColumn("alert", F.when(F.col("p95") > p95_ms, "latency").when(F.col("error_share") > error_share, "errors")).filter("alert IS NOT NULL")
+def stream_slo_alerts(requests: DataFrame, window="5 minutes", p95_ms=1000.0, error_share=0.005, queue_p95_ms=500.0) -> DataFrame:
+    """start, n, p95, error_share, queue_p95 and alert of the tumbling windows that break a limit, a row for each: latency, errors, queue; requests: ts, ok, value_ms, and queue_ms, without which queue_p95 is null."""
+    queue = F.col("queue_ms") if "queue_ms" in requests.columns else F.lit(None).cast("double")
+    rows = requests.withColumn("_q", queue).withWatermark("ts", RATE_DELAY)
+    counts = [F.count_if(F.col(c) <= b).alias(f"{c}_{i}") for c in ("value_ms", "_q") for i, b in enumerate(BOUNDS)]
+    own = rows.groupBy(F.window("ts", window)).agg(F.count("*").alias("n"), F.count("_q").alias("_n"), F.count_if(~F.col("ok")).alias("errors"), *counts)
+    p95 = lambda c, n: bucket_quantile([F.col(f"{c}_{i}") for i in range(len(BOUNDS))], F.col(n), 0.95)
+    made = own.select(F.col("window.start").alias("start"), "n", p95("value_ms", "n").alias("p95"), (F.col("errors") / F.col("n")).alias("error_share"), p95("_q", "_n").alias("queue_p95"))
+    broken = {"latency": F.col("p95") > p95_ms, "errors": F.col("error_share") > error_share, "queue": F.col("queue_p95") > queue_p95_ms}
+    return made.withColumn("alert", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in broken.items()]))))
 
 
 def _micros(ts="ts"):
