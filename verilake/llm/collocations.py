@@ -8,19 +8,22 @@ corpus has each. An n-gram of up to OVERLAP + 1 words belongs to the chunk in wh
 before the last OVERLAP tokens. So each is counted once, inside distinct chunks, weighted.
 
 Pairs of words are first counted by a hash. Longer phrases are made only where all their pairs may have
-LEAST occurrences, which a bitmap of fixed size tells; then phrases are counted by their words, so the counts
-are exact whatever collides.
+LEAST occurrences, which a bitmap of fixed size tells, and all their triples too, which counters of fixed size tell;
+then phrases are counted by their words, so the counts are exact whatever collides. In very large corpora the bits fill up, and
+spare less work.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ from verilake.llm.common import bounded_batches, cut, drop, releasing, table
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Tokens that neighbouring chunks share, mean tokens between triggers, language of rows without one.
 OVERLAP, EVERY, NO_LANG = LONGEST - 1, 64, "und"
-#: Bits of the bitmap of frequent pairs, 16 MB; with more pairs than that it spares less work.
-BITS = 1 << 27
+#: Bits of the bitmap of frequent pairs, 16 MB, and counters of triples, a byte each in a worker and a bit where they are sent.
+BITS, COUNTERS = 1 << 27, 1 << 26
+#: Counters in a row of those that a task gives out, and tasks whose counters are added up at once.
+SLICE, AT_ONCE = 1 << 16, 64
 #: Words and distinct phrases that a worker holds before it gives them out.
 HELD = 500_000
 #: Parts in which a language's phrases are ranked before its first ones meet.
@@ -152,23 +157,78 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": None, "word": None, "pair": keys.view(np.int64), "n": sums})
 
 
-def _phrases(bitmap):
-    """Counts of the phrases of 2 to LONGEST words all of whose pairs are in the bitmap."""
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _pairs_and_triples(batch: pd.DataFrame, bits: np.ndarray) -> tuple:
+    """What _flat gives, and for each token whether it begins a pair that may be frequent, and the counter of the triple that it begins where both pairs are (else -1)."""
+    numbers = {BREAK: 0}
+    split, number, chunk, starts = _flat(batch["chunk"], numbers)
+    words = _hashes(list(numbers))
+    hashes = _pair_hashes(words, _salts(batch["lang"])[chunk], number)
+    frequent = np.append(_set(bits, hashes % np.uint64(BITS)) & (number[1:] > 0) & (number[:-1] > 0) & (chunk[1:] == chunk[:-1]), False)
+    triple = np.full(len(number), -1, np.int64)
+    at = np.flatnonzero(frequent[:-1] & frequent[1:])
+    mixed = (hashes[at] ^ (hashes[at] >> np.uint64(31))) * _MIX + words[number[at + 2]]
+    triple[at] = ((mixed ^ (mixed >> np.uint64(32))) * _ODD >> np.uint64(38)).astype(np.int64)
+    return split, number, chunk, starts, frequent, triple
+
+
+def _triples(bitmap):
+    """Counters of the triples both of whose pairs are in the bitmap, no higher than LEAST, as slices of a task's counters."""
+
+    @releasing
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits, counters = np.frombuffer(bitmap.value, np.uint8), np.zeros(COUNTERS, np.uint8)
+        for batch in batches:
+            _, _, chunk, starts, _, triple = _pairs_and_triples(batch, bits)
+            at = np.flatnonzero(starts & (triple >= 0))
+            keys, sums = _summed(triple[at], batch["n"].to_numpy(np.int64)[chunk[at]])
+            counters[keys] = np.minimum(sums + counters[keys], LEAST)
+        task = TaskContext.get().partitionId()
+        for i, part in enumerate(counters.reshape(-1, SLICE)):
+            if part.any():
+                yield pd.DataFrame({"part": [i], "task": [task], "counts": [zlib.compress(part, 1)]})
+
+    return run
+
+
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """The counters of some tasks added up, no higher than LEAST."""
+    total = np.zeros(SLICE, np.int64)
+    for counts in rows["counts"]:
+        total += np.frombuffer(zlib.decompress(counts), np.uint8)
+    return pd.DataFrame({"part": [rows["part"].iloc[0]], "task": [0], "counts": [zlib.compress(np.minimum(total, LEAST).astype(np.uint8), 1)]})
+
+
+def _triple_bits(counted: DataFrame) -> bytes:
+    """A bit for each counter that reached LEAST."""
+    kind = "part int, task int, counts binary"
+    some = counted.groupBy("part", F.expr(f"task div {AT_ONCE}").alias("some")).applyInPandas(_added, kind)
+    full = some.groupBy("part").applyInPandas(_added, kind)
+    out = np.zeros(COUNTERS, bool)
+    for row in full.toLocalIterator():  # at most COUNTERS bytes in all
+        out[row.part * SLICE : (row.part + 1) * SLICE] = np.frombuffer(zlib.decompress(row.counts), np.uint8) >= LEAST
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _phrases(bitmap, triple_bits):
+    """Counts of the phrases of 2 to LONGEST words all of whose pairs and triples are in the bitmaps."""
 
     @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits, more_bits = np.frombuffer(bitmap.value, np.uint8), np.frombuffer(triple_bits.value, np.uint8)
         held: dict[tuple[str, bytes], int] = {}
         for batch in batches:
-            numbers = {BREAK: 0}
-            split, number, chunk, starts = _flat(batch["chunk"], numbers)
+            split, number, chunk, starts, frequent, triple = _pairs_and_triples(batch, bits)
             weights, langs = batch["n"].to_numpy(np.int64), batch["lang"].tolist()
-            place = _pair_hashes(_hashes(list(numbers)), _salts(batch["lang"])[chunk], number) % np.uint64(BITS)
-            frequent = np.append((bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & (number[1:] > 0) & (number[:-1] > 0) & (chunk[1:] == chunk[:-1]), False)
-            reach = np.ones(len(number), np.int64)  # words of the longest phrase from each token on
-            for k in range(1, LONGEST):
-                more = reach[: len(reach) - k] == k
-                reach[: len(reach) - k][more & frequent[k - 1 : len(frequent) - 1]] += 1
+            goes_on = triple >= 0
+            goes_on[goes_on] = _set(more_bits, triple[goes_on].astype(np.uint64))
+            reach = 1 + frequent.astype(np.int64)  # words of the longest phrase from each token on
+            for k in range(2, LONGEST):
+                longer = reach[: len(reach) - k] == k
+                reach[: len(reach) - k][longer & goes_on[k - 2 : len(goes_on) - 2]] += 1
             first = np.searchsorted(chunk, np.arange(len(split)))
             at = np.flatnonzero(starts & (reach > 1))
             for i, c, longest in zip((at - first[chunk[at]]).tolist(), chunk[at].tolist(), reach[at].tolist()):
@@ -209,13 +269,15 @@ def phrase_counts(docs: DataFrame, text_col="text", lang_col="lang") -> tuple[Da
     sums = cut(counted.groupBy("lang", "word", "pair").agg(F.sum("n").alias("n")))
     words = sums.filter("word IS NOT NULL")
     bitmap = spark.sparkContext.broadcast(_bitmap(sums.filter((F.col("n") >= LEAST) & F.col("pair").isNotNull())))
-    phrases = chunks.mapInPandas(_phrases(bitmap), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    triples = spark.sparkContext.broadcast(_triple_bits(chunks.mapInPandas(_triples(bitmap), "part int, task int, counts binary")))
+    phrases = chunks.mapInPandas(_phrases(bitmap, triples), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     singles = words.filter(F.col("n") >= LEAST).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
     several = phrases.filter(F.col("n") >= LEAST).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n")
     frequent = cut(singles.unionByName(several))
     totals = cut(words.groupBy("lang").agg(F.sum("n").alias("total")))
     drop(chunks, sums)
     bitmap.destroy()
+    triples.destroy()
     return frequent, totals
 
 
