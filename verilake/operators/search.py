@@ -1,12 +1,20 @@
-"""Cosine search in blocks: every block of probes meets every block of the gallery once.
+"""Exact cosine search by a metric index: cells around pivots, of which most can't hold a probe's nearest rows.
 
-A block is a packed matrix, so the grid has (probes / BLOCK) x (gallery / BLOCK) rows, each
-one matrix product; only k rows per probe, or one count, leave it.
+Pivots come from a bounded sample. Each vector lies in the cell of its nearest pivot, and a cell knows how
+far, as an angle, its rows are from the pivot. By the triangle inequality a probe's angle to
+a row of the cell is at least its angle to the pivot less the farthest, and at least the nearest
+less it. A probe first meets one block of its own cell, which gives its floor; then the blocks of
+those cells only whose bound reaches the floor. Ranks count rows ahead of a known score, so cells that lie
+on one side of it whole are counted unread.
+
+Blocks are packed matrices, each a matrix product with a block of probes. A block of the gallery goes
+once to each group of probe blocks that need it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,58 +25,202 @@ from verilake.functions.exprs import dot
 
 #: Vectors of a block, and decimals of a similarity, rounded once so that ties are stable.
 BLOCK, PLACES = 2048, 6
+#: Pivots, rows of the sample that they are fitted on, rows for which one more pivot is worth it, and rounds of the fit.
+PIVOTS, SAMPLE, PER_PIVOT, ROUNDS = 256, 4096, 64, 5
+#: Probe blocks in a group; each group gets the gallery's blocks once.
+GROUP = 64
+#: Bounds are loosened by this, far more than their rounding.
+LOOSE = 1e-5
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.array([*vectors], np.float64).reshape(len(vectors), -1)
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angle of each vector to each pivot (unit vectors), and the vectors' norms; a zero vector is at right angles to all."""
+    norms = np.sqrt((vectors * vectors).sum(1))
+    cosines = vectors @ pivots.T / np.where(norms > 0, norms, 1.0)[:, None]
+    return np.arccos(np.clip(cosines, -1.0, 1.0)), norms
+
+
+def _fitted(vectors: np.ndarray, n: int) -> np.ndarray:
+    """n unit pivots: means of the directions nearest to them, from evenly spaced rows on."""
+    norms = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+    unit = vectors[norms[:, 0] > 0] / norms[norms[:, 0] > 0]
+    if not len(unit):
+        return np.eye(1, vectors.shape[1])
+    pivots = unit[np.linspace(0, len(unit) - 1, min(n, len(unit))).astype(int)]
+    for _ in range(ROUNDS):
+        nearest = (unit @ pivots.T).argmax(1)
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, nearest, unit)
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        pivots = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), pivots)
+    return pivots
+
+
+@dataclass
+class _Cells:
+    """pivots, and of each cell that has rows its number, rows, parts, nearest and farthest angle, largest and smallest norm; bounded, so it goes along with tasks."""
+
+    pivots: np.ndarray
+    cells: pd.DataFrame
+
+    def bounds(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest and the smallest score that a row of each cell can have with each vector."""
+        c = self.cells
+        angle, norms = _angles(vectors, self.pivots[c["cell"].to_numpy()])
+        least = np.maximum(0.0, np.maximum(angle - c["far"].to_numpy(), c["near"].to_numpy() - angle))
+        most = np.minimum(np.pi, angle + c["far"].to_numpy())
+        scale = norms[:, None] * c["norm"].to_numpy()
+        small = norms[:, None] * c["small"].to_numpy()
+        top, low = np.cos(least), np.cos(most)
+        return np.where(top > 0, top * scale, top * small) + LOOSE, np.where(low > 0, low * small, low * scale) - LOOSE
+
+    def home(self, vectors: np.ndarray) -> np.ndarray:
+        """Place among the cells of the one nearest to each vector."""
+        return _angles(vectors, self.pivots[self.cells["cell"].to_numpy()])[0].argmin(1)
+
+
+def _index(gallery: DataFrame) -> tuple[_Cells, DataFrame] | None:
+    """The cells of a gallery (key, vector) and its blocks (cell, part, g_keys, g_vectors); None if it is empty. It runs jobs for the count, the sample and a row for each cell."""
+    n = gallery.count()
+    if not n:
+        return None
+    sample = gallery.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").toPandas()  # at most SAMPLE rows
+    pivots = _fitted(_matrix(sample["vector"]), max(1, min(PIVOTS, n // PER_PIVOT)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                angle, norms = _angles(_matrix(batch["vector"]), pivots)
+                cell = angle.argmin(1)
+                yield pd.DataFrame({"key": batch["key"], "vector": batch["vector"], "cell": cell.astype(np.int32), "angle": angle[np.arange(len(cell)), cell], "size": norms})
+
+    placed = gallery.mapInPandas(place, "key long, vector array<double>, cell int, angle double, size double")
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("near"), F.max("angle").alias("far"), F.max("size").alias("norm"), F.min("size").alias("small")).toPandas().sort_values("cell", ignore_index=True)  # at most PIVOTS rows
+    cells["parts"] = -(-cells["n"] // BLOCK)
+    dealt = placed.select("key", "vector", "cell", _part("cell", dict(zip(cells["cell"], cells["parts"]))).alias("part"))
+    return _Cells(pivots, cells), dealt.groupBy("cell", "part").applyInPandas(_pack_gallery, "cell int, part int, g_keys binary, g_vectors binary")
+
+
+def _pack_gallery(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values("key")
+    return pd.DataFrame([{"cell": rows["cell"].iloc[0], "part": rows["part"].iloc[0], "g_keys": rows["key"].to_numpy(np.int64).tobytes(), "g_vectors": _matrix(rows["vector"]).tobytes()}])
+
 
+#: A block of probes as packed arrays: keys, vectors, and for each its floor (or the score to be ranked), and the row that has this score (-1 for none).
+_PROBES = "block long, home int, p_keys binary, p_vectors binary, p_score binary, p_own binary"
 
-def _pack(rows: pd.DataFrame) -> pd.DataFrame:
-    """One block: keys, vectors and, for ranks, the own gallery row's key (-1 for none) and score."""
-    keys = rows["key"].to_numpy(np.int64)
-    matrix = np.array([*rows["vector"]], np.float64).reshape(len(rows), -1)
-    own, score = np.full(len(rows), -1, np.int64), np.zeros(len(rows))
-    if "own" in rows:
-        known = rows["own"].notna().to_numpy()
-        own[known] = rows["own"][known].to_numpy(np.int64)
-        if known.any():
-            score[known] = np.round((matrix[known] * np.array([*rows["target"][known]], np.float64)).sum(1), PLACES)
-    return pd.DataFrame([{"keys": keys.tobytes(), "vectors": matrix.tobytes(), "own": own.tobytes(), "score": score.tobytes()}])
 
+def _part(cell: str, parts: dict[int, int]):
+    """One of the parts of a row's cell, by a hash of its key."""
+    if not parts:
+        return F.lit(0)
+    return F.pmod(F.xxhash64("key"), F.try_element_at(F.create_map(*[F.lit(int(x)) for kv in parts.items() for x in kv]), F.col(cell))).cast("int")
 
-def _blocks(vectors: DataFrame, prefix: str) -> DataFrame:
-    """One row per BLOCK vectors (key, vector[, own, target]), by a hash of the key, as packed arrays."""
-    parts = max(1, -(-vectors.count() // BLOCK))
-    packed = vectors.groupBy(F.pmod(F.xxhash64("key"), F.lit(parts)).alias("_block")).applyInPandas(_pack, "keys binary, vectors binary, own binary, score binary")
-    return packed.select(*[F.col(c).alias(f"{prefix}_{c}") for c in packed.columns])
 
+def _probe_blocks(probes: DataFrame, cells: _Cells) -> tuple[DataFrame, int]:
+    """probes (key, vector, score, own) of one home cell in blocks of about BLOCK, and the number of blocks."""
 
-def _grid(probes: DataFrame, gallery: DataFrame) -> DataFrame:
-    return _blocks(probes, "p").crossJoin(_blocks(gallery, "g").drop("g_own", "g_score"))
+    def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.assign(home=cells.home(_matrix(batch["vector"])).astype(np.int32))
+
+    placed = probes.select("key", "vector", "score", "own").mapInPandas(homes, "key long, vector array<double>, score double, own long, home int")
+    parts = {r.home: -(-r["count"] // BLOCK) for r in placed.groupBy("home").count().collect()}  # at most PIVOTS rows
+    most = max(parts.values(), default=1)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        own = rows["own"].fillna(-1).to_numpy(np.int64)
+        home, part = int(rows["home"].iloc[0]), int(rows["part"].iloc[0])
+        return pd.DataFrame([{"block": home * most + part, "home": home, "p_keys": rows["key"].to_numpy(np.int64).tobytes(), "p_vectors": _matrix(rows["vector"]).tobytes(), "p_score": rows["score"].to_numpy(np.float64).tobytes(), "p_own": own.tobytes()}])
+
+    return placed.withColumn("part", _part("home", parts)).groupBy("home", "part").applyInPandas(pack, _PROBES), sum(parts.values())
+
+
+def _unpacked(row) -> tuple[np.ndarray, ...]:
+    keys, own, score = np.frombuffer(row["p_keys"], np.int64), np.frombuffer(row["p_own"], np.int64), np.frombuffer(row["p_score"], np.float64)
+    return keys, np.frombuffer(row["p_vectors"], np.float64).reshape(len(keys), -1), score, own
+
+
+def _meetings(made: tuple[DataFrame, int], index: tuple[_Cells, DataFrame], wanted) -> DataFrame:
+    """Each block of probes with each block of the gallery that wanted(cells, row of a block) asks for; it gives the cell, the part, and which probes (null: all)."""
+    (blocks, n), (cells, theirs) = made, index
+    groups = max(1, -(-n // GROUP))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                found = [(row["block"], cell, part, mask) for cell, part, mask in wanted(cells, row)]
+                if found:
+                    yield pd.DataFrame(found, columns=["block", "cell", "part", "p_mask"])
+
+    pairs = blocks.mapInPandas(ask, "block long, cell int, part int, p_mask binary")
+    theirs = theirs.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    mine = pairs.join(blocks, "block").withColumn("_group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    return mine.join(theirs, ["cell", "part", "_group"])
 
 
 def _products(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    """Row of the grid, keys of both sides in order of the gallery's, and the scores between them."""
+    """Keys, scores and own rows of the probes of a meeting, keys of the gallery's rows in order, and the similarities between them."""
     for batch in batches:
         for row in batch.to_dict("records"):
-            keys, others = np.frombuffer(row["p_keys"], np.int64), np.frombuffer(row["g_keys"], np.int64)
-            order = np.argsort(others, kind="stable")
-            mine, theirs = (np.frombuffer(row[f"{s}_vectors"], np.float64).reshape(len(k), -1) for s, k in (("p", keys), ("g", others)))
-            yield row, keys, others[order], np.round(mine @ theirs[order].T, PLACES)
+            keys, vectors, score, own = _unpacked(row)
+            mask = slice(None) if row["p_mask"] is None else np.unpackbits(np.frombuffer(row["p_mask"], np.uint8), count=len(keys)).astype(bool)
+            others = np.frombuffer(row["g_keys"], np.int64)
+            theirs = np.frombuffer(row["g_vectors"], np.float64).reshape(len(others), -1)
+            yield keys[mask], score[mask], own[mask], others, np.round(vectors[mask] @ theirs.T, PLACES)
 
 
-def top_k_search(probes: DataFrame, gallery: DataFrame, k=2, sim_threshold: float | None = None) -> DataFrame:
-    """probe_idx, rank, sample_idx, similarity: the k nearest gallery rows of every probe by cosine of unit vectors.
+def _first_block(cells: _Cells, row) -> list[tuple]:
+    """One block of the home cell."""
+    return [(int(cells.cells["cell"][row["home"]]), 0, None)]
+
+
+def _every(cells: _Cells, row) -> list[tuple]:
+    """All blocks."""
+    return [(int(cell), part, None) for cell, parts in zip(cells.cells["cell"], cells.cells["parts"]) for part in range(int(parts))]
 
-    One row per embedding, not per user. Ties go to the smaller sample_idx. An empty
-    gallery gives nothing; with sim_threshold nearer ones only are returned.
-    """
+
+def _reaching(cells: _Cells, row) -> list[tuple]:
+    """Blocks of the cells whose bound reaches the floor of some probe, and which ones."""
+    _, vectors, floor, _ = _unpacked(row)
+    return _masked(cells, cells.bounds(vectors)[0] >= floor[:, None])
+
+
+def _undecided(cells: _Cells, row) -> list[tuple]:
+    """Blocks of the cells whose rows may lie on both sides of the score of some probe, and which ones."""
+    _, vectors, score, own = _unpacked(row)
+    high, low = cells.bounds(vectors)
+    return _masked(cells, (high >= score[:, None]) & (low <= score[:, None]) & (own >= 0)[:, None])
+
+
+def _masked(cells: _Cells, meets: np.ndarray) -> list[tuple]:
+    out = []
+    for i in np.flatnonzero(meets.any(0)).tolist():
+        mask = np.packbits(meets[:, i]).tobytes()
+        out += [(int(cells.cells["cell"][i]), part, mask) for part in range(int(cells.cells["parts"][i]))]
+    return out
+
+
+def _vectors(df: DataFrame, *more) -> DataFrame:
+    return df.select(F.col("sample_idx").alias("key"), F.col("embedding").cast("array<double>").alias("vector"), *more)
+
+
+def _nearest(k: int, floor: float):
+    """The k best similarities, at least the probe's score and floor, of each probe in a meeting."""
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, keys, others, scores in _products(batches):
+        for keys, score, _, others, found in _products(batches):
+            least = np.maximum(score, floor)
             n = min(k, len(others))
             if n < len(others):  # the k best and all that tie with the last of them
-                least = np.partition(scores, len(others) - n, axis=1)[:, len(others) - n]
-                at, hit = np.nonzero(scores >= least[:, None])
-            else:
-                at, hit = np.nonzero(np.ones(scores.shape, bool))
-            value = scores[at, hit]
+                least = np.maximum(least, np.partition(found, len(others) - n, axis=1)[:, len(others) - n])
+            at, hit = np.nonzero(found >= least[:, None])
+            value = found[at, hit]
             order = np.lexsort((others[hit], -value, at))
             at, hit, value = at[order], hit[order], value[order]
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
@@ -76,28 +228,88 @@ def top_k_search(probes: DataFrame, gallery: DataFrame, k=2, sim_threshold: floa
             keep = place < k
             yield pd.DataFrame({"probe_idx": keys[at[keep]], "sample_idx": others[hit[keep]], "similarity": value[keep]})
 
-    vectors = lambda df: df.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector"))
-    found = _grid(vectors(probes), vectors(gallery)).mapInPandas(best, "probe_idx long, sample_idx long, similarity double")
-    if sim_threshold is not None:
-        found = found.filter(F.col("similarity") >= sim_threshold)
+    return best
+
+
+def products(probes: DataFrame, gallery: DataFrame, k=2) -> DataFrame:
+    """n: the products (probe x row) of each meeting of blocks in a search for the k nearest; to see how far the index prunes."""
+    index = _index(_vectors(gallery))
+    blocks = _probe_blocks(_floors(probes, index, k, float("-inf")), index[0])
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for keys, _, _, others, _ in _products(batches):
+            yield pd.DataFrame({"n": [len(keys) * len(others)]})
+
+    return _meetings(blocks, index, _reaching).mapInPandas(counted, "n long")
+
+
+def top_k_search(probes: DataFrame, gallery: DataFrame, k=2, sim_threshold: float | None = None) -> DataFrame:
+    """probe_idx, rank, sample_idx, similarity: the k nearest gallery rows of every probe by dot product, the cosine of unit vectors.
+
+    One row per embedding, not per user. Ties go to the smaller sample_idx. An empty
+    gallery gives nothing; with sim_threshold nearer ones only are returned.
+    """
+    floor = float("-inf") if sim_threshold is None else sim_threshold
+    index = _index(_vectors(gallery))
+    if index is None:
+        return probes.sparkSession.createDataFrame([], "probe_idx long, sample_idx long, similarity double, rank int")
+    return _first(_meetings(_probe_blocks(_floors(probes, index, k, floor), index[0]), index, _reaching).mapInPandas(_nearest(k, floor), _FOUND), k)
+
+
+def exhaustive_search(probes: DataFrame, gallery: DataFrame, k=2) -> DataFrame:
+    """As top_k_search, without bounds: every block of probes meets every block of the gallery; to check the index by."""
+    index = _index(_vectors(gallery))
+    if index is None:
+        return probes.sparkSession.createDataFrame([], "probe_idx long, sample_idx long, similarity double, rank int")
+    plain = _vectors(probes, F.lit(float("-inf")).alias("score"), F.lit(None).cast("long").alias("own"))
+    return _first(_meetings(_probe_blocks(plain, index[0]), index, _every).mapInPandas(_nearest(k, float("-inf")), _FOUND), k)
+
+
+_FOUND = "probe_idx long, sample_idx long, similarity double"
+
+
+def _first(found: DataFrame, k: int) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("probe_idx").orderBy(F.desc("similarity"), "sample_idx"))
     return found.withColumn("rank", nth).filter(F.col("rank") <= k)
 
 
+def _floors(probes: DataFrame, index: tuple[_Cells, DataFrame], k: int, floor: float) -> DataFrame:
+    """key, vector, score, own: the probes with the similarity that their k nearest have at least."""
+    plain = _vectors(probes, F.lit(float("-inf")).alias("score"), F.lit(None).cast("long").alias("own"))
+    first = _meetings(_probe_blocks(plain, index[0]), index, _first_block).mapInPandas(_nearest(k, floor), _FOUND)
+    # A probe that found fewer than k rows has no floor but the one that is asked for.
+    known = first.groupBy(F.col("probe_idx").alias("key")).agg(F.when(F.count("*") >= k, F.min("similarity")).alias("_floor"))
+    return plain.join(known, "key", "left").select("key", "vector", F.greatest(F.coalesce("_floor", F.lit(float("-inf"))), F.lit(floor)).alias("score"), "own")
+
+
 def probe_ranks(probes: DataFrame, gallery: DataFrame) -> DataFrame:
     """probe_idx, rank: 1 + gallery rows that come before the probe's own identity (better, or as good with a smaller index); null if it has none."""
+    index = _index(_vectors(gallery))
+    if index is None:
+        return probes.select(F.col("sample_idx").alias("probe_idx"), F.lit(None).cast("long").alias("rank"))
     first = gallery.groupBy("identity").agg(F.min("sample_idx").alias("own"))
-    mine = probes.join(first, "identity", "left").join(gallery.select(F.col("sample_idx").alias("own"), F.col("embedding").alias("target")), "own", "left")
+    target = gallery.select(F.col("sample_idx").alias("own"), F.col("embedding").alias("_target"))
+    mine = probes.join(first, "identity", "left").join(target, "own", "left")
+    known = _vectors(mine, F.coalesce(F.round(dot(F.col("embedding"), F.col("_target")), PLACES), F.lit(0.0)).alias("score"), F.col("own").cast("long").alias("own"))
+    cells = index[0]
+    blocks = _probe_blocks(known, cells)
+    sizes = cells.cells["n"].to_numpy(np.int64)
+
+    def unread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                keys, vectors, score, own = _unpacked(row)
+                before = cells.bounds(vectors)[1] > score[:, None]
+                yield pd.DataFrame({"probe_idx": keys, "n": before @ sizes})[own >= 0]
 
     def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for row, keys, others, scores in _products(batches):
-            own, at = np.frombuffer(row["p_own"], np.int64), np.frombuffer(row["p_score"], np.float64)
-            known = own >= 0
-            before = (scores > at[:, None]) | ((scores == at[:, None]) & (others[None, :] < own[:, None]))
-            yield pd.DataFrame({"probe_idx": keys[known], "n": before[known].sum(1)})
-
-    grid = _grid(mine.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector"), "own", "target"), gallery.select(F.col("sample_idx").alias("key"), F.col("embedding").alias("vector")))
-    counts = grid.mapInPandas(ahead, "probe_idx long, n long").groupBy("probe_idx").agg((F.sum("n") + 1).alias("rank"))
+        for keys, score, own, others, found in _products(batches):
+            before = (found > score[:, None]) | ((found == score[:, None]) & (others[None, :] < own[:, None]))
+            yield pd.DataFrame({"probe_idx": keys, "n": before.sum(1)})
+
+    kind = "probe_idx long, n long"
+    some = blocks[0].mapInPandas(unread, kind).unionByName(_meetings(blocks, index, _undecided).mapInPandas(ahead, kind))
+    counts = some.groupBy("probe_idx").agg((F.sum("n") + 1).alias("rank"))
     return probes.select(F.col("sample_idx").alias("probe_idx")).join(counts, "probe_idx", "left")
 
 

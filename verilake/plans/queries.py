@@ -93,11 +93,7 @@ def cmc_curve(v):
 @query(f"WITH {NEAREST} SELECT (SELECT count(*) FROM split WHERE n > 1) AS n_probes, (SELECT count(*) FROM split WHERE n > 1) - count_if(rank = 1) AS n_mismatch FROM ranked")
 def search_consistency(v):
     probes, gallery = _split(v)
-    blocks = search.top_k_search(probes, gallery, 1)
-    p = probes.select(F.col("sample_idx").alias("probe_idx"), F.col("embedding").alias("_p"))
-    scored = p.crossJoin(gallery).select("probe_idx", "sample_idx", F.round(exprs.dot(F.col("_p"), F.col("embedding")), 6).alias("s"))
-    plain = scored.groupBy("probe_idx").agg(F.max(F.struct("s", (-F.col("sample_idx")).alias("k"))).alias("b")).select("probe_idx", (-F.col("b.k")).alias("sample_idx"))
-    return search.search_consistency(probes, blocks, plain)
+    return search.search_consistency(probes, search.top_k_search(probes, gallery, 1), search.exhaustive_search(probes, gallery, 1))
 
 
 CENTROIDS = """parts AS (SELECT identity, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM samples),
