@@ -18,7 +18,7 @@ def enroll_users(existing: DataFrame, external_ids: DataFrame) -> DataFrame:
     """existing (id, external_id) with a new id for each external id that is not there yet, in order of the external id."""
     fresh = external_ids.select("external_id").dropna().distinct().join(existing, "external_id", "left_anti")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    numbered = dense_index(fresh.withColumn("_head", F.substring("external_id", 1, 3)), ["_head", "external_id"], "n").crossJoin(F.broadcast(top))
+    numbered = dense_index(fresh, ["external_id"], "n").crossJoin(F.broadcast(top))
     return existing.select("id", "external_id").unionByName(numbered.select((F.col("n") + F.col("top") + 1).cast("long").alias("id"), "external_id"))
 
 

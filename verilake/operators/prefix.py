@@ -53,21 +53,29 @@ def ordered_prefix(df: DataFrame, major: str, minor: str, sums: dict[str, str],
     return summed.select(*df.columns, *[(F.col(f"_i_{n}") + F.col(f"_t_{n}")).alias(n) for n in sums])
 
 
+#: Rows of the sample from which dense_index takes its splitters.
+SAMPLE = 4096
+
+
+def _splitters(df: DataFrame, columns: list[str]) -> list:
+    """At most BUCKETS - 1 distinct rows (columns), in order, that cut df into ranges of about one size; from a sample by hash, so that they are the same each time."""
+    sample = df.select(*columns).orderBy(F.xxhash64(*columns), *columns).limit(SAMPLE)
+    rows = sample.orderBy(*columns).collect()  # at most SAMPLE rows
+    return list(dict.fromkeys(rows[i * len(rows) // BUCKETS] for i in range(1, BUCKETS))) if rows else []
+
+
 def dense_index(df: DataFrame, columns: list[str], name="sample_idx") -> DataFrame:
-    """A number 0 .. n - 1 in order of the columns. The first column is the bucket, the others its inner order.
+    """A number 0 .. n - 1 in order of the columns.
 
-    Values of the first column are numbered from their counts; a value of it may hold many
-    rows, which are numbered within cells by a hash-free range of the second column's first
-    character, so that no window spans the table.
+    Rows are cut into ranges of about one size at splitters from a sample. A range's rows are numbered by
+    themselves, from the number of rows in the ranges before it on; these are at most BUCKETS counts.
     """
-    head, rest = columns[0], columns[1:]
-    cell = F.substring(F.col(rest[0]).cast("string"), 1, 2) if rest else F.lit("")
-    rows = df.withColumn("_cell", F.coalesce(cell, F.lit("")))
-    cells = rows.groupBy(head, "_cell").agg(F.count("*").alias("_n"))
-    heads = cells.groupBy(head).agg(F.sum("_n").alias("_n"))
-    over = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = heads.withColumn("_h", over(Window.orderBy(head))).drop("_n")
-    cells = cells.withColumn("_c", over(Window.partitionBy(head).orderBy("_cell"))).join(heads, head)
-    placed = rows.join(cells.drop("_n"), [head, "_cell"])
-    nth = F.row_number().over(Window.partitionBy(head, "_cell").orderBy(*columns)) - 1
-    return placed.withColumn(name, (F.col("_h") + F.col("_c") + nth).cast("long")).drop("_cell", "_h", "_c")
+    kinds = [df.schema[c].dataType for c in columns]
+    edges = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, columns)]) for row in _splitters(df, columns)]
+    own = F.struct(*columns)
+    bucket = F.size(F.filter(F.array(*edges), lambda e: e <= own)) if edges else F.lit(0)
+    rows = df.withColumn("_range", bucket)
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*columns)) - 1
+    return rows.withColumn("_nth", nth).join(F.broadcast(offsets), "_range").withColumn(name, (F.col("_before") + F.col("_nth")).cast("long")).drop("_range", "_nth", "_before")

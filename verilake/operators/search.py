@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verilake.functions.exprs import dot
+from verilake.functions.exprs import dot, norm
 
 #: Vectors of a block, and decimals of a similarity, rounded once so that ties are stable.
 BLOCK, PLACES = 2048, 6
@@ -327,11 +327,52 @@ def search_consistency(probes: DataFrame, a: DataFrame, b: DataFrame) -> DataFra
     return joined.agg(F.count("*").alias("n_probes"), F.count_if(~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).alias("n_mismatch"))
 
 
+#: Identities whose sums a task holds before it gives them out.
+HELD = 20_000
+
+
+def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums of vectors by identity; rows of one identity may come in any order."""
+    held: dict = {}
+    for batch in batches:
+        for identity, vector in zip(batch["identity"], batch["vector"]):
+            own = np.asarray(vector, np.float64)
+            held[identity] = held[identity] + own if identity in held else own.copy()
+        if len(held) > HELD:
+            yield pd.DataFrame({"identity": list(held), "vector": list(held.values())})
+            held = {}
+    if held:
+        yield pd.DataFrame({"identity": list(held), "vector": list(held.values())})
+
+
 def user_centroids(samples: DataFrame, places=PLACES) -> DataFrame:
-    """identity, centroid: the mean of an identity's vectors, normalised; null for a zero mean."""
-    means = samples.select("identity", F.posexplode("embedding").alias("pos", "x")).groupBy("identity", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    gathered = means.groupBy("identity").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("s"), F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("n"))
-    return gathered.select("identity", F.when(F.col("n") > 0, F.transform("s", lambda x: F.round(x["m"] / F.col("n"), places))).alias("centroid"))
+    """identity, centroid: the mean of an identity's vectors, normalised; null for a zero mean.
+
+    Vectors are added up in the tasks that read them, so one for each identity and task is shuffled. Rows without an identity or a vector don't count.
+    """
+    kind = f"identity {samples.schema['identity'].dataType.simpleString()}, vector array<double>"
+    own = samples.filter("identity IS NOT NULL AND embedding IS NOT NULL").select("identity", F.col("embedding").cast("array<double>").alias("vector"))
+    sums = own.mapInPandas(_sums, kind).repartition("identity").sortWithinPartitions("identity").mapInPandas(_whole_sums, kind)
+    length = norm(F.col("vector"))
+    return sums.select("identity", F.when(length > 0, F.transform("vector", lambda x: F.round(x / length, places))).alias("centroid"))
+
+
+def _whole_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One sum for each identity; rows come sorted by it."""
+    last = total = None
+    for batch in batches:
+        done: list[tuple] = []
+        for identity, vector in zip(batch["identity"], batch["vector"]):
+            if total is not None and identity == last:
+                total = total + vector
+            else:
+                if total is not None:
+                    done.append((last, total))
+                last, total = identity, np.asarray(vector, np.float64)
+        if done:
+            yield pd.DataFrame(done, columns=["identity", "vector"])
+    if total is not None:
+        yield pd.DataFrame([(last, total)], columns=["identity", "vector"])
 
 
 def resolve_is_genuine(attempts: DataFrame, samples: DataFrame, top1: DataFrame, simple=True, high=0.45) -> DataFrame:

@@ -101,9 +101,9 @@ means AS (SELECT identity, pos, avg(x::DOUBLE) AS m FROM parts GROUP BY 1, 2),
 cents AS (SELECT identity, list(m ORDER BY pos) AS v, sqrt(sum(m * m)) AS n FROM means GROUP BY 1)"""
 
 
-@query(f"WITH {CENTROIDS} SELECT identity, round(list_sum(list_transform(v, lambda x: x / n)), 4) AS total, len(v) AS dim FROM cents")
+@query(f"WITH {CENTROIDS} SELECT identity, pos - 1 AS pos, round(m / n, 4) AS x FROM means JOIN cents USING (identity)")
 def user_centroids(v):
-    return search.user_centroids(v("samples")).select("identity", F.round(F.aggregate("centroid", F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.size("centroid").alias("dim"))
+    return search.user_centroids(v("samples")).select("identity", F.posexplode("centroid").alias("pos", "x")).select("identity", F.col("pos").cast("long").alias("pos"), F.round("x", 4).alias("x"))
 
 
 @query(f"""WITH {NEAREST} SELECT a.probe_idx, a.expected_identity,
@@ -130,7 +130,7 @@ def genuine_pairs(v):
     return pairs.genuine_pairs(v("samples"))
 
 
-@query("""WITH c AS (SELECT count(*) AS n FROM samples), d AS (SELECT unnest(range(0, 3 * n)) AS draw FROM c),
+@query("""WITH c AS (SELECT count(*) AS n FROM samples), d AS (SELECT unnest(range(0, 8 * n)) AS draw FROM c),
 x AS (SELECT draw, ('0x' || substr(md5('7:a:' || draw), 1, 12))::BIGINT % n AS x, ('0x' || substr(md5('7:b:' || draw), 1, 12))::BIGINT % n AS y FROM d, c),
 p AS (SELECT least(x, y) AS a, greatest(x, y) AS b, min(draw) AS draw FROM x JOIN samples s ON s.sample_idx = x JOIN samples t ON t.sample_idx = y WHERE s.identity <> t.identity GROUP BY 1, 2)
 SELECT a, b, draw FROM (SELECT *, row_number() OVER (ORDER BY draw) AS k FROM p) WHERE k <= (SELECT n FROM c)""")

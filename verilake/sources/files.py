@@ -310,11 +310,36 @@ def read_client_summary(spark: SparkSession, root: str) -> DataFrame:
     return first.select("s.*").drop("path")
 
 
-def read_service_tables(spark: SparkSession, base: str | None = None, jdbc: dict | None = None, tables=("users", "embeddings", "verification_logs", "verification_jobs")) -> dict[str, DataFrame]:
-    """The service's tables from Parquet snapshots, or by JDBC in ranges of their id."""
+#: Tables of the service, and the column that each is read in parts by.
+SERVICE_TABLES = {"users": "id", "embeddings": "id", "verification_logs": "id", "verification_jobs": "job_id"}
+#: Which part of n a text key is in; PostgreSQL's hash of a text.
+TEXT_PART = "MOD(ABS(HASHTEXT({column})::BIGINT), {n})"
+
+
+def read_service_tables(spark: SparkSession, base: str | None = None, jdbc: dict | None = None, tables: dict[str, str] | None = None, parts=64, text_part=TEXT_PART) -> dict[str, DataFrame]:
+    """The service's tables from Parquet snapshots, or by JDBC in parts; tables: {name: column to part by}.
+
+    Whole-number columns are cut into ranges between their smallest and largest value, which a query of the database tells first.
+    Text columns are cut by a hash that the database computes (text_part, with column and n). Null keys are in the first part.
+    """
+    tables = SERVICE_TABLES if tables is None else tables
     if base is not None:
         return {t: spark.read.parquet(f"{base}/{t}") for t in tables}
-    return {t: spark.read.format("jdbc").options(**jdbc, dbtable=t, **({"partitionColumn": "id", "lowerBound": "0", "upperBound": "1000000000", "numPartitions": "64"} if t != "verification_jobs" else {})).load() for t in tables}
+    return {t: _read_in_parts(spark, jdbc, t, column, parts, text_part) for t, column in tables.items()}
+
+
+def _read_in_parts(spark: SparkSession, jdbc: dict, table: str, column: str, parts: int, text_part: str) -> DataFrame:
+    kind = spark.read.format("jdbc").options(**jdbc, dbtable=table).load().schema[column].dataType.typeName()
+    if kind == "string":
+        which = text_part.format(column=column, n=parts)
+        predicates = [f"{which} = {i}" + (f" OR {column} IS NULL" if i == 0 else "") for i in range(parts)]
+        rest = {k: v for k, v in jdbc.items() if k not in ("url", "dbtable")}
+        return spark.read.jdbc(jdbc["url"], table, predicates=predicates, properties=rest)
+    low, high = spark.read.format("jdbc").options(**jdbc, dbtable=f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}) bounds").load().first()
+    if low is None or low == high:
+        return spark.read.format("jdbc").options(**jdbc, dbtable=table).load()
+    ranges = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**jdbc, dbtable=table, **ranges).load()
 
 
 def write_pad_predictions(frames: DataFrame, path: str) -> None:
