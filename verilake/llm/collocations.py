@@ -15,6 +15,7 @@ spare less work.
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -108,11 +109,19 @@ def dictionary(docs: DataFrame, text_col="text", lang_col="lang") -> DataFrame:
     return own.mapInPandas(_parsed, "lang string, chunk string, n long").groupBy("lang", "chunk").agg(F.sum("n").alias("n"))
 
 
-def _flat(chunks, numbers: dict) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+class _Numbers(dict):
+    """A number for each token, from 0 on; BREAK is 0."""
+
+    def __missing__(self, token: bytes) -> int:
+        self[token] = value = len(self)
+        return value
+
+
+def _flat(chunks, numbers: _Numbers) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each chunk; of all chunks together the number of each token (0 is BREAK), the chunk that it is in, and whether a phrase may start at it."""
     split = [c.encode().split(b" ") for c in chunks]
     sizes = np.array([len(s) for s in split], np.int64)
-    number = np.fromiter((numbers.setdefault(t, len(numbers)) for s in split for t in s), np.int64, int(sizes.sum()))
+    number = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(sizes.sum()))
     chunk = np.repeat(np.arange(len(split)), sizes)
     inside = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     return split, number, chunk, (inside < sizes[chunk] - OVERLAP) & (number > 0)
@@ -139,17 +148,24 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.add.reduceat(n[order], at) if len(at) else n[:0]
 
 
+def _totals(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _summed, for keys that are small numbers; n in two halves, as bincount adds up doubles."""
+    low, high = (np.bincount(keys, part).astype(np.int64) for part in (n & 0xFFFFFF, n >> 24))
+    found = np.flatnonzero(np.bincount(keys))
+    return found, low[found] + (high[found] << 24)
+
+
 @releasing
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of words (lang, word) and of hashes of pairs (pair)."""
     for batch in batches:
-        numbers = {BREAK: 0}
+        numbers = _Numbers({BREAK: 0})
         _, number, chunk, starts = _flat(batch["chunk"], numbers)
         names = list(numbers)
         weights, salts = batch["n"].to_numpy(np.int64), _salts(batch["lang"])
         codes, langs = pd.factorize(batch["lang"])
         at = np.flatnonzero(starts)
-        keys, sums = _summed(number[at] * len(langs) + codes[chunk[at]], weights[chunk[at]])
+        keys, sums = _totals(number[at] * len(langs) + codes[chunk[at]], weights[chunk[at]])
         yield pd.DataFrame({"lang": np.asarray(langs, object)[keys % len(langs)], "word": [names[k].decode() for k in (keys // len(langs)).tolist()], "pair": pd.array([None] * len(keys), "Int64"), "n": sums})
         pairs = np.flatnonzero(starts[:-1] & (number[1:] > 0))
         hashes = _pair_hashes(_hashes(names), salts[chunk], number)[pairs]
@@ -163,7 +179,7 @@ def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _pairs_and_triples(batch: pd.DataFrame, bits: np.ndarray) -> tuple:
     """What _flat gives, and for each token whether it begins a pair that may be frequent, and the counter of the triple that it begins where both pairs are (else -1)."""
-    numbers = {BREAK: 0}
+    numbers = _Numbers({BREAK: 0})
     split, number, chunk, starts = _flat(batch["chunk"], numbers)
     words = _hashes(list(numbers))
     hashes = _pair_hashes(words, _salts(batch["lang"])[chunk], number)
