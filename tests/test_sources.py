@@ -84,3 +84,21 @@ def test_vectors_that_cannot_be_decrypted_are_counted(spark):
     broken = coded.withColumn("encrypted", F.when(F.col("id") == 2, F.reverse(F.hex("encrypted")).cast("binary")).otherwise(F.col("encrypted"))).drop("payload")
     got = enroll.decrypt_failures(enroll.decrypt_vectors(broken.unionByName(broken.limit(1).withColumn("encrypted", F.lit(None).cast("binary"))), key)).first()
     assert (got.n, got.n_failed) == (2, 1)
+
+
+def test_service_tables_by_jdbc(spark, tmp_path):
+    """A database in the driver's JVM: ranges between the bounds that are there, text keys by an expression of the database."""
+    jdbc = {"url": f"jdbc:derby:{tmp_path}/db;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    users = spark.range(5_000_000_000, 5_000_000_400).select(F.col("id"), F.lit("x").alias("name"))
+    jobs = spark.range(300).select(F.when(F.col("id") > 0, F.repeat(F.lit("j"), F.col("id").cast("int"))).alias("job_id"), F.col("id").alias("n"))
+    one = spark.range(1).select(F.lit(7).cast("long").alias("id"))
+    for name, table in (("users", users), ("jobs", jobs), ("one", one), ("nothing", users.limit(0))):
+        table.coalesce(1).write.format("jdbc").options(**jdbc, dbtable=name).mode("append").save()
+    found = files.read_service_tables(spark, jdbc=jdbc, tables={"users": "id", "jobs": "job_id", "one": "id", "nothing": "id"}, parts=8, text_part="MOD(LENGTH({column}), {n})")
+    sizes = {t: [r.n for r in df.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()] for t, df in found.items()}
+    assert (sum(sizes["users"]), sum(sizes["jobs"]), sum(sizes["one"]), sum(sizes["nothing"])) == (400, 300, 1, 0)
+    assert len(sizes["users"]) == 8 and max(sizes["users"]) <= 60  # bounds of 0 .. 1e9 would give one part all rows
+    assert len(sizes["jobs"]) == 8 and max(sizes["jobs"]) <= 45
+    assert found["jobs"].filter("job_id IS NULL").count() == 1
+    users.write.parquet(f"{tmp_path}/snap/users")
+    assert files.read_service_tables(spark, f"{tmp_path}/snap", tables={"users": "id"})["users"].count() == 400

@@ -41,9 +41,8 @@ def pad_eval_at(frames: DataFrame, threshold: float) -> DataFrame:
 
 def recommend_threshold_pad(frames: DataFrame, n=200, id_col="pair_id") -> DataFrame:
     """threshold, acer: the first of n thresholds with the least acer of pad_eval_at; with eer and auc."""
-    bounds = frames.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-    lo, hi = bounds.lo or 0.0, bounds.hi or 0.0
-    sweep = sweep_confusion(frames, n, lo, hi, ["attack_type"])
+    bounds = frames.agg(F.coalesce(F.min("score"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("score"), F.lit(0.0)).alias("hi"))
+    sweep = sweep_confusion(frames, n, slices=["attack_type"], bounds=bounds)
     attack, live = F.col("attack_type") != "live", F.col("attack_type") == "live"
     by = sweep.groupBy("idx", "threshold").agg(F.max(F.when(attack & (F.col("fp") + F.col("tn") > 0), F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")))).alias("apcer_max"), F.sum(F.when(live, F.col("fn"))).alias("fn"), F.sum(F.when(live, F.col("tp"))).alias("tp"))
     acer = (F.coalesce("apcer_max", F.lit(0.0)) + ratio(F.coalesce("fn", F.lit(0)), F.coalesce(F.col("fn") + F.col("tp"), F.lit(0)))) / 2
@@ -60,11 +59,27 @@ def video_scores(frames: DataFrame) -> DataFrame:
 
 
 def eval_pad(frames: DataFrame, threshold=0.859) -> DataFrame:
-    """pad_eval_at at the present and at the recommended threshold, in one row."""
-    best = recommend_threshold_pad(frames, id_col="frame_index")
-    value = best.first().threshold
-    now, then = pad_eval_at(frames, threshold), pad_eval_at(frames, value)
-    return now.crossJoin(then.select(*[F.col(c).alias(f"best_{c}") for c in ("apcer_max", "npcer", "acer", "accuracy")])).crossJoin(best.select("threshold", "eer", "auc"))
+    """pad_eval_at at the present and at the recommended threshold, in one row.
+
+    The recommended threshold goes along with the frames as a one-row table, and one aggregate by attack type counts at both.
+    """
+    best = recommend_threshold_pad(frames, id_col="frame_index").select(F.col("threshold").alias("_best"), "eer", "auc")
+    live = F.col("label") == 1
+    at = {"": F.col("score") >= threshold, "best_": F.col("score") >= F.col("_best")}
+    counts = [F.count_if(up & kind).alias(f"_{name}{c}") for name, up in at.items() for c, kind in (("tp", live), ("fp", ~live))]
+    types = frames.crossJoin(F.broadcast(best)).groupBy("attack_type", "_best", "eer", "auc").agg(F.count("*").alias("_n"), F.count_if(live).alias("_live"), *counts)
+    spoof = F.col("_n") - F.col("_live")
+    worst = lambda name: F.coalesce(F.max(F.when(F.col("attack_type").isin(*ATTACKS) & (spoof > 0), F.try_divide(f"_{name}fp", spoof))), F.lit(0.0))
+    sums = [F.sum(f"_{name}{c}").alias(f"_{name}{c}") for name in at for c in ("tp", "fp")]
+    whole = types.groupBy("_best", "eer", "auc").agg(F.sum("_n").alias("n"), F.sum("_live").alias("_l"), *sums, *[worst(name).alias(f"{name}apcer_max") for name in at])
+    other = F.col("n") - F.col("_l")
+    out = []
+    for name in at:
+        tp, fp = F.col(f"_{name}tp"), F.col(f"_{name}fp")
+        missed = ratio(F.col("_l") - tp, F.col("_l"))
+        out += [F.col(f"{name}apcer_max"), missed.alias(f"{name}npcer"), ((F.col(f"{name}apcer_max") + missed) / 2).alias(f"{name}acer"), ratio(tp + other - fp, F.col("n")).alias(f"{name}accuracy")]
+    error = F.when((F.col("_l") == 0) | (other == 0), "class missing").alias("error")
+    return whole.select("n", *out[:4], error, *out[4:], F.col("_best").alias("threshold"), "eer", "auc")
 
 
 def separation(videos: DataFrame) -> DataFrame:

@@ -41,14 +41,17 @@ def grid_value(i, lo, hi, n) -> Column:
     return F.when(i == n - 1, hi).otherwise(i * ((hi - lo) / (n - 1)) + lo)
 
 
-def sweep_confusion(scored: DataFrame, n=200, lo=None, hi=None, slices=()) -> DataFrame:
-    """Confusion at each of n thresholds from lo to hi (default: the scores' own range), in one pass over the rows.
+def sweep_confusion(scored: DataFrame, n=200, lo=None, hi=None, slices=(), bounds: DataFrame | None = None) -> DataFrame:
+    """Confusion at each of n thresholds from lo to hi (default: the scores' own range; bounds: a one-row table of both for all slices), in one pass over the rows.
 
     Each row falls into the cell of the largest threshold that it reaches; counts per
     threshold are sums over the cells above.
     """
     keys = list(slices)
-    bounds = scored.groupBy(*keys).agg((F.min("score") if lo is None else F.lit(float(lo))).alias("lo"), (F.max("score") if hi is None else F.lit(float(hi))).alias("hi"))
+    if bounds is not None:
+        bounds = scored.select(*keys).distinct().crossJoin(F.broadcast(bounds.select("lo", "hi"))) if keys else bounds.select("lo", "hi")
+    else:
+        bounds = scored.groupBy(*keys).agg((F.min("score") if lo is None else F.lit(float(lo))).alias("lo"), (F.max("score") if hi is None else F.lit(float(hi))).alias("hi"))
     joined = scored.join(bounds, keys) if keys else scored.crossJoin(F.broadcast(bounds))
     step = (F.col("hi") - F.col("lo")) / (n - 1)
     guess = F.when(step > 0, F.floor(F.try_divide(F.col("score") - F.col("lo"), step))).otherwise(n - 1)
@@ -83,14 +86,17 @@ def roc_points(scored: DataFrame, slices=()) -> DataFrame:
 def roc_curve(points: DataFrame, slices=()) -> DataFrame:
     """threshold, far, tar, frr by idx from the points: one per sample, with (0, 0) before and (1, 1) after them.
 
-    With one class only the curve is (0, 0, inf), (1, 1, -inf).
+    With one class only the curve is (0, 0, inf), (1, 1, -inf). The first and the last sample's rows give the end points as well, so
+    the points are made once.
     """
-    keys = list(slices)
-    own = points.filter("pos > 0 AND neg > 0").select(*keys, "idx", F.col("score").alias("threshold"), F.try_divide("fp", "neg").alias("far"), F.try_divide("tp", "pos").alias("tar"))
-    ends = points.groupBy(*keys).agg(F.count("*").alias("n"), F.max("score").alias("hi"), F.min("score").alias("lo"), F.min((F.col("pos") > 0) & (F.col("neg") > 0)).alias("both"))
-    first = ends.select(*keys, F.lit(0).cast("long").alias("idx"), F.when(F.col("both"), F.col("hi") + 1).otherwise(float("inf")).alias("threshold"), F.lit(0.0).alias("far"), F.lit(0.0).alias("tar"))
-    last = ends.select(*keys, (F.col("n") + 1).alias("idx"), F.when(F.col("both"), F.col("lo") - 1).otherwise(float("-inf")).alias("threshold"), F.lit(1.0).alias("far"), F.lit(1.0).alias("tar"))
-    return own.unionByName(first).unionByName(last).withColumn("frr", 1 - F.col("tar"))
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    point = lambda idx, at, far, tar: F.struct(idx.cast("long").alias("idx"), at.cast("double").alias("threshold"), far.alias("far"), tar.alias("tar"))
+    own = F.when(both, point(F.col("idx"), F.col("score"), F.try_divide("fp", "neg"), F.try_divide("tp", "pos")))
+    n = F.col("pos") + F.col("neg")
+    first = F.when(F.col("idx") == 1, point(F.lit(0), F.when(both, F.col("score") + 1).otherwise(float("inf")), F.lit(0.0), F.lit(0.0)))
+    last = F.when(F.col("idx") == n, point(n + 1, F.when(both, F.col("score") - 1).otherwise(float("-inf")), F.lit(1.0), F.lit(1.0)))
+    made = points.select(*slices, F.explode(F.array_compact(F.array(own, first, last))).alias("_p"))
+    return made.select(*slices, "_p.*").withColumn("frr", 1 - F.col("tar"))
 
 
 def collapse_ties(points: DataFrame, slices=()) -> DataFrame:

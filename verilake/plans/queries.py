@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 
@@ -103,7 +104,7 @@ cents AS (SELECT identity, list(m ORDER BY pos) AS v, sqrt(sum(m * m)) AS n FROM
 
 @query(f"WITH {CENTROIDS} SELECT identity, pos - 1 AS pos, round(m / n, 4) AS x FROM means JOIN cents USING (identity)")
 def user_centroids(v):
-    return search.user_centroids(v("samples")).select("identity", F.posexplode("centroid").alias("pos", "x")).select("identity", F.col("pos").cast("long").alias("pos"), F.round("x", 4).alias("x"))
+    return search.user_centroids(v("samples"), 4).select("identity", F.posexplode("centroid").alias("pos", "x")).select("identity", F.col("pos").cast("long").alias("pos"), "x")
 
 
 @query(f"""WITH {NEAREST} SELECT a.probe_idx, a.expected_identity,
@@ -727,6 +728,11 @@ def read_pairs_csv(v):
     return files.parse_pairs(v("pair_rows"), "/root")
 
 
+@query("SELECT image, det_idx, greatest(0, x2 - x1 - 60) * greatest(0, y2 - y1 - 70) AS area FROM detections")
+def box_area(v):
+    return v("detections").select("image", "det_idx", exprs.area(F.col("x1") + 60, F.col("y1") + 70, F.col("x2"), F.col("y2")).alias("area"))
+
+
 # --- enrolment, hashes, redaction -------------------------------------------------------
 
 
@@ -856,6 +862,15 @@ def read_pairs_file(v):
     return files.read_pairs_csv(v.spark, path, "/root")
 
 
+@query("SELECT 'users' AS name, count(*) AS n, sum(c_custkey) AS total FROM customer UNION ALL SELECT 'verification_logs', count(*), sum(id) FROM verification_log")
+def read_service_tables(v):
+    base = _scratch(v)
+    v("customer").select(F.col("c_custkey").alias("id"), "c_name").write.parquet(f"{base}/users")
+    v("verification_log").write.parquet(f"{base}/verification_logs")
+    found = files.read_service_tables(v.spark, base, tables={"users": "id", "verification_logs": "id"})
+    return functools.reduce(DataFrame.unionByName, [df.agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.sum("id").alias("total")) for t, df in found.items()])
+
+
 # Documents of several kinds: samples under their keys, also in JSON inside text; tables with a stage's column; load-test summaries.
 @query("""SELECT 'search' AS stage, count(*) AS n, sum(event_id) AS total FROM events UNION ALL SELECT 'detect', count(*), round(sum(value), 6) FROM events WHERE event_type <> 'error' UNION ALL SELECT 'align', count(*), sum(user_id) FROM events""")
 def read_benchmark_artifacts(v):

@@ -329,13 +329,13 @@ def read_service_tables(spark: SparkSession, base: str | None = None, jdbc: dict
 
 
 def _read_in_parts(spark: SparkSession, jdbc: dict, table: str, column: str, parts: int, text_part: str) -> DataFrame:
-    kind = spark.read.format("jdbc").options(**jdbc, dbtable=table).load().schema[column].dataType.typeName()
+    kind, name = spark.read.format("jdbc").options(**jdbc, dbtable=table).load().schema[column].dataType.typeName(), f'"{column}"'
     if kind == "string":
-        which = text_part.format(column=column, n=parts)
-        predicates = [f"{which} = {i}" + (f" OR {column} IS NULL" if i == 0 else "") for i in range(parts)]
+        which = text_part.format(column=name, n=parts)
+        predicates = [f"{which} = {i}" + (f" OR {name} IS NULL" if i == 0 else "") for i in range(parts)]
         rest = {k: v for k, v in jdbc.items() if k not in ("url", "dbtable")}
         return spark.read.jdbc(jdbc["url"], table, predicates=predicates, properties=rest)
-    low, high = spark.read.format("jdbc").options(**jdbc, dbtable=f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}) bounds").load().first()
+    low, high = spark.read.format("jdbc").options(**jdbc, dbtable=f"(SELECT MIN({name}) AS low, MAX({name}) AS high FROM {table}) bounds").load().first()
     if low is None or low == high:
         return spark.read.format("jdbc").options(**jdbc, dbtable=table).load()
     ranges = {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high + 1), "numPartitions": str(parts)}
