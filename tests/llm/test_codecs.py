@@ -106,6 +106,16 @@ def test_bpe_against_library():
         assert own.digest(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
 
 
+def test_bpe_of_single_characters():
+    """Every letter, digit and capital that two versions of Unicode may see differently, and every 97th other character."""
+    own, known = bpe.coder(bpe.VOCABULARY), library()
+    newer = [c for a, b in (part.split("-") if "-" in part else (part, part) for part in bpe.NEWER.split()) for c in (range(int(a, 16) - 1, int(b, 16) + 2, max(1, (int(b, 16) - int(a, 16)) // 9)))]
+    points = {*newer, *bpe.SMALL, *bpe.SMALL.values(), *range(0, 0x110000, 97), *range(0x1C80, 0x1C90), *range(0xA7C0, 0xA7FF), *range(0x105C0, 0x10600)}
+    texts = ["a" + chr(c) + "b" for c in sorted(points) if not 0xD800 <= c < 0xE000]
+    for text, e in zip(texts, known.encode_batch(texts, add_special_tokens=False)):
+        assert [*own.encode(text)] == e.ids, ascii(text)
+
+
 def test_lookahead_by_brute_force():
     merges = [("a", "b"), ("ab", "a"), ("b", "b"), ("aba", "bb"), ("a", "a</w>")]
     far = bpe.sufficient_lookahead(merges)

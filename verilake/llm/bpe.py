@@ -35,8 +35,23 @@ VOCABULARY = "word_bpe_49k.json"
 #: Unicode white space, as the vocabulary's own normalizer takes it.
 SPACES = "\t-\r \x85\xa0  -     　"
 _SPACE = regex.compile(f"[{SPACES}]+")
-#: How the vocabulary cuts text into words (fixed), and the same for ASCII text.
-_PIECES = regex.compile(r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+")
+
+
+#: Letters and digits that regex knows and the vocabulary's own engine, of Unicode 16, doesn't; to it they are symbols.
+NEWER = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee
+11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 16ebb-16ed3 16ff2-16ff6 187f8-187ff 18cd6-18cda
+18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff
+1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f
+"""
+_NEWER = "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in NEWER.split())
+#: Small letters of capitals that Python's unicodedata doesn't know yet.
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_CAPITAL = re.compile(f"[{''.join(map(chr, SMALL))}]")
+#: How the vocabulary cuts text into words (fixed).
+_PIECES = regex.compile(rf"(?V1)[\p{{L}}--[{_NEWER}]]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{{N}}--[{_NEWER}]]|[[^{SPACES}\p{{L}}\p{{N}}]{_NEWER}]+")
+#: The same for ASCII text.
 _ASCII_PIECES = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+")
 END = "</w>"
 #: Entries of each cache of a worker, and characters of a text that are split at once.
@@ -176,7 +191,8 @@ class Transducer:
     def _pieces(self, stretch: str) -> list[str]:
         if stretch.isascii():
             return _ASCII_PIECES.findall(stretch.lower())
-        return _PIECES.findall(unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower())
+        small = unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower()
+        return _PIECES.findall(small.translate(SMALL) if _CAPITAL.search(small) else small)
 
     def _rendered(self, piece: str) -> tuple[str, int, str, tuple[int, ...]]:
         ids = (*self.encode_word(piece.encode("utf-8", "replace")),)
