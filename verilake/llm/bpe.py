@@ -51,7 +51,9 @@ SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in
 _CAPITAL = re.compile(f"[{''.join(map(chr, SMALL))}]")
 #: How the vocabulary cuts text into words (fixed).
 _PIECES = regex.compile(rf"(?V1)[\p{{L}}--[{_NEWER}]]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{{N}}--[{_NEWER}]]|[[^{SPACES}\p{{L}}\p{{N}}]{_NEWER}]+")
-#: The same for ASCII text.
+#: The same for text before the first of the newer letters, and for ASCII text.
+_COMMON_PIECES = regex.compile(r"[\p{L}]+|'s|'t|'re|'ve|'m|'ll|'d|[\p{N}]|[^" + SPACES + r"\p{L}\p{N}]+")
+_BEYOND = re.compile("[\u0558-\U0010ffff]")
 _ASCII_PIECES = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\t-\r a-z0-9]+")
 END = "</w>"
 #: Entries of each cache of a worker, and characters of a text that are split at once.
@@ -192,6 +194,8 @@ class Transducer:
         if stretch.isascii():
             return _ASCII_PIECES.findall(stretch.lower())
         small = unicodedata.normalize("NFC", stretch).replace("Σ", "σ").lower()
+        if not _BEYOND.search(small):
+            return _COMMON_PIECES.findall(small)
         return _PIECES.findall(small.translate(SMALL) if _CAPITAL.search(small) else small)
 
     def _rendered(self, piece: str) -> tuple[str, int, str, tuple[int, ...]]:
