@@ -153,3 +153,34 @@ def test_tokens_and_webhooks(spark, feed, tmp_path):
     notices = feed([(0.0, 1, 10), (3599.0, 1, 11), (3600.0, 1, 12), (7300.0, 1, 13), (5.0, 2, 14)], "job_id long, event_id long")
     sent = streams.available(streams.stream_webhook_dedup(notices)).collect()
     assert sorted((r.job_id, r.event_id) for r in sent) == [(1, 10), (1, 12), (1, 13), (2, 14)]
+
+
+def test_timers_and_lists_by_bucket(spark, feed, tmp_path, monkeypatch):
+    """Of 3,000 live keys the store has a list and a timer for each bucket, not for each key."""
+    monkeypatch.setattr(streams, "BUCKETS", 8, raising=False)
+    rows = [(float(i % 50), f"k{i}", i) for i in range(3000)]
+    place = f"{tmp_path}/run"
+    got = streams.available(streams.stream_rate_limit(feed(rows, "key string, event_id long"), 3, 100), place=place)
+    assert sorted((r.key, r.event_id, r.nth, r.repeat) for r in got.collect()) == sorted((f"k{i}", i, 1, False) for i in range(3000))
+    assert state_rows(spark, place, "window") == 3000
+    with streams.rocksdb_state(spark):
+        store = spark.read.format("statestore").option("path", f"{place}/state")
+        assert store.option("stateVarName", "window").option("flattenCollectionTypes", "false").load().count() <= 8
+        assert spark.read.format("statestore").option("path", f"{place}/state").option("readRegisteredTimers", "true").load().count() <= 8
+
+
+@pytest.mark.parametrize("files", [1, 4])
+def test_sessions_keep_nulls(spark, feed, tmp_path, files):
+    """A null signal stays null in the state and beyond, NaN stays NaN; the verdict in stages is that in one expression."""
+    from pyspark.sql import functions as F
+
+    from verilake.operators import challenge
+    from verilake.streaming import processors
+
+    rows = [(float(i), 1, i, 10.0, 10.0, 60.0, 60.0, 0.0, 0.5, None if i % 2 else 0.3, 0.3, float("nan") if i == 3 else 1.0) for i in range(12)]
+    rows.append(frame(9000.0, 2, 0))
+    got = streams.available(streams.stream_challenge_sessions(feed(rows, FRAME, files), ["blink"]), place=f"{tmp_path}/run{files}").collect()
+    frames = [tuple(r[3:]) for r in rows[:12]]
+    one = spark.createDataFrame([(frames,)], f"frames array<struct<{', '.join(f'{c}: double' for c in processors.SIGNALS)}>>")
+    made = one.select(*[c.alias(k) for k, c in challenge.session_verdict(F.col("frames"), F.array(F.lit("blink"))).items()]).first()
+    assert [(r.is_live, str(r.confidence), r.reason, r.n_frames) for r in got] == [(made.is_live, str(made.confidence), made.reason, made.n_frames)]

@@ -123,16 +123,47 @@ def challenge_verdict(frames: DataFrame, challenges: DataFrame, threshold=THRESH
     return rows.select("challenge_id", *[c.alias(k) for k, c in made.items()], n.alias("n_frames"))
 
 
+def _session_stages(actions, threshold):
+    """The verdict from a session's frames in stages: each gives columns from those before it, by name."""
+    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
+    values = lambda own, c: F.transform(F.filter(own, lambda f: f[c].isNotNull()), lambda f: f[c].cast("double"))
+    signals = ("ear", "yaw", "pitch_signal", "mouth_width_ratio", "passive_score")
+
+    def lists(c):
+        own = c["own"]
+        areas = F.transform(own, lambda f: ((f["x2"] - f["x1"]) * (f["y2"] - f["y1"])).cast("double"))
+        steps = F.transform(F.slice(own, 2, MAX_FRAMES), lambda f, i: iou(_fields(own[i]), _fields(f), clamp=False))
+        return {"n": F.size(own), "areas": areas, "steps": steps} | {k: values(own, k) for k in signals}
+
+    def parts(c):
+        n, m = c["n"], c["m"]
+        spread = F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(c["areas"], lambda x: x * x)) - m * m))
+        consistent = F.coalesce((n >= MIN_FRAMES) & (m > 1e-6) & (F.try_divide(spread, m) <= AREA_CV) & (F.coalesce(F.array_min(c["steps"]), F.lit(1.0)) >= IOU_MIN), F.lit(False))
+        return {"consistent": consistent, "passive": mean(c["passive_score"])} | action_columns(*[c[k] for k in signals[:4]])
+
+    return [
+        lambda c: {"own": F.slice(c["frames"], 1, MAX_FRAMES)},
+        lists,
+        lambda c: {"m": mean(c["areas"])},
+        parts,
+        lambda c: verdict_columns(c["n"], c["consistent"], actions, c, c["passive"], threshold) | {"n_frames": c["n"]},
+    ]
+
+
 def session_verdict(frames, actions, threshold=THRESHOLD) -> dict[str, Column]:
     """The verdict from one array of frame structs (n, x1..y2 and the signals) in order; for sessions gathered by a stream."""
-    own = F.slice(frames, 1, MAX_FRAMES)
-    n = F.size(own)
-    values = lambda c: F.transform(F.filter(own, lambda f: f[c].isNotNull()), lambda f: f[c].cast("double"))
-    areas = F.transform(own, lambda f: ((f["x2"] - f["x1"]) * (f["y2"] - f["y1"])).cast("double"))
-    mean = lambda a: F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), F.size(a))
-    m = mean(areas)
-    spread = F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(areas, lambda x: x * x)) - m * m))
-    steps = F.transform(F.slice(own, 2, MAX_FRAMES), lambda f, i: iou(_fields(own[i]), _fields(f), clamp=False))
-    consistent = F.coalesce((n >= MIN_FRAMES) & (m > 1e-6) & (F.try_divide(spread, m) <= AREA_CV) & (F.coalesce(F.array_min(steps), F.lit(1.0)) >= IOU_MIN), F.lit(False))
-    performed = action_columns(*map(values, ("ear", "yaw", "pitch_signal", "mouth_width_ratio")))
-    return verdict_columns(n, consistent, actions, performed, mean(values("passive_score")), threshold) | {"n_frames": n}
+    known, made = {"frames": frames}, {}
+    for stage in _session_stages(actions, threshold):
+        made = stage(known)
+        known |= made
+    return made
+
+
+def session_verdicts(sessions: DataFrame, actions, threshold=THRESHOLD) -> DataFrame:
+    """sessions with their verdicts in place of their frames; each stage is a projection, so that no part is computed anew wherever it is used."""
+    rows, known, made = sessions, {"frames": F.col("frames")}, {}
+    for stage in _session_stages(actions, threshold):
+        made = stage(known)
+        rows = rows.withColumns({f"_{k}": c for k, c in made.items()})
+        known |= {k: F.col(f"_{k}") for k in made}
+    return rows.select(*[c for c in sessions.columns if c != "frames"], *[F.col(f"_{k}").alias(k) for k in made])

@@ -10,16 +10,20 @@ Stateful operators are in processors.py.
 from __future__ import annotations
 
 import contextlib
+import functools
+import operator
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verilake.operators.challenge import session_verdict
+from verilake.operators.challenge import session_verdicts
 from verilake.streaming import processors
 
 RATE_DELAY = "10 minutes"
+#: Into so many buckets a stateful stream's keys are dealt; a stream that goes on from its state must keep the number.
+BUCKETS = 1024
 BOUNDS = (1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000)
 
 
@@ -127,14 +131,20 @@ def _micros(ts="ts"):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _by_bucket(rows: DataFrame, key: str, processor, made: str) -> DataFrame:
+    """rows through a stateful processor, by buckets of keys; it gets the key's type first."""
+    kind = rows.schema[key].dataType.simpleString()
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor(kind), made.format(kind=kind), "append", "EventTime")
+
+
 def stream_anchored(events: DataFrame, seconds: float, limit=1, delay: str | None = None) -> DataFrame:
     """key, event_id, nth, repeat: windows anchored at their first event; events: key, event_id, ts.
 
-    State is one (anchor, count) for each key with a live window; a timer clears it when the watermark has passed the window's end.
+    State is one (anchor, count) for each key with a live window; it is cleared when the watermark has passed the window's end.
     """
     rows = events.filter("key IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay or f"{int(seconds)} seconds").select("key", "event_id", "ts", _micros().alias("at"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").transformWithState(processors.Windows(seconds, limit), f"key {kind}, event_id long, nth int, repeat boolean", "append", "EventTime")
+    return _by_bucket(rows, "key", lambda kind: processors.Windows(kind, seconds, limit), "key {kind}, event_id long, nth int, repeat boolean")
 
 
 def stream_anti_replay(events: DataFrame, seconds=10) -> DataFrame:
@@ -157,10 +167,10 @@ def stream_token_consume(issued: DataFrame, consumed: DataFrame, ttl_seconds=120
 
     Both streams are one, so that issue and consumption of a batch meet in order of their times. A token issued again starts a new life.
     """
-    i = issued.select("token", F.lit(None).cast("long").alias("event_id"), "ts")
-    rows = i.unionByName(consumed.select("token", F.col("event_id").cast("long").alias("event_id"), "ts")).filter("token IS NOT NULL AND ts IS NOT NULL")
+    i = issued.select("token", F.lit(-1).cast("long").alias("event_id"), "ts")
+    rows = i.unionByName(consumed.select("token", F.coalesce(F.col("event_id").cast("long"), F.lit(-1)).alias("event_id"), "ts")).filter("token IS NOT NULL AND ts IS NOT NULL")
     rows = rows.withWatermark("ts", f"{ttl_seconds} seconds").select("token", "event_id", "ts", _micros().alias("at"))
-    taken = rows.groupBy("token").transformWithState(processors.Tokens(ttl_seconds), "token string, event_id long, at long", "append", "EventTime")
+    taken = _by_bucket(rows, "token", lambda kind: processors.Tokens(kind, ttl_seconds), "token {kind}, event_id long, at long")
     return taken.select("token", "event_id", F.timestamp_micros("at").alias("ts"))
 
 
@@ -172,10 +182,13 @@ def stream_challenge_sessions(frames: DataFrame, actions: list[str], idle=5.0, t
     after its last frame that counts, before it would have ended otherwise, is dropped.
     """
     rows = frames.filter("challenge_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay)
-    rows = rows.select("challenge_id", "ts", _micros().alias("at"), F.col("idx").cast("long").alias("idx"), *[F.col(c).cast("double").alias(c) for c in processors.SIGNALS])
-    ended = rows.groupBy("challenge_id").transformWithState(processors.Sessions(idle, total), f"challenge_id {rows.schema['challenge_id'].dataType.simpleString()}, start long, frames array<struct<{processors.FRAME}>>", "append", "EventTime")
-    made = session_verdict(F.col("frames"), F.array(*map(F.lit, actions)))
-    return ended.select("challenge_id", F.timestamp_micros("start").alias("start"), *[c.alias(k) for k, c in made.items()])
+    missing = functools.reduce(operator.add, [F.when(F.col(c).cast("double").isNull(), 1 << i).otherwise(0) for i, c in enumerate(processors.SIGNALS)])
+    rows = rows.select("challenge_id", "ts", _micros().alias("at"), F.col("idx").cast("long").alias("idx"), missing.alias("missing"), *[F.col(c).cast("double").alias(c) for c in processors.SIGNALS])
+    ended = _by_bucket(rows, "challenge_id", lambda kind: processors.Sessions(kind, idle, total), f"challenge_id {{kind}}, start long, frames array<struct<{processors.FRAME}>>")
+    given = lambda f, i, c: F.when(F.getbit(f["missing"], F.lit(i)) == 0, F.coalesce(f[c], F.lit(float("nan")))).alias(c)
+    frames = F.transform("frames", lambda f: F.struct(*[given(f, i, c) for i, c in enumerate(processors.SIGNALS)]))
+    ended = ended.select("challenge_id", F.timestamp_micros("start").alias("start"), frames.alias("frames"))
+    return session_verdicts(ended, F.array(*map(F.lit, actions)))
 
 
 def stream_job_lifecycle(events: DataFrame, stale_seconds=300.0, ttl_seconds=300.0, delay="1 minute") -> DataFrame:
@@ -186,5 +199,4 @@ def stream_job_lifecycle(events: DataFrame, stale_seconds=300.0, ttl_seconds=300
     ttl_seconds, and with it the job's state. An event after that starts the job anew.
     """
     rows = events.filter("job_id IS NOT NULL AND ts IS NOT NULL").withWatermark("ts", delay).select("job_id", "status", "ts", _micros().alias("at"))
-    kind = rows.schema["job_id"].dataType.simpleString()
-    return rows.groupBy("job_id").transformWithState(processors.Jobs(stale_seconds, ttl_seconds), f"job_id {kind}, status string, since long", "append", "EventTime")
+    return _by_bucket(rows, "job_id", lambda kind: processors.Jobs(kind, stale_seconds, ttl_seconds), "job_id {kind}, status string, since long")
