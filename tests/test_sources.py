@@ -102,3 +102,16 @@ def test_service_tables_by_jdbc(spark, tmp_path):
     assert found["jobs"].filter("job_id IS NULL").count() == 1
     users.write.parquet(f"{tmp_path}/snap/users")
     assert files.read_service_tables(spark, f"{tmp_path}/snap", tables={"users": "id"})["users"].count() == 400
+
+
+def test_ranges_by_halving(spark):
+    """A row is compared with few of the edges, and is in the range that all comparisons give."""
+    from verilake.operators import prefix
+
+    rows = [(None, "x"), *[(f"k{i % 7}", f"é{i:03d}") for i in range(600)], ("k3", None)]
+    df = spark.createDataFrame(rows, "a string, b string").repartition(3)
+    made = prefix.dense_index(df, ["a", "b"]).collect()
+    order = sorted(rows, key=lambda t: [(v is not None, (v or "").encode()) for v in t])
+    assert [(r.a, r.b) for r in sorted(made, key=lambda r: r.sample_idx)] == order
+    plan = prefix.dense_index(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "lambda" not in plan

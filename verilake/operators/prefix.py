@@ -64,6 +64,18 @@ def _splitters(df: DataFrame, columns: list[str]) -> list:
     return list(dict.fromkeys(rows[i * len(rows) // BUCKETS] for i in range(1, BUCKETS))) if rows else []
 
 
+def _range_of(own, edges: list):
+    """Number of edges, in order, up to the value, by halving: eight comparisons for 255 edges."""
+
+    def within(low: int, high: int):
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(edges[mid] <= own, within(mid + 1, high)).otherwise(within(low, mid))
+
+    return within(0, len(edges))
+
+
 def dense_index(df: DataFrame, columns: list[str], name="sample_idx") -> DataFrame:
     """A number 0 .. n - 1 in order of the columns.
 
@@ -72,9 +84,7 @@ def dense_index(df: DataFrame, columns: list[str], name="sample_idx") -> DataFra
     """
     kinds = [df.schema[c].dataType for c in columns]
     edges = [F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(row, kinds, columns)]) for row in _splitters(df, columns)]
-    own = F.struct(*columns)
-    bucket = F.size(F.filter(F.array(*edges), lambda e: e <= own)) if edges else F.lit(0)
-    rows = df.withColumn("_range", bucket)
+    rows = df.withColumn("_range", _range_of(F.struct(*columns), edges))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = rows.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_range").orderBy(*columns)) - 1
