@@ -115,3 +115,17 @@ def test_ranges_by_halving(spark):
     assert [(r.a, r.b) for r in sorted(made, key=lambda r: r.sample_idx)] == order
     plan = prefix.dense_index(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" not in plan and "lambda" not in plan
+
+
+def test_artifacts_read_once(spark, tmp_path):
+    """Job rows come first for their stages only, and the other files are read once."""
+    from verilake.sources import files
+
+    (tmp_path / "a_job_rows.jsonl").write_text('{"search_ms": 1}\n{"search_ms": 2}\n')
+    (tmp_path / "b.jsonl").write_text('{"search_ms": 9, "align_ms": 3}\n')
+    (tmp_path / "c.json").write_text('{"deep": [{"align_ms": 4}, {"search_ms": 8}]}')
+    (tmp_path / "d.csv").write_text("x.detect_ms,y\n5,1\n")
+    found = files.read_benchmark_artifacts(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [("align", 3.0, 0), ("align", 4.0, 0), ("detect", 5.0, 0), ("search", 1.0, 1), ("search", 2.0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_walk_csv") == 1

@@ -876,7 +876,8 @@ def read_service_tables(v):
 def read_benchmark_artifacts(v):
     root = _scratch(v)
     row = F.struct(F.col("event_id").alias("search_ms"), F.to_json(F.struct(F.col("user_id").alias("a.align_ms"))).alias("inner"))
-    documents = v("events").groupBy("user_id").agg(F.struct(F.collect_list(row).alias("rows")).alias("deep")).select("deep")
+    # A document for every 250 users, some MB, as files of a few KB cost more to open than to read.
+    documents = v("events").groupBy(F.floor(F.col("user_id") / 250)).agg(F.struct(F.collect_list(row).alias("rows")).alias("deep")).select("deep")
     documents.write.option("maxRecordsPerFile", 1).json(f"{root}/documents")
     v("events").select(F.when(F.col("event_type") != "error", F.col("value")).alias("x.detect_ms"), "event_type").write.csv(f"{root}/tables", header=True)
     return files.read_benchmark_artifacts(v.spark, root).groupBy("stage").agg(F.count("*").alias("n"), F.round(F.sum("value_ms"), 6).alias("total"))

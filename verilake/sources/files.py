@@ -270,14 +270,12 @@ def read_benchmark_artifacts(spark: SparkSession, root: str) -> DataFrame:
     read = lambda glob, whole: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=whole)
     lines = read("*.[jJ][sS][oO][nN][lL]", False)
     primary = F.col("_metadata.file_name").endswith("_job_rows.jsonl")
-    parts = [(collect_stage_samples(lines.filter(primary)), 1), (collect_stage_samples(lines.filter(~primary)), 0)]
-    parts.append((collect_stage_samples(read("*.[jJ][sS][oO][nN]", True)), 0))
-    parts.append((read("*.[cC][sS][vV]", True).mapInPandas(_walk_csv, "stage string, value_ms double"), 0))
-    found = None
-    for frame, priority in parts:
-        own = frame.withColumn("priority", F.lit(priority))
-        found = own if found is None else found.unionByName(own)
-    return prefer_primary(found).select("stage", "value_ms", "priority")
+    first = collect_stage_samples(lines.filter(primary))
+    others = collect_stage_samples(lines.filter(~primary)).unionByName(collect_stage_samples(read("*.[jJ][sS][oO][nN]", True)))
+    others = others.unionByName(read("*.[cC][sS][vV]", True).mapInPandas(_walk_csv, "stage string, value_ms double"))
+    # Only the job rows tell which stages are theirs, so that no other file is read twice; the stages are a few names.
+    others = others.join(F.broadcast(first.select("stage").distinct()), "stage", "left_anti")
+    return first.select("stage", "value_ms", F.lit(1).alias("priority")).unionByName(others.select("stage", "value_ms", F.lit(0).alias("priority")))
 
 
 #: Keys of a load test's summary, in order of preference.
