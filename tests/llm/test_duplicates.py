@@ -288,3 +288,15 @@ def test_chunks_resist_insertions():
     for byte in data[:60]:
         plain = (plain * 2 + int(chunks.GEAR[byte])) % 2**32
     assert int(chunks.gear_hashes(np.frombuffer(data[:60], np.uint8))[-1]) == plain
+
+
+def test_a_pair_is_one_row(make, monkeypatch):
+    """What two classes share is counted without a row for each shingle that they share."""
+    import re
+
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*words[:i], f"x{i}", *words[i:]])) for i in range(12)]
+    plans, real = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a))
+    assert {(r.src, r.dst) for r in simhash.similar_links(make(rows)).collect()}
+    assert not [p for p in plans if re.search(r"Join Inner, \(+b#\d+L = b#\d+L\) AND \(_token#", p)]

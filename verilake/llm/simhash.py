@@ -219,6 +219,8 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     shared = cut(entries.groupBy("_token").agg(F.min("_class").alias("_least"), F.max("_class").alias("_last")).filter("_least <> _last").select("_token"))
     cells = cut(entries.drop("_id").join(shared, "_token").distinct())
     drop(shared)
+    # A class's shingles as one row, so that a pair of classes is one row as well and not one for each shingle that they share.
+    shared_by = cut(cells.groupBy("_class").agg(F.first("_n").alias("_n"), F.collect_set("_token").alias("_tokens")))
     # How much a class shares: in a group of copies of one text, those that changed least share most, and most are similar to them.
     size = cut(cells.groupBy("_token").agg(F.count("*").alias("_k")))
     central = cut(cells.select("_class", "_token").join(size, "_token").groupBy("_class").agg(F.floor(8 * F.log2(F.sum("_k"))).alias("_level")))
@@ -232,8 +234,8 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs of classes (a, b) that are similar by their full sets."""
         pairs = cut(pairs.distinct())
-        end = lambda name: cells.select(F.col("_class").alias(name), "_token", F.col("_n").alias(f"n_{name}"))
-        common = pairs.join(end("a"), "a").join(end("b"), ["b", "_token"]).groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+        end = lambda name: shared_by.select(F.col("_class").alias(name), F.col("_n").alias(f"n_{name}"), F.col("_tokens").alias(f"t_{name}"))
+        common = pairs.join(end("a"), "a").join(end("b"), "b").withColumn("k", F.size(F.array_intersect("t_a", "t_b")))
         beyond = lambda c: F.ceil(similarity * F.col(c) - 1e-9) - 1
         pairs = cut(common.filter(F.col("k") + F.greatest(beyond("n_a"), beyond("n_b")) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b"))
         wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct().join(names, "_class"))
