@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from verilake.llm import collocations, fingerprints, runs
@@ -179,6 +180,19 @@ def test_bitmap(spark):
     assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == sorted({p % collocations.BITS for p in pairs})
 
 
+def test_collocations_one_row_a_place(spark):
+    """Ten words in a row whose pairs are all frequent: a row for the longest phrase at each place, not one for each length; all lengths are counted."""
+    words = [f"w{i}" for i in range(10)]
+    chunk = " ".join(words + ["\n"] * collocations.OVERLAP)
+    every = spark.sparkContext.broadcast(b"\xff" * (collocations.BITS // 8))
+    made = pd.concat(collocations._longest(every)(iter([pd.DataFrame({"lang": ["en", "de", "en"], "chunk": [chunk, chunk, chunk], "n": [3, 4, 5]})])))
+    expected = {(lang, " ".join(words[i : i + 5]), n) for lang, n in (("en", 8), ("de", 4)) for i in range(9)}
+    assert len(made) == len(expected) and {*zip(made["lang"], made["phrase"], made["n"])} == expected
+    lengths = collocations._all_lengths(spark.createDataFrame(made))
+    got = {(r.lang, r.phrase, r.words, r.n) for own in lengths for r in own.collect()}
+    assert got == {(lang, " ".join(words[i : i + k]), k, n) for lang, n in (("en", 8), ("de", 4)) for k in range(2, 6) for i in range(11 - k)}
+
+
 def test_collocations_empty(spark, make):
     assert collocations.collocations(make([])).count() == 0
     assert collocations.collocations(make([(1, "too rare to count", "en")])).count() == 0

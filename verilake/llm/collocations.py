@@ -8,8 +8,9 @@ corpus has each. An n-gram of up to OVERLAP + 1 words belongs to the chunk in wh
 before the last OVERLAP tokens. So each is counted once, inside distinct chunks, weighted.
 
 Pairs of words are first counted by a hash. Longer phrases are made only where all their pairs may have
-LEAST occurrences, which a bitmap of fixed size tells; then phrases are counted by their words, so the counts
-are exact whatever collides.
+LEAST occurrences, which a bitmap of fixed size tells, and of these the longest at each place only: a shorter phrase
+at that place begins it, so its count is summed up from those, length by length. Phrases are counted by their words, so the
+counts are exact whatever collides.
 """
 
 from __future__ import annotations
@@ -168,8 +169,23 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": None, "word": None, "pair": keys.view(np.int64), "n": sums})
 
 
-def _phrases(bitmap):
-    """Counts of the phrases of 2 to LONGEST words all of whose pairs are in the bitmap."""
+def _merged(number: np.ndarray, reach: np.ndarray, at: np.ndarray, codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct phrase (of a language, the words from at on that reach counts), and the sum of its n.
+
+    Places are brought together by a hash and compared by their words, so a collision may leave a phrase in several parts, never two in one.
+    """
+    words = np.stack([np.where(reach[at] > k, number[np.minimum(at + k, len(number) - 1)], 0) for k in range(LONGEST)] + [codes])
+    key = np.zeros(len(at), np.uint64)
+    for row in words:
+        key = (key ^ (key >> np.uint64(29))) * _MIX + row.astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    words = words[:, order]
+    begins = np.flatnonzero(np.concatenate([np.ones(min(len(at), 1), bool), (words[:, 1:] != words[:, :-1]).any(0)]))
+    return at[order][begins], np.add.reduceat(n[order], begins) if len(begins) else n[:0]
+
+
+def _longest(bitmap):
+    """Counts of the longest phrase at each place, of 2 to LONGEST words, all of whose pairs are in the bitmap."""
 
     @releasing
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -187,11 +203,10 @@ def _phrases(bitmap):
                 reach[: len(reach) - k][more & frequent[k - 1 : len(frequent) - 1]] += 1
             first = np.searchsorted(chunk, np.arange(len(split)))
             at = np.flatnonzero(starts & (reach > 1))
-            for i, c, longest in zip((at - first[chunk[at]]).tolist(), chunk[at].tolist(), reach[at].tolist()):
-                own, lang, n = split[c], langs[c], int(weights[c])
-                for k in range(2, longest + 1):
-                    key = lang, b" ".join(own[i : i + k])
-                    held[key] = held.get(key, 0) + n
+            at, sums = _merged(number, reach, at, pd.factorize(batch["lang"])[0][chunk[at]], weights[chunk[at]])
+            for i, c, longest, n in zip((at - first[chunk[at]]).tolist(), chunk[at].tolist(), reach[at].tolist(), sums.tolist()):
+                key = langs[c], b" ".join(split[c][i : i + longest])
+                held[key] = held.get(key, 0) + n
             if len(held) > HELD:
                 yield _given(held)
                 held = {}
@@ -202,7 +217,7 @@ def _phrases(bitmap):
 
 
 def _given(held: dict) -> pd.DataFrame:
-    return pd.DataFrame({"lang": [lang for lang, _ in held], "phrase": [p.decode() for _, p in held], "n": np.fromiter(held.values(), np.int64, len(held))})
+    return pd.DataFrame({"lang": [lang for lang, _ in held], "phrase": [p.decode() for _, p in held], "words": np.fromiter((p.count(b" ") + 1 for _, p in held), np.int32, len(held)), "n": np.fromiter(held.values(), np.int64, len(held))})
 
 
 def _bitmap(pairs: DataFrame) -> bytes:
@@ -217,6 +232,17 @@ def _bitmap(pairs: DataFrame) -> bytes:
     return out.tobytes()
 
 
+def _all_lengths(longest: DataFrame) -> list[DataFrame]:
+    """(lang, phrase, words, n) of each length from LONGEST down to 2, from the counts of the longest phrase at each place: a phrase occurs where it is the longest, and where one with a word more begins with it."""
+    counted: list[DataFrame] = []
+    for k in range(LONGEST, 1, -1):
+        rows = longest.filter(F.col("words") == k).select("lang", "phrase", "n")
+        if counted:
+            rows = rows.unionByName(counted[-1].select("lang", F.substring_index("phrase", " ", k).alias("phrase"), "n"))
+        counted.append(cut(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", F.lit(k).alias("words"), "n")))
+    return counted
+
+
 def phrase_counts(docs: DataFrame, text_col="text", lang_col="lang") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of the words and phrases of up to LONGEST words that occur LEAST times or more in a language, and (lang, total) of all words."""
     spark = docs.sparkSession
@@ -225,12 +251,14 @@ def phrase_counts(docs: DataFrame, text_col="text", lang_col="lang") -> tuple[Da
     sums = cut(counted.groupBy("lang", "word", "pair").agg(F.sum("n").alias("n")))
     words = sums.filter("word IS NOT NULL")
     bitmap = spark.sparkContext.broadcast(_bitmap(sums.filter((F.col("n") >= LEAST) & F.col("pair").isNotNull())))
-    phrases = chunks.mapInPandas(_phrases(bitmap), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    singles = words.filter(F.col("n") >= LEAST).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
-    several = phrases.filter(F.col("n") >= LEAST).select("lang", "phrase", F.size(F.split("phrase", " ")).alias("words"), "n")
-    frequent = cut(singles.unionByName(several))
+    longest = cut(chunks.mapInPandas(_longest(bitmap), "lang string, phrase string, words int, n long"))
+    frequent = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
+    lengths = _all_lengths(longest)
+    for own in lengths:
+        frequent = frequent.unionByName(own)
+    frequent = cut(frequent.filter(F.col("n") >= LEAST))
     totals = cut(words.groupBy("lang").agg(F.sum("n").alias("total")))
-    drop(chunks, sums)
+    drop(chunks, sums, longest, *lengths)
     bitmap.destroy()
     return frequent, totals
 
