@@ -89,3 +89,17 @@ def test_small_and_empty_galleries(spark, sets):
     assert search.top_k_search(none, table(spark, g[:30]), 2).count() == 0
     got = {(r.probe_idx, r["rank"], r.sample_idx, r.similarity) for r in search.top_k_search(probes, table(spark, g[:3]), 5).collect()}
     assert got == by_hand(p[:9], g[:3], 5, 0)
+
+
+def test_blocks_come_in_small_batches(spark, sets):
+    """A packed block of probes has a MB at 64 numbers; a worker gets a few at once, however many a task has."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        search.top_k_search(table(spark, sets[0][:9]), table(spark, sets[1][:50]), 2)
+        blocks = spark.range(40, numPartitions=1).select(F.expr("cast(repeat('x', 1048576) AS binary)").alias("p_vectors"))
+        sizes = blocks.mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]][:1] for b in batches), "n long").collect()
+        assert sum(r.n for r in sizes) == 40 and max(r.n for r in sizes) <= 9
+    finally:
+        spark.conf.set(name, before)

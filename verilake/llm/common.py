@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import ctypes
-import functools
-import gc
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of one Arrow batch of whole texts.
-BATCH_BYTES = 8 << 20
-
+from verilake.functions.memory import BATCH_BYTES, bounded_batches, release, releasing  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Lower Spark's default bound on the bytes of an Arrow batch, as whole texts are several times larger in Python; a bound that the caller has set stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) in ("67108864b", "-1", str((1 << 63) - 1)):
-        spark.conf.set(name, BATCH_BYTES)
-
-
 @contextlib.contextmanager
 def rows_at_once(spark: SparkSession, n: int):
     """At most n rows in an Arrow batch of what is run inside; for rows of several MB."""
@@ -40,25 +27,6 @@ def rows_at_once(spark: SparkSession, n: int):
         spark.conf.set(name, before)
 
 
-def release() -> None:
-    """Give free memory back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
-        ctypes.CDLL(None).malloc_trim(0)
-
-
-def releasing(batches):
-    """A worker's iterator function that gives free memory back at the end of its task, as an idle worker stays for a minute."""
-
-    @functools.wraps(batches)
-    def run(rows):
-        yield from batches(rows)
-        release()
-
-    return run
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir or the context.
 

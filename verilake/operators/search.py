@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verilake.functions.exprs import dot, norm
+from verilake.functions.memory import bounded_batches, releasing
 
 #: Vectors of a block, and decimals of a similarity, rounded once so that ties are stable.
 BLOCK, PLACES = 2048, 6
@@ -85,12 +86,14 @@ class _Cells:
 
 def _index(gallery: DataFrame) -> tuple[_Cells, DataFrame] | None:
     """The cells of a gallery (key, vector) and its blocks (cell, part, g_keys, g_vectors); None if it is empty. It runs jobs for the count, the sample and a row for each cell."""
+    bounded_batches(gallery.sparkSession)  # a packed block of probes is a row of a MB and more
     n = gallery.count()
     if not n:
         return None
     sample = gallery.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").toPandas()  # at most SAMPLE rows
     pivots = _fitted(_matrix(sample["vector"]), max(1, min(PIVOTS, n // PER_PIVOT)))
 
+    @releasing
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -124,6 +127,7 @@ def _part(cell: str, parts: dict[int, int]):
 def _probe_blocks(probes: DataFrame, cells: _Cells) -> tuple[DataFrame, int]:
     """probes (key, vector, score, own) of one home cell in blocks of about BLOCK, and the number of blocks."""
 
+    @releasing
     def homes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
@@ -151,6 +155,7 @@ def _meetings(made: tuple[DataFrame, int], index: tuple[_Cells, DataFrame], want
     (blocks, n), (cells, theirs) = made, index
     groups = max(1, -(-n // GROUP))
 
+    @releasing
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -213,6 +218,7 @@ def _vectors(df: DataFrame, *more) -> DataFrame:
 def _nearest(k: int, floor: float):
     """The k best similarities, at least the probe's score and floor, of each probe in a meeting."""
 
+    @releasing
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, score, _, others, found in _products(batches):
             least = np.maximum(score, floor)
@@ -236,6 +242,7 @@ def products(probes: DataFrame, gallery: DataFrame, k=2) -> DataFrame:
     index = _index(_vectors(gallery))
     blocks = _probe_blocks(_floors(probes, index, k, float("-inf")), index[0])
 
+    @releasing
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, _, _, others, _ in _products(batches):
             yield pd.DataFrame({"n": [len(keys) * len(others)]})
@@ -295,6 +302,7 @@ def probe_ranks(probes: DataFrame, gallery: DataFrame) -> DataFrame:
     blocks = _probe_blocks(known, cells)
     sizes = cells.cells["n"].to_numpy(np.int64)
 
+    @releasing
     def unread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
@@ -302,6 +310,7 @@ def probe_ranks(probes: DataFrame, gallery: DataFrame) -> DataFrame:
                 before = cells.bounds(vectors)[1] > score[:, None]
                 yield pd.DataFrame({"probe_idx": keys, "n": before @ sizes})[own >= 0]
 
+    @releasing
     def ahead(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for keys, score, own, others, found in _products(batches):
             before = (found > score[:, None]) | ((found == score[:, None]) & (others[None, :] < own[:, None]))
