@@ -300,3 +300,38 @@ def test_a_pair_is_one_row(make, monkeypatch):
     monkeypatch.setattr(simhash, "cut", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, *a))
     assert {(r.src, r.dst) for r in simhash.similar_links(make(rows)).collect()}
     assert not [p for p in plans if re.search(r"Join Inner, \(+b#\d+L = b#\d+L\) AND \(_token#", p)]
+
+
+def test_near_copies_of_one_text(make, monkeypatch):
+    """Copies of one text with two to four new words each: few pairs are compared, and all components are found."""
+    rng = random.Random(12)
+    base, rows = prose(rng, 150).split(), []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 2, 3, 4])):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(146)} for i, t in rows}
+    pairs = [(i, j) for i in sets for j in range(i)]
+    similar = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8}
+    plain = {i: i for i in sets}
+    for _ in sets:
+        for i, j in similar:
+            plain[i] = plain[j] = min(plain[i], plain[j])
+    compared, real = [], simhash.cut
+
+    def counted(df, *a):
+        made = real(df, *a)
+        if df.columns == ["a", "b"]:
+            compared.append(made.count())
+        return made
+
+    monkeypatch.setattr(simhash, "cut", counted)
+    links = {(r.src, r.dst) for r in simhash.similar_links(make(rows)).collect()}
+    assert links <= similar
+    found = {i: i for i in sets}
+    for _ in sets:
+        for i, j in links:
+            found[i] = found[j] = min(found[i], found[j])
+    assert found == plain and 1 < len({*plain.values()}) < 120
+    assert max(compared) < len(pairs) / 4

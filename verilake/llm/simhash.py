@@ -25,8 +25,8 @@ from verilake.llm.suffixes import clear_hashes, rolling, word_hashes
 SHINGLE, SEED, BITS = 3, 42, 64
 #: For similar texts: words of a shingle, least similarity, one in how many rows shows the hot shingles, and how many of these are sent to the workers.
 WIDE, SIMILARITY, SHARE, HOT = 5, 0.8, 16, 200_000
-#: Turns of comparing classes with the heads of their cells, and different orders of these in each.
-TURNS, ORDERS = 1, 3
+#: Turns of comparing classes with the heads of their cells, different orders of these in each, and the similarity to a head from which differences from it are looked at.
+TURNS, ORDERS, AROUND = 1, 3, 0.5
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 #: Hashes whose bits are counted at once.
@@ -166,6 +166,11 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([*map(set_similarity, a, b)], dtype="float64")
 
 
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The hashes that are in one of two sets only."""
+    return pd.Series([np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(a, b)], dtype=object)
+
+
 def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=SIMILARITY) -> DataFrame:
     """src, dst: links of rows whose sets of five-word shingles have a similarity of 0.8 or more; src is the larger id.
 
@@ -177,6 +182,12 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     the shingle, rule pairs out without loss; the rest is judged by the full sets. The hot
     shingles come from a share of the rows, which changes the cost, not the result.
 
+    Near copies of one text share nearly all shingles, so these tell little about their pairs. What tells is how
+    they differ from one head: sets of n and m hashes that differ from it by d and e hashes differ from each other by
+    d + e - 2 k, k of these in common, and are similar only if that is at most (n + m) / 9. So where two classes have one head,
+    a shingle by which both differ from it must bring them together, the rare ones first. Pairs that need none
+    in common (d + e <= (n + m) / 9) are both similar to the head, and linked by it.
+
     A shingle of the prefixes is looked at further only if several classes have it; a
     class's entries are narrow rows, written once. Before the full sets are fetched, the
     shingles that two prefixes have in common are counted: beyond its prefix a set has
@@ -231,6 +242,13 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     n, m, least = F.col("_n1"), F.col("_n2"), similarity / (1 + similarity)
     fits = (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - F.col("_at1"), m - F.col("_at2")) >= least * (n + m) - 1e-9)
 
+    def full_sets(classes: DataFrame) -> DataFrame:
+        """_class, _set of the classes in the column _class."""
+        wanted = cut(classes.distinct().join(names, "_class"))
+        rows = may_be_in(own.withColumn("_key", F.xxhash64("_id")), "_key", wanted.select(F.xxhash64("_first").alias("_key")), "_maybe")
+        found = rows.filter("_maybe").select("text").mapInPandas(_sets, "_class long, _set binary")
+        return cut(found.join(wanted, "_class", "left_semi").dropDuplicates(["_class"]))
+
     def alike(pairs: DataFrame) -> DataFrame:
         """The pairs of classes (a, b) that are similar by their full sets."""
         pairs = cut(pairs.distinct())
@@ -238,10 +256,7 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
         common = pairs.join(end("a"), "a").join(end("b"), "b").withColumn("k", F.size(F.array_intersect("t_a", "t_b")))
         beyond = lambda c: F.ceil(similarity * F.col(c) - 1e-9) - 1
         pairs = cut(common.filter(F.col("k") + F.greatest(beyond("n_a"), beyond("n_b")) >= least * (F.col("n_a") + F.col("n_b")) - 1e-9).select("a", "b"))
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct().join(names, "_class"))
-        rows = may_be_in(own.withColumn("_key", F.xxhash64("_id")), "_key", wanted.select(F.xxhash64("_first").alias("_key")), "_maybe")
-        found = rows.filter("_maybe").select("text").mapInPandas(_sets, "_class long, _set binary")
-        sets = cut(found.join(wanted, "_class", "left_semi").dropDuplicates(["_class"]))
+        sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("_class")))
         both = pairs.join(sets.select(F.col("_class").alias("a"), F.col("_set").alias("_x")), "a").join(sets.select(F.col("_class").alias("b"), F.col("_set").alias("_y")), "b")
         made = cut(both.withColumn("_s", F.pandas_udf(_similar, "double")("_x", "_y")).filter(F.col("_s") >= similarity).select("a", "b"))
         drop(sets)
@@ -257,17 +272,57 @@ def similar_links(docs: DataFrame, id_col="doc_id", text_col="text", similarity=
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("_class1", "_class2").alias("a"), F.greatest("_class1", "_class2").alias("b"))
 
+    def apart(rows: DataFrame) -> DataFrame:
+        """_class, _n, its head (of all its cells the class that shares most), their similarity _s, and the hashes by which they differ; only where that is worth it.
+
+        It is where the head has a quarter of the class's prefix and the similarity is AROUND or more. Other classes have no head.
+        """
+        first = cut(rows.groupBy("_token").agg(F.min(F.struct((-F.col("_level")).alias("o"), F.col("_class").alias("head"))).alias("_h")))
+        headed = rows.select("_token", "_class", "_n").join(first, "_token").groupBy("_class").agg(F.first("_n").alias("_n"), F.min("_h").alias("_h")).select("_class", "_n", F.col("_h.head").alias("_head"))
+        end = lambda name, i: shared_by.select(F.col("_class").alias(name), F.col("_n").alias(f"n{i}"), F.col("_tokens").alias(f"t{i}"))
+        near = headed.join(end("_class", 1), "_class").join(end("_head", 2), "_head").filter(F.least("n1", "n2") >= AROUND * F.greatest("n1", "n2"))
+        headed = cut(near.filter(4 * F.size(F.array_intersect("t1", "t2")) >= (1 - similarity) * F.col("n1")).select("_class", "_n", "_head"))
+        sets = full_sets(headed.select("_class").union(headed.select("_head")))
+        both = headed.join(sets.withColumnRenamed("_set", "_x"), "_class").join(sets.select(F.col("_class").alias("_head"), F.col("_set").alias("_y")), "_head")
+        both = both.withColumn("_apart", F.pandas_udf(_apart, "array<long>")("_x", "_y")).withColumn("_sum", F.col("_n") + F.length("_y") / 8)
+        made = cut(both.withColumn("_s", (F.col("_sum") - F.size("_apart")) / (F.col("_sum") + F.size("_apart"))).filter(F.col("_s") >= min(AROUND, similarity)).select("_class", "_n", "_head", "_s", "_apart"))
+        drop(sets)
+        return made
+
+    def of_one_head(differing: DataFrame) -> DataFrame:
+        """Pairs of classes of one head that aren't in one component and may be similar by their differences from it."""
+        tokens = differing.select("_class", "_n", "_root", "_head", F.size("_apart").alias("_d"), F.explode("_apart").alias("_token"))
+        often = cut(tokens.groupBy("_head", "_token").agg(F.count("*").alias("_k"), F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_k > 1"))
+        tokens = tokens.join(often, ["_head", "_token"])
+        # The differences from this one on, in the order of their counts: as many can be in common at most if this is the first one.
+        tokens = tokens.withColumn("_left", F.row_number().over(Window.partitionBy("_class").orderBy(F.desc("_k"), F.desc("_token"))))
+        tokens = cut(tokens.filter("_lo <> _hi").select("_head", "_token", "_class", "_n", "_root", "_d", "_left"))
+        end = lambda i: tokens.select("_head", "_token", *[F.col(c).alias(f"{c}{i}") for c in ("_class", "_n", "_root", "_d", "_left")])
+        common = (F.col("_d1") + F.col("_d2") - (1 - similarity) / (1 + similarity) * (n + m)) / 2
+        return end(1).join(end(2), ["_head", "_token"]).filter((F.col("_class1") < F.col("_class2")) & (F.col("_root1") != F.col("_root2")) & (F.least("_left1", "_left2") >= common - 1e-9))
+
+    def placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """rows with the component _root that each class is in by the links."""
+        roots = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        return rows.join(roots, F.col("_class") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("node", "root")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Of rows with _root, the cells whose classes aren't all in one component; only these have pairs left."""
+        found = rows.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_token")
+        return cut(rows.join(found, "_token", "left_semi"))
+
     linked, rest = None, cells.withColumn("_root", F.col("_class")).join(central, "_class")
     for turn in range(TURNS):
         more = alike(ordered(at_heads(rest, turn)))
         linked = more if linked is None else linked.unionByName(more)
-        roots = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-        placed = cells.join(roots, F.col("_class") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_class")).drop("node", "root")
-        # Only cells whose classes aren't all in one component by now have pairs left.
-        mixed = placed.groupBy("_token").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi")).filter("_lo <> _hi").select("_token")
-        rest = cut(placed.join(mixed, "_token", "left_semi").join(central, "_class"))
-    others = side(rest, 1).join(side(rest, 2), "_token").filter((F.col("_class1") < F.col("_class2")) & (F.col("_root1") != F.col("_root2")) & fits)
-    linked = linked.unionByName(alike(ordered(others)))
+        rest = mixed(placed(cells, linked)).join(central, "_class")
+    differing = apart(rest)
+    to_head = differing.filter((F.col("_s") >= similarity) & (F.col("_class") != F.col("_head")))
+    linked = linked.unionByName(to_head.select(F.least("_class", "_head").alias("a"), F.greatest("_class", "_head").alias("b")))
+    where = cut(placed(cells.select("_class").distinct(), linked))
+    rest = mixed(cells.join(where, "_class")).join(differing.select("_class", "_head"), "_class", "left")
+    others = side(rest, 1).join(side(rest, 2), "_token").filter((F.col("_class1") < F.col("_class2")) & (F.col("_root1") != F.col("_root2")) & fits & ~F.coalesce(F.col("_head1") == F.col("_head2"), F.lit(False)))
+    linked = linked.unionByName(alike(ordered(others).unionByName(ordered(of_one_head(differing.join(where, "_class"))))))
 
     named = linked.join(names.select(F.col("_class").alias("a"), F.col("_first").alias("x")), "a").join(names.select(F.col("_class").alias("b"), F.col("_first").alias("y")), "b")
     return same.unionByName(named.select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst")).filter("src <> dst").distinct())
