@@ -367,3 +367,16 @@ def test_search_over_many_shards(make, rng, monkeypatch):
     assert find() == one and one
 
 
+def test_search_meets_equal_texts_once(make, rng, monkeypatch):
+    # 20 copies of each text: the index holds one, with its ten smallest ids; three queries of twelve are searched.
+    texts = [prose(rng, 12, "abc") for _ in range(30)]
+    docs = make([(i, texts[i % 30]) for i in range(600)])
+    shards = search.build_shards(docs).collect()
+    assert sum(len(s.lengths) // 8 for s in shards) == 30 and sum(len(s.ids) // 8 for s in shards) == 300
+    assert sum(np.frombuffer(s.copies, np.int64).sum() for s in shards) == 600
+    find = lambda: sorted(map(tuple, search.top_k(docs, docs.filter("doc_id % 50 = 0")).collect()))
+    one = find()
+    assert [r[:3] for r in one] == [(q, n + 1, q % 30 + 30 * n) for q in range(0, 600, 50) for n in range(10)]
+    for name, value in (("SHARD", 1), ("QUERIES", 2), ("ROUNDS", 2)):
+        monkeypatch.setattr(search, name, value)
+    assert find() == one
